@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, packing, quality, sharding
+from tablewright.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, nearest, ngram_jaccard, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "text", "n_lines", "n_dropped")
@@ -60,6 +64,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -68,8 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_html_extraction": op7_html_extraction,
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
