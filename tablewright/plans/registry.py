@@ -1,4 +1,4 @@
-"""All queries of the library outside the optional subpackages, with their SQL for comparison."""
+"""All queries of the library outside the optional subpackage, with their SQL for comparison."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.plans import document_queries, figure_queries, text_queries
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {**document_queries.QUERIES, **figure_queries.QUERIES, **text_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**document_queries.ORACLES, **figure_queries.ORACLES, **text_queries.ORACLES}
