@@ -39,9 +39,11 @@ def build_state(spark: SparkSession, source: str, id_col: str, text_col: str, ch
     rank = F.struct("n", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg"), (-F.col("file")).alias("f"), (-F.col("at")).alias("a"))
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.max(rank).alias("best"))
     out = f"{checkpoint}/changes"
-    key, old = "spark.sql.streaming.stateStore.providerClass", None
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    # without fallocate a partition's store takes only the disk that its rows need, however many partitions there are
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    old = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -52,7 +54,8 @@ def build_state(spark: SparkSession, source: str, id_col: str, text_col: str, ch
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.parquet(out) if query.lastProgress else None
     if changes is None:
         return spark.createDataFrame([], "digest binary, size long, best struct<n:int,has:boolean,neg:long,f:long,a:long>")
