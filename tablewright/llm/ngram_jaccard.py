@@ -15,6 +15,10 @@ from tablewright.llm.textvec import chunks, shingle_sets
 #: Counters of a task's sketch of shingle frequencies, as a power of two, and the most frequent that are kept of all.
 #: They only order shingles, rare ones first; any order gives the same links.
 SKETCH_BITS, HOT = 20, 1 << 16
+#: Bits of a set's parity map: each element flips one, so two maps differ in no more bits than the sets do in elements.
+PARITY_BITS = 512
+#: Sets larger than this have a finer map too, as the first tells little of them.
+LARGE, FINE_BITS = 1000, 4096
 
 
 def small_batches(df: DataFrame, rows: int = 500) -> None:
@@ -48,13 +52,19 @@ def hot_counters(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return out
 
 
+def parity_map(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), node (digest of the set), grp (digest of prefix and size), prefix (hashes, rare first)."""
+    """doc_id, n (size of the set), node (its digest), grp (digest of prefix and size), prefix (hashes, rare first), bits
+    (parity map), fine (a finer one of large sets, else empty)."""
     hot = hot_counters(docs, text_col, width)
 
     def prepare(batches):
         for pdf in batches:
-            n, node, grp, prefix = [], [], [], []
+            n, node, grp, prefix, bits, fine = [], [], [], [], [], []
             for _, part in chunks(pdf.t.tolist()):
                 for s in shingle_sets(part, width):
                     rank = hot[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -64,10 +74,12 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, percen
                     node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     grp.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
                     prefix.append(p.view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "n": n, "node": node, "grp": grp, "prefix": prefix})
+                    bits.append(parity_map(s, PARITY_BITS))
+                    fine.append(parity_map(s, FINE_BITS) if len(s) > LARGE else bits[-1][:0])
+            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n": n, "node": node, "grp": grp, "prefix": prefix, "bits": bits, "fine": fine})
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return own.mapInPandas(prepare, "doc_id long, n long, node binary, grp binary, prefix array<long>")
+    return own.mapInPandas(prepare, "doc_id long, n long, node binary, grp binary, prefix array<long>, bits array<long>, fine array<long>")
 
 
 def may_reach(percent: int, na: str = "na", nb: str = "nb", ia: str = "ia", ib: str = "ib"):
@@ -77,6 +89,12 @@ def may_reach(percent: int, na: str = "na", nb: str = "nb", ia: str = "ia", ib:
     return sizes & (F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) >= needed)
 
 
+def maps_agree(percent: int, a: str = "ba", b: str = "bb"):
+    """The parity maps a and b differ in no more bits than sets of sizes na and nb that reach the similarity may."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets, made again from the whole texts, reach the similarity."""
 
@@ -122,7 +140,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     A document's set holds the distinct shingles of `width` words, lower-cased in A-Z; a shorter text is one shingle of
     all its words. Two documents link when 100 * common >= percent * all of their sets. component_id is the least
     doc_id that links reach. No link between different sets is lost: documents of one set are one node; nodes with the
-    same prefix and size are one group; groups that share a prefix shingle are candidates. First each list of groups
+    same prefix and size are one group; groups that share a prefix shingle are candidates if
+    sizes, places and parity maps allow the similarity. First each list of groups
     with a common shingle is compared with its best connected member alone; then, exactly, all pairs of the list that
     aren't in one component yet. So thousands of near copies cost a star and not all their pairs.
 
@@ -133,10 +152,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     small_batches(docs)
     prep = materialise(prefix_table(docs, id_col, text_col, width, percent), "prefixes")
     gid = F.xxhash64("grp").alias("gid")
-    nodes = materialise(prep.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("grp").alias("grp")).select("node", "id", "n", gid), "nodes")
+    nodes = materialise(prep.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.first("bits").alias("bits"), F.first("fine").alias("fine")).select("node", "id", "n", gid, "bits", "fine"), "nodes")
     groups = prep.filter("n > 0 AND doc_id IS NOT NULL").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posts = groups.select(gid, "n", F.posexplode("prefix").alias("i", "token"))
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).filter("lists > 1").select("token")
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("lists")).filter("lists > 1")
     posts = materialise(posts.join(shared, "token"), "postings")
 
     degree = posts.groupBy("gid").agg(F.count(F.lit(1)).alias("degree"))
@@ -153,24 +172,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pairs = stars.join(of("a"), "ga").join(of("b"), "gb").select("a", "b")
     inside = nodes.join(leads, "gid").filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = materialise(ordered(pairs.union(inside)), "star-pairs")
+    maps = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"), F.col("fine").alias(f"f{s}"))
+    both_fine = (F.size("fa") > 0) & (F.size("fb") > 0)
+    close = maps_agree(percent) & (~both_fine | maps_agree(percent, "fa", "fb"))
+    likely = lambda p: p.join(maps("a"), "a").join(maps("b"), "b").filter(close).select("a", "b")
+    tested = materialise(likely(ordered(pairs.union(inside))), "star-pairs")
     edges = materialise(verified(tested, docs, id_col, text_col, width, percent), "star-edges")
     found = components(edges)
 
-    members = nodes.join(found, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("c"))
-    lists = posts.select("token", "gid", "i").union(
-        nodes.groupBy("gid").count().filter("count > 1").select(F.col("gid").alias("token"), "gid", F.lit(0).alias("i"))
-    )
+    members = nodes.join(found, "id", "left").select("gid", "id", "n", "bits", F.coalesce("component", "id").alias("c"))
+    several = nodes.groupBy("gid").count().filter("count > 1").select("gid")
+    two = posts.filter("lists = 2")  # the star has compared all of these, but for groups of several nodes
+    two = two.join(two.join(several, "gid", "left_semi").select("token").distinct(), "token", "left_semi")
+    lists = posts.filter("lists > 2").union(two).select("token", "gid", "i")
+    lists = lists.union(several.select(F.col("gid").alias("token"), "gid", F.lit(0).alias("i")))
     lists = lists.join(members, "gid")
     mixed = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    lists = materialise(lists.join(mixed, "token").select("token", "id", "n", "i", "c"), "open-lists")
+    lists = materialise(lists.join(mixed, "token").select("token", "id", "n", "i", "bits", "c"), "open-lists")
     rest = (
-        lists.toDF("token", "a", "na", "ia", "ca")
-        .join(lists.toDF("token", "b", "nb", "ib", "cb"), "token")
-        .filter((F.col("ca") < F.col("cb")) & may_reach(percent))
+        lists.toDF("token", "a", "na", "ia", "ba", "ca")
+        .join(lists.toDF("token", "b", "nb", "ib", "bb", "cb"), "token")
+        .filter((F.col("ca") < F.col("cb")) & may_reach(percent) & maps_agree(percent))
         .select("a", "b")
     )
-    rest = materialise(ordered(rest).join(tested, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = materialise(likely(ordered(rest).join(tested, ["a", "b"], "left_anti")), "rest-pairs")
     if not rest.isEmpty():
         more = verified(rest, docs, id_col, text_col, width, percent)
         found = components(edges.union(more))
