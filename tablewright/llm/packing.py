@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,14 @@ from tablewright.llm.textvec import IS_SPACE, chunks, lay_out, runs, segment_has
 PER_WINDOW, CUT, HARD_CUT = 16, 4, 64
 #: Sentence ends nearer than this to the last boundary are passed over.
 STEP = 24
-#: Words whose ids a Python worker remembers, and tokens that are packed in one go.
-CACHE_WORDS, BLOCK_TOKENS = 2_000_000, 1_000_000
+#: Words whose ids a Python worker remembers, tokens that are packed in one go, words that the tokenizer gets at once.
+CACHE_WORDS, BLOCK_TOKENS, LEARN_WORDS = 600_000, 500_000, 5_000
 END_ID = 1
+#: ASCII punctuation but for the apostrophe, which contractions begin with.
+TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: How byte-level vocabularies show a byte: printable Latin-1 as itself, the others in order from 256 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 
 
 class WordTokens:
@@ -37,13 +43,39 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
+        self.tails: dict[str, list[int]] = {}
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Letters and then ASCII punctuation are two words to the tokenizer: the letters, lower-cased, go
+        straight to its model, the punctuation is looked up; all else takes the tokenizer's full way."""
+        out: list[list[int] | None] = [None] * len(words)
+        rest = []
+        model = self.tokenizer.model
+        for k, word in enumerate(words):
+            letters = word.rstrip(TAIL)
+            low = letters.lower()
+            if not low.isalpha() or "\u03a3" in letters or not is_normalized("NFC", low):
+                rest.append(k)
+                continue
+            ids = [t.id for t in model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(SHOWN))]
+            tail = word[len(letters) :]
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                ids = ids + self.tails[tail]
+            out[k] = ids
+        for a in range(0, len(rest), LEARN_WORDS):
+            part = rest[a : a + LEARN_WORDS]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = e.ids
+        return out
+
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = self.word_ids(words)
         n = np.array([len(i) for i in ids], np.int32)
         at = len(self.flat) + np.cumsum(n) - n
         self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(n.sum()))))
