@@ -32,7 +32,7 @@ def shard_documents(
     """Put every row of docs into one of `n_shards` shards whose row counts differ by one at most (law `rows`).
 
     Documents of equal text are linked. Linked documents start dealt evenly; in each round those of a group that lie
-    outside its leading shards (as many as the group needs at least) ask to move there, and move as far as the quotas
+    outside its leading shards (as many as the group needs at least, those first that have room for the rest of it) ask to move there, and move as far as the quotas
     of the pair of shards allow. The state is the number of a group's documents in each shard, so a group of any size
     is a few rows. Unlinked documents then fill what room is left. It ends when nothing asks to move or may.
 
@@ -70,10 +70,14 @@ def shard_documents(
 
     by_group = Window.partitionBy("g")  # of a group there are at most n_shards rows
     for _ in range(rounds if n_linked else 0):
-        order = by_group.orderBy(F.desc("c"), F.xxhash64("g", "shard"))
+        free = F.create_map(*[x for s in range(n_shards) for x in (F.lit(s), F.lit(room[s] - load[s]))])
+        fits = (F.col("k") > 1) | (F.col("all") - F.col("c") <= free[F.col("shard")])  # the rest of the group has room there
+        order = by_group.orderBy(F.desc("fits"), F.desc("c"), F.xxhash64("g", "shard"))
         seen = (
-            held.withColumn("r", F.row_number().over(order))
-            .withColumn("k", F.ceil(F.sum("c").over(by_group) / F.lit(float(max(1, n // n_shards)))).cast("int"))
+            held.withColumn("all", F.sum("c").over(by_group))
+            .withColumn("k", F.ceil(F.col("all") / F.lit(float(max(1, n // n_shards)))).cast("int"))
+            .withColumn("fits", fits)
+            .withColumn("r", F.row_number().over(order))
             .withColumn("tops", F.collect_list(F.when(F.col("r") <= F.col("k"), F.col("shard"))).over(by_group))
         )
         asks = (
