@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Bytes of text hashed in one go; a longer single text is hashed alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
