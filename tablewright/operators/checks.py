@@ -144,7 +144,7 @@ def evidence_lines(values: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of a page that print a value, not inside a longer word or figure. Joined by the document, not by all lines."""
     quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.col("value"), F.lit(r"\E(?![A-Za-z0-9])"))
     found = values.filter("value <> ''").join(lines.select("doc_id", "page", "line_no", "text"), ["doc_id", "page"])
-    return found.filter(F.col("text").contains(F.col("value"))).filter(F.col("text").rlike(quoted)).select("doc_id", "page", "field", "value", "line_no")
+    return found.filter(F.col("text").contains(F.col("value"))).filter(F.regexp_like("text", quoted)).select("doc_id", "page", "field", "value", "line_no")
 
 
 def ground_values(cells: DataFrame, sources: DataFrame) -> DataFrame:
