@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.textvec import trim
+
 DIMS = 1 << 13
 #: Labelled documents that the centroids are fitted to, for each language at most about.
 SAMPLE = 500
@@ -125,7 +127,9 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return model.predict(texts.tolist())
+        out = model.predict(texts.tolist())
+        trim()
+        return out
 
     return run(text)
 

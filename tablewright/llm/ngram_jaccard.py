@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import materialise
-from tablewright.llm.textvec import chunks, shingle_sets
+from tablewright.llm.textvec import chunks, shingle_sets, trim
 
 #: Counters of a task's sketch of shingle frequencies, as a power of two, and the most frequent that are kept of all.
 #: They only order shingles, rare ones first; any order gives the same links.
@@ -22,8 +22,9 @@ LARGE, FINE_BITS = 1000, 4096
 
 
 def small_batches(df: DataFrame, rows: int = 500) -> None:
-    """Whole texts go to Python, so few rows at a time."""
+    """Whole texts go to Python, so few rows, and few bytes but for a single long text, at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def hot_counters(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
@@ -43,6 +44,8 @@ def hot_counters(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         mean = total.mean()
         out = np.flatnonzero(total > mean + 6 * np.sqrt(mean) + 6)
         yield pd.DataFrame({"place": out.astype(np.int32), "more": total[out] - int(mean)})
+        del total
+        trim()
 
     seen = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "place int, more long")
     top = seen.groupBy("place").agg(F.sum("more").alias("more")).orderBy(F.desc("more"), "place").limit(HOT).collect()
@@ -77,6 +80,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, percen
                     bits.append(parity_map(s, PARITY_BITS))
                     fine.append(parity_map(s, FINE_BITS) if len(s) > LARGE else bits[-1][:0])
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n": n, "node": node, "grp": grp, "prefix": prefix, "bits": bits, "fine": fine})
+        trim()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     return own.mapInPandas(prepare, "doc_id long, n long, node binary, grp binary, prefix array<long>, bits array<long>, fine array<long>")
@@ -110,6 +114,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[linked, ["a", "b"]]
+        trim()
 
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(needed, "id")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.textvec import IS_SPACE, chunks, lay_out, runs, segment_hashes
+from tablewright.llm.textvec import IS_SPACE, chunks, lay_out, runs, segment_hashes, trim
 
 #: In tokens: what a window costs besides its padding, and what cuts cost at a sentence's end and inside a sentence.
 PER_WINDOW, CUT, HARD_CUT = 16, 4, 64
@@ -223,6 +223,7 @@ def packer(path: str, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
                     yield flush(False)
         if rows:
             yield flush(True)
+        trim()
 
     return pack
 
@@ -239,6 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, id_col:
     is read whole and cut where it must. An empty table gives no rows. Other columns are not read.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return rows.mapInPandas(packer(tokenizer, window), schema)

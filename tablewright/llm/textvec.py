@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text hashed in one go; a longer single text is hashed alone.
 CHUNK = 1 << 19
@@ -13,20 +15,34 @@ SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 VALUES = np.random.RandomState(11).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: The C library's call that returns freed memory, where it has one.
+MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse modulo 2^64, to the powers below n."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1024)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.cumprod(out, dtype=np.uint64)
+    """BASE and its inverse modulo 2^64, to the powers below n. Only those of a chunk are kept; a longer word's are not."""
+
+    def made(size: int, base: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    inverse = pow(BASE, -1, 1 << 64)
+    if n > CHUNK + 1024:
+        return made(n, BASE), made(n, inverse)
+    if not _powers:
+        _powers["up"], _powers["down"] = made(CHUNK + 1024, BASE), made(CHUNK + 1024, inverse)
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if MALLOC_TRIM is not None:
+        MALLOC_TRIM(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every bit of a 64-bit hash over all others."""
     h = h ^ (h >> np.uint64(30))
@@ -69,11 +85,20 @@ def runs(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment of buf, by its bytes alone."""
-    up, down = powers(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(VALUES[buf] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each segment of buf, by its bytes alone; segments of about CHUNK bytes in one go."""
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
+        part = buf[lo : int(ends[b - 1])]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(VALUES[part] * up[:-1], out=total[1:])
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
 def lower_ascii(texts: list[bytes]) -> list[bytes]:
