@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote and that no plan still to run reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets_for(n_rows: int) -> int:
     """As many buckets as there are rows in each: both levels of a rank grow as the square root of the rows."""
     return max(1, math.isqrt(max(0, n_rows - 1)) + 1)

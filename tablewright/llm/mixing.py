@@ -109,7 +109,8 @@ def mix_sources(
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         *kept,
     )
-    base = materialise(base, "mix-sizes")
+    full, base = base, materialise(base.select("doc_id", "source", "size"), "mix-sizes")
+    full = full if keep else base  # what is kept, whole texts perhaps, is read again at the end and not written here
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sizes = materialise(sizes, "mix-sources")
     targets = materialise(source_targets(sizes.select("source", "source_size"), weights, share, most), "mix-targets")
@@ -118,12 +119,15 @@ def mix_sources(
         F.when(F.col("t.source_size") > 0, F.col("target") / F.col("t.source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
     most_docs = sizes.agg(F.max("docs")).first()[0] or 0
-    rows = base.join(rates, F.col("source").eqNullSafe(F.col("rate_source"))).drop("rate_source")
-    x = F.col("rate") - F.floor("rate")
-    rows = rows.withColumn("whole", F.floor("rate")).withColumn("x", F.when(F.col("size") > 0, x).otherwise(F.lit(0.0)))
-    # o orders and names a document within its source; the copy number tells repeated rows apart
-    rows = rows.withColumn("o", F.unhex(F.md5(F.to_json(F.struct("doc_id", "size", F.lit(seed))))))
-    fractional = rows.filter("x > 1e-9 AND x < 1 - 1e-9")
+
+    def rated(sized: DataFrame) -> DataFrame:
+        """With rates, whole copies and the fraction x; o orders and names a document within its source."""
+        rows = sized.join(rates, F.col("source").eqNullSafe(F.col("rate_source"))).drop("rate_source")
+        x = F.col("rate") - F.floor("rate")
+        rows = rows.withColumn("whole", F.floor("rate")).withColumn("x", F.when(F.col("size") > 0, x).otherwise(F.lit(0.0)))
+        return rows.withColumn("o", F.unhex(F.md5(F.to_json(F.struct("doc_id", "size", F.lit(seed))))))
+
+    fractional = rated(base).filter("x > 1e-9 AND x < 1 - 1e-9")
     live = fractional.groupBy("source", "o", "size", "x", "docs").agg(F.count(F.lit(1)).alias("n"))
     live = live.select(
         "source", "docs", "size", "x",
@@ -147,7 +151,8 @@ def mix_sources(
     ended = live.select("source", "o", "x")
     for d in done:
         ended = ended.unionByName(d)
-    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("source", "o").orderBy("doc_id", *[f"keep_{c}" for c in keep])))
+    # the copy number tells repeated rows apart
+    numbered = rated(full).withColumn("copy", F.row_number().over(Window.partitionBy("source", "o").orderBy("doc_id", *[f"keep_{c}" for c in keep])))
     numbered = numbered.withColumn("o", F.concat(F.col("o"), F.encode(F.col("copy").cast("string"), "utf-8"))).alias("r")
     out = numbered.join(
         ended.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.o") == F.col("e.o")), "left"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import materialise
+from tablewright.llm.common import discard, materialise
 from tablewright.llm.textvec import chunks, shingle_sets, trim
 
 #: Counters of a task's sketch of shingle frequencies, as a power of two, and the most frequent that are kept of all.
@@ -133,9 +133,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = spread.join(up, "label", "left").select("id", F.least("label", "up").alias("label"), "old")
         new = materialise(new, "labels")
+        discard(labels)
         labels = new.select("id", "label")
         if new.filter("label <> old").isEmpty():
             break
+    discard(both)
     return labels.select("id", F.col("label").alias("component"))
 
 
@@ -201,9 +203,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         .select("a", "b")
     )
     rest = materialise(likely(ordered(rest).join(tested, ["a", "b"], "left_anti")), "rest-pairs")
+    discard(posts, lists, tested)
     if not rest.isEmpty():
         more = verified(rest, docs, id_col, text_col, width, percent)
-        found = components(edges.union(more))
+        first, found = found, components(edges.union(more))
+        discard(first)
+    discard(edges, rest)
     own = nodes.join(found, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     return prep.select("doc_id", "n", "node").join(own, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
