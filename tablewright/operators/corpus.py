@@ -182,3 +182,13 @@ def line_item_filter(rows: DataFrame) -> DataFrame:
     """Rows with a label that is no date or report title, and a figure."""
     dateish = F.col("label").rlike(r"(?i)^\s*(page \d|as of|for the|printed|run date|period)|\d{1,2}/\d{1,2}/\d{2,4}")
     return rows.filter((F.trim("label") != "") & ~dateish & F.exists("values", lambda v: F.coalesce(v, F.lit("")).rlike(r"\d")))
+
+
+def merged_table_filter(cells: DataFrame) -> DataFrame:
+    """A table's columns came out merged if over 40 % of its cells are empty, or a cell stacks two figures over a line
+    break, or holds three in over 40 characters; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    figures = F.regexp_count(text, F.lit(r"\d[\d,]*\.?\d*"))
+    crowded = (text.contains("\n") & (figures >= 2)) | ((F.length(text) > 40) & (figures >= 3))
+    tables = cells.groupBy("doc_id", "page", "table_no").agg(F.avg((F.trim(text) == "").cast("int")).alias("empty"), F.bool_or(crowded).alias("crowded"))
+    return tables.withColumn("merged", (F.col("empty") > 0.4) | F.col("crowded"))

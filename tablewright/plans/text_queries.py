@@ -69,6 +69,12 @@ def tables(spark, sf):
     return corpus.lift_tables(own)
 
 
+def crowded(spark, sf):
+    """Cells of tables, some of which hold several figures or nothing."""
+    text = F.when((F.col("doc_id") % 3 == 0) & (F.col("col_no") == 0), "1,200\n3.5").when((F.col("doc_id") % 4 == 0) & (F.col("row_no") == 0), " ").otherwise(F.col("text"))
+    return tables(spark, sf).withColumn("text", text)
+
+
 QUERIES = {
     "chunk_paragraphs": lambda s, d: retrieve.chunk_paragraphs(docs(s, d)),
     "score_chunks": lambda s, d: scored(s, d).select("doc_id", "score"),
@@ -86,6 +92,7 @@ QUERIES = {
     "split_pages": lambda s, d: corpus.split_pages(transcripts(s, d)),
     "html_to_text": lambda s, d: corpus.html_to_text(table(s, d, "pages")),
     "lift_tables": tables,
+    "merged_table_filter": lambda s, d: corpus.merged_table_filter(crowded(s, d)),
     "collapse_runs": lambda s, d: corpus.collapse_runs(tables(s, d)),
     "page_range_filter": lambda s, d: corpus.page_range_filter(as_pages(s, d), "1-30, 77, 900-").select("doc_id", "page"),
     "collapse_page_ranges": lambda s, d: corpus.collapse_page_ranges(docs(s, d).filter("doc_id % 4 < 2").select((F.col("doc_id") % 20).alias("doc_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("page"))),
@@ -123,6 +130,8 @@ ORACLES = {
       LATERAL (VALUES (0, 0, 'Priority'), (0, 1, 'Priority'), (0, 2, '&'), (1, 0, o_orderpriority), (1, 1, o_orderstatus), (1, 2, '')) AS v(r, c, t)""",
     "collapse_runs": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(0 AS INT) AS table_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, t AS text, false AS is_empty FROM orders,
       LATERAL (VALUES (0, 0, 'Priority'), (0, 2, '&'), (1, 0, o_orderpriority), (1, 1, o_orderstatus)) AS v(r, c, t)""",
+    "merged_table_filter": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(0 AS INT) AS table_no,
+      CAST(1 + CASE WHEN o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS DOUBLE) / 6 AS empty, o_orderkey % 3 = 0 AS crowded, o_orderkey % 3 = 0 OR o_orderkey % 4 = 0 AS merged FROM orders""",
     "page_range_filter": "SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, CAST(doc_id AS INT) AS page FROM documents WHERE doc_id BETWEEN 1 AND 30 OR doc_id = 77 OR doc_id >= 900",
     "collapse_page_ranges": """WITH p AS (SELECT DISTINCT doc_id % 20 AS doc_id, CAST(floor(doc_id / 40) AS INT) AS page FROM documents WHERE doc_id % 4 < 2), i AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM p),
       r AS (SELECT doc_id, min(page) AS lo, max(page) AS hi FROM i GROUP BY doc_id, k) SELECT doc_id, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ',' ORDER BY lo) AS pages FROM r GROUP BY 1""",
