@@ -25,6 +25,7 @@ TOKEN_DATE = (
 )
 TOKEN_PERCENT = r"^\(?-?[\d,]*\.?\d+\)?%$"
 TOKEN_MONEY = r"^\(?-?[\d,]*\.?\d+\)?-?$"
+FIGURE = r"^(\(-?(\d+\.?\d*|\.\d+)-?\)|-?(\d+\.?\d*|\.\d+)-?)$"
 CELL_BREAK = r"\t|\s{2,}|\s*\|\s*"
 
 
@@ -45,14 +46,8 @@ def strip(text: Column, chars: str) -> Column:
 def parse_figure(text: Column) -> Column:
     """A printed figure as decimal(18,4), null if it isn't one: brackets, a leading or trailing minus are negative."""
     t = F.regexp_replace(F.regexp_replace(F.trim(text), r"[$,]", ""), "%+$", "")
-    bracket = t.startswith("(") & t.endswith(")")
-    t = F.when(bracket, F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
-    tail = t.endswith("-")
-    t = F.when(tail, F.left(t, F.length(t) - 1)).otherwise(t)
-    lead = t.startswith("-")
-    t = F.when(lead, F.substr(t, F.lit(2))).otherwise(t)
-    value = F.when(t.rlike(r"^(\d+\.?\d*|\.\d+)$"), t.try_cast("decimal(18,4)"))
-    return F.when(bracket | tail | lead, -value).otherwise(value)
+    sign = F.when(t.startswith("(") | t.contains("-"), "-").otherwise("")
+    return F.when(t.rlike(FIGURE), F.concat(sign, F.regexp_replace(t, "[()-]", "")).try_cast("decimal(18,4)"))
 
 
 def value_kind(text: Column) -> Column:

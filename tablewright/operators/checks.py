@@ -153,3 +153,97 @@ def ground_values(cells: DataFrame, sources: DataFrame) -> DataFrame:
     figures = figures.select("doc_id", F.abs(parse_figure(F.col("t"))).alias("v")).distinct()
     own = cells.withColumn("v", F.abs(parse_figure(F.col("value")))).filter("v IS NOT NULL")
     return own.join(figures, ["doc_id", "v"], "left_anti").select("doc_id", "row_no", "value")
+
+
+def printed_section_totals(data: DataFrame, printed: DataFrame) -> DataFrame:
+    """V8: each section's column sums against the report's own total line (doc_id, section, values), within 0.011."""
+    cells = lambda df: df.select("doc_id", "section", F.posexplode(F.transform("values", parse_figure)).alias("col", "v")).filter("v IS NOT NULL")
+    sums = cells(data).groupBy("doc_id", "section", "col").agg(F.sum("v").alias("got"), F.count(F.lit(1)).alias("n"))
+    both = cells(printed).withColumnRenamed("v", "expected").join(sums, ["doc_id", "section", "col"])
+    diff = F.col("got") - F.col("expected")
+    return both.select("doc_id", "section", "col", "expected", "got", "n", (F.abs(diff) <= TOL).alias("ok"))
+
+
+def variance_tie_out(rows: DataFrame, least: int = 5) -> DataFrame:
+    """Per document the consecutive columns (a, b, v) whose rows best hold a - b = v, if half of them do; ties to the first."""
+    parsed = rows.select("doc_id", F.transform("values", parse_figure).alias("v")).filter(F.size("v") >= 3)
+    triple = F.transform(F.sequence(F.lit(0), F.size("v") - 3), lambda i: F.struct(i.alias("first"), F.get("v", i).alias("a"), F.get("v", i + 1).alias("b"), F.get("v", i + 2).alias("d")))
+    own = parsed.select("doc_id", F.explode(triple).alias("t")).select("doc_id", "t.*").dropna()
+    counts = own.groupBy("doc_id", "first").agg(F.count_if(F.abs(F.col("a") - F.col("b") - F.col("d")) < 0.02).alias("ok"), F.count(F.lit(1)).alias("checked"))
+    share = F.col("ok") / F.col("checked")
+    best = counts.filter(F.col("checked") >= least).groupBy("doc_id").agg(F.max_by(F.struct("first", "ok", "checked"), F.struct(share.alias("s"), (-F.col("first")).alias("f"))).alias("b"))
+    return best.select("doc_id", F.col("b.first").alias("first_col"), "b.ok", "b.checked").filter("2 * ok >= checked")
+
+
+def document_report(pages: DataFrame, checks: DataFrame) -> DataFrame:
+    """Per document its pages, tables, mean confidence and reconciled checks; CHECK below 95 % reconciled or 0.4 confidence."""
+    p = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.sum("tables").alias("tables"), F.avg("confidence").alias("confidence"))
+    c = checks.groupBy("doc_id").agg(F.count_if("ok").alias("ok"), F.count(F.lit(1)).alias("total"))
+    both = p.join(c, "doc_id", "left").withColumns({"ok": F.coalesce("ok", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    doubtful = (F.col("ok") * 100 < F.col("total") * 95) | (F.col("confidence") < 0.4)
+    return both.withColumn("status", F.when(doubtful, "CHECK").otherwise("OK"))
+
+
+def aging_buckets(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """Each line's buckets against its amount, and each document's sum of amounts against the printed total."""
+    zero = F.lit(0).cast("decimal(38,4)")
+    got = F.aggregate(F.transform("buckets", parse_figure), zero, lambda s, x: (s + F.coalesce(x, zero)).cast("decimal(38,4)"))
+    own = rows.select("doc_id", "row_no", parse_figure(F.col("amount")).alias("expected"), got.alias("got"))
+    sums = own.groupBy("doc_id").agg(F.sum("expected").cast("decimal(38,4)").alias("got"))
+    whole = printed.select("doc_id", parse_figure(F.col("total")).alias("expected")).join(sums, "doc_id")
+    checks = own.withColumn("check", F.lit("line")).unionByName(whole.withColumn("check", F.lit("document")), allowMissingColumns=True)
+    return checks.filter("expected IS NOT NULL").select("doc_id", "row_no", "check", "expected", "got", (F.abs(F.col("got") - F.col("expected")) <= TOL).alias("ok"))
+
+
+def ground_by_parts(values: DataFrame, sources: DataFrame) -> DataFrame:
+    """A value of three digits or more is grounded if its digits occur among the source's, else if half its name parts do."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]", "")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    v = F.trim(F.coalesce("value", F.lit("")))
+    src = sources.select("doc_id", plain(F.col("text")).alias("src"), digits(F.col("text")).alias("src_digits"))
+    own = values.join(src, "doc_id", "left").withColumn("parts", F.filter(F.split(v, r"[\s,&]+"), lambda p: F.length(p) > 2))
+    hits = F.size(F.filter("parts", lambda p: F.col("src").contains(plain(p))))
+    ok = (
+        F.when(v == "", True)
+        .when(F.length(digits(v)) >= 3, F.col("src_digits").contains(digits(v)))
+        .when(F.size("parts") > 0, hits >= F.greatest(F.lit(1), F.floor(F.size("parts") / 2)))
+        .otherwise(F.col("src").contains(plain(v)))
+    )
+    return own.select("doc_id", "field", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def required_fields(cells: DataFrame, required: list[str], free_layout: bool = False) -> DataFrame:
+    """Blank required cells and values not found in the source block; other blanks warn where the layout is free."""
+    blank, needed = F.coalesce("value", F.lit("")) == "", F.col("column").isin(required)
+    severity = F.when(~blank, F.when(~F.col("matched"), "Blocking")).when(needed, "Blocking").when(F.lit(free_layout), "Warning")
+    return cells.withColumn("severity", severity).filter(F.col("severity").isNotNull()).select("doc_id", "row_no", "column", "value", "severity")
+
+
+def multi_pass_pick(passes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per page the pass with the fewest problems, ties to the earlier; keys on which it and the first other, both clean, differ."""
+    row = F.struct("problems", "pass", *keys)
+    own = passes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    own = own.withColumn("best", F.col("rows")[0])
+    others = F.filter("rows", lambda r: r["pass"] != F.col("best.pass"))
+    own = own.withColumn("other", F.array_min(F.transform(others, lambda r: F.struct(r["pass"], r.alias("r"))))["r"])
+    clean = (F.col("best.problems") == 0) & (F.col("other.problems") == 0)
+    differ = F.concat_ws(", ", *[F.when(clean & ~F.col(f"best.{k}").eqNullSafe(F.col(f"other.{k}")), k) for k in keys])
+    return own.select("doc_id", "page", F.col("best.pass").alias("pass"), F.col("best.problems").alias("problems"), differ.alias("differ"))
+
+
+def shadow_flags(rows: DataFrame, tokens: DataFrame, col: int, lo: float, hi: float) -> DataFrame:
+    """Rows that read empty in a column although label tokens (doc_id, page, y, text, x1) end within its x range."""
+    empty = rows.filter(F.coalesce(F.get("values", F.lit(col)), F.lit("")) == "").select("doc_id", "page", "y", "label")
+    inside = tokens.filter(F.col("x1").between(lo, hi)).select("doc_id", "page", "y", "x1", "text")
+    parts = F.array_sort(F.collect_list(F.struct("x1", "text")))
+    found = empty.join(inside, ["doc_id", "page", "y"]).groupBy("doc_id", "page", "y", "label").agg(parts.alias("p"))
+    return found.select("doc_id", "page", "y", "label", F.array_join(F.transform("p", lambda t: t["text"]), " ").alias("detail"))
+
+
+# What a spreadsheet shows for a cell that failed.
+CELL_ERROR = r"^#(REF!|DIV/0!|VALUE!|NAME\?|N/A|NUM!|NULL!)$"
+
+
+def cell_error_audit(cells: DataFrame) -> DataFrame:
+    """The cells that show a spreadsheet error."""
+    return cells.filter(F.trim("value").rlike(CELL_ERROR)).select("doc_id", "row_no", "col", "value")

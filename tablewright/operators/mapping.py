@@ -98,3 +98,84 @@ def type_from_found_fields(graded: DataFrame, marks: DataFrame) -> DataFrame:
     """R2: the document type whose marks the found fields meet, if it is the only one."""
     met = graded.filter("verdict <> 'none'").select("doc_id", "field").distinct().join(marks, "field").groupBy("doc_id").agg(F.collect_set("doc_type").alias("t"))
     return met.filter(F.size("t") == 1).select("doc_id", F.element_at("t", 1).alias("doc_type"))
+
+
+def source_profile(docs: DataFrame) -> DataFrame:
+    """The producer and the first four lines that aren't blank, folded and cut, as a document's grouping key."""
+    lines = F.filter(F.split(F.left("text", F.lit(400)), r"\r?\n"), lambda x: F.trim(x) != "")
+    head = F.array_join(F.transform(F.slice(lines, 1, 4), lambda x: F.left(fold_key(x), F.lit(40))), " ")
+    profile = F.left(F.concat(fold_key(F.left(F.coalesce("producer", F.lit("")), F.lit(40))), F.lit("|"), F.coalesce(head, F.lit(""))), F.lit(160))
+    return docs.select("doc_id", profile.alias("profile"))
+
+
+def unit_crosscheck(units: DataFrame) -> DataFrame:
+    """The folder's unit against the documents' unit: differing ones are flagged, missing ones filled and flagged."""
+    folder, own = F.coalesce("folder_suite", F.lit("")), F.coalesce("suite", F.lit(""))
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]", "")
+    flag = F.when((folder != "") & (own == ""), "taken from the folder").when((folder != "") & (plain(folder) != plain(own)), "folder and documents differ")
+    return units.select("doc_id", F.when(own != "", own).otherwise(folder).alias("suite"), flag.alias("flag"))
+
+
+def strict_number(text: Column) -> Column:
+    """A value that is cleanly one number, else null: brackets or a leading minus are negative, currency signs and commas go."""
+    t = F.trim(text)
+    bracket = t.startswith("(") & t.endswith(")")
+    s = F.trim(F.btrim(t, F.lit("()")))
+    s = F.regexp_replace(F.regexp_replace(s, r"^\+\s*", ""), r"^-\s*", "-")
+    s = F.trim(F.replace(F.regexp_replace(s, r"[$£€]\s?", ""), F.lit(","), F.lit("")))
+    value = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), s.try_cast("decimal(18,4)"))
+    return F.when(bracket, -F.abs(value)).otherwise(value)
+
+
+def template_fill_plan(values: DataFrame, cell_map: list[tuple[str, str, bool]]) -> DataFrame:
+    """For each document and target cell (field, cell, numeric) what is written, or why it is skipped."""
+    targets = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(c).alias("cell"), F.lit(n).alias("numeric")) for f, c, n in cell_map])
+    one = values.filter(F.trim("value") != "").groupBy("doc_id", "field").agg(F.min("value").alias("value"))
+    found = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("found"))
+    own = values.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", "found", F.explode(targets).alias("t")).select("doc_id", "found", "t.*")
+    own = own.withColumn("raw", F.try_element_at("found", F.col("field"))).withColumn("number", strict_number(F.col("raw")))
+    why = F.when(F.col("raw").isNull(), "not found").when(F.col("numeric") & F.col("number").isNull(), "not cleanly a number")
+    written = F.when(why.isNull(), F.when(F.col("numeric"), F.col("number").cast("string")).otherwise(F.col("raw")))
+    return own.select("doc_id", "field", "cell", written.alias("written"), why.alias("why"))
+
+
+# The sections of a lease abstract and the column names that belong to each, first match first.
+FIELD_SECTIONS = [
+    ("identity", r"dba|status \(dark|leased rsf"),
+    ("term_dates", r"lease start|lease end|lease term"),
+    ("base_rent", r"annual base rent|annual rent psf|annual % increase"),
+    ("escalation", r"escalation"),
+    ("reimbursement", r"reimb|pro rata|by&by|gross-up|cam|ret|ins"),
+    ("termination", r"terminat"),
+    ("renewal", r"renewal"),
+    ("docs_comments", r"available docs|missing docs|general comments|discrepanc"),
+]
+
+
+def field_sections(columns: DataFrame, sections: list[tuple[str, str]] = FIELD_SECTIONS) -> DataFrame:
+    """Each column's section, the first whose pattern its name holds, else other; section_no gives the fixed order."""
+    name = F.lower("name")
+    hit = F.coalesce(*[F.when(name.rlike(p), F.lit(i)) for i, (_, p) in enumerate(sections)], F.lit(len(sections)))
+    names = F.array(*[F.lit(s) for s, _ in sections], F.lit("other"))
+    return columns.withColumn("section_no", hit).withColumn("section", F.get(names, F.col("section_no")))
+
+
+def blocks_to_page_fractions(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boxes of a scaled, cropped render as fractions of the full page, to five places."""
+    own = blocks.join(pages, ["doc_id", "page"])
+    sx, sy = (F.col(f"sent_{d}") / F.greatest(F.coalesce(f"layout_{d}", f"sent_{d}"), F.lit(1)) for d in "wh")
+    at = lambda c, scale, d, crop: F.round((F.col(c) * scale + F.coalesce(crop, F.lit(0))) / F.col(f"full_{d}"), 5).alias(c)
+    return own.select("doc_id", "page", "block", at("x0", sx, "w", "crop_x"), at("y0", sy, "h", "crop_y"), at("x1", sx, "w", "crop_x"), at("y1", sy, "h", "crop_y"))
+
+
+def collapse_same_box(fields: DataFrame) -> DataFrame:
+    """The fields that are printed at one box of a page, together."""
+    names = F.array_join(F.array_sort(F.collect_set("field")), ", ")
+    return fields.groupBy("doc_id", "page", "x0", "y0", "x1", "y1").agg(names.alias("fields"), F.count(F.lit(1)).alias("n"))
+
+
+def ocr_words_to_tokens(words: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Words t, x, y, w, h in render pixels as tokens in page units, to a tenth."""
+    at = lambda c: F.round(c / F.lit(float(scale)), 1)
+    x, y = F.col("x"), F.col("y")
+    return words.select("doc_id", "page", F.col("t").alias("text"), at(x).alias("x0"), at(x + F.col("w")).alias("x1"), at(y).alias("top"), at(y + F.col("h")).alias("bottom"), F.lit("ocr").alias("source"))

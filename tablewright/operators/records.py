@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.functions.vocabulary import parse_figure
 from tablewright.operators.checks import dominant_indent, has_figures
 
 
@@ -67,3 +68,82 @@ def charge_code(tokens: DataFrame) -> DataFrame:
     """per row the right-most all-capital token of two to four letters."""
     own = tokens.filter(F.col("text").rlike("^[A-Z]{2,4}$"))
     return own.groupBy("doc_id", "page", "row_id").agg(F.max_by("text", "x0").alias("code"))
+
+
+def present(value: Column) -> Column:
+    return F.coalesce(value, F.lit("")) != ""
+
+
+def series_columns(lines: DataFrame, min_records: int = 2, min_rows: int = 2) -> DataFrame:
+    """per document the columns (from 0) that most continuation lines of most records fill."""
+    record = Window.partitionBy("doc_id", "record_id")
+    below = lines.filter("record_id > 0 AND kind = 'continuation'").withColumn("n", F.count(F.lit(1)).over(record)).filter(F.col("n") >= min_rows)
+    cells = below.select("doc_id", "record_id", "n", F.posexplode("values").alias("col", "v"))
+    counts = cells.groupBy("doc_id", "record_id", "n", "col").agg(F.count_if(present(F.col("v"))).alias("got"))
+    seen = Window.partitionBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.withColumn("seen", F.size(F.collect_set("record_id").over(seen)))
+    filled = counts.filter(F.col("got") >= F.greatest(F.lit(2.0), F.col("n") * 0.6)).groupBy("doc_id", "col", "seen").agg(F.count(F.lit(1)).alias("records"))
+    enough = F.col("records") >= F.greatest(F.lit(float(min_records)), F.col("seen") * 0.6)
+    return filled.filter((F.col("seen") >= min_records) & enough).select("doc_id", "col", "records")
+
+
+def flatten_records(lines: DataFrame, series: list[int]) -> DataFrame:
+    """one row for each record: its own fields, blank ones from its first line that has one, then its steps laid out.
+
+    The head carries step one; `values` has room for the steps of the document's longest record. A task holds one record.
+    """
+    own = lines.filter("record_id > 0 AND kind IN ('head', 'continuation')")
+    rows = F.array_sort(F.collect_list(F.struct("page", "y", "label", "values")))
+    own = own.groupBy("doc_id", "record_id").agg(rows.alias("rows"))
+    step = lambda r: F.array(*[F.get(r["values"], F.lit(i)) for i in series])
+    steps = F.filter(F.transform("rows", step), lambda s: F.exists(s, present))
+    head = F.col("rows")[0]
+    columns = F.filter(F.sequence(F.lit(0), F.size(head["values"]) - 1), lambda i: ~i.isin(series))
+    field = lambda i: F.get(F.filter(F.transform("rows", lambda r: F.get(r["values"], i)), present), F.lit(0))
+    own = own.select("doc_id", "record_id", head["label"].alias("label"), F.transform(columns, field).alias("fields"), steps.alias("steps"))
+    own = own.withColumn("longest", F.max(F.size("steps")).over(Window.partitionBy("doc_id")))
+    blank = F.array_repeat(F.lit(None).cast("string"), (F.col("longest") - F.size("steps")) * len(series))
+    return own.select("doc_id", "record_id", "label", F.size("steps").alias("n_steps"), F.concat("fields", F.flatten("steps"), blank).alias("values"))
+
+
+def classify_by_recipe(rows: DataFrame, markers: list[str], contains: list[str], startswith: list[str], key: int | None) -> DataFrame:
+    """section, summary, subtotal, other (no figure in the key column) or data, in that order."""
+    label = F.trim(F.coalesce("label", F.lit("")))
+    no = F.lit(False)
+    any_of = lambda tests: F.coalesce(*[F.when(t, True) for t in tests], no) if tests else no
+    other = parse_figure(F.get("values", F.lit(key))).isNull() if key is not None else no
+    kind = (
+        F.when(any_of([label.startswith(m) for m in markers]), "section")
+        .when(any_of([label.contains(c) for c in contains]), "summary")
+        .when(any_of([label.startswith(p) for p in startswith]), "subtotal")
+        .when(other, "other")
+        .otherwise("data")
+    )
+    return rows.withColumn("kind", kind)
+
+
+def attach_series(classified: DataFrame) -> DataFrame:
+    """F8: data rows open records; other rows with figures attach to the open one, its last subtotal is kept apart.
+
+    A section heading closes the record; what follows it before the next data row belongs to none.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page", "y").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("kind").isin("data", "section"), F.col("kind")), ignorenulls=True).over(w)
+    own = classified.withColumn("record_id", F.sum((F.col("kind") == "data").cast("int")).over(w)).withColumn("open", last == "data")
+    role = F.when(F.col("kind") == "data", "head").when((F.col("kind") == "other") & has_figures(), "line").when(F.col("kind") == "subtotal", "subtotal")
+    own = own.withColumn("role", role).filter(F.col("open") & F.col("role").isNotNull())
+    later = F.max(F.struct("page", "y")).over(Window.partitionBy("doc_id", "record_id", "role"))
+    own = own.withColumn("later", later).filter((F.col("role") != "subtotal") | (F.struct("page", "y") == F.col("later")))
+    return own.select("doc_id", "record_id", "role", "page", "y", "label", "values")
+
+
+def rejoin_split_amounts(tokens: DataFrame, gap: float = 30.0) -> DataFrame:
+    """a token that starts with a comma joins the number fragment close to its left on the same line."""
+    line = Window.partitionBy("doc_id", "page", "top").orderBy("x0", "x1", "text")
+    before, edge = F.lag("text").over(line), F.lag("x1").over(line)
+    glued = F.ltrim("text").startswith(",") & (F.col("x0") - edge < gap) & F.trim(before).rlike(r"^(-?\$?[\d,]*\d|,[\d,]*\d)$")
+    run = F.sum((~F.coalesce(glued, F.lit(False))).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    parts = F.array_sort(F.collect_list(F.struct("x0", "x1", "text")))
+    own = tokens.withColumn("run", run).groupBy("doc_id", "page", "top", "run").agg(parts.alias("p"))
+    text = F.when(F.size("p") > 1, F.array_join(F.transform("p", lambda t: F.trim(t["text"])), "")).otherwise(F.col("p")[0]["text"])
+    return own.select("doc_id", "page", text.alias("text"), F.col("p")[0]["x0"].alias("x0"), F.element_at("p", -1)["x1"].alias("x1"), "top")

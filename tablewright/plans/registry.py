@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.plans import document_queries, figure_queries, text_queries
+from tablewright.plans import document_queries, figure_queries, record_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**document_queries.QUERIES, **figure_queries.QUERIES, **text_queries.QUERIES}
+    return {**document_queries.QUERIES, **figure_queries.QUERIES, **text_queries.QUERIES, **record_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**document_queries.ORACLES, **figure_queries.ORACLES, **text_queries.ORACLES}
+    return {**document_queries.ORACLES, **figure_queries.ORACLES, **text_queries.ORACLES, **record_queries.ORACLES}
