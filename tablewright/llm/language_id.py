@@ -131,7 +131,8 @@ def predicted(model: LanguageModel, text: Column) -> Column:
         trim()
         return out
 
-    return run(text)
+    # else a filter on the result is planned below it and has the classifier evaluated once more
+    return run.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
