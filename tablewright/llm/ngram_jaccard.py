@@ -122,18 +122,25 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the least id that the edges (a, b) reach. Labels spread to neighbours and jump to their label's label."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that the edges (a, b) reach. Rounds go on until no label changes, however many it takes.
+
+    In a round the least label next to a node goes to the node and to its label's own node, so that two regions that
+    touch merge at once instead of hop by hop; then labels jump to their label's label.
+    """
     both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges")
     nearest = both.groupBy("a").agg(F.min("b").alias("m"))
     labels = materialise(nearest.select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("m"))
-        spread = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        near = labels.join(near, "id")
+        least = near.select("id", "m").union(near.select("label", "m")).groupBy("id").agg(F.min("m").alias("m"))
+        spread = labels.join(least, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        spread = materialise(spread, "spread")
+        up = spread.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = spread.join(up, "label", "left").select("id", F.least("label", "up").alias("label"), "old")
         new = materialise(new, "labels")
-        discard(labels)
+        discard(labels, spread)
         labels = new.select("id", "label")
         if new.filter("label <> old").isEmpty():
             break

@@ -117,6 +117,13 @@ def test_jaccard_join_of_odd_rows(spark):
     assert len(out) == 6 and out[out.doc_id == 4].component_id.tolist() == [4, 4] and out[out.doc_id.isna()].component_id.isna().all()
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    ids = [int(x) for x in np.random.RandomState(0).permutation(1000)]
+    edges = [(min(e), max(e)) for e in zip(ids, ids[1:], strict=False)] + [(5000, 5001), (5001, 5002)]
+    out = {r.id: r.component for r in ngram_jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {**dict.fromkeys(ids, 0), 5000: 5000, 5001: 5000, 5002: 5000}
+
+
 def test_shingles_are_those_of_the_words():
     a, b, c = shingle_sets([b"A b c d", b"a  B\tc d", b"a b"], 3)
     assert len(a) == 2 and (a == b).all() and len(c) == 1
