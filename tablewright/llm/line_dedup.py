@@ -10,14 +10,16 @@ BROADCAST_LINES = 100_000
 
 
 def drop_boilerplate_lines(
-    docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", text_col: str = "text"
+    docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, host_col: str = "source", text_col: str = "text", distinct_pages: bool = False
 ) -> DataFrame:
     """docs with the lines dropped that over `ratio` of their host's pages, and at least `min_pages` of them, carry.
 
     A line is what lies between line feeds, compared without spaces at its ends; a page counts once for each line.
     Blank lines never count and always stay. Adds n_lines and n_dropped (long). All rows stay, a text may become
-    empty; a null text stays null with 0 lines. Rows of null host are one host. Repeated rows are pages of their own.
-    Other columns pass through, even those that bear names used here.
+    empty; a null text stays null with 0 lines. Rows of null host are one host. Repeated rows are pages of their own,
+    unless `distinct_pages`: then the rows of one host with the same text are one page, so that no number of copies
+    makes a page's own lines boilerplate; each copy still loses the lines that are. Other columns pass through, even those
+    that bear names used here.
 
     Lines are counted by digest with partial sums before the shuffle, so a hot host or line is a sum; the boilerplate
     of a host has at most (its lines / ratio / its pages) members.
@@ -26,9 +28,13 @@ def drop_boilerplate_lines(
     lines = F.split(text, "\n", -1)
     digest = lambda x: F.unhex(F.md5(F.trim(x)))
     distinct = F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), digest))
-    pages = docs.groupBy(host.alias("h")).agg(F.count(F.lit(1)).alias("pages"))
+    own = docs.select(host.alias("h"), distinct.alias("lines"), F.unhex(F.md5(text)).alias("page"))
+    pages = own.groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+    if distinct_pages:
+        pages = own.select("h", "page").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+        own = own.groupBy("h", "page").agg(F.first("lines").alias("lines"))
     counts = (
-        docs.select(host.alias("h"), F.explode(distinct).alias("line"))
+        own.select("h", F.explode("lines").alias("line"))
         .groupBy("h", "line")
         .agg(F.count(F.lit(1)).alias("with_line"))
         .filter(F.col("with_line") >= min_pages)

@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines; n_chars follows the text."""
-    out = lines.drop_boilerplate_lines(docs)
+    """All documents, without their source's boilerplate lines, equal texts counted as one page; n_chars follows the text."""
+    out = lines.drop_boilerplate_lines(docs, distinct_pages=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

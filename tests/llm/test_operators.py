@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, nearest, ngram_jaccard, packing, quality, sharding
+from tablewright.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, nearest, ngram_jaccard, packing, quality, sharding, stages
 from tablewright.llm.textvec import shingle_sets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -49,6 +49,13 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.drop_boilerplate_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_stage_keeps_a_page_with_many_copies(spark):
+    rows = [(i, "menu\nthe copied page\nits end", "en", "a") for i in range(30)] + [(100 + i, f"menu\nbody {i}", "en", "a") for i in range(60)]
+    out = {r.doc_id: r.text for r in stages.line_dedup(spark, documents(spark, rows), "").collect()}
+    assert len(out) == 90 and {out[i] for i in range(30)} == {"the copied page\nits end"}
+    assert all(out[100 + i] == f"body {i}" for i in range(60))
+
+
 def test_mixing_comes_to_the_targets(spark):
     rows = [(i, "w " * (1 + i * 7 % 50), "en", f"s{i % 4}") for i in range(400)] + [(1000 + i, "w w w", "en", None) for i in range(5)]
     docs = documents(spark, rows)
