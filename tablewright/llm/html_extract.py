@@ -19,7 +19,9 @@ BLOCK = frozenset(
     "textarea tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object select textarea option button".split())
+HIDDEN = frozenset("script style noscript template head title iframe select textarea option".split())
+#: What may stand in a head; any other element, and text, ends a head whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Words in tags, classes and ids that speak for main text or against it.
 AGAINST = frozenset(
@@ -59,7 +61,17 @@ class Leaves(HTMLParser):
             self.links -= tag == "a"
         del self.stack[upto:]
 
+    def end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body":  # even out of an element that was left open in the head, but for a template
+            open_ = [own for own, _ in self.stack]
+            if "head" in open_ and "template" not in open_:
+                self.pop(open_.index("head"))
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCK:
             self.end_block()
             for k in range(len(self.stack) - 1, -1, -1):  # what this element closes by starting
@@ -79,6 +91,8 @@ class Leaves(HTMLParser):
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag == "br":
             self.text.append(" ")
         elif tag in BLOCK:
@@ -94,7 +108,15 @@ class Leaves(HTMLParser):
             if tag not in BLOCK and self.stack[k][0] in BLOCK:
                 return  # a stray end of an inline element
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no declaration that the parser knows: a comment up to its ">", as HTML has it
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
             self.linked += len(data) * bool(self.links)
@@ -103,11 +125,8 @@ class Leaves(HTMLParser):
 def leaves(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     parser = Leaves()
     if isinstance(html, str):
-        try:
-            parser.feed(html)
-            parser.close()
-        except AssertionError:  # a malformed declaration; what was read so far stands
-            pass
+        parser.feed(html)
+        parser.close()
         parser.end_block()
     return parser.found
 

@@ -219,6 +219,22 @@ def test_html_extraction(spark):
     assert out[7].text == want and out[7].n_chars == len(want) and out[100].text == "" and out[101].n_chars == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<html><head><title>t</title><meta charset=x><body><p>a</p><p>b</body></html>", ["a", "b"]),
+        ("<head><title>t</title><link rel=x><h1>a</h1><p>b", ["a", "b"]),
+        ("<head><title>t</title>a<p>b", ["a", "b"]),
+        ("<head><template><p>no</p></template><noscript><p>no</p></noscript><script>no</script></head><body><p>a", ["a"]),
+        ("<p>a</p><![foo x]>b<p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><![ x]>b<![CDATA[no]]><p>c</p><![if !IE]>d<![endif]>", ["a", "b", "c", "d"]),
+        ("<article><p>a <math><mi>x</mi></math> b<svg><text>c</text></svg></p><button>d</button><object>e</object></article>", ["a x bc", "d", "e"]),
+    ],
+)
+def test_leaves_of_odd_pages(html, texts):
+    assert [text for _, text, _ in html_extract.leaves(html)] == texts
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.RandomState(4)
     x = rng.randn(400, 8).astype(np.float32)
