@@ -17,10 +17,11 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def match_labels(rows: DataFrame, canonical: DataFrame, memory: DataFrame, cut: float = 88.0) -> DataFrame:
-    """Label to canonical name: learned, then exact when folded, then the most similar one with a word in common.
+    """Label to canonical name: learned, then exact when folded, then the most similar one.
 
-    Returns label, canonical, tier (learned, exact, fuzzy, weak, none) and confidence. Only names that share a folded
-    word are compared, so no label meets all names.
+    Returns label, canonical, tier (learned, exact, fuzzy, weak, none) and confidence. Every open label is compared with
+    all names, as a misspelt one need not share a word; the canonical list is short and is broadcast. Below the cut only
+    names with a word in common count (weak).
     """
     labels = rows.select("label").distinct().withColumn("k", fold_key(F.col("label")))
     names = canonical.select("canonical", fold_key(F.col("canonical")).alias("ck"))
@@ -28,9 +29,10 @@ def match_labels(rows: DataFrame, canonical: DataFrame, memory: DataFrame, cut:
     own = labels.join(learned, F.col("k") == F.col("norm_label"), "left").join(
         names.groupBy("ck").agg(F.min("canonical").alias("exact")), F.col("k") == F.col("ck"), "left"
     )
-    open_ = own.filter("learned IS NULL AND exact IS NULL").select("label", "k", F.explode(F.array_distinct(F.split("k", " +"))).alias("w"))
-    pairs = open_.join(names.withColumn("w", F.explode(F.array_distinct(F.split("ck", " +")))), "w").select("label", "k", "canonical", "ck").distinct()
-    best = pairs.withColumn("score", F.round(similarity(F.col("k"), F.col("ck")), 4)).groupBy("label").agg(
+    open_ = own.filter("learned IS NULL AND exact IS NULL AND k <> ''").select("label", "k")
+    pairs = open_.crossJoin(F.broadcast(names.filter("ck <> ''").distinct())).withColumn("score", F.round(similarity(F.col("k"), F.col("ck")), 4))
+    pairs = pairs.filter((F.col("score") >= cut) | F.arrays_overlap(F.split("k", " +"), F.split("ck", " +")))
+    best = pairs.groupBy("label").agg(
         F.max("score").alias("score"), F.min_by("canonical", F.struct((-F.col("score")).alias("s"), "canonical")).alias("fuzzy")
     )
     out = own.join(best, "label", "left")
@@ -40,11 +42,11 @@ def match_labels(rows: DataFrame, canonical: DataFrame, memory: DataFrame, cut:
 
 
 def label_candidates(rows: DataFrame, canonical: DataFrame, k: int = 3) -> DataFrame:
-    """The k most similar canonical names of each label, among those with a word in common."""
-    labels = rows.select("label").distinct().withColumn("w", F.explode(F.array_distinct(F.split(fold_key(F.col("label")), " +"))))
-    names = canonical.select("canonical", F.explode(F.array_distinct(F.split(fold_key(F.col("canonical")), " +"))).alias("w"))
-    pairs = labels.join(names, "w").select("label", "canonical").distinct()
-    scored = pairs.withColumn("score", F.round(similarity(fold_key(F.col("label")), fold_key(F.col("canonical"))), 4))
+    """The k most similar canonical names of each label, all names compared; the canonical list is short and is broadcast."""
+    labels = rows.select("label").distinct().withColumn("key", fold_key(F.col("label"))).filter("key <> ''")
+    names = canonical.select("canonical", fold_key(F.col("canonical")).alias("ck")).filter("ck <> ''").distinct()
+    pairs = labels.crossJoin(F.broadcast(names))
+    scored = pairs.select("label", "canonical", F.round(similarity(F.col("key"), F.col("ck")), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "canonical"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -79,3 +79,14 @@ def test_a_single_pass_has_no_other(spark):
     rows = [(1, 1, 1, 0, "a"), (2, 1, 1, 0, "a"), (2, 1, 2, 0, None)]
     got = checks.multi_pass_pick(spark.createDataFrame(rows, "doc_id long, page int, pass int, problems int, k string"), ["k"]).collect()
     assert {r.doc_id: (r["pass"], r.differ) for r in got} == {1: (1, ""), 2: (1, "k")}
+
+
+def test_misspelt_label_without_a_word_in_common(spark):
+    names = spark.createDataFrame([("Receivables",), ("Net Income",), ("Deferred tax",)], "canonical string")
+    rows = spark.createDataFrame([("Recievables",), ("Receivable",), ("Nett Incomes",), ("Net Incone",), ("--",)], "label string")
+    memory = spark.createDataFrame([], "norm_label string, canonical string, seq long")
+    got = {r.label: (r.tier, r.canonical) for r in mapping.match_labels(rows, names, memory).collect()}
+    assert got["Receivable"] == ("fuzzy", "Receivables") and got["Nett Incomes"] == ("none", None)
+    assert got["Net Incone"] == ("fuzzy", "Net Income") and got["--"] == ("none", None)
+    best = {r.label: r.canonical for r in mapping.label_candidates(rows, names, 1).collect()}
+    assert best == {"Receivable": "Receivables", "Recievables": "Receivables", "Nett Incomes": "Net Income", "Net Incone": "Net Income"}
