@@ -1,4 +1,4 @@
-"""What several operators of this subpackage share: the shared folder, cut lineage, ranks without one large window."""
+"""What several operators of this subpackage share: the shared folder, cut lineage, ranks without one large window, joins on hot keys."""
 
 from __future__ import annotations
 
@@ -12,15 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: A key with more than a row in so many is hot: there are fewer hot keys than this, whatever the table.
+HOT_SHARE = 200
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests), one of our own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tablewright.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tablewright.shared.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
         spark.conf.set("tablewright.shared.dir", folder)
     return folder.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bound what goes to Python at a time, for texts may be long: few rows, and few bytes but for a single long text.
+
+    Spark has these bounds for a session only; every operator here sets the same, so that none depends on another.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of the shared folder that nothing has used."""
     return f"{shared_folder(spark)}/tablewright-{name}-{uuid.uuid4().hex}"
@@ -82,3 +98,20 @@ def running(
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, n_rows: int, spread: Sequence[str]) -> DataFrame:
     """Rank from 1, without gaps, among the rows of the same keys; see `running`."""
     return running(df, keys, order, F.lit(1), name, n_rows, spread)
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, n_rows: int) -> DataFrame:
+    """(key, salts): keys that hold more than one of HOT_SHARE rows, under HOT_SHARE of them, and parts to split each into."""
+    share = max(1.0, n_rows / HOT_SHARE)
+    return counts.filter(F.col(count) > share).select(key, F.ceil(F.col(count) / F.lit(share)).alias("__salts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """left.join(right, key): a hot key's rows of left are dealt over its parts by a hash of `spread`, right's row goes to each part.
+
+    `hot` is what `hot_keys` returns, so it may be broadcast; right has few rows of a key.
+    """
+    salts = F.coalesce("__salts", F.lit(1).cast("long"))
+    own = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts)).drop("__salts")
+    other = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__salts")
+    return own.join(other, [key, "__salt"], how).drop("__salt")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import buckets_for, materialise, ranked, running
+from tablewright.llm.common import discard, hot_keys, materialise, ranked, running, salted_join
 
 
 def pair_quotas(want: dict[tuple[int, int], int], load: list[int], room: list[int]) -> dict[tuple[int, int], int]:
@@ -27,14 +27,15 @@ def pair_quotas(want: dict[tuple[int, int], int], load: list[int], room: list[in
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 24, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Put every row of docs into one of `n_shards` shards whose row counts differ by one at most (law `rows`).
 
     Documents of equal text are linked. Linked documents start dealt evenly; in each round those of a group that lie
     outside its leading shards (as many as the group needs at least, those first that have room for the rest of it) ask to move there, and move as far as the quotas
     of the pair of shards allow. The state is the number of a group's documents in each shard, so a group of any size
-    is a few rows. Unlinked documents then fill what room is left. It ends when nothing asks to move or may.
+    is a few rows. Rounds go on as long as they lessen the cut edges, the pairs of linked documents in different shards,
+    whose number only falls; the round that doesn't is undone. Unlinked documents then fill what room is left.
 
     Returns doc_id, size (UTF-8 bytes of the text and 8), text_crc32, law, shard, slot (from 0 in the shard, without
     gaps), grown_shard (null: only a law by key defines it), group_size (rows of that text).
@@ -55,8 +56,10 @@ def shard_documents(
     )
     n = base.count()
     room = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    linked = base.join(groups, "g")
+    sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(sizes.filter("group_size > 1"), "shard-groups")
+    hot = materialise(hot_keys(groups, "g", "group_size", n), "shard-hot")
+    linked = salted_join(base, groups, "g", hot, ["doc_id"])
     linked = ranked(linked, ["g"], ["doc_id"], "in_group", n, ["doc_id"])
     linked = materialise(
         ranked(linked, [], ["g", "in_group"], "among", n, ["g", "in_group"]).withColumn("shard", ((F.col("among") - 1) % n_shards).cast("int")),
@@ -65,11 +68,13 @@ def shard_documents(
     n_linked = linked.count()
     held = materialise(linked.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("c")), "shard-held")
     load = [0] * n_shards
-    for row in held.groupBy("shard").agg(F.sum("c").alias("c")).collect():  # a row for each shard
-        load[row.shard] = row.c
+    squared = F.col("c").cast("decimal(19,0)") * F.col("c").cast("decimal(19,0)")
+    together = 0  # sum of the squares of a group's rows in a shard: the more, the fewer edges are cut
+    for row in held.groupBy("shard").agg(F.sum("c").alias("c"), F.sum(squared).alias("t")).collect():  # a row for each shard
+        load[row.shard], together = row.c, together + row.t
 
     by_group = Window.partitionBy("g")  # of a group there are at most n_shards rows
-    for _ in range(rounds if n_linked else 0):
+    while n_linked:
         free = F.create_map(*[x for s in range(n_shards) for x in (F.lit(s), F.lit(room[s] - load[s]))])
         fits = (F.col("k") > 1) | (F.col("all") - F.col("c") <= free[F.col("shard")])  # the rest of the group has room there
         order = by_group.orderBy(F.desc("fits"), F.desc("c"), F.xxhash64("g", "shard"))
@@ -105,16 +110,23 @@ def shard_documents(
             .agg(F.sum("c").alias("c"))
             .filter("c > 0")
         )
-        held = materialise(after, "shard-held")
+        after = materialise(after, "shard-held")
+        now = after.agg(F.sum(squared)).first()[0]
+        if now <= together:
+            discard(after)
+            break
+        discard(held)
+        held, together = after, now
         for (a, b), q in quota.items():
             load[a] -= q
             load[b] += q
 
     spans = held.withColumn("upto", F.sum("c").over(by_group.orderBy("shard")))
     spans = spans.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("spans"))
-    placed = linked.drop("shard", "among").join(spans, "g")
+    placed = salted_join(linked.drop("shard", "among"), spans, "g", hot, ["doc_id", "in_group"])
     placed = placed.withColumn("shard", F.expr("filter(spans, x -> in_group <= x.upto)[0].shard"))
-    alone = ranked(base.join(groups, "g", "left_anti"), [], ["doc_id", "g"], "among", n, ["doc_id", "g"])
+    alone = salted_join(base, groups.select("g"), "g", hot, ["doc_id"], "left_anti")
+    alone = ranked(alone, [], ["doc_id", "g"], "among", n, ["doc_id", "g"])
     shard, end = F.lit(n_shards - 1), n - n_linked
     for s in reversed(range(n_shards)):
         shard = F.when(F.col("among") <= end, F.lit(s)).otherwise(shard)
