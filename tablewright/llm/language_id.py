@@ -9,12 +9,16 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tablewright.llm.common import small_batches
 from tablewright.llm.textvec import trim
 
 DIMS = 1 << 13
 #: Labelled documents that the centroids are fitted to, for each language at most about.
 SAMPLE = 500
+#: Languages at most; a column with more values is refused.
+MOST_LANGUAGES = 1000
 CLUSTERS = 4
 #: A document is rejected when its cosine to the nearest centroid is below this part of the least cosine that the
 #: centroid's own training documents have.
@@ -84,17 +88,25 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Fit centroids to a bounded sample of labelled rows, about `sample` of each language, chosen by a hash of the id.
+    """Fit centroids to a bounded sample of labelled rows, at most 2 * `sample` of each language and about `sample` of a large
+    one, chosen by a hash of id and text; of rows equal in both, or of one null id, no more than that either.
 
-    Tasks reduce the sampled texts to sparse counts of at most DIMS entries, whatever their length.
+    Raises ValueError if there are more than MOST_LANGUAGES languages. Tasks reduce the sampled texts to sparse counts of
+    at most DIMS entries, whatever their length.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count")).limit(1000).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
     if not counts:
         return LanguageModel(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0), np.zeros(0, int), [])
     part = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.filter(drawn < part[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 30)))
+    chosen = rows.filter(F.col("h") / F.lit(float(1 << 30)) < part[F.col("lang")])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))  # tasks send on 2 * sample rows of a language at most
+    chosen = chosen.withColumn("nth", nth).filter(F.col("nth") <= 2 * sample).select("lang", "id", "text")
+    small_batches(labelled)
 
     def count(batches):
         for pdf in batches:
@@ -143,4 +155,5 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     document. Ties go to the language that sorts first. Repeated rows get equal results; other columns pass through.
     """
     model = fit(labelled, id_col, text_col, lang_col)
+    small_batches(docs)
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "language"], predicted(model, F.col(text_col)).alias("language"))
