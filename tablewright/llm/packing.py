@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import small_batches
 from tablewright.llm.textvec import IS_SPACE, chunks, lay_out, runs, segment_hashes, trim
 
 #: In tokens: what a window costs besides its padding, and what cuts cost at a sentence's end and inside a sentence.
@@ -36,7 +37,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         ends = [(i, t) for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.stops = np.zeros(max(self.tokenizer.get_vocab_size(), 1 + END_ID) + 1, bool)
         self.stops[[i for i, t in ends if t[:-4] and t[:-4][-1] in ".!?"]] = True
@@ -231,7 +231,8 @@ def packer(path: str, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents laid into sequences of at most `window` tokens, in the order in which partitions hold the rows.
 
-    A document is its ids by the tokenizer file and then END_ID. Returns one row for each piece: doc_id, start (ids of
+    A document is its ids by the tokenizer file, as the library gives them (so a literal such as <|endoftext|> is its
+    special id), and then END_ID. Returns one row for each piece: doc_id, start (ids of
     the document before it), length, ids_crc32 (of the ids as little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset. Every partition is packed by itself while it streams by, without a shuffle; a sequence never holds rows of
     two partitions, and its id has the partition's number in its upper half.
@@ -239,8 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, id_col:
     A null or blank text is the end id alone. Repeated rows and null ids are packed as any others. A text of any length
     is read whole and cut where it must. An empty table gives no rows. Other columns are not read.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return rows.mapInPandas(packer(tokenizer, window), schema)
