@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tablewright.llm.common import small_batches
 from tablewright.llm.textvec import IS_SPACE, chunks, lay_out, mix, runs, segment_hashes
 
 BITS = 18
@@ -18,13 +20,15 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 #: 0 white space, 1 part of a word, 2 punctuation.
 KIND = np.where(IS_SPACE, 0, 2).astype(np.int8)
+SAME = np.uint64(0x5EED5A3E5A3E5EED)
 KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places, values) of each text: one- and two-word grams hashed to 2^BITS places, damped counts of unit length.
 
-    A run of punctuation is a word of its own, by its first characters of each kind.
+    A run of punctuation is a word of its own. A word that is the one before it again counts as the word SAME, so that
+    repetition is a gram whatever it repeats.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
     shift = np.uint64(64 - BITS)
@@ -32,9 +36,13 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         buf, at = lay_out(part)
         starts, ends = runs(KIND[buf])
         words = segment_hashes(buf, starts, ends)
+        first = np.searchsorted(starts, at)
+        again = np.zeros(len(words), bool)
+        again[1:] = words[1:] == words[:-1]
+        again[first[first < len(words)]] = False
+        words = np.where(again, SAME, words)
         pairs = mix(words[:-1] * np.uint64(31) + words[1:])
         one, two = (words >> shift).astype(np.int64), (pairs >> shift).astype(np.int64)
-        first = np.searchsorted(starts, at)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             i, n = np.unique(np.concatenate((one[a:b], two[a : max(a, b - 1)])), return_counts=True)
             v = np.sqrt(n)
@@ -75,11 +83,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """Train on a bounded sample of labelled documents: the `sample` ids with the least hash. Of several labels the least counts."""
+    """Train on a bounded sample of labelled documents: the `sample` ids with the least hash, one row of each. Of several
+    labels of an id the least counts, of several rows the one whose text has the least hash."""
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     own = own.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     own = own.orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(sample)  # bounded, so it may be broadcast
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
+    chosen = chosen.withColumn("h", F.xxhash64("text")).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("h"))).filter("nth = 1")
+    small_batches(docs)
 
     def reduce(batches):
         for pdf in batches:
