@@ -11,6 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tablewright.llm.common import small_batches
+from tablewright.llm.textvec import trim
 
 # What HTML says of its elements.
 BLOCK = frozenset(
@@ -32,9 +36,13 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article main content post entry story text body".split())
 
-PATH_DIMS, WORD_DIMS, STATS, HIDDEN_UNITS = 64, 32, 6, 16
-#: Pages that the labeller is trained on, at most, and passes over them.
-SAMPLE, EPOCHS = 400, 6
+PATH_DIMS, WORD_DIMS, STATS, HIDDEN_UNITS = 192, 32, 6, 16
+#: Pages that the labeller is trained on, at most, blocks of each, and passes over them.
+SAMPLE, TRAIN_BLOCKS, EPOCHS = 400, 512, 8
+#: Steps that training takes at least, of 16 pages each; few pages are passed over more often.
+LEAST_STEPS = 200
+#: Blocks, those filled in to a like length included, that are labelled in one go.
+GO = 4096
 PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -142,9 +150,11 @@ def place(word: str) -> int:
     return _hash[word]
 
 
-def block_vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """A row for each block: hashed parts of its path, hashed words, and a few shapes."""
+def block_vectors(blocks: list[tuple[tuple[str, ...], str, int]], first: int = 0, total: int = 0) -> np.ndarray:
+    """A row for each block: hashed parts of its path, hashed words, and a few shapes. The blocks are those from `first`
+    of a page that has `total`, or the whole page."""
     m = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + STATS), np.float32)
+    total = total or len(blocks)
     for k, (path, text, linked) in enumerate(blocks):
         for part in path:
             for name in PARTS.findall(part):
@@ -153,16 +163,27 @@ def block_vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         words = text.split()
         w = np.bincount([place(x) % WORD_DIMS for x in words], minlength=WORD_DIMS)
         m[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.sqrt(w) / max(1.0, np.sqrt(len(words)))
-        m[k, -STATS:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / len(text), (k + 1) / len(blocks), len(path) / 8, text[-1] in ".!?")
+        m[k, -STATS:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / len(text), (first + k + 1) / total, len(path) / 8, text[-1] in ".!?")
     return m
 
 
-def weak_label(path: tuple[str, ...], text: str, linked: int) -> int:
-    """What the names along the path say; where they say nothing, long text with few links counts as main."""
-    names = {n for part in path for n in PARTS.findall(part)}
-    if names & AGAINST:
-        return 0
-    return int(bool((names - {"body"}) & FOR) or (len(text) >= 60 and linked < len(text) / 2))
+def weak_labels(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[int]:
+    """What the names along the paths say, read together with the page: foreign names are foreign and article names main.
+
+    What bears neither is main if it isn't mostly links, unless the page names its article elsewhere; then it takes a
+    sentence of some length.
+    """
+    names = [{n for part in path for n in PARTS.findall(part)} for path, _, _ in blocks]
+    named = any((n - {"body"}) & FOR and not n & AGAINST for n in names)
+    out = []
+    for n, (_, text, linked) in zip(names, blocks, strict=True):
+        if n & AGAINST:
+            out.append(0)
+        elif (n - {"body"}) & FOR:
+            out.append(1)
+        else:
+            out.append(int(linked < len(text) / 2 and (not named or len(text) >= 60 and text[-1] in ".!?")))
+    return out
 
 
 def varied(blocks: list, rng: np.random.RandomState) -> list:
@@ -189,33 +210,48 @@ class Labeller:
 
     w: dict[str, np.ndarray]
 
+    def scan(self, d: str, x: np.ndarray, mask: np.ndarray, h: np.ndarray, c: np.ndarray, steps: list | None = None):
+        """One direction over x, from the state (h, c): the states after each block, and the last."""
+        out = np.zeros((*x.shape[:2], HIDDEN_UNITS), np.float32)
+        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
+            z = x[:, t] @ self.w[f"x{d}"] + h @ self.w[f"h{d}"] + self.w[f"b{d}"]
+            s = 1.0 / (1.0 + np.exp(-z[:, : 3 * HIDDEN_UNITS]))
+            g = np.tanh(z[:, 3 * HIDDEN_UNITS :])
+            i, f, o = np.split(s, 3, 1)
+            m = mask[:, t : t + 1]
+            new = f * c + i * g
+            tc = np.tanh(new)
+            if steps is not None:
+                steps.append((t, h, c, i, f, o, g, tc, m))
+            c = m * new + (1 - m) * c
+            h = m * (o * tc) + (1 - m) * h
+            out[:, t] = h
+        return out, h, c
+
+    def chance(self, both: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-(both @ self.w["out"] + self.w["out_b"])))
+
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """x: pages x blocks x dims; mask: which blocks are there. Probabilities, and what training needs if `keep`."""
-        held = {}
-        hs = []
-        for d in ("f", "b"):
-            order = range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1)
-            h = np.zeros((len(x), HIDDEN_UNITS), np.float32)
-            c, out, steps = h, np.zeros((*x.shape[:2], HIDDEN_UNITS), np.float32), []
-            for t in order:
-                z = x[:, t] @ self.w[f"x{d}"] + h @ self.w[f"h{d}"] + self.w[f"b{d}"]
-                s = 1.0 / (1.0 + np.exp(-z[:, : 3 * HIDDEN_UNITS]))
-                g = np.tanh(z[:, 3 * HIDDEN_UNITS :])
-                i, f, o = np.split(s, 3, 1)
-                m = mask[:, t : t + 1]
-                new = f * c + i * g
-                tc = np.tanh(new)
-                if keep:
-                    steps.append((t, h, c, i, f, o, g, tc, m))
-                c = m * new + (1 - m) * c
-                h = m * (o * tc) + (1 - m) * h
-                out[:, t] = h
-            hs.append(out)
-            held[d] = steps
-        both = np.concatenate(hs, 2)
-        p = 1.0 / (1.0 + np.exp(-(both @ self.w["out"] + self.w["out_b"])))
+        zero = np.zeros((len(x), HIDDEN_UNITS), np.float32)
+        held: dict[str, list] = {"f": [], "b": []}
+        both = np.concatenate([self.scan(d, x, mask, zero, zero, held[d] if keep else None)[0] for d in ("f", "b")], 2)
+        p = self.chance(both)
         return (p, both, held) if keep else p
 
+    def run_page(self, blocks: list) -> np.ndarray:
+        """Probabilities of one page of any length: both directions go over it in parts, and only their states stay."""
+        n = len(blocks)
+        both = np.zeros((n, 2 * HIDDEN_UNITS), np.float32)
+        for k, d in enumerate(("f", "b")):
+            h = c = np.zeros((1, HIDDEN_UNITS), np.float32)
+            starts = list(range(0, n, GO))
+            for a in starts if d == "f" else reversed(starts):
+                x = block_vectors(blocks[a : a + GO], a, n)[None]
+                out, h, c = self.scan(d, x, np.ones(x.shape[:2], np.float32), h, c)
+                both[a : a + GO, k * HIDDEN_UNITS : (k + 1) * HIDDEN_UNITS] = out[0]
+        return self.chance(both)
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, both, held = self.run(x, mask, keep=True)
         dz = (p - y) * mask / max(1.0, mask.sum())
@@ -262,7 +298,7 @@ def train(pages: list[list], seed: int = 3) -> Labeller:
     net = Labeller(w)
     m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
     pages = [p for p in pages if p]
-    for epoch in range(EPOCHS if pages else 0):
+    for epoch in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(pages) // 16))) if pages else 0):
         seen = [varied(p, rng) if epoch % 3 else p for p in pages]
         seen.sort(key=len)
         batches = [seen[a : a + 16] for a in range(0, len(seen), 16)]
@@ -270,7 +306,7 @@ def train(pages: list[list], seed: int = 3) -> Labeller:
             x, mask = padded([block_vectors(p) for p in batches[k]])
             y = np.zeros_like(mask)
             for r, p in enumerate(batches[k]):
-                y[r, : len(p)] = [weak_label(*b) for b in p]
+                y[r, : len(p)] = weak_labels(p)
             step += 1
             for name, g in net.gradients(x, mask, y).items():
                 m[name] = 0.9 * m[name] + 0.1 * g
@@ -279,52 +315,65 @@ def train(pages: list[list], seed: int = 3) -> Labeller:
     return net
 
 
-def main_texts(net: Labeller, htmls: list[str | None], group: int = 128) -> list[str]:
-    """The blocks that the labeller takes for main text, joined; pages of like length run together."""
+def main_texts(net: Labeller, htmls: list[str | None]) -> list[str]:
+    """The blocks that the labeller takes for main text, joined; pages of like length run together, GO blocks at most."""
     found = [leaves(h) for h in htmls]
     out = [""] * len(htmls)
     order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
     while order:
-        most = len(found[order[0]])
-        part = [k for k in order[: max(1, group)] if len(found[k]) <= max(2 * most, 16)]
+        most = max(16, 2 * len(found[order[0]]))
+        part = [k for k in order[: max(1, GO // most)] if len(found[k]) <= most]
         order = order[len(part) :]
-        x, mask = padded([block_vectors(found[k]) for k in part])
-        p = net.run(x, mask)
+        if len(part) == 1:
+            p = [net.run_page(found[part[0]])]
+        else:
+            p = net.run(*padded([block_vectors(found[k]) for k in part]))
         for r, k in enumerate(part):
             out[k] = "\n\n".join(b[1] for b, q in zip(found[k], p[r], strict=False) if q >= 0.5)
+            found[k] = []
     return out
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """Train on the `sample` pages whose id has the least hash; tasks reduce them to their blocks."""
+def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Labeller:
+    """Train on the `sample` pages whose html has the least hash, and of each on TRAIN_BLOCKS blocks in a row from anywhere.
+
+    Hashes are chosen first and one page of each then reduced to its blocks, so html is not brought together.
+    """
 
     def reduce(batches):
         for pdf in batches:
-            found = [leaves(h) for h in pdf.h]
-            yield pd.DataFrame({"id": pdf.id, "path": [[list(b[0]) for b in f] for f in found], "text": [[b[1] for b in f] for f in found], "linked": [[b[2] for b in f] for f in found]})
-
-    own = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("h"))
-    own = own.orderBy(F.xxhash64("id", F.lit("html")), "id", "h").limit(sample)
-    got = own.mapInPandas(reduce, "id long, path array<array<string>>, text array<string>, linked array<int>").collect()
-    got = sorted(got, key=lambda r: (r.id is None, r.id or 0, r.text))
+            found = [leaves(h) for h in pdf.html]
+            at = [int(k) % max(1, len(f) - TRAIN_BLOCKS + 1) for k, f in zip(pdf.k, found, strict=True)]
+            found = [f[a : a + TRAIN_BLOCKS] for a, f in zip(at, found, strict=True)]
+            yield pd.DataFrame({"k": pdf.k, "path": [[list(b[0]) for b in f] for f in found], "text": [[b[1] for b in f] for f in found], "linked": [[b[2] for b in f] for f in found]})
+
+    own = pages.select(F.xxhash64(html_col, F.lit("html")).alias("k"), F.col(html_col).alias("html")).filter("html <> ''")
+    chosen = own.select("k").distinct().orderBy("k").limit(sample)  # bounded, so it may be broadcast
+    own = own.join(F.broadcast(chosen), "k").withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))).filter("nth = 1")
+    small_batches(pages)
+    got = own.select("k", "html").mapInPandas(reduce, "k long, path array<array<string>>, text array<string>, linked array<int>").collect()
+    got = sorted(got, key=lambda r: (r.k, r.text))
     return train([[(tuple(p), t, n) for p, t, n in zip(r.path, r.text, r.linked, strict=True)] for r in got])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without the html column, with text (main blocks in page order, two line feeds between) and n_chars.
 
     A block is the text between block boundaries, character references decoded, white space turned into one space and
-    trimmed; blocks without text don't count. Every block of every page gets the labeller's own verdict. A null or
-    empty html gives an empty text. Repeated rows get equal texts; an empty table none. Other columns pass through, but
-    for `text` and `n_chars`, which are replaced.
+    trimmed; blocks without text don't count. Every block of every page gets the labeller's own verdict; a page of any
+    length is labelled as a whole, in parts of GO blocks that hand on their state. A null or empty html gives an empty
+    text. Repeated rows get equal texts; an empty table none. Other columns pass through, but for `text` and `n_chars`,
+    which are replaced.
     """
-    net = fit(pages, id_col, html_col)
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    net = fit(pages, html_col)
+    small_batches(pages)
 
     @F.pandas_udf("string")
     def main(htmls: pd.Series) -> pd.Series:
-        return pd.Series(main_texts(net, htmls.tolist()), dtype=object)
+        out = main_texts(net, htmls.tolist())
+        trim()
+        return pd.Series(out, dtype=object)
 
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars", html_col)]
-    out = pages.select(*rest, main(F.col(html_col)).alias("text"))
+    out = pages.select(*rest, main(F.col(f"`{html_col}`")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
