@@ -15,34 +15,40 @@ SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 FAN_IN = 64
 
 
+def ordered_numbers(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows, one for each value of `column`, with the value's place in code point order from 1, null last.
+
+    Ranges of values are sorted apart; the driver gets the number of rows of each range.
+    """
+    at = F.monotonically_increasing_id()
+    rows = materialise(rows.orderBy(F.col(column).asc_nulls_last()).withColumn("__at", at), "mix-order")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = {}, 0
+    for r in sorted(rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.p):
+        before[r.p], total = total, total + r.n
+    start = F.create_map(*[F.lit(x).cast("long") for p in before.items() for x in p])[part] if before else F.lit(0)
+    return rows.withColumn(name, inside + start + 1).drop("__at")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Target words for each row of sizes (source, source_size): by weight, at most `most` times its size.
+    """Target words for each row of sizes (source, source_size, one row a source): by weight, at most `most` times its size.
 
     Sources in code point order, null last, take the weights in turn. What a source can't take goes to the rest by
-    weight until none is above its limit: in order of limit over weight, sources are full as long as the level that
-    the rest would reach lies above their own. Works on one row per source.
+    weight until none is above its limit: in each round the level is what is left for the sources that aren't full, over
+    their weights, and those whose limit lies below it become full; rounds end when none does. The driver sees sums.
     """
+    t = ordered_numbers(sizes, "source", "i")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("i") - 1) % len(weights) + 1).cast("int"))
-    one = Window.partitionBy(F.lit(0))
-    t = (
-        sizes.withColumn("i", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())))
-        .withColumn("weight", w)
-        .withColumn("limit", F.lit(float(most)) * F.col("source_size"))
-        .withColumn("goal", F.lit(float(share)) * F.sum("source_size").over(one))
-    )
-    ascending = one.orderBy(F.col("limit") / F.col("weight"), "i")
-    before = ascending.rowsBetween(Window.unboundedPreceding, -1)
-    t = (
-        t.withColumn("left", F.col("goal") - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(ascending.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("full", F.col("limit") <= F.col("left") / F.col("rest") * F.col("weight"))
-    )
-    level = F.first(F.when(~F.col("full"), F.col("left") / F.col("rest")), ignorenulls=True).over(
-        ascending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return t.withColumn("level", level).select(
-        "source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("level") * F.col("weight")).alias("target")
-    )
+    t = materialise(t.withColumn("weight", w).withColumn("limit", F.lit(float(most)) * F.col("source_size")).drop("i"), "mix-weights")
+    goal = float(share) * (t.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        ends = F.col("limit") <= F.lit(level) * F.col("weight")
+        n, taken, rest = t.agg(F.count_if(ends), F.sum(F.when(ends, F.col("limit"))), F.sum(F.when(~ends, F.col("weight")))).first()
+        if not rest or n == full:
+            break
+        full, level = n, max(level, (goal - (taken or 0.0)) / rest)
+    return t.select("source", "source_size", F.least(F.col("limit"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def pivot_fold(items: Column, seed: int) -> Column:
@@ -97,42 +103,46 @@ def mix_sources(
     arrays of FAN_IN documents first, then among the one document that each array leaves fractional, and so on, a tree
     that ends with one per source. That last one is taken in part, to the nearest word.
 
-    Returns doc_id, source, size, source_size, target, taken (words, repeats counted) and the columns `keep`.
+    Returns doc_id, source, size, source_size, target, taken (words, repeats counted) and the columns `keep`, but for
+    those that bear one of these names.
     A null or blank text has size 0 and takes 0. A null source is a source of its own, ordered last. Repeated rows are
     rows of their own; which of two equal rows is taken more often is open, their sum is not. If all sizes are 0,
     targets and takes are 0. An empty table gives no rows.
+
+    Only sizes and keys go through the tree; texts are shuffled once, to meet their number of copies.
     """
-    kept = [F.col(c).alias(f"keep_{c}") for c in keep]
+    keep = [c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
+    kept = [F.col(f"`{c}`").alias(f"keep_{n}") for n, c in enumerate(keep)]
+    names = [f"keep_{n}" for n in range(len(keep))]
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         *kept,
     )
     full, base = base, materialise(base.select("doc_id", "source", "size"), "mix-sizes")
     full = full if keep else base  # what is kept, whole texts perhaps, is read again at the end and not written here
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sizes = materialise(sizes, "mix-sources")
-    targets = materialise(source_targets(sizes.select("source", "source_size"), weights, share, most), "mix-targets")
+    targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     rates = targets.alias("t").join(sizes.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select(
         F.col("t.source").alias("rate_source"), F.col("t.source_size"), "target", "docs",
         F.when(F.col("t.source_size") > 0, F.col("target") / F.col("t.source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
+    rates = materialise(rates, "mix-rates")
     most_docs = sizes.agg(F.max("docs")).first()[0] or 0
 
     def rated(sized: DataFrame) -> DataFrame:
-        """With rates, whole copies and the fraction x; o orders and names a document within its source."""
+        """With rates, whole copies and the fraction x; o orders and names a document, source and all."""
         rows = sized.join(rates, F.col("source").eqNullSafe(F.col("rate_source"))).drop("rate_source")
         x = F.col("rate") - F.floor("rate")
         rows = rows.withColumn("whole", F.floor("rate")).withColumn("x", F.when(F.col("size") > 0, x).otherwise(F.lit(0.0)))
-        return rows.withColumn("o", F.unhex(F.md5(F.to_json(F.struct("doc_id", "size", F.lit(seed))))))
+        return rows.withColumn("o", F.unhex(F.md5(F.to_json(F.struct("doc_id", "size", "source", F.lit(seed))))))
 
     fractional = rated(base).filter("x > 1e-9 AND x < 1 - 1e-9")
     live = fractional.groupBy("source", "o", "size", "x", "docs").agg(F.count(F.lit(1)).alias("n"))
-    live = live.select(
-        "source", "docs", "size", "x",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "o",
-    ).withColumn("o", F.concat(F.col("o"), F.encode(F.col("copy").cast("string"), "utf-8"))).drop("copy")
+    live = live.select("source", "docs", "size", "x", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "o")
+    live = live.withColumn("o", F.concat(F.col("o"), F.encode(F.col("copy").cast("string"), "utf-8"))).drop("copy")
     done, level, left = [], 0, int(most_docs)
     while True:
         several = F.ceil(F.col("docs") / F.lit(float(FAN_IN) ** (level + 1)))
@@ -143,25 +153,25 @@ def mix_sources(
             .select("source", "docs", pivot_fold(F.transform("all", lambda e: F.struct(e["o"].alias("o"), e["size"].alias("size"), e["x"].alias("x"))), seed).alias("f"))
         )
         folded = materialise(folded, f"mix-level{level}")
-        done.append(folded.select("source", F.explode("f.done").alias("d")).select("source", "d.o", "d.x"))
+        done.append(folded.select(F.explode("f.done").alias("d")).select("d.o", "d.x"))
         live = folded.select("source", "docs", "f.carry.o", "f.carry.size", "f.carry.x")
         left, level = -(-left // FAN_IN), level + 1
         if left <= 1:
             break
-    ended = live.select("source", "o", "x")
+    ended = live.select("o", "x")
     for d in done:
         ended = ended.unionByName(d)
-    # the copy number tells repeated rows apart
-    numbered = rated(full).withColumn("copy", F.row_number().over(Window.partitionBy("source", "o").orderBy("doc_id", *[f"keep_{c}" for c in keep])))
-    numbered = numbered.withColumn("o", F.concat(F.col("o"), F.encode(F.col("copy").cast("string"), "utf-8"))).alias("r")
-    out = numbered.join(
-        ended.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.o") == F.col("e.o")), "left"
-    )
-    copies = F.col("whole") + F.coalesce(F.col("e.x"), F.round(F.col("r.x")))
-    return out.select(
-        "doc_id", "r.source", F.col("r.size").alias("size"), "source_size", "target",
-        F.least(F.round(copies * F.col("r.size")), F.lit(float(most)) * F.col("r.size")).cast("long").alias("taken"),
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
+    # of equal rows so many take one copy more, and one at most a part of it
+    part = (F.col("x") > 0) & (F.col("x") < 1)
+    ended = ended.groupBy(F.substring("o", 1, 16).alias("key")).agg(F.count_if(F.col("x") == 1).alias("ones"), F.max(F.when(part, F.col("x"))).alias("part"))
+    joined = rated(full).join(ended, F.col("o") == F.col("key"), "left")
+    nth = F.row_number().over(Window.partitionBy("o").orderBy("doc_id", F.xxhash64("size", *names)))
+    more = F.when(nth <= F.col("ones"), 1.0).when(nth == F.col("ones") + 1, F.coalesce("part", F.lit(0.0))).otherwise(0.0)
+    copies = F.col("whole") + F.when(F.col("key").isNull(), F.round("x")).otherwise(more)
+    return joined.withColumn("copies", copies).select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.least(F.round(F.col("copies") * F.col("size")), F.lit(float(most)) * F.col("size")).cast("long").alias("taken"),
+        *[F.col(k).alias(c) for k, c in zip(names, keep, strict=True)],
     )
 
 
