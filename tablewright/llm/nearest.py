@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import materialise
+from tablewright.llm.common import discard, materialise, small_batches
 
-#: Projected dimensions (even, for the closed form of the test), and the chance of a neighbour being seen at which a query stops.
-PROJECTED, SURE = 16, 0.97
+#: Projected dimensions (even, for the closed form of the test), and the chance of any of the k neighbours being seen, at least, at which a query stops.
+PROJECTED, SURE = 16, 0.92
 #: Rows of a leaf of the upper tree, leaves at most, rows that the tree is fitted to, rows of a leaf inside a block, queries in a block.
 LEAF_ROWS, LEAVES, FIT_ROWS, SMALL_LEAF, QUERY_ROWS = 4096, 4096, 20_000, 128, 4096
 
@@ -143,18 +143,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     """For each vector whose id is divisible by `every` its k nearest others by inner product: query_id, rank, vec_id, score.
 
     The upper kd-tree is fitted to at most FIT_ROWS rows and deals every row to a leaf; a leaf with many rows, as one of
-    equal vectors, is dealt on to several blocks. A query first searches its home leaf, which bounds the distance of its
-    k-th neighbour; then, in every block of the leaves that the chi-square test doesn't exclude at that bound, the block's
-    own tree. Scores are the inner products of the original vectors in double precision; ties go to the smaller id.
+    equal vectors, is dealt on to several blocks. A query takes the leaves in order of their distance from it in projected
+    space: first the nearest alone, then in each round twice as many as in the one before, as long as the chi-square test,
+    at the distance of the k-th best found so far, doesn't exclude the next one. In a leaf the blocks' own trees stop by
+    the same test. Leaves that queries have tried are not tried again; rounds are the logarithm of the number of leaves
+    at most. Scores are the inner products of the original vectors in double precision; ties go to the smaller id.
 
     Vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do null ids. Vectors
     of different length compare as if filled with zeros. Of repeated ids every row is a candidate, a query's own id none.
     With fewer than k candidates all are returned; an empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col)
+    small_batches(vectors)
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    v = F.col(f"`{vector_col}`").cast(f"array<{kind}>")
     square = F.aggregate(v, F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), square.alias("sq")).filter(
+    clean = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), square.alias("sq")).filter(
         F.col("id").isNotNull() & F.col("sq").isNotNull() & (F.col("sq") > 0) & (F.col("sq") < F.lit(float("inf"))) & ~F.isnan("sq")
     )
     n, most, dims = clean.agg(F.count(F.lit(1)), F.max("sq"), F.max(F.size("v"))).first()
@@ -171,12 +175,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         for pdf in batches:
             yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "leaf": tree.leaf(space.project(matrix(pdf.v.tolist(), dims)))})
 
-    points = materialise(clean.select("id", "v").mapInPandas(deal, "id long, v array<float>, leaf long"), "ann-points")
+    points = materialise(clean.select("id", "v").mapInPandas(deal, f"id long, v array<{kind}>, leaf long"), "ann-points")
     blocks = points.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * LEAF_ROWS)).alias("salts"))
     blocks = materialise(blocks, "ann-leaves")
     points = points.join(F.broadcast(blocks), "leaf")  # a row for each leaf, LEAVES at most
     points = points.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")))
-    asked = points.filter(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"), "leaf")
+    asked = points.filter(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
 
     def dealt(queries: DataFrame) -> DataFrame:
         """Queries (qid, qv, bound, leaf, salt) against the rows of their blocks, so many queries to a task at most."""
@@ -194,22 +198,38 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         got = search(space, k, p.id.to_numpy(), matrix(p.v.tolist(), dims), q.qid.to_numpy(), matrix(q.qv.tolist(), dims), q.bound.to_numpy())
         return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    home = asked.withColumn("salt", F.lit(0).cast("long")).withColumn("bound", F.lit(float("inf")))
-    worst = dealt(home).applyInPandas(look, result).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    bounded = asked.drop("leaf").join(worst, asked.qid == worst.query_id, "left").select("qid", "qv", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-
-    def route(batches):
-        for pdf in batches:
-            q = matrix(pdf.qv.tolist(), dims)
-            length, pq = np.sqrt((q * q).sum(1)), space.project_queries(q) if len(q) else q
-            least = pdf.least.to_numpy(float)
-            bound = np.array([np.inf if np.isnan(s) else float(space.distance(s, a)) for s, a in zip(least, length, strict=True)])
-            to = [np.flatnonzero(chi_square_cdf(tree.gaps(p) / b) < SURE) for p, b in zip(pq, bound, strict=True)]
-            yield pd.DataFrame({"qid": pdf.qid, "qv": pdf.qv, "bound": bound, "leaves": to})
-
-    routed = bounded.mapInPandas(route, "qid long, qv array<float>, bound double, leaves array<long>")
-    routed = routed.select("qid", "qv", "bound", F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf")
-    routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    found = dealt(materialise(routed.drop("salts"), "ann-routed")).applyInPandas(look, result)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def top(found: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best, first, step = None, 0, 1
+    while first < len(tree.lo):
+
+        def route(batches, first=first, step=step):
+            for pdf in batches:
+                q = matrix(pdf.qv.tolist(), dims)
+                length, pq = np.sqrt((q * q).sum(1)), space.project_queries(q) if len(q) else q
+                bound = np.array([np.inf if np.isnan(s) else float(space.distance(s, a)) for s, a in zip(pdf.least.to_numpy(float), length, strict=True)])
+                to = []
+                for p, b in zip(pq, bound, strict=True):
+                    gap = tree.gaps(p)
+                    near = np.argsort(gap, kind="stable")[first : first + step]
+                    to.append(near[chi_square_cdf(gap[near] / b) < SURE])
+                yield pd.DataFrame({"qid": pdf.qid, "qv": pdf.qv, "bound": bound, "leaves": to})
+
+        if best is None:
+            queries = asked.withColumn("least", F.lit(None).cast("double"))
+        else:
+            worst = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+            queries = asked.join(worst, asked.qid == worst.query_id, "left").select("qid", "qv", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+        routed = queries.mapInPandas(route, f"qid long, qv array<{kind}>, bound double, leaves array<long>")
+        routed = routed.select("qid", "qv", "bound", F.explode("leaves").alias("leaf")).join(F.broadcast(blocks), "leaf")
+        routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        routed = materialise(routed.drop("salts"), "ann-routed")
+        if routed.isEmpty():
+            break
+        found = dealt(routed).applyInPandas(look, result)
+        found = materialise(top(found if best is None else found.unionByName(best.drop("rank"))), "ann-best")
+        discard(routed, *[best] if best is not None else [])
+        best, first, step = found, first + step, 2 * step
+    return best if best is not None else top(spark.createDataFrame([], result))
