@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 
@@ -36,16 +37,46 @@ def test_sharding_of_odd_and_empty_tables(spark):
     assert sharding.shard_documents(documents(spark, []), n_shards=3).count() == 0
 
 
-def test_line_dedup_is_relative_to_the_source(spark):
-    rows = [(i, f"menu\n unique {i}\n\nend {i}", "en", "a") for i in range(8)] + [(50 + i, f"menu\nbody {i}", "en", "b") for i in range(3)]
-    out = {r.doc_id: r for r in line_dedup.drop_boilerplate_lines(documents(spark, rows)).collect()}
-    assert out[0].text == " unique 0\n\nend 0" and out[0].n_dropped == 1 and out[0].n_lines == 4
-    assert out[50].text == "menu\nbody 0"  # fewer pages than min_pages
-
-
-def test_line_dedup_of_odd_rows(spark):
-    out = line_dedup.drop_boilerplate_lines(documents(spark, ODD))
-    assert out.count() == 6 and out.filter("text IS NULL").first().n_lines == 0
+def brute_lines(rows, ratio, least, distinct):
+    """{row number: (text, n_lines, n_dropped)} by plain loops."""
+    pages, carry = {}, {}
+    for n, (_, text, _, host) in enumerate(rows):
+        key = (host, text if distinct else n)
+        if key in pages.setdefault(host, set()):
+            continue
+        pages[host].add(key)
+        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+            carry[host, line] = carry.get((host, line), 0) + 1
+    out = {}
+    for n, (_, text, _, host) in enumerate(rows):
+        if text is None:
+            out[n] = (None, 0, 0)
+            continue
+        lines = text.split("\n")
+        kept = [x for x in lines if not x.strip(" ") or not (carry[host, x.strip(" ")] >= least and carry[host, x.strip(" ")] > ratio * len(pages[host]))]
+        out[n] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+@pytest.mark.parametrize(("distinct", "most"), [(True, 100_000), (False, 100_000), (True, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, distinct, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+    rng = np.random.RandomState(3)
+    rows = [(i, "\n".join(f" l{int(k)}" for k in rng.zipf(1.4, rng.randint(1, 9)) % 40), "en", [None, "hot", "hot", "hot", "b", f"tiny{i}"][i % 6]) for i in range(150)]
+    rows += [(500 + i, "copy\nof a page", "en", "hot") for i in range(40)] + [(600, None, "en", "b"), (601, "", "en", "b"), (602, "\n \n", None, None)]
+    docs = documents(spark, rows).withColumnsRenamed({"n_chars": "h", "size": "host"}).withColumns({"n_lines": F.lit("mine"), "t": F.lit(1), "bad.name": F.col("doc_id")})
+    out = line_dedup.drop_boilerplate_lines(docs, 0.2, 2, distinct_pages=distinct)
+    assert set(docs.columns) <= {*out.columns} and {"n_lines", "n_dropped"} <= {*out.columns}
+    want = brute_lines(rows, 0.2, 2, distinct)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in out.collect()}
+    assert got == {rows[n][0]: w for n, w in want.items()}
+    assert got[500][0] == ("copy\nof a page" if distinct else "")
+
+
+@pytest.mark.parametrize("clash", ["__host", "__common", "__kept", "row", "kept", "bad", "a.b"])
+def test_line_dedup_of_odd_rows(spark, clash):
+    out = line_dedup.drop_boilerplate_lines(documents(spark, ODD).withColumn(clash, F.lit(1)))
+    assert out.count() == 6 and out.filter("text IS NULL").first().n_lines == 0 and clash in out.columns
     assert line_dedup.drop_boilerplate_lines(documents(spark, [])).count() == 0
 
 
@@ -89,6 +120,41 @@ def test_exact_dedup(spark, tmp_path):
     assert out[out.doc_id == 4].kept.sum() == 1 and out.kept.sum() == 4
 
 
+def brute_dedup(rows):
+    groups = {}
+    for d, text, *_ in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), d))
+    return sorted((d, min(g)[1], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, d in g)
+
+
+def test_exact_dedup_in_batches_and_again(spark, tmp_path):
+    """Several batches, then a second run with new files on the same state; a digest that texts share."""
+    rng = np.random.RandomState(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "cc", "\t"], rng.randint(0, 6))), "en", "a") for i in range(200)] + [(1000 + i, "hot text", "en", "a") for i in range(150)]
+    source, weak = str(tmp_path / "d"), lambda norm: F.unhex(F.lpad(F.hex(F.length(norm)), 2, "0"))
+    for digest, name in ((exact_dedup.sha256, "strong"), (weak, "weak")):
+        path = f"{source}-{name}"
+        for n in range(6):
+            documents(spark, rows[n::12]).coalesce(1).write.mode("append").parquet(path)
+        size = max(f.stat().st_size for f in (tmp_path / f"d-{name}").glob("*.parquet"))
+        options = {"checkpoint": str(tmp_path / f"ck-{name}"), "bytes_per_batch": 2 * size, "digest": digest}
+        for upto in (6, 12):
+            for n in range(6, upto):
+                documents(spark, rows[n::12]).coalesce(1).write.mode("append").parquet(path)
+            out = exact_dedup.exact_dedup(spark, path, **options).toPandas()
+            now = [r for n in range(upto) for r in rows[n::12]]
+            assert sorted(zip(out.doc_id, out.keep_id, out.group_size, out.text_sha256, strict=True)) == brute_dedup(now)
+            assert out.kept.sum() == len({r[3] for r in brute_dedup(now)}) and (out[out.kept].doc_id == out[out.kept].keep_id).all()
+        assert len(list((tmp_path / f"ck-{name}" / "changes").glob("batch=*"))) >= 6
+
+
+def test_exact_dedup_of_an_empty_table_and_clashing_columns(spark, tmp_path):
+    documents(spark, []).write.parquet(str(tmp_path / "e"))
+    assert exact_dedup.exact_dedup(spark, str(tmp_path / "e")).count() == 0
+    documents(spark, ODD).withColumns({c: F.lit("x") for c in ("digest", "keep_id", "file", "at", "norm", "kept")}).write.parquet(str(tmp_path / "c"))
+    assert exact_dedup.exact_dedup(spark, str(tmp_path / "c")).count() == 6
+
+
 def brute_components(rows, width, percent):
     def shingles(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -148,7 +214,6 @@ def test_packing_round_trip(spark):
     rows += [(500, None, "en", "a"), (501, "w" * 9000, "en", "a")]
     out = packing.pack_documents(documents(spark, rows), path, window=256).toPandas()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     total = 0
     for doc_id, text, *_ in rows:
         ids = np.append(tok.encode(text or "", add_special_tokens=False).ids, 1).astype("<u4")
@@ -235,18 +300,34 @@ def test_leaves_of_odd_pages(html, texts):
     assert [text for _, text, _ in html_extract.leaves(html)] == texts
 
 
+def nearest_recall(out, x, ids, k):
+    hit = 0
+    for q, part in out.groupby("query_id"):
+        s = x.astype(float) @ x[ids.index(q)].astype(float)
+        order = [ids[i] for i in np.lexsort((ids, -np.round(s, 9))) if ids[i] != q][:k]
+        hit += len(set(order) & set(part.vec_id))
+        assert np.allclose([s[ids.index(v)] for v in part.sort_values("rank").vec_id], part.sort_values("rank").score)
+    return hit / max(1, len(out))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.RandomState(4)
     x = rng.randn(400, 8).astype(np.float32)
     x[10:30] = x[10]  # ties
-    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [None] * 8)]
-    out = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).toPandas()
+    rows = [(i, [float(v) for v in x[i]], "x") for i in range(400)] + [(400, None, "x"), (420, [0.0] * 8, "x"), (440, [float("nan")] * 8, "x"), (460, [None] * 8, "x"), (None, [1.0] * 8, "x")]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf string"), k=5).toPandas()
     assert sorted(set(out.query_id)) == list(range(0, 400, 20)) and (out.groupby("query_id").size() == 5).all()
-    hit = 0
-    for q, part in out.groupby("query_id"):
-        s = x.astype(float) @ x[q].astype(float)
-        order = [i for i in np.lexsort((np.arange(400), -np.round(s, 9))) if i != q][:5]
-        hit += len(set(order) & set(part.vec_id))
-        assert np.allclose(s[part.sort_values("rank").vec_id], part.sort_values("rank").score)
-    assert hit >= 0.9 * 100
+    assert nearest_recall(out, x, list(range(400)), 5) >= 0.9
     assert nearest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    few = nearest.nearest(spark.createDataFrame([(0, [1.0, 0.1]), (1, [0.5, 0.2]), (2, [1e-3 / 3, 1.0])], "vec_id long, embedding array<double>")).toPandas()
+    assert few.vec_id.tolist() == [1, 2] and few.score.tolist() == [0.5 + 0.1 * 0.2, 1e-3 / 3 + 0.1]  # double vectors aren't rounded
+
+
+def test_nearest_neighbours_of_clusters_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 64)
+    rng = np.random.RandomState(9)
+    centres = rng.randn(20, 64) * 3
+    x = (centres[rng.randint(20, size=1200)] + rng.randn(1200, 64)).astype(np.float32)
+    x[300:700] = x[300]  # a hot vector
+    out = nearest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    assert len(out) == 60 * 20 and nearest_recall(out, x, list(range(1200)), 20) >= 0.9
