@@ -15,7 +15,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: SQL can express neither the trained classifier nor the random mix; tests hold the stages against brute force.
+#: SQL can express neither the trained classifier nor the random mix; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
