@@ -16,7 +16,8 @@ from tablewright.llm.textvec import IS_SPACE, chunks, lay_out, mix, runs, segmen
 BITS = 18
 #: Labelled documents that the weights are trained on, at most.
 SAMPLE = 4000
-EPOCHS = 4
+#: Passes over them, and updates that training takes at least: few documents are passed over more often.
+EPOCHS, LEAST_STEPS = 4, 12_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 #: 0 white space, 1 part of a word, 2 punctuation.
 KIND = np.where(IS_SPACE, 0, 2).astype(np.int8)
@@ -71,7 +72,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((BETA + np.sqrt(g2[i])) / ALPHA + L2))
 
     rows = [(np.append(i, n), np.append(v, 1.0)) for i, v in rows]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // len(rows))) if rows else 0):
         for k in order.permutation(len(rows)):
             i, v = rows[k]
             w = weights(i)

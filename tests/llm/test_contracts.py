@@ -149,7 +149,7 @@ def test_ftrl_against_plain_loops():
         s = z.get(i, 0.0)
         return 0.0 if abs(s) <= l1 else -(s - math.copysign(l1, s)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
 
-    for _ in range(quality.EPOCHS):
+    for _ in range(quality.LEAST_STEPS // 30):
         for k in order.permutation(30):
             x = dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)) | {bias: 1.0}
             w = {i: weight(i) for i in x}
