@@ -34,9 +34,14 @@ def fold_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9 ]+", " "))
 
 
+def fold_words(text: Column) -> Column:
+    """Lower case, and one space for every run of other characters than letters and digits."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def squash(text: Column) -> Column:
-    """Only letters and digits stay."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]+", "")
+    """Only letters and digits stay, in lower case."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
 def strip(text: Column, chars: str) -> Column:
@@ -85,7 +90,7 @@ def us_date(text: Column) -> Column:
 
 def split_cells(text: Column) -> Column:
     """The cells of a line that aren't empty."""
-    return F.filter(F.transform(F.split(text, CELL_BREAK), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(text, CELL_BREAK), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def label_pattern(label_key: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,70 +17,169 @@ def has_figures() -> Column:
     return F.exists("values", lambda v: F.coalesce(v, F.lit("")) != "")
 
 
+def with_indents(rows: DataFrame, deeper: float = 2.0) -> DataFrame:
+    """rows with item_x0 and total_x0 of their document (F1), null where no row has figures. A document's rows come together
+    once, and all that follows by document stays where it is."""
+    edge = F.when(has_figures(), F.round("x0", 0))
+    same, doc = Window.partitionBy("doc_id", "edge"), Window.partitionBy("doc_id")
+    own = rows.repartition("doc_id").withColumn("edge", edge)
+    first = F.min(F.struct("page", "y")).over(same)
+    own = own.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("first", first)
+    rank = F.when(F.col("edge").isNotNull(), F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.y")).alias("y"), "edge"))
+    own = own.withColumn("item_x0", F.max(rank).over(doc)["edge"])
+    own = own.withColumn("total_x0", F.min(F.when(F.col("edge") > F.col("item_x0") + deeper, F.col("edge"))).over(doc))
+    return own.drop("edge", "n", "first")
+
+
 def dominant_indent(rows: DataFrame, deeper: float = 2.0) -> DataFrame:
     """per document the most common indent of rows with figures (ties to the first seen), and the least deeper one."""
-    own = rows.filter(has_figures() & F.col("x0").isNotNull()).select("doc_id", F.round("x0", 0).alias("x0"), F.struct("page", "y").alias("at"))
-    counts = own.groupBy("doc_id", "x0").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    item = counts.groupBy("doc_id").agg(F.max_by("x0", F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.y")).alias("y"))).alias("item_x0"))
-    return item.join(counts, "doc_id").groupBy("doc_id", "item_x0").agg(F.min(F.when(F.col("x0") > F.col("item_x0") + deeper, F.col("x0"))).alias("total_x0"))
+    own = rows.filter(has_figures() & F.col("x0").isNotNull()).groupBy("doc_id", F.round("x0", 0).alias("x0")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "y")).alias("first"))
+    rank = F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.y")).alias("y"), "x0")
+    both = own.groupBy("doc_id").agg(F.max(rank)["x0"].alias("item_x0"), F.collect_list("x0").alias("edges"))
+    return both.select("doc_id", "item_x0", F.array_min(F.filter("edges", lambda x: x > F.col("item_x0") + deeper)).alias("total_x0"))
 
 
-def section_totals(rows: DataFrame, col: int, near: float = 2.0) -> DataFrame:
-    """V1: each printed total against the sum of the items since the last heading or total."""
-    own = rows.join(dominant_indent(rows), "doc_id").filter(F.col("x0").isNotNull() & F.col("total_x0").isNotNull())
+def section_totals(rows: DataFrame, col: int | None = None, near: float = 2.0) -> DataFrame:
+    """V1: each printed total of a column, or of every column, against the sum of the items since the last heading or total."""
+    own = rows if "item_x0" in rows.columns else with_indents(rows)
+    own = own.filter(F.col("x0").isNotNull() & F.col("total_x0").isNotNull())
     x, item = F.col("x0"), F.col("item_x0")
     kind = (
-        F.when(~has_figures(), F.when(x < item - near, "break").otherwise("skip"))
-        .when(x < item - near, "break")
+        F.when(x < item - near, "break")
+        .when(~has_figures(), "skip")
         .when(F.abs(x - item) <= near, "item")
         .when(x >= F.col("total_x0") - near, "total")
         .otherwise("skip")
     )
-    own = own.withColumn("kind", kind).withColumn("v", parse_figure(F.element_at("values", col + 1)))
     w = Window.partitionBy("doc_id").orderBy("page", "y")
     ends = F.col("kind").isin("break", "total").cast("int")
-    own = own.withColumn("bucket", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    items = own.filter("kind = 'item' AND v IS NOT NULL").groupBy("doc_id", "bucket").agg(F.sum("v").alias("sum"), F.count(F.lit(1)).alias("n"))
-    totals = own.filter("kind = 'total' AND v IS NOT NULL").join(items, ["doc_id", "bucket"])
+    own = own.withColumn("kind", kind).withColumn("bucket", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cells = F.transform("values", lambda v, i: F.struct(i.alias("col"), parse_figure(v).alias("v")))
+    wanted = lambda c: c["v"].isNotNull() & (F.lit(True) if col is None else c["col"] == col)
+    own = own.filter("kind IN ('item', 'total')").withColumn("c", F.explode(F.filter(cells, wanted)))
+    is_item, total = F.col("kind") == "item", F.struct("page", "y", "label", F.col("c.v").alias("v"))
+    sums = own.groupBy("doc_id", "bucket", F.col("c.col").alias("col")).agg(
+        F.sum(F.when(is_item, F.col("c.v"))).alias("sum"), F.count_if(is_item).alias("n"), F.max(F.when(~is_item, total)).alias("t")
+    )
     got = F.round("sum", 2).cast("decimal(18,4)")
-    diff = F.round(got - F.col("v"), 2)
-    return totals.select(
-        "doc_id", "page", "y", F.lit("section_total").alias("check"), F.lit(f"col{col}").alias("scope"), "label", F.col("v").alias("expected"),
+    diff = F.round(got - F.col("t.v"), 2)
+    return sums.filter("n > 0 AND t IS NOT NULL").select(
+        "doc_id", "t.page", "t.y", F.lit("section_total").alias("check"), F.concat(F.lit("col"), F.col("col").cast("string")).alias("scope"), "t.label", F.col("t.v").alias("expected"),
         got.alias("got"), diff.cast("decimal(18,2)").alias("diff"), (F.abs(diff) <= F.greatest(F.lit(TOL), F.lit(TOL) * F.col("n"))).alias("ok"),
         F.concat(F.col("n").cast("string"), F.lit(" item(s)")).alias("note"),
     )
 
 
-def flat_totals(rows: DataFrame, col: int) -> DataFrame:
-    """V2: totals by their label; a total stands in for the rows it covers, so a later one adds the rows and totals since."""
-    own = rows.withColumn("v", parse_figure(F.element_at("values", col + 1))).filter("v IS NOT NULL").withColumn("is_total", F.lower("label").startswith("total"))
-    w = Window.partitionBy("doc_id").orderBy("page", "y")
-    own = own.withColumn("bucket", F.coalesce(F.sum(F.col("is_total").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    items = own.filter("NOT is_total").groupBy("doc_id", "bucket").agg(F.sum("v").alias("got"), F.count(F.lit(1)).alias("n"))
-    return own.filter("is_total").join(items, ["doc_id", "bucket"]).select("doc_id", "y", "label", F.col("v").alias("expected"), "got", (F.abs(F.col("got") - F.col("v")) <= F.greatest(F.lit(TOL), F.lit(TOL) * F.col("n"))).alias("ok"))
+# Labels of rows that sum the rows above them.
+TOTAL_LABEL = r"(?i)^\s*(grand\s+)?(sub)?\s*totals?\b|^\s*top\s+\d+\b|\btotals?\s*$"
+
+
+def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
+    """A row for each total of each column: what it prints, the n rows it covers (those since the last total, which stands in
+    for what it covers itself), and every method's value over these: sum, average, weighted average, ratio of two columns."""
+    nums = F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda i: parse_figure(F.get("values", i)))
+    own = rows.select("doc_id", "page", "y", "label", nums.alias("nums"), F.coalesce(F.col("label").rlike(TOTAL_LABEL), F.lit(False)).alias("is_total"))
+    own = own.withColumn("c", F.explode(F.filter(F.transform("nums", lambda v, i: F.struct(i.alias("col"), v.alias("v"))), lambda c: c["v"].isNotNull()))).select("*", "c.*").drop("c")
+    w = Window.partitionBy("doc_id", "col").orderBy("page", "y").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("bucket", F.coalesce(F.sum(F.col("is_total").cast("long")).over(w), F.lit(0)))
+    # a total ends its own segment and is a member of the next one
+    roles = F.when(F.col("is_total"), F.array(F.struct(F.lit(0).alias("later"), F.lit(False).alias("member")), F.struct(F.lit(1).alias("later"), F.lit(True).alias("member"))))
+    roles = roles.otherwise(F.array(F.struct(F.lit(0).alias("later"), F.lit(True).alias("member"))))
+    own = own.withColumn("r", F.explode(roles)).withColumn("bucket", F.col("bucket") + F.col("r.later")).withColumn("member", F.col("r.member"))
+    mine = lambda c: F.when(F.col("member"), c)
+    num = lambda x: F.get("nums", F.lit(x))
+    sums = [F.sum(mine(num(x))).alias(f"s{x}") for x in range(n_columns)] + [F.count(mine(num(x))).alias(f"k{x}") for x in range(n_columns)]
+    sums += [F.sum(mine(num(x) * F.col("v"))).alias(f"p{x}") for x in range(n_columns)]
+    last = F.max(F.when(~F.col("member"), F.struct("page", "y", "label", "v"))).alias("t")
+    seg = own.groupBy("doc_id", "col", "bucket").agg(F.sum(mine(F.col("v"))).alias("s"), F.count(mine(F.col("v"))).alias("n"), last, *sums)
+    seg = seg.filter("t IS NOT NULL AND n > 0")
+    d = lambda c: F.col(c).cast("double")
+    value = lambda name, rank, v, ok: F.when(ok & v.isNotNull(), F.struct(F.lit(name).alias("method"), F.lit(rank).alias("rank"), v.cast("decimal(18,4)").alias("value")))
+    over = lambda a, b: F.round(F.try_divide(a, b), 4)
+    found = [value("sum", 0, F.round("s", 2), F.lit(True)), value("average", 1, over(d("s"), d("n")), F.lit(True))]
+    for x in range(n_columns):
+        found.append(value(f"average weighted by column {x + 1}", 2, over(d(f"p{x}"), d(f"s{x}")), (F.col("col") != x) & (F.col(f"k{x}") == F.col("n")) & (F.col(f"s{x}") != 0)))
+        for y in range(n_columns):
+            full = (F.col(f"k{x}") == F.col("n")) & (F.col(f"k{y}") == F.col("n")) & (F.col(f"s{y}") != 0)
+            if x != y:
+                found.append(value(f"column {x + 1} total over column {y + 1} total", 3, over(d(f"s{x}"), d(f"s{y}")), ~F.col("col").isin(x, y) & full))
+    return seg.select("doc_id", "col", "t.page", "t.y", "t.label", F.col("t.v").alias("expected"), "n", F.filter(F.array(*found), lambda h: h.isNotNull()).alias("methods"))
+
+
+def reconciles(method: Column, value: Column, printed: Column, n: Column) -> Column:
+    """A sum is exact but for a cent a row; an average is made of rounded figures."""
+    slack = F.when(method == "sum", F.greatest(F.lit(TOL), F.lit(TOL) * n)).otherwise(F.greatest(F.lit(0.05), F.abs(printed).cast("double") * 0.002))
+    return F.abs(value - printed).cast("double") <= slack
+
+
+def total_method_vote(segments: DataFrame) -> DataFrame:
+    """V3: per document and column the method that its totals agree on: the most rows behind agreeing totals, simpler methods
+    first, then by name; sum where nothing agrees."""
+    each = segments.select("doc_id", "col", "expected", "n", F.explode("methods").alias("m"))
+    fits = reconciles(F.col("m.method"), F.col("m.value"), F.col("expected"), F.col("n"))
+    votes = each.groupBy("doc_id", "col", "m.method", "m.rank").agg(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("votes"))
+    best = votes.groupBy("doc_id", "col").agg(F.min(F.when(F.col("votes") > 0, F.struct((-F.col("votes")).alias("v"), "rank", "method"))).alias("b"))
+    return best.select("doc_id", "col", F.coalesce("b.method", F.lit("sum")).alias("method"), F.coalesce(-F.col("b.v"), F.lit(0)).alias("votes"))
+
+
+def flat_totals(rows: DataFrame, n_columns: int) -> DataFrame:
+    """V2: totals known by their label, each judged by the one method that its column's totals agree on."""
+    segments = total_segments(rows, n_columns)
+    own = segments.join(total_method_vote(segments), ["doc_id", "col"])
+    chosen = lambda name: F.get(F.filter("methods", lambda m: m["method"] == name), F.lit(0))
+    used = F.coalesce(chosen(F.col("method")), chosen("sum"))
+    own = own.withColumn("used", used)
+    ok = reconciles(F.col("used.method"), F.col("used.value"), F.col("expected"), F.col("n"))
+    return own.select(
+        "doc_id", "page", "y", F.lit("table_total").alias("check"), F.concat(F.lit("col"), F.col("col").cast("string")).alias("scope"), "label", "expected", F.col("used.value").alias("got"),
+        F.round(F.col("used.value") - F.col("expected"), 2).cast("decimal(18,2)").alias("diff"), ok.alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" row(s) above it, as "), F.col("used.method")).alias("note"),
+    )
+
+
+def run_checks(rows: DataFrame, n_columns: int) -> DataFrame:
+    """V6: section totals where a document has an indent for totals, else totals by label; stray figures always, ragged rows
+    where it is indented."""
+    own = with_indents(rows)
+    indented, flat = own.filter("total_x0 IS NOT NULL"), own.filter("total_x0 IS NULL").drop("item_x0", "total_x0")
+    out = section_totals(indented).unionByName(flat_totals(flat, n_columns))
+    stray = unbinned_audit(own.withColumn("unbinned", F.col("unbinned") if "unbinned" in own.columns else F.array().cast("array<string>")))
+    ragged = ragged_rows(indented).withColumn("note", F.concat(F.lit("empty column(s): "), F.col("empty"))).drop("empty").withColumns({"check": F.lit("ragged_row"), "ok": F.lit(False)})
+    for other in (stray, ragged):
+        out = out.unionByName(other.withColumn("scope", F.lit("row")), allowMissingColumns=True)
+    return out
 
 
 def unbinned_audit(rows: DataFrame) -> DataFrame:
     """V4: every row with a figure that fell in no column fails, with the figures."""
-    return rows.filter(F.size("unbinned") > 0).select("doc_id", "page", "y", F.lit("unbinned").alias("check"), F.lit(False).alias("ok"), F.array_join("unbinned", " ").alias("note"))
+    return rows.filter(F.size("unbinned") > 0).select("doc_id", "page", "y", *(["label"] if "label" in rows.columns else []), F.lit("unbinned").alias("check"), F.lit(False).alias("ok"), F.array_join("unbinned", " ").alias("note"))
 
 
 def ragged_rows(rows: DataFrame) -> DataFrame:
     """V5: item rows that fill some columns but not all, with the empty ones."""
-    own = rows.join(dominant_indent(rows), "doc_id").filter(F.abs(F.col("x0") - F.col("item_x0")) <= 2.0)
+    own = (rows if "item_x0" in rows.columns else with_indents(rows)).filter(F.abs(F.col("x0") - F.col("item_x0")) <= 2.0)
     empty = F.filter(F.transform("values", lambda v, i: F.when(F.coalesce(v, F.lit("")) == "", i)), lambda i: i.isNotNull())
     return own.withColumn("empty", empty).filter((F.size("empty") > 0) & (F.size("empty") < F.size("values"))).select("doc_id", "page", "y", "label", F.array_join("empty", ",").alias("empty"))
 
 
 def check_summary(checks: DataFrame) -> DataFrame:
-    """V7: passed and failed by check."""
-    return checks.groupBy("check").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+    """V7: passed and failed by check, and a row `all` with the totals."""
+    each = checks.select(F.explode(F.array("check", F.lit("all"))).alias("check"), "ok")
+    return each.groupBy("check").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+
 
+def failing_rows(checks: DataFrame) -> DataFrame:
+    """V7: the checks that failed, with what they read and what is printed."""
+    return checks.filter(~F.col("ok")).select("doc_id", "page", "y", "check", "scope", "label", "expected", "got", "diff", "note")
 
-def periodic_tie_out(rows: DataFrame) -> DataFrame:
-    """V9: whether the parts of a row, two at least, sum to its last column."""
+
+def periodic_tie_out(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """V9: whether the parts of a row, two at least, sum to its total column: the first of `names` that is total, ytd or sum,
+    else the last column."""
+    named = [i for i, n in enumerate(names or []) if n.strip().lower() in ("total", "ytd", "sum")]
     parsed = F.transform("values", parse_figure)
-    own = rows.withColumn("v", parsed).withColumn("total", F.element_at("v", -1)).withColumn("parts", F.filter(F.slice("v", F.lit(1), F.size("v") - 1), lambda x: x.isNotNull()))
+    at = F.lit(named[0]) if named else F.size("v") - 1
+    own = rows.withColumn("v", parsed).withColumn("total", F.get("v", at))
+    own = own.withColumn("parts", F.filter(F.transform("v", lambda x, i: F.when(i != at, x)), lambda x: x.isNotNull()))
     own = own.filter((F.size("parts") >= 2) & F.col("total").isNotNull())
     got = F.aggregate("parts", F.lit(0).cast("decimal(38,4)"), lambda s, x: (s + x).cast("decimal(38,4)"))
     return own.select("doc_id", "row_no", "total", got.alias("got"), (F.abs(got - F.col("total")) < 0.02).alias("ok"))
@@ -133,26 +234,89 @@ def recipe_scoreboard(runs: DataFrame) -> DataFrame:
     return runs.groupBy("slug").agg(F.count(F.lit(1)).alias("applied"), F.count_if("reconciled").alias("reconciled"), F.count_if(~F.col("reconciled")).alias("failed"))
 
 
-def count_parity(anchors: DataFrame, records: DataFrame) -> DataFrame:
-    """Documents whose number of anchors differs from their number of records, files without records included."""
-    a, r = anchors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors")), records.groupBy("doc_id").agg(F.count(F.lit(1)).alias("records"))
-    both = a.join(r, "doc_id", "full_outer").select("doc_id", F.coalesce("anchors", F.lit(0)).alias("anchors"), F.coalesce("records", F.lit(0)).alias("records"))
-    return both.filter("anchors <> records")
+def count_parity(anchors: DataFrame, records: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Documents whose number of anchors differs from their number of records, or of steps where both sides have a column
+    `steps`; and with `issues` (doc_id) those that yield neither a record nor an issue."""
+    steps = "steps" in anchors.columns and "steps" in records.columns
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name), *([F.sum("steps").alias(f"{name}_steps")] if steps else []))
+    both = count(anchors, "anchors").join(count(records, "records"), "doc_id", "full_outer")
+    both = both.na.fill(0, [c for c in both.columns if c != "doc_id"])
+    wrong = F.col("anchors") != F.col("records")
+    if steps:
+        wrong = wrong | (F.col("anchors_steps") != F.col("records_steps"))
+    if issues is not None:
+        both = both.join(issues.select("doc_id").distinct().withColumn("stated", F.lit(True)), "doc_id", "left")
+        silent = (F.col("records") == 0) & F.col("stated").isNull()
+        both, wrong = both.withColumn("silent", silent).drop("stated"), wrong | F.col("silent")
+    return both.filter(wrong)
 
 
 def evidence_lines(values: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines of a page that print a value, not inside a longer word or figure. Joined by the document, not by all lines."""
-    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.col("value"), F.lit(r"\E(?![A-Za-z0-9])"))
-    found = values.filter("value <> ''").join(lines.select("doc_id", "page", "line_no", "text"), ["doc_id", "page"])
-    return found.filter(F.col("text").contains(F.col("value"))).filter(F.regexp_like("text", quoted)).select("doc_id", "page", "field", "value", "line_no")
+    """Lines of a page that print a value, not inside a longer word or figure; a value that no line prints alone is looked
+    for across line ends, and is then found at the line where it begins. Joined by page, not by all lines."""
+    quoted = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])"))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    pages = lines.groupBy("doc_id", "page").agg(rows.alias("rows"))
+    own = values.filter("value <> ''").select("doc_id", "page", "field", "value").join(pages, ["doc_id", "page"])
+    prints = lambda r: r["text"].contains(F.col("value")) & F.regexp_like(r["text"], quoted(F.col("value")))
+    own = own.withColumn("at", F.transform(F.filter("rows", prints), lambda r: r["line_no"]))
+    whole = F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["text"]), " "), r"\s+", " ")
+    flat = F.regexp_replace("value", r"\s+", " ")
+    place = F.when(whole.contains(flat) & F.regexp_like(whole, quoted(flat)), F.instr(whole, flat))
+    own = own.withColumn("place", F.when(F.size("at") == 0, place))
+    ends = F.transform("rows", lambda r, i: F.struct(r["line_no"].alias("n"), F.length(F.regexp_replace(F.array_join(F.transform(F.slice("rows", 1, i + 1), lambda x: x["text"]), " "), r"\s+", " ")).alias("upto")))
+    across = F.get(F.filter(ends, lambda e: e["upto"] >= F.col("place")), F.lit(0))["n"]
+    own = own.withColumn("found", F.when(F.size("at") > 0, F.transform("at", lambda n: F.struct(n.alias("line_no"), F.lit("line").alias("method")))).when(F.col("place").isNotNull(), F.array(F.struct(across.alias("line_no"), F.lit("across lines").alias("method")))))
+    return own.select("doc_id", "page", "field", "value", F.explode("found").alias("f")).select("doc_id", "page", "field", "value", "f.*")
 
 
 def ground_values(cells: DataFrame, sources: DataFrame) -> DataFrame:
-    """Cells whose figure doesn't occur, by value, among the figures of their source."""
-    figures = sources.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\(?-?[\d,]*\.?\d+\)?"), F.lit(0))).alias("t"))
-    figures = figures.select("doc_id", F.abs(parse_figure(F.col("t"))).alias("v")).distinct()
-    own = cells.withColumn("v", F.abs(parse_figure(F.col("value")))).filter("v IS NOT NULL")
-    return own.join(figures, ["doc_id", "v"], "left_anti").select("doc_id", "row_no", "value")
+    """Cells (doc_id, row_no, value) not found in their source: a figure must occur there by its signed value, other text
+    of four letters and digits or more as a part of the folded text. Blank cells are not looked at."""
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\(?-?\$?[\d,]*\.?\d+\)?-?%?"), F.lit(0)), parse_figure))
+    src = sources.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    src = src.select("doc_id", found.alias("figures"), plain(F.col("text")).alias("folded"))
+    own = cells.filter("trim(value) <> ''").join(src, "doc_id", "left").withColumn("v", parse_figure(F.col("value")))
+    text = plain(F.col("value"))
+    ok = F.when(F.col("v").isNotNull(), F.array_contains("figures", F.col("v"))).when(F.length(text) >= 4, F.col("folded").contains(text)).otherwise(True)
+    return own.withColumn("ok", F.coalesce(ok, F.lit(False))).select("doc_id", "row_no", "value", "ok")
+
+
+def ungrounded(checked: DataFrame) -> DataFrame:
+    """Of what `ground_values` returns per document how many cells were checked and how many aren't grounded."""
+    return checked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("ok")).alias("ungrounded"))
+
+
+def output_shape(tables: DataFrame, declared: Sequence[str] | None = None, most_columns: int = 80, most_rows: int = 1000) -> DataFrame:
+    """Tables (doc_id, columns, rows) with their rows padded or cut to the columns, how many were, and what is wrong."""
+    names = F.transform("columns", lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    own = tables.select("doc_id", names.alias("columns"), "rows")
+    width = F.size("columns")
+    blank = F.array_repeat(F.lit(None).cast("string"), width)
+    why = (
+        F.when((width < 1) | (width > most_columns), "number of columns")
+        .when(F.exists("columns", lambda c: c == "") | (F.size(F.array_distinct("columns")) < width), "column names blank or repeated")
+        .when(~(F.col("columns") == F.array(*[F.lit(c) for c in declared])) if declared else F.lit(False), "not the declared columns")
+        .when((F.size("rows") < 1) | (F.size("rows") > most_rows), "number of rows")
+    )
+    level = F.transform("rows", lambda r: F.slice(F.concat(r, blank), 1, F.greatest(width, F.lit(1))))
+    return own.select("doc_id", "columns", level.alias("rows"), F.size(F.filter("rows", lambda r: F.size(r) != width)).alias("ragged"), F.coalesce(why, F.lit("")).alias("problem"))
+
+
+def cell_verify(output: DataFrame, printed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per field how many of the cells that should be there (keys, field, value as printed) agree with the output's number
+    when that is printed with as many decimals; mismatches, and those without an output to compare."""
+    digits = lambda c: F.regexp_replace(c, r"[$,\s]", "")
+    own = printed.select(*keys, "field", digits(F.col("value")).alias("want")).filter("want <> ''")
+    own = own.join(output.select(*keys, "field", F.col("value").cast("decimal(28,6)").alias("out")), [*keys, "field"], "left")
+    negative = F.col("want").rlike(r"^\(.*\)$|-")
+    bare = F.regexp_replace("want", "[()-]", "")
+    places = F.length(F.regexp_extract(bare, r"\.(\d+)$", 1))
+    shown = F.coalesce(*[F.when(places == n, F.abs("out").cast(f"decimal(28,{n})").cast("string")) for n in range(7)])
+    same = (shown == F.regexp_replace(bare, r"^\.", "0.")) & (((F.col("out") < 0) == negative) | (F.col("out") == 0))
+    own = own.withColumn("same", F.when(F.col("out").isNotNull() & bare.rlike(r"^\d*\.?\d+$"), same))
+    return own.groupBy("field").agg(F.count("same").alias("compared"), F.count_if(~F.col("same")).alias("mismatches"), F.count_if(F.col("same").isNull()).alias("unchecked"))
 
 
 def printed_section_totals(data: DataFrame, printed: DataFrame) -> DataFrame:

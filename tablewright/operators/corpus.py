@@ -9,26 +9,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# How a file is read, by extension.
+from tablewright.functions.vocabulary import parse_figure
+
+# How a file is read, by extension, and folders that hold no documents.
 ROUTES = {
-    "pdf": "pdf", "docx": "text", "txt": "text", "md": "text", "csv": "text", "html": "text", "htm": "text", "json": "text", "parquet": "table",
-    "xlsx": "text", "pptx": "text", "png": "needs_ocr", "jpg": "needs_ocr", "jpeg": "needs_ocr", "tif": "needs_ocr", "tiff": "needs_ocr",
+    "pdf": "pdf", "xlsx": "table", "xls": "table", "xlsm": "table", "csv": "table", "tsv": "table", "docx": "doc", "pptx": "doc",
+    "png": "needs_ocr", "jpg": "needs_ocr", "jpeg": "needs_ocr", "tif": "needs_ocr", "tiff": "needs_ocr", "webp": "needs_ocr", "bmp": "needs_ocr",
+    "txt": "text", "md": "text", "html": "text", "htm": "text", "json": "text", "xml": "text",
 }
+SKIPPED = ("node_modules", "__pycache__", "$RECYCLE.BIN", "System Volume Information")
 MARKER = r"(?s)<!--\s*=*\s*\[(?:file: [^|\]]*\|\s*)?page (\d+)\]?\s*=*\s*-->"
 
 
 def scan_manifest(spark: SparkSession, root: str, depth: int = 1, allow_ocr: bool = False) -> DataFrame:
-    """One row per file below root: path, name, ext, size, grp (its first folders) and route. Contents aren't read."""
+    """One row per file below root: path, name, ext, size, grp (its first folders; root's own name for depth 0), route, note.
+
+    Contents aren't read. Files that begin with "." or "~$", and folders that begin with "." or hold no documents, are left out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
-    parts = F.split(rel, "/")
+    return routed(files.withColumn("rel", rel), base.rpartition("/")[2], depth, allow_ocr)
+
+
+def routed(files: DataFrame, root_name: str, depth: int = 1, allow_ocr: bool = False) -> DataFrame:
+    """S1 on listed files (path, rel to the root, size)."""
+    parts = F.split("rel", "/")
     name = F.element_at(parts, -1)
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    routes = F.create_map(*[x for k, v in ROUTES.items() for x in (F.lit(k), F.lit("ocr" if allow_ocr and v == "needs_ocr" else v))])
-    grp = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, 1, depth), "/")).otherwise("(root)") if depth > 0 else F.lit("(all)")
-    out = files.select(F.col("path"), name.alias("name"), ext.alias("ext"), "size", grp.alias("grp"), F.coalesce(routes[ext], F.lit("unsupported")).alias("route"))
-    return out.filter(~F.col("name").rlike(r"^(\.|~\$)") & ~rel.rlike(r"(^|/)(\.[^/]+|__MACOSX|node_modules|\$RECYCLE\.BIN)/"))
+    ext = F.lower(F.regexp_extract(name, r"[^.].*\.([^.]+)$", 1))
+    routes = F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])
+    plain = F.coalesce(routes[ext], F.lit("unsupported"))
+    image = plain == "needs_ocr"
+    route = F.when(image & F.lit(allow_ocr), "ocr").otherwise(plain)
+    note = F.when(image, "read by OCR, which this run allows" if allow_ocr else "an image, and OCR is off").otherwise("")
+    grp = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, 1, depth), "/")).otherwise("(root)") if depth > 0 else F.lit(root_name)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    out = F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED)) | name.startswith(".") | name.startswith("~$")
+    return files.filter(~out).select("path", name.alias("name"), ext.alias("ext"), "size", grp.alias("grp"), route.alias("route"), note.alias("note"))
 
 
 def manifest_summary(manifest: DataFrame) -> DataFrame:
@@ -56,17 +73,37 @@ def split_pages(transcripts: DataFrame) -> DataFrame:
 
 
 def html_to_text(pages: DataFrame) -> DataFrame:
-    """Paragraphs of a page: scripts and styles dropped with their bodies, tags turned to line breaks, cut at blank lines."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?s)<[^>]+>", "\n")
-    paragraphs = F.filter(F.transform(F.split(bare, r"\n\s*\n"), lambda p: F.btrim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    """Paragraphs of a page: scripts and styles dropped with their bodies, a space for every tag, cut at blank lines."""
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", " "), r"(?s)<[^>]+>", " ")
+    trimmed = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
+    paragraphs = F.filter(F.transform(F.split(bare, r"\n\s*\n"), trimmed), lambda p: p != "")
     return pages.select("page_id", F.posexplode(paragraphs).alias("par_no", "text"))
 
 
 def decode_entities(text: Column) -> Column:
     # The named references that are decoded.
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#36", "$"), ("#39", "'"), ("amp", "&")):
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
+    code = lambda r: F.when(F.lower(r).startswith("x"), F.conv(F.substr(r, F.lit(2)), 16, 10).cast("int")).otherwise(r.try_cast("int"))
+
+    def char(n: Column) -> Column:
+        """The character of a code point, by its UTF-8 bytes."""
+        hexed = lambda x: F.lpad(F.hex(x), 2, "0")
+        tail = lambda k: F.shiftright(n, 6 * k).bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128)).cast("long")
+        return F.decode(
+            F.unhex(
+                F.when(n < 128, hexed(n.cast("long")))
+                .when(n < 2048, F.concat(hexed(F.shiftright(n, 6).bitwiseOR(F.lit(192)).cast("long")), hexed(tail(0))))
+                .when(n < 65536, F.concat(hexed(F.shiftright(n, 12).bitwiseOR(F.lit(224)).cast("long")), hexed(tail(1)), hexed(tail(0))))
+                .otherwise(F.concat(hexed(F.shiftright(n, 18).bitwiseOR(F.lit(240)).cast("long")), hexed(tail(2)), hexed(tail(1)), hexed(tail(0))))
+            ),
+            "UTF-8",
+        )
+
+    known = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    swap = lambda s, r: F.when(known(code(r)), F.replace(s, F.concat(F.lit("&#"), r, F.lit(";")), char(code(r)))).otherwise(s)
+    return F.replace(F.when(F.size(found) > 0, F.aggregate(found, text, swap)).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
 def normalise_transcripts(pages: DataFrame) -> DataFrame:
@@ -81,14 +118,37 @@ def normalise_transcripts(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.posexplode(lines).alias("n", "text")).select("doc_id", "page", (F.col("n") + 1).alias("line_no"), "text")
 
 
+# The tags that make a table.
+TABLE_TAG = r"(?is)^<(/?)(table|tr|td|th)\b"
+
+
 def lift_tables(pages: DataFrame) -> DataFrame:
-    """Every cell of every table of a page with its place; empty cells stay, flagged."""
-    inner = lambda c, tag: F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
-    t = pages.select("doc_id", "page", F.posexplode(inner(F.col("text"), "table")).alias("table_no", "t"))
-    r = t.select("doc_id", "page", "table_no", F.posexplode(inner(F.col("t"), "tr")).alias("row_no", "r"))
-    c = r.select("doc_id", "page", "table_no", "row_no", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1))).alias("col_no", "c"))
-    text = F.btrim(F.regexp_replace(decode_entities(F.regexp_replace("c", r"<[^>]+>", " ")), r"\s+", " "))
-    return c.withColumn("text", text).withColumn("is_empty", F.col("text") == "").drop("c")
+    """Every cell of every table of a page with its place; empty cells stay, flagged. A table within a cell is a table of
+    its own, numbered where it begins; what the outer cell says before and after it stays in the outer cell.
+
+    The markup is cut into tags and text. How many tables are open at a place says how deep it lies, and at each depth
+    the last table, row and cell begun are the ones it belongs to.
+    """
+    pieces = F.regexp_extract_all("text", F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0))
+    own = pages.filter(F.lower("text").contains("<table")).select("doc_id", "page", F.posexplode(pieces).alias("at", "piece"))
+    tag = F.lower(F.regexp_extract("piece", TABLE_TAG, 2))
+    own = own.withColumn("tag", tag).withColumn("end", F.regexp_extract("piece", TABLE_TAG, 1) == "/")
+    page = Window.partitionBy("doc_id", "page").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    opens, closes = (F.col("tag") == "table") & ~F.col("end"), (F.col("tag") == "table") & F.col("end")
+    own = own.withColumn("opened", F.sum(opens.cast("int")).over(page)).withColumn("depth", F.col("opened") - F.sum(closes.cast("int")).over(page))
+    level = Window.partitionBy("doc_id", "page", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("table_no", F.last(F.when(opens, F.col("opened") - 1), ignorenulls=True).over(level)).filter("depth > 0 AND table_no IS NOT NULL")
+    table = Window.partitionBy("doc_id", "page", "table_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("row_no", F.sum(((F.col("tag") == "tr") & ~F.col("end")).cast("int")).over(table) - 1).filter("row_no >= 0")
+    row = Window.partitionBy("doc_id", "page", "table_no", "row_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cell = F.col("tag").isin("td", "th")
+    own = own.withColumn("col_no", F.sum((cell & ~F.col("end")).cast("int")).over(row) - 1)
+    own = own.withColumn("open", F.last(F.when(cell, ~F.col("end")), ignorenulls=True).over(row)).filter("col_no >= 0")
+    said = F.when(F.col("open") & ~F.col("piece").startswith("<"), F.col("piece")).otherwise(" ")
+    parts = F.array_sort(F.collect_list(F.struct("at", said.alias("t"))))
+    out = own.groupBy("doc_id", "page", "table_no", "row_no", "col_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("raw"))
+    text = F.btrim(F.regexp_replace(decode_entities(F.col("raw")), r"[\s\u00a0]+", " "))
+    return out.withColumn("text", text).withColumn("is_empty", F.col("text") == "").drop("raw")
 
 
 def collapse_runs(cells: DataFrame) -> DataFrame:
@@ -100,12 +160,12 @@ def collapse_runs(cells: DataFrame) -> DataFrame:
 
 
 def page_range_filter(pages: DataFrame, spec: str) -> DataFrame:
-    """The pages that a range such as "1-3, 7, 9-" names; blank is all."""
+    """The pages that a range such as "1-3, 7, 9-" names; blank is all, and a part that names no page is passed over."""
     test = F.lit(not spec.strip())
-    for part in filter(None, (p.strip() for p in spec.split(","))):
-        low, dash, high = (x.strip() for x in part.partition("-"))
-        one = F.col("page") == int(low) if not dash else F.col("page") >= int(low or 1)
-        test = test | (one & (F.col("page") <= int(high)) if high else one)
+    for low, dash, high in re.findall(r"(?:^|,)\s*(\d*)\s*(-?)\s*(\d*)\s*(?=,|$)", spec):
+        if low or high:
+            one = F.col("page") >= int(low or 1)
+            test = test | (one if dash and not high else one & (F.col("page") <= int(high if dash else low)))
     return pages.filter(test)
 
 
@@ -121,46 +181,60 @@ def collapse_page_ranges(pages: DataFrame) -> DataFrame:
 
 def exclude_processed(manifest: DataFrame, done: DataFrame) -> DataFrame:
     """Rows whose content hash isn't done yet, one per hash (the least name)."""
-    w = Window.partitionBy("hash").orderBy("name")
-    return manifest.join(done.select("hash"), "hash", "left_anti").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
-
-
-def word_votes(text: Column) -> Column:
-    """Whether each word of a text is like a word: true, false, or null where it is no evidence."""
-
-    def vote(t: Column) -> Column:
-        bare = F.regexp_replace(t, r"^[^0-9A-Za-z$]+|[^0-9A-Za-z%)]+$", "")
-        letters = F.regexp_replace(bare, r"[^\p{L}]", "")
-        return (
-            F.when(F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]", "")) <= 1, F.lit(None))
-            .when(bare.rlike(r"[^\p{L}\p{N}.,\-/':&#$%()\[\]{}!?;+*=@_~’‘“”–—°§]"), False)
-            .when((letters == "") | bare.rlike(r"\p{N}"), True)
-            .when((F.length(letters) >= 5) & ~letters.rlike("[aeiouyAEIOUY]"), False)
-            .otherwise(True)
-        )
+    new = manifest.join(done.select("hash"), "hash", "left_anti")
+    rest = [c for c in manifest.columns if c != "hash"]
+    return new.groupBy("hash").agg(F.min_by(F.struct(*rest), "name").alias("r")).select("hash", "r.*").select(*manifest.columns)
+
 
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda t: t != ""), vote)
+# What a word may begin and end with when it is judged, and what may stand inside it.
+EDGE, TAIL = "0-9A-Za-z$", "0-9A-Za-z%)"
+INSIDE = r"\p{L}\p{N}.,\-/':&#$%()\[\]{}!?;+*=@_~’‘“”–—°§"
 
 
 def legibility_profile(docs: DataFrame, least: float = 0.89) -> DataFrame:
-    """Share of words that are like words, and whether a document's text can be used, with the reason if not."""
-    votes = word_votes(F.col("text"))
-    own = docs.select("doc_id", F.length("text").alias("n"), votes.alias("v"))
-    own = own.select("doc_id", "n", F.size(F.filter("v", lambda x: x.isNotNull())).alias("votes"), F.size(F.filter("v", lambda x: F.coalesce(x, F.lit(False)))).alias("yes"))
+    """Share of words that are like words, and whether a document's text can be used, with the reason if not.
+
+    Words are counted by kind over the whole text: a word, from its first to its last plain character, votes if it has two
+    letters or digits or more; it votes no with a character inside that words don't have, or with five letters or more, no
+    digit and no vowel. The first pass takes each word's middle, one to a line; the counts are patterns over these lines.
+    """
+    middle = F.regexp_replace("text", rf"(?<!\S)[^{EDGE}\s]+|[^{TAIL}\s]+(?!\S)", "")
+    words = F.concat(F.lit("\n"), F.regexp_replace(middle, r"\s+", "\n"), F.lit("\n"))
+    inner = r"[^\s\p{L}\p{N}]*"
+    count = lambda pattern: F.regexp_count("words", F.lit(pattern))
+    own = docs.select("doc_id", F.length("text").alias("n"), words.alias("words"))
+    votes = count(rf"(?<=\n){inner}[\p{{L}}\p{{N}}]{inner}[\p{{L}}\p{{N}}]\S*(?=\n)")
+    odd = count(rf"(?<=\n)(?={inner}[\p{{L}}\p{{N}}]{inner}[\p{{L}}\p{{N}}])[{INSIDE}]*[^{INSIDE}\s]\S*(?=\n)")
+    between, letter = rf"[{INSIDE}&&[^\p{{L}}\p{{N}}]]*", r"[\p{L}&&[^aeiouyAEIOUY]]"
+    mute = count(rf"(?<=\n)(?=(?:{between}{letter}){{5}})[{INSIDE}&&[^\p{{N}}aeiouyAEIOUY]]*+(?=\n)")
+    own = own.select("doc_id", "n", votes.alias("votes"), (votes - odd - mute).alias("yes"))
     ratio = F.when(F.col("votes") > 0, F.col("yes") / F.col("votes"))
     reason = F.when(F.col("n") < 200, "little text").when(F.col("votes") < 20, "few words").when(ratio < least, "not words").otherwise("")
     return own.select("doc_id", "votes", "yes", reason.alias("reason"), (reason == "").alias("usable"))
 
 
 def text_layer_gate(pages: DataFrame) -> DataFrame:
-    """Over a document's first ten pages: 1000 characters or more, and letters, digits and spaces above 0.75 of them."""
-    w = Window.partitionBy("doc_id").orderBy("page")
-    own = pages.withColumn("n", F.row_number().over(w)).filter("n <= 10")
+    """Over a document's first ten pages: 1000 characters or more, and letters, digits and spaces above 0.75 of them.
+    Texts are measured first; only their lengths are ordered."""
     good = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}\s]", ""))
-    sums = own.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(good).alias("good"))
+    own = pages.select("doc_id", "page", F.length("text").alias("n_chars"), good.alias("n_good"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))).filter("n <= 10")
+    sums = own.groupBy("doc_id").agg(F.sum("n_chars").alias("chars"), F.sum("n_good").alias("good"))
     return sums.withColumn("has_text", (F.col("chars") >= 1000) & (F.col("good") / F.col("chars") > 0.75))
 
 
+def mixed_document_sample(pages: DataFrame, most: int = 24, blank_below: int = 80) -> DataFrame:
+    """Of an even spread of a document's pages how many are blank, and whether a quarter are, with the first of them."""
+    own = pages.select("doc_id", "page", (F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) < blank_below).alias("blank"))
+    w = Window.partitionBy("doc_id")
+    own = own.withColumn("at", F.row_number().over(w.orderBy("page")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    # Python rounds halves to even, and so does bround
+    steps = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * ((F.col("n") - 1) / F.lit(float(most - 1)))))
+    own = own.filter((F.col("n") <= most) | F.array_contains(steps, F.col("at").cast("double")))
+    out = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sampled"), F.count_if("blank").alias("blank"), F.min(F.when(F.col("blank"), F.col("page"))).alias("first_blank"))
+    return out.withColumn("mixed", F.col("blank") * 4 >= F.col("sampled"))
+
+
 def page_route(stats: DataFrame) -> DataFrame:
     """P5: a page's text can be used with 60 letters and digits or more, few broken glyphs, and not under a large image; else OCR."""
     broken = F.when(F.col("chars") > 0, F.col("cid") / F.col("chars")).otherwise(0.0)
@@ -178,10 +252,29 @@ def redact_terms(docs: DataFrame, replacements: Mapping[str, str]) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), hits.alias("hits"))
 
 
+def redaction_report(docs: DataFrame, replacements: Mapping[str, str]) -> DataFrame:
+    """For each term how often it is found and in how many documents, what longer terms replaced before it left out; and a
+    row with term null for the documents changed by any."""
+    text, made = F.col("text"), []
+    for term in sorted(replacements, key=lambda t: (-len(t), t)):
+        pattern = "(?i)" + re.escape(term)
+        made.append(F.struct(F.lit(term).alias("term"), F.regexp_count(text, F.lit(pattern)).alias("hits")))
+        text = F.regexp_replace(text, pattern, replacements[term])
+    each = docs.select(F.array(*made).alias("found"))
+    any_ = F.struct(F.lit(None).cast("string").alias("term"), F.aggregate("found", F.lit(0), lambda s, x: s + x["hits"]).alias("hits"))
+    rows = each.select(F.explode(F.concat("found", F.array(any_))).alias("f"))
+    return rows.groupBy("f.term").agg(F.sum("f.hits").alias("hits"), F.count_if(F.col("f.hits") > 0).alias("docs"))
+
+
+# Labels that are dates or times, and words that begin a report's own lines.
+DATEISH = r"(?i)\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}:\d{2}\s*[AP]M"
+META_HINT = r"(?i)^(period|book|database|prepared|page|report|statement|\*|as of|for the|month|year|budget comparison)\b"
+
+
 def line_item_filter(rows: DataFrame) -> DataFrame:
-    """Rows with a label that is no date or report title, and a figure."""
-    dateish = F.col("label").rlike(r"(?i)^\s*(page \d|as of|for the|printed|run date|period)|\d{1,2}/\d{1,2}/\d{2,4}")
-    return rows.filter((F.trim("label") != "") & ~dateish & F.exists("values", lambda v: F.coalesce(v, F.lit("")).rlike(r"\d")))
+    """Rows with a label that is neither a date nor a line of the report about itself, and a figure in a column."""
+    label = F.trim(F.coalesce("label", F.lit("")))
+    return rows.filter((label != "") & ~label.rlike(DATEISH) & ~label.rlike(META_HINT) & F.exists("values", lambda v: parse_figure(v).isNotNull()))
 
 
 def merged_table_filter(cells: DataFrame) -> DataFrame:

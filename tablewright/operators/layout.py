@@ -25,25 +25,14 @@ def visual_rows(tokens: DataFrame, tol: float = 2.0) -> DataFrame:
 def anchored(rows: DataFrame, value: str, ties: list[str], tol: float, name: str) -> DataFrame:
     """Number the groups of a page whose values lie within tol of the group's first, ascending, from 1.
 
-    Each group depends on where the one before it began, so no window expresses it. A partition holds whole pages in
-    order and streams by in batches; only the last group's start is carried on.
+    Each group depends on where the one before it began, so no window expresses it. The distinct values of a page are
+    brought together in order and folded to the values at which groups begin; a row's group is how many of these it reaches.
     """
-
-    def walk(batches):
-        page, first, n = None, 0.0, 0
-        for pdf in batches:
-            out = []
-            for d, p, v in zip(pdf.doc_id.tolist(), pdf.page.tolist(), pdf[value].tolist(), strict=True):
-                if (d, p) != page:
-                    page, first, n = (d, p), v, 1
-                elif v - first > tol:
-                    first, n = v, n + 1
-                out.append(n)
-            yield pdf.assign(**{name: out})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {name} long"
-    ordered = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", value, *ties)
-    return ordered.mapInPandas(walk, schema)
+    own = rows.repartition("doc_id", "page")  # both sides below read the one exchange
+    none = F.array().cast("array<double>")
+    fold = lambda s, v: F.when((F.size(s) == 0) | (v - F.element_at(s, -1) > tol), F.concat(s, F.array(v.cast("double")))).otherwise(s)
+    begun = own.groupBy("doc_id", "page").agg(F.aggregate(F.sort_array(F.collect_set(value)), none, fold).alias("begun"))
+    return own.join(begun, ["doc_id", "page"]).withColumn(name, F.size(F.filter("begun", lambda b: b <= F.col(value))).cast("long")).drop("begun")
 
 
 def row_texts(tokens: DataFrame) -> DataFrame:
@@ -53,54 +42,94 @@ def row_texts(tokens: DataFrame) -> DataFrame:
 
 
 def value_columns(tokens: DataFrame, tol: float = 6.0, min_rows: int = 3) -> DataFrame:
-    """Right edges of value tokens, chained by gaps up to tol; clusters of at least min_rows with mean, n, lo, hi."""
-    w = Window.partitionBy("doc_id", "page").orderBy("x1")
-    own = tokens.filter(value_kind(F.col("text")) != "text")
-    own = own.withColumn("new", F.when(F.col("x1") - F.lag("x1").over(w) <= tol, 0).otherwise(1))
+    """Right edges of value tokens, chained by gaps up to tol; clusters of at least min_rows with mean, n, lo, hi; by page, or
+    by band where tokens have one."""
+    return edge_clusters(tokens.filter(value_kind(F.col("text")) != "text"), "x1", tol, min_rows)
+
+
+def edge_clusters(own: DataFrame, edge: str, tol: float, min_rows: int) -> DataFrame:
+    keys = [c for c in ("doc_id", "page", "band") if c in own.columns]
+    w = Window.partitionBy(*keys).orderBy(edge)
+    own = own.withColumn("new", F.when(F.col(edge) - F.lag(edge).over(w) <= tol, 0).otherwise(1))
     own = own.withColumn("island", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    found = own.groupBy("doc_id", "page", "island").agg(F.avg("x1").alias("x1"), F.count(F.lit(1)).alias("n"), F.min("x1").alias("lo"), F.max("x1").alias("hi"))
-    by_page = Window.partitionBy("doc_id", "page").orderBy("x1")
-    return found.filter(F.col("n") >= min_rows).withColumn("col", F.row_number().over(by_page) - 1).select("doc_id", "page", "col", "x1", "n", "lo", "hi")
+    found = own.groupBy(*keys, "island").agg(F.avg(edge).alias(edge), F.count(F.lit(1)).alias("n"), F.min(edge).alias("lo"), F.max(edge).alias("hi"))
+    return found.filter(F.col("n") >= min_rows).withColumn("col", F.row_number().over(w) - 1).select(*keys, "col", edge, "n", "lo", "hi")
+
+
+def text_columns(tokens: DataFrame, tol: float = 4.0, min_rows: int = 3, exclude: DataFrame | None = None) -> DataFrame:
+    """Left edges of text tokens, as value columns; those within tol of an excluded edge (doc_id, page, x0), such as the
+    label's own, are left out."""
+    found = edge_clusters(tokens.filter(value_kind(F.col("text")) == "text"), "x0", tol, min_rows)
+    if exclude is None:
+        return found
+    out = exclude.groupBy("doc_id", "page").agg(F.collect_set("x0").alias("out"))
+    own = found.join(out, ["doc_id", "page"], "left").filter(~F.coalesce(F.exists("out", lambda e: F.abs(F.col("x0") - e) <= tol), F.lit(False))).drop("out")
+    keys = [c for c in ("doc_id", "page", "band") if c in own.columns]
+    return own.withColumn("col", F.row_number().over(Window.partitionBy(*keys).orderBy("x0")) - 1)
+
+
+def bin_text(tokens: DataFrame, columns: DataFrame, tol: float = 4.0) -> DataFrame:
+    """Text tokens of a row to the first text column within tol of their left edge, which the first of them fills; the rest
+    (col null) stay in the label."""
+    model = columns.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("col", F.col("x0").alias("cx")))).alias("model"))
+    own = tokens.filter(value_kind(F.col("text")) == "text").join(model, ["doc_id", "page"], "left")
+    own = own.withColumn("near", F.get(F.filter("model", lambda m: F.abs(F.col("x0") - m["cx"]) <= tol), F.lit(0))["col"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page", "row_id", "near").orderBy("x0", "text"))
+    return own.select("doc_id", "page", "row_id", "x0", "text", F.when(nth == 1, F.col("near")).alias("col"))
 
 
 def stable_column_count(edges: DataFrame) -> DataFrame:
-    """T4: cluster at 4, 6 and 8 % of the page's width; the column count that holds over most of them (2 at least preferred)."""
-    own = edges.withColumn("pct", F.explode(F.array(F.lit(4), F.lit(6), F.lit(8))))
-    w = Window.partitionBy("doc_id", "page", "pct").orderBy("x1")
-    new = F.when(F.col("x1") - F.lag("x1").over(w) <= F.col("pct") / 100 * F.col("width"), 0).otherwise(1)
-    counts = own.withColumn("new", new).groupBy("doc_id", "page", "pct").agg(F.sum("new").alias("columns"))
-    held = counts.groupBy("doc_id", "page", "columns").agg(F.count(F.lit(1)).alias("n"), F.min("pct").alias("first"))
-    best = F.max_by("columns", F.struct((F.col("columns") >= 2).alias("several"), "n", (-F.col("first")).alias("f")))
-    return held.groupBy("doc_id", "page").agg(best.alias("columns"), F.max("n").alias("most"), F.sum("n").alias("tried"))
+    """T4: cluster a page's right edges (x1, width) at 4, 6, 8, ... points, below 8 % of its width but 4 to 8 at least; the column
+    count that most of these tolerances give, two columns or more if any does, ties to the smallest tolerance; confidence is
+    their share. A page with fewer than four edges has none.
+
+    A gap begins a column at every tolerance below it, so each page is clustered once: its gaps are counted by tolerance.
+    """
+    own = edges.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("x1")).alias("xs"), F.max("width").alias("width")).filter(F.size("xs") >= 4)
+    gaps = F.transform(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: F.get("xs", i) - F.get("xs", i - 1))
+    tols = F.sequence(F.lit(4), F.greatest(F.lit(10), F.floor(F.col("width") * 0.08).cast("int")) - 1, F.lit(2))
+    own = own.select("doc_id", "page", gaps.alias("gaps"), tols.alias("tols"))
+    own = own.select("doc_id", "page", F.size("tols").alias("tried"), F.explode(F.transform("tols", lambda t: F.struct(t.alias("tol"), (F.size(F.filter("gaps", lambda g: g > t)) + 1).alias("columns")))).alias("c"))
+    held = own.groupBy("doc_id", "page", "tried", "c.columns").agg(F.count(F.lit(1)).alias("n"), F.min("c.tol").alias("first"))
+    best = F.max_by(F.struct("columns", "n"), F.struct((F.col("columns") >= 2).alias("several"), "n", (-F.col("first")).alias("f")))
+    out = held.groupBy("doc_id", "page", "tried").agg(best.alias("b"))
+    return out.select("doc_id", "page", F.col("b.columns").alias("columns"), F.col("b.n").alias("most"), "tried", F.round(F.col("b.n") / F.col("tried"), 6).alias("confidence"))
+
 
+def column_models(columns: DataFrame) -> DataFrame:
+    """The columns of each page (or band) in one array, by x1."""
+    keys = [c for c in ("doc_id", "page", "band") if c in columns.columns]
+    return columns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", F.col("x1").alias("cx"), "lo"))).alias("model"))
 
-def bin_values(tokens: DataFrame, columns: DataFrame, tol: float = 6.0) -> DataFrame:
+
+def bin_values(tokens: DataFrame, columns: DataFrame, tol: float = 6.0, zoned: bool = False) -> DataFrame:
     """T5: each value token to the first column within tol of its right edge; a second one in a filled cell, or one in no
-    column, is unbinned. tokens carry row_id; joined by page."""
-    own = tokens.filter(value_kind(F.col("text")) != "text")
-    near = own.join(columns.select("doc_id", "page", "col", F.col("x1").alias("cx")), ["doc_id", "page"], "left").withColumn(
-        "col", F.when(F.abs(F.col("x1") - F.col("cx")) <= tol, F.col("col"))
-    )
-    keys = ["doc_id", "page", "row_id", "x0", "x1", "text"]
-    chosen = near.groupBy(*keys).agg(F.min("col").alias("col"))
-    w = Window.partitionBy("doc_id", "page", "row_id", "col").orderBy("x0", "text")
-    cell = F.when(F.col("col").isNotNull() & (F.row_number().over(w) == 1), F.col("col"))
-    return chosen.withColumn("col", cell)
+    column, is unbinned. tokens carry row_id; a page's columns are joined as one array, so tokens stay single rows. `zoned`:
+    tokens that end more than 5 left of every column belong to the label and are left out."""
+    keys = [c for c in ("doc_id", "page", "band") if c in columns.columns]
+    own = tokens.filter(value_kind(F.col("text")) != "text").join(column_models(columns), keys, "left")
+    if zoned:
+        own = own.filter(F.col("x1") >= F.coalesce(F.array_min(F.transform("model", lambda m: m["lo"])), F.lit(0.0)) - 5.0)
+    near = F.get(F.filter("model", lambda m: F.abs(F.col("x1") - m["cx"]) <= tol), F.lit(0))["col"]
+    own = own.withColumn("near", near)
+    w = Window.partitionBy(*keys, "row_id", "near").orderBy("x0", "text")
+    cell = F.when(F.col("near").isNotNull() & (F.row_number().over(w) == 1), F.col("near"))
+    return own.select(*keys, "row_id", "x0", "x1", "text", cell.alias("col"))
 
 
 def rows_with_values(binned: DataFrame, n_columns: int) -> DataFrame:
     """Per row an array of the values by column, null where empty, and the unbinned texts from left to right."""
     values = F.array(*[F.max(F.when(F.col("col") == c, F.col("text"))) for c in range(n_columns)])
     stray = F.transform(F.array_sort(F.collect_list(F.when(F.col("col").isNull(), F.struct("x0", "text")))), lambda t: t["text"])
-    return binned.groupBy("doc_id", "page", "row_id").agg(values.alias("values"), stray.alias("unbinned"))
+    keys = [c for c in ("doc_id", "page", "band", "row_id") if c in binned.columns]
+    return binned.groupBy(*keys).agg(values.alias("values"), stray.alias("unbinned"))
 
 
 def bin_nearest(tokens: DataFrame, columns: DataFrame) -> DataFrame:
     """Each value token to its nearest column whatever the distance; the right-most token wins a cell."""
-    own = tokens.filter(value_kind(F.col("text")) != "text")
-    near = own.join(columns.select("doc_id", "page", "col", F.col("x1").alias("cx")), ["doc_id", "page"])
-    col = near.groupBy("doc_id", "page", "row_id", "x0", "x1", "text").agg(F.min_by("col", F.struct(F.abs(F.col("x1") - F.col("cx")), "col")).alias("col"))
-    return col.groupBy("doc_id", "page", "row_id", "col").agg(F.max_by("text", F.struct("x0", "text")).alias("text"))
+    own = tokens.filter(value_kind(F.col("text")) != "text").join(column_models(columns), ["doc_id", "page"])
+    near = F.array_min(F.transform("model", lambda m: F.struct(F.abs(F.col("x1") - m["cx"]).alias("d"), m["col"].alias("col"))))["col"]
+    return own.groupBy("doc_id", "page", "row_id", near.alias("col")).agg(F.max_by("text", F.struct("x0", "text")).alias("text"))
 
 
 def indent_levels(rows: DataFrame, tol: float = 3.0) -> DataFrame:
@@ -121,14 +150,23 @@ def masked_layout(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "page", "row_id").agg(F.array_join(words, " ").alias("masked"))
 
 
-def page_signature(rows: DataFrame) -> DataFrame:
-    """First 12 rows of a document's first page, lower-cased, digits as #; 12 hex digits of the first 8 rows' SHA-1."""
-    first = rows.groupBy("doc_id").agg(F.min("page").alias("page"))
-    w = Window.partitionBy("doc_id").orderBy("row_id")
-    own = rows.join(first, ["doc_id", "page"]).withColumn("n", F.row_number().over(w)).filter("n <= 8")
-    shape = F.regexp_replace(F.lower("text"), r"\d+", "#")
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("n", F.substring(F.sha1(shape), 1, 12).alias("h")))), lambda t: t["h"])
-    return own.groupBy("doc_id").agg(F.array_distinct(hashes).alias("signature"))
+# Month names, which a signature doesn't keep.
+MONTHS = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)(uary|ruary|ch|il|e|y|ust|tember|ober|ember)?\b"
+
+
+def page_signature(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """First 12 rows of a document's first page, lower-cased, months as <m>, digits as #; 12 hex digits of the first 8 rows'
+    SHA-1; with `sizes` (doc_id, page, width, height) the page's size to ten points."""
+    head = F.slice(F.array_sort(F.collect_list(F.struct("page", "row_id", "text"))), 1, 12)
+    own = rows.groupBy("doc_id").agg(F.min("page").alias("page"), head.alias("head"))
+    first = F.slice(F.filter("head", lambda r: r["page"] == F.col("page")), 1, 8)
+    shape = lambda t: F.regexp_replace(F.regexp_replace(F.lower(t), MONTHS, "<m>"), r"\d+", "#")
+    hashes = F.transform(first, lambda r: F.substring(F.sha1(shape(r["text"])), 1, 12))
+    own = own.select("doc_id", "page", F.array_distinct(hashes).alias("signature"))
+    if sizes is not None:
+        ten = lambda c: (F.round(F.col(c) / 10) * 10).cast("int").alias(c)
+        own = own.join(sizes.select("doc_id", "page", ten("width"), ten("height")), ["doc_id", "page"], "left")
+    return own.drop("page")
 
 
 def match_recipe(signatures: DataFrame, recipes: DataFrame, least: float = 0.6) -> DataFrame:

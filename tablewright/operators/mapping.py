@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.functions.vocabulary import fold_key
+from tablewright.functions.vocabulary import fold_words, squash, us_date
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -23,8 +23,8 @@ def match_labels(rows: DataFrame, canonical: DataFrame, memory: DataFrame, cut:
     all names, as a misspelt one need not share a word; the canonical list is short and is broadcast. Below the cut only
     names with a word in common count (weak).
     """
-    labels = rows.select("label").distinct().withColumn("k", fold_key(F.col("label")))
-    names = canonical.select("canonical", fold_key(F.col("canonical")).alias("ck"))
+    labels = rows.select("label").distinct().withColumn("k", fold_words(F.col("label")))
+    names = canonical.select("canonical", fold_words(F.col("canonical")).alias("ck"))
     learned = memory.groupBy("norm_label").agg(F.max_by("canonical", "seq").alias("learned"))
     own = labels.join(learned, F.col("k") == F.col("norm_label"), "left").join(
         names.groupBy("ck").agg(F.min("canonical").alias("exact")), F.col("k") == F.col("ck"), "left"
@@ -43,8 +43,8 @@ def match_labels(rows: DataFrame, canonical: DataFrame, memory: DataFrame, cut:
 
 def label_candidates(rows: DataFrame, canonical: DataFrame, k: int = 3) -> DataFrame:
     """The k most similar canonical names of each label, all names compared; the canonical list is short and is broadcast."""
-    labels = rows.select("label").distinct().withColumn("key", fold_key(F.col("label"))).filter("key <> ''")
-    names = canonical.select("canonical", fold_key(F.col("canonical")).alias("ck")).filter("ck <> ''").distinct()
+    labels = rows.select("label").distinct().withColumn("key", fold_words(F.col("label"))).filter("key <> ''")
+    names = canonical.select("canonical", fold_words(F.col("canonical")).alias("ck")).filter("ck <> ''").distinct()
     pairs = labels.crossJoin(F.broadcast(names))
     scored = pairs.select("label", "canonical", F.round(similarity(F.col("key"), F.col("ck")), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "canonical"))
@@ -57,10 +57,18 @@ def apply_corrections(corrections: DataFrame) -> DataFrame:
 
 
 def map_columns(source: DataFrame, template: DataFrame) -> DataFrame:
-    """E5: template headers with the source header that is equal when folded and unique in the source; null if none."""
-    own = source.withColumn("k", fold_key(F.col("header")))
-    unique = own.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("header").alias("source_header")).filter("n = 1").drop("n")
-    return template.withColumn("k", fold_key(F.col("header"))).join(unique, "k", "left").drop("k")
+    """E5: of the pairs of a source and a template sheet (doc_id, sheet_no, sheet, header) the one with the most headers that are
+    equal in letters and digits and unique in the source, the first pair on a tie; the template's headers with their source
+    header, null if none. Documents without any pair have no rows."""
+    folded = lambda df, side: df.filter(squash(F.col("header")) != "").select("doc_id", squash(F.col("header")).alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("sheet_no", "sheet", "header")])
+    own = folded(source, "source").groupBy("doc_id", "source_sheet_no", "k").agg(F.count(F.lit(1)).alias("n"), F.min("source_sheet").alias("source_sheet"), F.min("source_header").alias("source_header"))
+    met = folded(template, "template").join(own.filter("n = 1").drop("n"), ["doc_id", "k"])
+    pairs = met.groupBy("doc_id", "source_sheet_no", "source_sheet", "template_sheet_no", "template_sheet").agg(F.countDistinct("template_header").alias("n"))
+    rank = F.struct("n", (-F.col("source_sheet_no")).alias("s"), (-F.col("template_sheet_no")).alias("t"))
+    best = pairs.groupBy("doc_id").agg(F.max_by(F.struct("source_sheet_no", "source_sheet", "template_sheet_no", "template_sheet"), rank).alias("b")).select("doc_id", "b.*")
+    chosen = met.join(best.select("doc_id", "source_sheet_no", "template_sheet_no"), ["doc_id", "source_sheet_no", "template_sheet_no"]).select("doc_id", F.col("template_header").alias("header"), "source_header").distinct()
+    headers = template.select("doc_id", F.col("sheet_no").alias("template_sheet_no"), "header").join(best, ["doc_id", "template_sheet_no"])
+    return headers.join(chosen, ["doc_id", "header"], "left").select("doc_id", "source_sheet", "template_sheet", "header", "source_header")
 
 
 def field_coverage(type_fields: DataFrame, known: DataFrame) -> DataFrame:
@@ -82,16 +90,14 @@ def approval_state(review: DataFrame, approvals: DataFrame) -> DataFrame:
 
 
 def canonical_columns(cells: DataFrame) -> DataFrame:
-    """Column names equal when folded take the spelling seen first."""
-    own = cells.withColumn("k", fold_key(F.col("column_name")))
+    """Column names equal but for case and what stands between their letters and digits take the spelling seen first."""
+    own = cells.withColumn("k", fold_words(F.col("column_name")))
     first = own.groupBy("k").agg(F.min_by("column_name", "ord").alias("canonical"))
     return own.join(first, "k").drop("k")
 
 
 def export_rows(graded: DataFrame, dates: list[str]) -> DataFrame:
     """Page, field, value (null if not found, dates as MM/DD/YYYY where they can be read), confidence high only for yes."""
-    from tablewright.functions.vocabulary import us_date
-
     value = F.when(F.col("field").isin(dates), F.coalesce(us_date(F.col("value")), F.col("value"))).otherwise(F.col("value"))
     return graded.select("doc_id", "page", "field", F.when(F.col("value") != "", value).alias("value"), F.when(F.col("verdict") == "yes", "high").otherwise("low").alias("confidence"))
 
@@ -103,18 +109,17 @@ def type_from_found_fields(graded: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def source_profile(docs: DataFrame) -> DataFrame:
-    """The producer and the first four lines that aren't blank, folded and cut, as a document's grouping key."""
-    lines = F.filter(F.split(F.left("text", F.lit(400)), r"\r?\n"), lambda x: F.trim(x) != "")
-    head = F.array_join(F.transform(F.slice(lines, 1, 4), lambda x: F.left(fold_key(x), F.lit(40))), " ")
-    profile = F.left(F.concat(fold_key(F.left(F.coalesce("producer", F.lit("")), F.lit(40))), F.lit("|"), F.coalesce(head, F.lit(""))), F.lit(160))
+    """The producer and those of the first four lines that aren't blank, folded and cut, as a document's grouping key."""
+    lines = F.filter(F.slice(F.split(F.left("text", F.lit(400)), r"\r\n|\n|\r"), 1, 4), lambda x: F.trim(x) != "")
+    head = F.array_join(F.transform(lines, lambda x: F.left(fold_words(x), F.lit(40))), " ")
+    profile = F.left(F.concat(fold_words(F.left(F.coalesce("producer", F.lit("")), F.lit(40))), F.lit("|"), F.coalesce(head, F.lit(""))), F.lit(160))
     return docs.select("doc_id", profile.alias("profile"))
 
 
 def unit_crosscheck(units: DataFrame) -> DataFrame:
     """The folder's unit against the documents' unit: differing ones are flagged, missing ones filled and flagged."""
     folder, own = F.coalesce("folder_suite", F.lit("")), F.coalesce("suite", F.lit(""))
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]", "")
-    flag = F.when((folder != "") & (own == ""), "taken from the folder").when((folder != "") & (plain(folder) != plain(own)), "folder and documents differ")
+    flag = F.when((folder != "") & (own == ""), "taken from the folder").when((folder != "") & (squash(folder) != squash(own)), "folder and documents differ")
     return units.select("doc_id", F.when(own != "", own).otherwise(folder).alias("suite"), flag.alias("flag"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions.vocabulary import value_kind
-from tablewright.operators import checks, labels, layout, mapping, records
-from tablewright.sources.derived import LINES, REPORT_ROWS, STATEMENT_LINES, STATEMENT_TOKENS, report_rows, statement_lines, statement_tokens
+from tablewright.operators import checks, labels, layout, mapping, records, tables
+from tablewright.sources.derived import LINES, NOTICE_LINES, REPORT_ROWS, STATEMENT_LINES, STATEMENT_TOKENS, derived, report_rows, statement_lines, statement_tokens
 
 FIELDS = ["Account number", "Statement date", "Total charges"]
 SL, ST, RR = (f"WITH {n} AS ({sql})" for n, sql in (("sl", STATEMENT_LINES), ("st", STATEMENT_TOKENS), ("rr", REPORT_ROWS)))
@@ -63,7 +63,8 @@ def signatures(spark, sf):
 
 
 def matched(spark, sf):
-    recipes = signatures(spark, sf).filter("doc_id % 97 = 1").groupBy("signature").agg(F.min("doc_id").alias("ord"))
+    """Recipes: the signatures that several documents share."""
+    recipes = signatures(spark, sf).groupBy("signature").agg(F.min("doc_id").alias("ord"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     recipes = recipes.select(F.concat(F.lit("recipe-"), F.col("ord").cast("string")).alias("slug"), "ord", "signature")
     return layout.match_recipe(signatures(spark, sf), recipes)
 
@@ -82,10 +83,54 @@ def evidence(spark, sf):
 
 
 def grounded(spark, sf):
-    lines = statement_lines(spark, sf).filter("text LIKE 'Item %'")
-    cells = lines.filter("line_no > 5").select("doc_id", F.col("line_no").alias("row_no"), F.element_at(F.split("text", "\t"), -1).alias("value"))
-    off = cells.withColumn("value", F.when(F.col("row_no") == 6, F.concat(F.lit("9"), F.col("value"))).otherwise(F.col("value")))
-    return checks.ground_values(off, lines.filter("line_no > 5").select("doc_id", F.element_at(F.split("text", "\t"), -1).alias("text")))
+    """Cells of statements, every sixth line's figure made up, a name that is printed and one that isn't."""
+    lines = statement_lines(spark, sf)
+    cells = lines.filter("text LIKE 'Item %' AND line_no > 5").select("doc_id", F.col("line_no").alias("row_no"), F.element_at(F.split("text", "\t"), -1).alias("value"))
+    off = cells.withColumn("value", F.when(F.col("row_no") == 6, F.concat(F.lit("9"), F.col("value"))).when(F.col("row_no") == 7, F.concat(F.lit("("), F.col("value"), F.lit(")"))).otherwise(F.col("value")))
+    names = lines.filter("line_no = 1").select("doc_id", F.col("line_no").alias("row_no"), F.when(F.col("doc_id") % 2 == 0, "Account  statement").otherwise("Harbor Water").alias("value"))
+    return checks.ground_values(off.unionByName(names), lines)
+
+
+def notices(spark, sf):
+    return derived(spark, sf, NOTICE_LINES)
+
+
+ASKED = ["Provider name", "Ending balance", "Starting balance", "Due date", "Meter reading", "Usage"]
+
+
+def banded_tokens(spark, sf):
+    """Statement tokens, three lines of prose below, and a second table with columns of its own."""
+    own = statement_tokens(spark, sf).filter("text = 'Item'").select("doc_id", "page", ((F.col("top") - 100) / 12).cast("int").alias("n"))
+    notes = own.filter("n <= 3 AND n >= 1").select("doc_id", "page", F.lit("Note").alias("text"), F.lit(59.0).alias("x0"), F.lit(79.0).alias("x1"), (700.0 + 20 * F.col("n")).alias("top"))
+    token = lambda t, x0, x1: F.struct(t.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"))
+    n = F.col("n").cast("string")
+    second = own.select("doc_id", "page", (1000.0 + 12 * F.col("n")).alias("top"), F.explode(F.array(token(F.lit("Sum"), 59.0, 74.0), token(n, 245.0, 250.0), token(F.concat(n, F.lit(".50")), 580.0, 600.0))).alias("t"))
+    return statement_tokens(spark, sf).unionByName(notes).unionByName(second.select("doc_id", "page", "t.*", "top"))
+
+
+def read(spark, sf):
+    rows = layout.visual_rows_chain(banded_tokens(spark, sf))
+    return tables.read_tables(rows).select("doc_id", "band", "row_id", "label", F.array_join("values", "|", "-").alias("cells"), F.array_join("unbinned", "|").alias("unbinned"))
+
+
+def pinned(spark, sf):
+    rows = layout.visual_rows_chain(banded_tokens(spark, sf))
+    columns = rows.select("doc_id").distinct().withColumn("c", F.explode(F.array(*[F.struct(F.lit(k).alias("col"), F.lit(x).alias("x1"), F.lit(x).alias("lo")) for k, x in enumerate((300.0, 420.0, 470.0))]))).select("doc_id", "c.*")
+    return tables.read_tables(rows, columns).groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.get("values", F.lit(k))).alias(f"c{k}") for k in range(3)], F.sum(F.size("unbinned")).alias("stray"))
+
+
+def word_tokens(spark, sf):
+    """A label, a charge code in a text column of its own, and now and then a second word in it."""
+    own = statement_tokens(spark, sf).filter("text = 'Item'").select("doc_id", "page", ((F.col("top") - 100) / 12).cast("int").alias("row_id"))
+    token = lambda t, x0: F.struct(F.lit(t).alias("text"), F.lit(x0).alias("x0"))
+    code = F.when(F.col("row_id") % 4 == 3, F.array(token("BRT", 201.5), token("extra", 203.0))).otherwise(F.array(token("ABA", 200.0)))
+    return own.select("doc_id", "page", "row_id", F.explode(F.concat(F.array(token("Tenant", 59.0)), code)).alias("t")).select("doc_id", "page", "row_id", "t.*")
+
+
+def words_in_columns(spark, sf):
+    own = word_tokens(spark, sf)
+    label = own.select("doc_id", "page").distinct().withColumn("x0", F.lit(60.0))
+    return own, layout.text_columns(own, exclude=label)
 
 
 def export(spark, sf):
@@ -103,6 +148,11 @@ def approvals(spark, sf):
     return mapping.approval_state(review, given)
 
 
+BANDS = f"WITH {LINES}, b AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM l QUALIFY k >= 3)"
+GROUNDED = SL + """, c AS (SELECT doc_id, line_no AS row_no, CASE WHEN line_no = 6 THEN '9' || split_part(text, chr(9), 3) WHEN line_no = 7 THEN '(' || split_part(text, chr(9), 3) || ')' ELSE split_part(text, chr(9), 3) END AS value FROM sl WHERE text LIKE 'Item %' AND line_no > 5),
+  f AS MATERIALIZED (SELECT DISTINCT doc_id, try_cast(replace(unnest(regexp_extract_all(text, '-?[0-9,.]*[0-9]')), ',', '') AS DECIMAL(18,4)) AS v FROM sl),
+  g AS (SELECT doc_id, row_no, value, CASE WHEN value LIKE '(%' THEN -CAST(replace(replace(value, '(', ''), ')', '') AS DECIMAL(18,4)) ELSE CAST(value AS DECIMAL(18,4)) END IN (SELECT v FROM f WHERE f.doc_id = c.doc_id) AS ok FROM c
+    UNION ALL SELECT doc_id, line_no, CASE WHEN doc_id % 2 = 0 THEN 'Account  statement' ELSE 'Harbor Water' END, doc_id % 2 = 0 FROM sl WHERE line_no = 1)"""
 QUERIES = {
     "graded_fields": graded,
     "label_hits": lambda s, d: labels.label_hits(statement_lines(s, d), FIELDS).groupBy("field", "label_key").agg(F.count(F.lit(1)).alias("n")),
@@ -116,11 +166,17 @@ QUERIES = {
     "row_texts": lambda s, d: layout.row_texts(tokens_in_rows(s, d)),
     "value_columns": lambda s, d: layout.value_columns(tokens_in_rows(s, d)),
     "bin_values": binned,
-    "read_tables": lambda s, d: parsed_rows(s, d).select("doc_id", "page", "row_id", F.array_join("values", "|", "-").alias("cells"), F.array_join("unbinned", "|").alias("unbinned")),
+    "table_rows": lambda s, d: parsed_rows(s, d).select("doc_id", "page", "row_id", F.array_join("values", "|", "-").alias("cells"), F.array_join("unbinned", "|").alias("unbinned")),
+    "read_tables": read,
+    "read_tables_pinned": pinned,
+    "table_regions": lambda s, d: tables.table_regions(layout.visual_rows_chain(banded_tokens(s, d))).groupBy("doc_id", "band").agg(F.countDistinct("row_id").alias("rows"), F.min("row_id").alias("first")),
+    "text_columns": lambda s, d: words_in_columns(s, d)[1].select("doc_id", "col", F.round("x0", 4).alias("x0"), "n", "lo", "hi"),
+    "bin_text": lambda s, d: layout.bin_text(*words_in_columns(s, d)).select("doc_id", "row_id", "x0", "text", "col"),
+    "notice_fields": lambda s, d: labels.graded_fields(notices(s, d), ASKED).select("doc_id", "field", "value", "verdict", "where_found"),
     "bin_nearest": lambda s, d: layout.bin_nearest(tokens_in_rows(s, d), layout.value_columns(tokens_in_rows(s, d))),
     "unbinned_audit": lambda s, d: checks.unbinned_audit(parsed_rows(s, d).withColumn("y", F.col("row_id"))),
     "masked_layout": lambda s, d: layout.masked_layout(tokens_in_rows(s, d)),
-    "stable_column_count": lambda s, d: layout.stable_column_count(statement_tokens(s, d).filter(value_kind(F.col("text")) != "text").withColumn("width", F.lit(600.0))),
+    "stable_column_count": lambda s, d: layout.stable_column_count(statement_tokens(s, d).filter(value_kind(F.col("text")) != "text").withColumn("x1", F.col("x1") + F.col("top") % 5).withColumn("width", F.lit(600.0))),
     "page_signature": lambda s, d: signatures(s, d).select("doc_id", F.array_join("signature", ",").alias("signature")),
     "match_recipe": matched,
     "indent_levels": lambda s, d: layout.indent_levels(report_rows(s, d)),
@@ -129,6 +185,7 @@ QUERIES = {
     "column_type_vote": typed_cells,
     "evidence_lines": evidence,
     "ground_values": grounded,
+    "ungrounded": lambda s, d: checks.ungrounded(grounded(s, d)),
     "export_rows": export,
     "type_from_found_fields": doc_type,
     "approval_state": approvals,
@@ -150,15 +207,16 @@ SELECT field, label_key, count(*) AS n FROM sl JOIN k ON regexp_matches(lower(te
         max(CASE WHEN field = 'Statement date' THEN value END) AS statement_date, max(CASE WHEN field = 'Total charges' THEN value END) AS total_charges FROM g GROUP BY 1, 2""",
     "heading_rows": SL + """ SELECT doc_id, page, line_no, CAST(len(list_filter(regexp_split_to_array(text, '\\t|  +'), lambda x: trim(x) <> '')) AS INT) AS n_cells,
         text LIKE 'Item' || chr(9) || '%' AS is_heading FROM sl""",
-    "nearest_heading_above": SL + """, h AS (SELECT doc_id, page, min(line_no) AS hl FROM sl WHERE text LIKE 'Item' || chr(9) || '%' GROUP BY 1, 2),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS at FROM sl), hn AS (SELECT n.doc_id, n.page, n.at FROM n JOIN h ON n.doc_id = h.doc_id AND n.page = h.page AND n.line_no = hl)
-SELECT n.doc_id, n.page, n.line_no, CASE WHEN n.at > hn.at AND n.at - hn.at <= 40 THEN 'Item|Quantity|Amount' END AS head FROM n LEFT JOIN hn ON n.doc_id = hn.doc_id AND n.page = hn.page""",
+    "nearest_heading_above": SL.replace("sl AS (", "sl AS MATERIALIZED (") + """, h AS (SELECT *, CASE WHEN text LIKE 'Item' || chr(9) || '%' THEN 'Item|Quantity|Amount' END AS is_head,
+      len(list_filter(regexp_split_to_array(text, '\\t|  +'), lambda x: trim(x) <> '')) AS n FROM sl),
+      a AS (SELECT doc_id, page, line_no, n, last_value(is_head IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS head FROM h)
+      SELECT doc_id, page, line_no, CASE WHEN n <= 3 THEN head END AS head FROM a""",
     "visual_rows_chain": f"{ROWS} SELECT * FROM r",
     "visual_rows": f"{ST} SELECT doc_id, page, text, x0, x1, top, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY floor((top - 100) / 12)) AS BIGINT) AS row_id FROM st",
     "row_texts": f"{ROWS} SELECT doc_id, page, row_id, min(top) AS top, string_agg(text, ' ' ORDER BY x0, text) AS text FROM r GROUP BY 1, 2, 3",
     "value_columns": f"{COLUMNS} SELECT * FROM c",
     "bin_values": f"{BINNED} SELECT * FROM b",
-    "read_tables": f"""{BINNED} SELECT doc_id, page, row_id, coalesce(max(CASE WHEN col = 0 THEN text END), '-') || '|' || coalesce(max(CASE WHEN col = 1 THEN text END), '-') || '|' ||
+    "table_rows": f"""{BINNED} SELECT doc_id, page, row_id, coalesce(max(CASE WHEN col = 0 THEN text END), '-') || '|' || coalesce(max(CASE WHEN col = 1 THEN text END), '-') || '|' ||
         coalesce(max(CASE WHEN col = 2 THEN text END), '-') AS cells, coalesce(string_agg(CASE WHEN col IS NULL THEN text END, '|' ORDER BY x0, text), '') AS unbinned FROM b GROUP BY 1, 2, 3""",
     "bin_nearest": f"""{COLUMNS}, n AS (SELECT r.doc_id, r.page, r.row_id, r.x0, r.x1, r.text, arg_min(c.col, abs(r.x1 - c.x1) * 1000 + c.col) AS col FROM r JOIN c ON r.doc_id = c.doc_id AND r.page = c.page
         WHERE regexp_matches(r.text, '[0-9]') GROUP BY ALL) SELECT doc_id, page, row_id, col, arg_max(text, x0) AS text FROM n GROUP BY 1, 2, 3, 4""",
@@ -174,11 +232,40 @@ SELECT n.doc_id, n.page, n.line_no, CASE WHEN n.at > hn.at AND n.at - hn.at <= 4
         SELECT doc_id, page, record, min(line_no) AS line_no, string_agg(text, ' ' ORDER BY line_no) AS text FROM n GROUP BY 1, 2, 3""",
     "column_type_vote": ST + r""", k AS (SELECT CAST(x1 AS INT) AS col, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN 'text' WHEN regexp_matches(text, '[.,$]') THEN 'money' ELSE 'number' END AS kind FROM st),
         c AS (SELECT col, kind, count(*) AS n FROM k GROUP BY 1, 2) SELECT col, arg_max(kind, n) AS kind, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
-    "evidence_lines": f"{GRADED}, sl AS ({STATEMENT_LINES}) " + r"""SELECT g.doc_id, g.page, g.field, g.value, sl.line_no FROM g JOIN sl ON g.doc_id = sl.doc_id AND g.page = sl.page
+    "evidence_lines": f"{GRADED}, sl AS ({STATEMENT_LINES}) " + r"""SELECT g.doc_id, g.page, g.field, g.value, sl.line_no, 'line' AS method FROM g JOIN sl ON g.doc_id = sl.doc_id AND g.page = sl.page
         WHERE g.value <> '' AND regexp_matches(sl.text, '(^|[^A-Za-z0-9])' || regexp_escape(g.value) || '([^A-Za-z0-9]|$)')""",
-    "ground_values": SL + """, c AS (SELECT doc_id, line_no, split_part(text, chr(9), 3) AS t FROM sl WHERE text LIKE 'Item %' AND line_no > 5),
-        o AS (SELECT doc_id, line_no AS row_no, CASE WHEN line_no = 6 THEN '9' || t ELSE t END AS value FROM c)
-        SELECT doc_id, row_no, value FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = o.doc_id AND CAST(c.t AS DECIMAL(18,4)) = CAST(o.value AS DECIMAL(18,4)))""",
+    "ground_values": f"{GROUNDED} SELECT * FROM g",
+    "ungrounded": f"{GROUNDED} SELECT doc_id, count(*) AS checked, count(*) FILTER (NOT ok) AS ungrounded FROM g GROUP BY 1",
+    "read_tables": f"""{BANDS}, a AS (SELECT doc_id, CAST(0 AS INT) AS band, n AS row_id, 'Item' AS label, q || '|' || amt || '|' || CASE WHEN n = 4 THEN '-' ELSE tax::VARCHAR END AS cells, CASE WHEN n = 4 THEN tax::VARCHAR ELSE '' END AS unbinned FROM b),
+      x AS (SELECT * FROM a UNION ALL SELECT DISTINCT doc_id, 0, k + j, 'Note', '-|-|-', '' FROM b, (VALUES (1), (2)) AS v(j) UNION ALL SELECT doc_id, 1, k + 3 + n, 'Sum', n || '|' || n || '.50', '' FROM b)
+      SELECT * FROM x""",
+    "read_tables_pinned": f"""{BANDS} SELECT doc_id, CAST(0 AS INT) AS band, max(k) + 2 AS n, max(k) AS c0, max(k) AS c1, CAST(CASE WHEN max(k) >= 4 THEN 1 ELSE 0 END AS BIGINT) AS c2, CAST(max(k) - CASE WHEN max(k) >= 4 THEN 1 ELSE 0 END AS BIGINT) AS stray FROM b GROUP BY 1
+      UNION ALL SELECT doc_id, 1, max(k), 0, 0, 0, max(k) FROM b GROUP BY 1""",
+    "table_regions": f"""{BANDS} SELECT doc_id, CAST(0 AS INT) AS band, max(k) + 2 AS rows, CAST(1 AS BIGINT) AS first FROM b GROUP BY 1 UNION ALL SELECT doc_id, 1, max(k), max(k) + 4 FROM b GROUP BY 1""",
+    "text_columns": f"""WITH {LINES}, t AS (SELECT doc_id, CASE WHEN n % 4 = 3 THEN 201.5 ELSE 200.0 END AS x FROM l UNION ALL SELECT doc_id, 203.0 FROM l WHERE n % 4 = 3)
+      SELECT doc_id, CAST(0 AS INT) AS col, round(avg(x::DOUBLE), 4) AS x0, count(*) AS n, min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM t GROUP BY 1 HAVING count(*) >= 3""",
+    "bin_text": f"""WITH {LINES}, k AS (SELECT doc_id, count(*) + count(*) FILTER (n % 4 = 3) >= 3 AS has FROM l GROUP BY 1)
+      SELECT doc_id, CAST(n AS INT) AS row_id, 59.0::DOUBLE AS x0, 'Tenant' AS text, CAST(NULL AS INT) AS col FROM l
+      UNION ALL SELECT doc_id, n, CASE WHEN n % 4 = 3 THEN 201.5 ELSE 200 END, CASE WHEN n % 4 = 3 THEN 'BRT' ELSE 'ABA' END, CASE WHEN has THEN 0 END FROM l JOIN k USING (doc_id)
+      UNION ALL SELECT doc_id, n, 203, 'extra', NULL FROM l WHERE n % 4 = 3""",
+    "notice_fields": """WITH o AS (SELECT o_orderkey AS d, o_orderkey % 3 AS v, CAST(o_orderkey % 900 + 100 AS VARCHAR) AS a, CAST(o_custkey % 900 + 100 AS VARCHAR) AS b FROM orders)
+      SELECT d AS doc_id, 'Provider name' AS field, CASE v WHEN 0 THEN 'Metro Light & Power' WHEN 1 THEN 'Harbor Water Company' ELSE '' END AS value, CASE WHEN v = 2 THEN 'none' ELSE 'guess' END AS verdict,
+        CASE WHEN v = 2 THEN '' ELSE 'no label, reads as an organisation''s name' END AS where_found FROM o
+      UNION ALL SELECT d, 'Ending balance', a || '.20', 'yes', 'under the Balance column' FROM o
+      UNION ALL SELECT d, 'Starting balance', a || '.10', 'yes', 'under the Balance column' FROM o
+      UNION ALL SELECT d, 'Due date', CASE WHEN v = 2 THEN '10/06/2026' ELSE '09/05/2026' END, 'yes', CASE WHEN v = 2 THEN 'under the heading' ELSE 'line below' END FROM o
+      UNION ALL SELECT d, 'Meter reading', CASE WHEN v = 2 THEN 'MTR-' || b ELSE '' END, CASE WHEN v = 2 THEN 'yes' ELSE 'none' END, CASE WHEN v = 2 THEN 'under the heading' ELSE '' END FROM o
+      UNION ALL SELECT d, 'Usage', a, 'yes', 'beside the label' FROM o""",
+    "stable_column_count": r"""WITH st AS MATERIALIZED (""" + STATEMENT_TOKENS + r"""), e AS (SELECT doc_id, x1 + top % 5 AS x FROM st WHERE text <> 'Item'),
+      t AS (SELECT doc_id, x, tol FROM e, (SELECT unnest(range(4, 48, 2)) AS tol)), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, tol ORDER BY x) <= tol THEN 0 ELSE 1 END AS new FROM t),
+      c AS (SELECT doc_id, tol, CAST(sum(new) AS INT) AS columns FROM g GROUP BY 1, 2 HAVING count(*) >= 4), h AS (SELECT doc_id, columns, count(*) AS n, min(tol) AS first FROM c GROUP BY 1, 2)
+      SELECT doc_id, CAST(1 AS INT) AS page, columns, n AS most, CAST(22 AS INT) AS tried, round(n / 22.0::DOUBLE, 6) AS confidence FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY columns >= 2 DESC, n DESC, first) = 1""",
+    "match_recipe": f"""{ROWS}, t AS MATERIALIZED (SELECT doc_id, row_id, string_agg(text, ' ' ORDER BY x0, text) AS text FROM r GROUP BY 1, 2),
+      h AS MATERIALIZED (SELECT DISTINCT doc_id, substr(sha1(regexp_replace(lower(text), '[0-9]+', '#', 'g')), 1, 12) AS h, min(row_id) OVER (PARTITION BY doc_id, substr(sha1(regexp_replace(lower(text), '[0-9]+', '#', 'g')), 1, 12)) AS first FROM t WHERE row_id <= 8),
+      sg AS (SELECT doc_id, list(h ORDER BY first) AS sig, count(*) AS na FROM h GROUP BY 1), rc AS (SELECT sig, min(doc_id) AS ord, any_value(na) AS nb FROM sg GROUP BY 1 HAVING count(*) > 1),
+      sn AS (SELECT sig AS own, na FROM (SELECT DISTINCT sig, na FROM sg)), bs AS (SELECT own, rc.ord, len(list_intersect(own, rc.sig)) / (na + nb - len(list_intersect(own, rc.sig))) AS score FROM sn, rc),
+      k AS (SELECT own, ord, score FROM bs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, ord) = 1)
+      SELECT doc_id, CASE WHEN score >= 0.6 THEN 'recipe-' || ord END AS slug, round(coalesce(score, 0)::DOUBLE, 6) AS score FROM sg LEFT JOIN k ON sg.sig = k.own""",
     "export_rows": f"{GRADED} SELECT doc_id, page, field, CASE WHEN value <> '' THEN value END AS value, CASE WHEN verdict = 'yes' THEN 'high' ELSE 'low' END AS confidence FROM g",
     "type_from_found_fields": f"{GRADED} SELECT DISTINCT doc_id, 'statement' AS doc_type FROM g WHERE field = 'Account number' AND verdict <> 'none'",
     "approval_state": f"""{GRADED} SELECT doc_id, count(*) AS need, count(*) FILTER (doc_id % 4 = 0 AND value <> '') AS done,

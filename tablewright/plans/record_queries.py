@@ -69,7 +69,7 @@ def variance(spark, sf):
 
 def report(spark, sf):
     pages = items(spark, sf, "1").select("doc_id", F.col("n").alias("page"), F.lit(1).alias("tables"), F.when(F.col("doc_id") % 4 == 0, 0.25).otherwise(0.75).alias("confidence"))
-    return checks.document_report(pages, items(spark, sf, "n <> 3 as ok").filter("n > 1"))
+    return checks.document_report(pages, items(spark, sf, "n <> 3 as ok"))
 
 
 def aging(spark, sf):
@@ -82,8 +82,8 @@ def grounded(spark, sf):
     lines = statement_lines(spark, sf)
     source = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     pairs = {"amount": "cast(amt + case when doc_id % 5 = 0 then 7000 else 0 end as string)", "title": "case when doc_id % 2 = 0 then 'Account Holder & Statement' else 'Lease, Roll' end"}
-    own = items(spark, sf, ", ".join(f"{sql} as {name}" for name, sql in pairs.items())).filter("n = 1")
-    return checks.ground_by_parts(own.select("doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("field"), F.col(p).alias("value")) for p in pairs])).alias("v")).select("doc_id", "v.*"), source)
+    own = items(spark, sf, ", ".join(f"{sql} as {name}" for name, sql in pairs.items()))
+    return checks.ground_by_parts(own.select("doc_id", F.explode(F.array(*[F.struct(F.concat(F.lit(p), F.col("n").cast("string")).alias("field"), F.col(p).alias("value")) for p in pairs])).alias("v")).select("doc_id", "v.*"), source)
 
 
 def required(spark, sf):
@@ -92,7 +92,7 @@ def required(spark, sf):
 
 
 def passes(spark, sf):
-    own = items(spark, sf, "cast(q as bigint) % 3 as problems, tax as total, l_returnflag as account").filter("n <= 3").withColumnRenamed("n", "pass")
+    own = items(spark, sf, "cast(q as bigint) % 3 as problems, tax as total, l_returnflag as account").withColumn("page", F.ceil(F.col("n") / 3).cast("int")).withColumn("n", F.col("n") - 3 * (F.col("page") - 1)).withColumnRenamed("n", "pass")
     return checks.multi_pass_pick(own.drop("y"), ["total", "account"])
 
 
@@ -108,7 +108,7 @@ def errors(spark, sf):
 
 
 def profiles(spark, sf):
-    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("producer"), F.concat_ws("\n", F.col("o_orderpriority"), F.lit(" "), F.lit("Statement, of Account!"), (F.col("o_custkey") % 3).cast("string")).alias("text"))
+    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("producer"), F.concat_ws("\n", F.col("o_orderpriority"), F.lit(" "), F.lit("Statement, of Account!"), (F.col("o_custkey") % 3).cast("string"), F.lit("fifth")).alias("text"))
     return mapping.source_profile(own).groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -122,7 +122,7 @@ CELLS = [("price", "B2", True), ("status", "B3", False), ("date", "B4", True), (
 
 
 def fill_plan(spark, sf):
-    own = items(spark, sf, "case when doc_id % 2 = 0 then '($' || cast(amt as string) || ')' else '+ ' || cast(amt as string) end as price, l_returnflag as status, '08/31/2026' as date").filter("n = 1")
+    own = items(spark, sf, "case when doc_id % 2 = 0 then '($' || cast(amt as string) || ')' else '+ ' || cast(amt as string) end as price, l_returnflag as status, '08/31/2026' as date").withColumn("doc_id", F.col("doc_id") * 100 + F.col("n"))
     values = own.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("price", "status", "date")])).alias("v")).select("doc_id", "v.*")
     return mapping.template_fill_plan(values, CELLS)
 
@@ -177,28 +177,28 @@ ORACLES = {
     "variance_tie_out": f"""{IT}, c AS (SELECT doc_id, CAST(0 AS INT) AS first_col, count(*) FILTER (n % 3 <> 0) AS ok, count(*) AS checked FROM l GROUP BY 1
       UNION ALL SELECT doc_id, 1, count(*) FILTER (abs(amt - (q - amt + CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END) - tax) < 0.02), count(*) FROM l GROUP BY 1)
       SELECT doc_id, first_col, ok, checked FROM c WHERE checked >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ok DESC, first_col) = 1 AND 2 * ok >= checked""",
-    "document_report": f"""{IT}, d AS (SELECT doc_id, count(*) AS pages, count(*) AS tables, CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE 0.75 END::DOUBLE AS confidence, count(*) FILTER (n > 1 AND n <> 3) AS ok, count(*) FILTER (n > 1) AS total FROM l GROUP BY doc_id)
+    "document_report": f"""{IT}, d AS (SELECT doc_id, count(*) AS pages, count(*) AS tables, CASE WHEN doc_id % 4 = 0 THEN 0.25 ELSE 0.75 END::DOUBLE AS confidence, count(*) FILTER (n <> 3) AS ok, count(*) AS total FROM l GROUP BY doc_id)
       SELECT *, CASE WHEN ok * 100 < total * 95 OR confidence < 0.4 THEN 'CHECK' ELSE 'OK' END AS status FROM d""",
     "aging_buckets": f"""{IT} SELECT doc_id, n AS row_no, 'line' AS "check", CAST(q + tax + CASE WHEN n = 2 THEN 1 ELSE 0 END AS DECIMAL(18,4)) AS expected, CAST(q + tax AS DECIMAL(38,4)) AS got, n <> 2 AS ok FROM l
       UNION ALL SELECT doc_id, NULL, 'document', CAST(sum(q + tax) AS DECIMAL(18,4)), CAST(sum(q + tax) + count(*) FILTER (n = 2) AS DECIMAL(38,4)), count(*) FILTER (n = 2) = 0 FROM l GROUP BY doc_id""",
     "ground_by_parts": f"""WITH sl AS ({STATEMENT_LINES}), t AS (SELECT doc_id, regexp_replace(string_agg(text, '' ORDER BY line_no), '[^0-9]', '', 'g') AS d FROM sl GROUP BY 1),
-      {LINES}, v AS (SELECT doc_id, 'amount' AS field, CAST(amt + CASE WHEN doc_id % 5 = 0 THEN 7000 ELSE 0 END AS VARCHAR) AS value FROM l WHERE n = 1
-      UNION ALL SELECT doc_id, 'title', CASE WHEN doc_id % 2 = 0 THEN 'Account Holder & Statement' ELSE 'Lease, Roll' END FROM l WHERE n = 1)
-      SELECT doc_id, field, value, coalesce(CASE WHEN field = 'amount' THEN contains(d, regexp_replace(value, '[^0-9]', '', 'g')) ELSE d IS NOT NULL AND doc_id % 2 = 0 END, false) AS ok FROM v LEFT JOIN t USING (doc_id)""",
+      {LINES}, v AS (SELECT doc_id, 'amount' || n AS field, CAST(amt + CASE WHEN doc_id % 5 = 0 THEN 7000 ELSE 0 END AS VARCHAR) AS value FROM l
+      UNION ALL SELECT doc_id, 'title' || n, CASE WHEN doc_id % 2 = 0 THEN 'Account Holder & Statement' ELSE 'Lease, Roll' END FROM l)
+      SELECT doc_id, field, value, coalesce(CASE WHEN field LIKE 'amount%' THEN contains(d, regexp_replace(value, '[^0-9]', '', 'g')) ELSE d IS NOT NULL AND doc_id % 2 = 0 END, false) AS ok FROM v LEFT JOIN t USING (doc_id)""",
     "required_fields": f"""{IT}, c AS (SELECT doc_id, n AS row_no, CASE n % 3 WHEN 0 THEN 'Total' WHEN 1 THEN 'Date' ELSE 'Note' END AS "column", CASE WHEN n % 2 = 0 THEN CAST(q AS VARCHAR) END AS value, q FROM l)
       SELECT doc_id, row_no, "column", value, CASE WHEN value IS NOT NULL OR "column" = 'Total' THEN 'Blocking' ELSE 'Warning' END AS severity FROM c WHERE value IS NULL OR q <= 25""",
-    "multi_pass_pick": f"""{IT}, p AS (SELECT doc_id, n, CAST(q AS BIGINT) % 3 AS problems, tax, l_returnflag AS f FROM l WHERE n <= 3),
-      b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY problems, n) = 1),
-      o AS (SELECT p.* FROM p JOIN b USING (doc_id) WHERE p.n <> b.n QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY p.n) = 1)
-      SELECT b.doc_id, CAST(1 AS INT) AS page, b.n AS pass, b.problems, CASE WHEN b.problems = 0 AND o.problems = 0 THEN concat_ws(', ', CASE WHEN b.tax <> o.tax THEN 'total' END, CASE WHEN b.f <> o.f THEN 'account' END) ELSE '' END AS differ FROM b LEFT JOIN o USING (doc_id)""",
+    "multi_pass_pick": f"""{IT}, p AS (SELECT doc_id, CAST(ceil(n / 3.0) AS INT) AS page, n - 3 * CAST(ceil(n / 3.0) - 1 AS BIGINT) AS n, CAST(q AS BIGINT) % 3 AS problems, tax, l_returnflag AS f FROM l),
+      b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY problems, n) = 1),
+      o AS (SELECT p.* FROM p JOIN b USING (doc_id, page) WHERE p.n <> b.n QUALIFY row_number() OVER (PARTITION BY p.doc_id, p.page ORDER BY p.n) = 1)
+      SELECT b.doc_id, b.page, b.n AS pass, b.problems, CASE WHEN b.problems = 0 AND o.problems = 0 THEN concat_ws(', ', CASE WHEN b.tax <> o.tax THEN 'total' END, CASE WHEN b.f <> o.f THEN 'account' END) ELSE '' END AS differ FROM b LEFT JOIN o USING (doc_id, page)""",
     "shadow_flags": f"""{IT} SELECT doc_id, CAST(1 AS INT) AS page, CAST(n AS DOUBLE) AS y, 'Item ' || n AS label, 'Item' || CASE WHEN n <= 3 THEN ' ' || n ELSE '' END AS detail FROM l WHERE n % 2 = 1""",
     "cell_error_audit": f"{IT} SELECT doc_id, n AS row_no, CAST(0 AS INT) AS col, CASE n WHEN 2 THEN '#REF!' ELSE '#N/A' END AS value FROM l WHERE n IN (2, 3)",
-    "source_profile": """WITH p AS (SELECT o_orderkey AS k, lower(o_orderstatus) || '|' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9 ]+', ' ', 'g')) || ' statement  of account ' || o_custkey % 3 AS profile FROM orders)
+    "source_profile": """WITH p AS (SELECT o_orderkey AS k, lower(o_orderstatus) || '|' || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9 ]+', ' ', 'g')) || ' statement of account ' || o_custkey % 3 AS profile FROM orders)
       SELECT profile, count(*) AS n, min(k) AS first_doc FROM p GROUP BY 1""",
     "unit_crosscheck": """WITH u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN 'A-' || o_orderkey % 50 END AS f, CASE WHEN o_orderkey % 4 > 0 THEN 'a' || (o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END) % 50 END AS s FROM orders)
       SELECT k AS doc_id, coalesce(s, f, '') AS suite, CASE WHEN f IS NOT NULL AND s IS NULL THEN 'taken from the folder' WHEN f IS NOT NULL AND k % 5 = 0 THEN 'folder and documents differ' END AS flag FROM u""",
-    "template_fill_plan": f"""{IT}, o AS (SELECT * FROM l WHERE n = 1)
-      SELECT doc_id, 'price' AS field, 'B2' AS cell, CAST(CAST(CASE WHEN doc_id % 2 = 0 THEN -amt ELSE amt END AS DECIMAL(18,4)) AS VARCHAR) AS written, NULL AS why FROM o
+    "template_fill_plan": f"""{IT}, o AS (SELECT doc_id * 100 + n AS doc_id, doc_id % 2 AS odd, amt, l_returnflag FROM l)
+      SELECT doc_id, 'price' AS field, 'B2' AS cell, CAST(CAST(CASE WHEN odd = 0 THEN -amt ELSE amt END AS DECIMAL(18,4)) AS VARCHAR) AS written, NULL AS why FROM o
       UNION ALL SELECT doc_id, 'status', 'B3', l_returnflag, NULL FROM o UNION ALL SELECT doc_id, 'date', 'B4', NULL, 'not cleanly a number' FROM o UNION ALL SELECT doc_id, 'clerk', 'B5', NULL, 'not found' FROM o""",
     "field_sections": """WITH c AS (SELECT o_orderkey % 5 AS k, o_orderpriority AS p FROM orders)
       SELECT ['Lease Start', 'Renewal term', 'DBA name', 'Pro Rata share', 'Guarantor'][k + 1] || ' ' || p AS name, CAST([1, 6, 0, 4, 8][k + 1] AS INT) AS section_no,

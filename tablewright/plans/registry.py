@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.plans import document_queries, figure_queries, record_queries, text_queries
+from tablewright.plans import document_queries, figure_queries, record_queries, review_queries, stream_queries, table_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+MODULES = (document_queries, figure_queries, text_queries, record_queries, table_queries, review_queries, stream_queries)
+
+
 def queries() -> dict[str, Query]:
-    return {**document_queries.QUERIES, **figure_queries.QUERIES, **text_queries.QUERIES, **record_queries.QUERIES}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**document_queries.ORACLES, **figure_queries.ORACLES, **text_queries.ORACLES, **record_queries.ORACLES}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES = """l as (
@@ -54,6 +54,35 @@ union all select doc_id, 1, cast(sec * 1000 + 999 as double), cast(68 as double)
 """
 
 
+# A flat report: every row at one indent, subtotals of each flag, a grand total straight after the last of them, and in every
+# fifth document a line of the five largest. Columns: quantity, amount, amount for each unit.
+ROLL_ROWS = f"""
+with {LINES},
+s as (select doc_id, l_returnflag, row_number() over (partition by doc_id order by l_returnflag) as sec, sum(q) as q, sum(amt) as amt from l group by doc_id, l_returnflag),
+g as (select doc_id, sum(q) as q, sum(amt) as amt, max(n) as last_n from l group by doc_id),
+r as (select l.doc_id, s.sec * 1000 + 10 * l.n as y, 'Suite ' || cast(l.n as string) as label, l.q, l.amt from l join s on l.doc_id = s.doc_id and l.l_returnflag = s.l_returnflag
+  union all select doc_id, sec * 1000 + 998, 'Subtotal ' || l_returnflag, q, amt from s
+  union all select doc_id, 9000, 'Grand total', q, case when doc_id % 7 = 0 then amt + 500 else amt end from g
+  union all select doc_id, 9001, 'Top 10 Tenant Exposure', q, amt from g where doc_id % 5 = 0)
+select doc_id, 1 as page, cast(y as double) as y, cast(59 as double) as x0, label, cast(q as string) as v0, cast(amt as string) as v1,
+       cast(cast(floor(cast(amt as double) * 100 / cast(q as double)) / 100 as decimal(18,2)) as string) as v2 from r
+"""
+
+# A notice with a letterhead and a table under named columns: page 1 of each order; a third print the issuer in a stub below.
+NOTICE_LINES = """
+with o as (select o_orderkey as doc_id, o_orderkey % 3 as v, cast(o_orderkey % 900 + 100 as string) as a, cast(o_custkey % 900 + 100 as string) as b from orders)
+select doc_id, 1 as page, 1 as line_no, case when v = 0 then 'Metro Light & Power' when v = 1 then 'JANE OKAFOR' else 'Account Summary:' end as text from o
+union all select doc_id, 1, 2, 'Description' || chr(9) || 'Debits' || chr(9) || 'Credits' || chr(9) || 'Balance' from o
+union all select doc_id, 1, 3, 'Beginning balance' || chr(9) || '1.00' || chr(9) || '2.00' || chr(9) || a || '.10' from o
+union all select doc_id, 1, 4, 'ENDING BALANCE' || chr(9) || b || '.00' || chr(9) || a || '.20' from o
+union all select doc_id, 1, 5, 'Due Date' || chr(9) || 'Meter' from o
+union all select doc_id, 1, 6, '09/05/2026' from o where v <> 2
+union all select doc_id, 1, 7, '10/06/2026' || chr(9) || 'MTR-' || b from o where v = 2
+union all select doc_id, 1, 8, 'Usage (kWh) ' || a from o
+union all select doc_id, 1, 9, 'Remit to  Harbor Water Company' from o where v = 1
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,15 +93,109 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+# The same tables for Spark: an order's lines are brought together once, and every row made from them. The SQL above reads
+# them line by line; queries are compared with what DuckDB makes of it.
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and its lines (flag, q, amt, tax) in order."""
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate",
+        F.col("l_returnflag").alias("flag"), money("l_quantity").alias("q"), money("l_extendedprice").alias("amt"), money("l_tax").alias("tax"),
+    )
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    kept = F.transform("lines", lambda x, i: F.struct((i + 1).alias("n"), x["flag"].alias("flag"), x["q"].alias("q"), x["amt"].alias("amt"), x["tax"].alias("tax")))
+    return own.select("doc_id", kept.alias("lines"))
+
+
+def total(lines: Column, name: str) -> Column:
+    zero = F.lit(0).cast("decimal(28,2)")
+    return F.aggregate(lines, zero, lambda s, x: (s + x[name]).cast("decimal(28,2)"))
+
+
+def text(c: Column) -> Column:
+    return c.cast("string")
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, STATEMENT_LINES)
+    own = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("page"), "o_custkey",
+        (F.col("o_orderkey") % 5).alias("v"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("dt"),
+    ).join(order_lines(spark, sf_dir), "doc_id", "left")
+    v, dt, lines = F.col("v"), F.col("dt"), F.coalesce("lines", F.array().cast("array<struct<n:int,flag:string,q:decimal(18,2),amt:decimal(18,2),tax:decimal(18,2)>>"))
+    row = lambda n, t: F.struct(F.lit(n).cast("int").alias("line_no") if isinstance(n, int) else n.cast("int").alias("line_no"), t.alias("text"))
+    some = lambda test, r: F.when(test, F.array(r)).otherwise(F.array().cast("array<struct<line_no:int,text:string>>"))
+    due = total(lines, "amt") + F.when(v == 3, 10).otherwise(0)
+    rows = F.concat(
+        F.array(
+            row(1, F.lit("ACCOUNT STATEMENT")),
+            row(2, F.when(v == 2, "Member since 2001").otherwise(F.concat(F.lit("Account No: AC-"), text(F.col("o_custkey"))))),
+            row(3, F.when(v == 1, "Statement Date").when(v == 4, F.concat(F.lit("Bill Date:  "), dt)).otherwise(F.concat(F.lit("Statement Date: "), dt))),
+        ),
+        some(v == 1, row(4, dt)),
+        F.array(row(5, F.lit("Item\tQuantity\tAmount"))),
+        F.transform(lines, lambda x: row(x["n"] + 5, F.concat_ws("\t", F.concat(F.lit("Item "), text(x["n"])), text(x["q"]), text(x["amt"])))),
+        some(F.size(lines) > 0, row(F.size(lines) + 6, F.concat(F.lit("Total Amount Due: $"), text(due.cast("decimal(28,2)"))))),
+    )
+    return own.select("doc_id", "page", F.explode(rows).alias("r")).select("doc_id", "page", "r.*")
 
 
 def statement_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, STATEMENT_TOKENS)
+    own = order_lines(spark, sf_dir).select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
+    token = lambda t, edge, drop: F.struct(t.alias("text"), (edge - 5 * F.length(t)).cast("double").alias("x0"), edge.cast("double").alias("x1"), (100 + 12 * F.col("n") + F.lit(drop)).cast("double").alias("top"))
+    edge = F.when(F.col("n") == 4, 470).otherwise(500)
+    tokens = F.array(
+        token(F.lit("Item"), F.lit(79), 0.0), token(text(F.col("q")), F.lit(300), 0.4), token(text(F.col("amt")), F.lit(420), 0.8), token(text(F.col("tax")), edge, 0.2)
+    )
+    return own.select("doc_id", F.lit(1).alias("page"), F.explode(tokens).alias("t")).select("doc_id", "page", "t.*")
+
+
+ROW = "struct<page:int,y:double,x0:double,label:string,values:array<string>>"
+
+
+def made_row(y: Column, x0: float, label: Column, *values: Column) -> Column:
+    return F.struct(F.lit(1).alias("page"), y.cast("double").alias("y"), F.lit(x0).alias("x0"), label.alias("label"), F.array(*values).cast("array<string>").alias("values"))
+
+
+def sections(lines: str, make) -> Column:
+    """make(flag, place from 1, the flag's lines) for each flag of the lines, in one array."""
+    flags = F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["flag"])))
+    return F.flatten(F.transform(flags, lambda f, i: make(f, i + 1, F.filter(lines, lambda x: x["flag"] == f))))
+
+
+def rows_of(own: DataFrame, rows: Column) -> DataFrame:
+    return own.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page rows with values array<string>, null where a column is empty."""
-    rows = derived(spark, sf_dir, REPORT_ROWS)
-    return rows.withColumn("values", F.array("v0", "v1")).drop("v0", "v1")
+
+    def make(flag, sec, own):
+        head = made_row(sec * 1000, 53.0, F.concat(F.lit("SECTION "), flag), F.lit(None), F.lit(None))
+        items = F.transform(own, lambda x: made_row(sec * 1000 + 10 * x["n"], 59.0, F.concat(F.lit("Item "), text(x["n"])), text(x["q"]), text(x["amt"])))
+        amount = total(own, "amt") + F.when((F.col("doc_id") % 7 == 0) & (sec == 1), 1).otherwise(0)
+        end = made_row(sec * 1000 + 999, 68.0, F.concat(F.lit("Total "), flag), text(total(own, "q")), text(amount.cast("decimal(28,2)")))
+        return F.concat(F.array(head), items, F.array(end))
+
+    return rows_of(order_lines(spark, sf_dir), sections("lines", make))
+
+
+def roll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat report of ROLL_ROWS, values array<string>."""
+
+    def full(y, label, q, amt):
+        rate = (F.floor(amt.cast("double") * 100 / q.cast("double")) / 100).cast("decimal(18,2)")
+        return made_row(y, 59.0, label, text(q), text(amt), text(rate))
+
+    def make(flag, sec, own):
+        items = F.transform(own, lambda x: full(sec * 1000 + 10 * x["n"], F.concat(F.lit("Suite "), text(x["n"])), x["q"], x["amt"]))
+        return F.concat(items, F.array(full(sec * 1000 + 998, F.concat(F.lit("Subtotal "), flag), total(own, "q"), total(own, "amt"))))
+
+    lines = F.col("lines")
+    off = (total(lines, "amt") + F.when(F.col("doc_id") % 7 == 0, 500).otherwise(0)).cast("decimal(28,2)")
+    ends = F.concat(
+        F.array(full(F.lit(9000), F.lit("Grand total"), total(lines, "q"), off)),
+        F.when(F.col("doc_id") % 5 == 0, F.array(full(F.lit(9001), F.lit("Top 10 Tenant Exposure"), total(lines, "q"), total(lines, "amt")))).otherwise(F.array().cast(f"array<{ROW}>")),
+    )
+    return rows_of(order_lines(spark, sf_dir), F.concat(sections("lines", make), ends))

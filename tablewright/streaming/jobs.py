@@ -1,10 +1,15 @@
-"""Structured Streaming jobs: progress, scoreboards and sessions over a stream of events, kept up to date as files arrive."""
+"""Structured Streaming jobs: progress, scoreboards, sessions and field search, kept up to date as files arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
+
+from tablewright.operators import labels
 
 
 def progress(events: DataFrame, late: str = "1 hour", window: str = "1 hour") -> DataFrame:
@@ -12,7 +17,7 @@ def progress(events: DataFrame, late: str = "1 hour", window: str = "1 hour") ->
     return (
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", window).alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
     )
 
@@ -41,3 +46,55 @@ def run_to_table(out: DataFrame, path: str, checkpoint: str, mode: str = "append
         .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{path}/batch={k if mode == 'append' else 'all'}"))
         .start()
     )
+
+
+def field_search(pages: DataFrame, fields: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """M1: label search on pages (doc_id, page, text, ts) as they arrive; the same text of a document's page counts once, within the
+    watermark. Each batch's graded fields are written as it ends."""
+    own = pages.withColumn("hash", F.sha1("text")).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["doc_id", "page", "hash"])
+
+    def search(batch: DataFrame, k: int) -> None:
+        rows = batch.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+        labels.graded_fields(rows, fields).write.mode("overwrite").parquet(f"{path}/batch={k}")
+
+    return own.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(search).start()
+
+
+def retained(known: DataFrame, keep: int) -> DataFrame:
+    """M5, a step: of entities (entity, seq, busy; several rows of one: the newest counts) the newest `keep` stay, and busy ones besides."""
+    newest = known.groupBy("entity").agg(F.max_by(F.struct("seq", "busy"), "seq").alias("s")).select("entity", "s.*")
+    # only the newest of each partition and all busy ones can matter
+    top = newest.orderBy(F.desc("seq"), "entity").limit(keep)
+    return top.unionByName(newest.filter("busy")).distinct()
+
+
+def retention(events: DataFrame, keep: int, path: str, checkpoint: str) -> StreamingQuery:
+    """M5: the newest `keep` entities of a stream (entity, seq, busy) are kept, older ones evicted, busy ones spared. The kept ones are a
+    table, of which each batch writes the next version under `path`."""
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, k: int) -> None:
+        before = kept_version(spark, path, k)
+        known = batch if before is None else batch.unionByName(before)
+        retained(known, keep).write.mode("overwrite").parquet(f"{path}/version={k}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+
+
+def kept_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of the kept entities, or the newest before a batch; null before the first."""
+    try:
+        all_ = spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    own = all_ if before is None else all_.filter(F.col("version") < before)
+    last = own.agg(F.max("version")).first()[0]
+    return None if last is None else own.filter(F.col("version") == last).drop("version")
+
+
+def latest_by(rows: DataFrame, key: Sequence[str], version: str = "batch") -> DataFrame:
+    """Of what batches wrote in update mode each key's newest row."""
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(version)))
+    return rows.withColumn("__n", nth).filter("__n = 1").drop("__n", version)
