@@ -197,6 +197,30 @@ ENTITY = r"""WITH c AS (SELECT source AS grp, doc_id, text, CAST(regexp_matches(
   m AS (SELECT grp, CAST(entity AS INT) AS entity, doc_id, base, CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || w1) AS INT) + CASE WHEN w2 <> w1 THEN CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || w2) AS INT) ELSE 0 END
       + CAST(regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*' || suite || '(?:[^\p{L}\p{N}_]|$)') AS INT) AS met,
     (suite <> '1' AND regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*1(?:[^\p{L}\p{N}_]|$)')) OR (suite <> '2' AND regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*2(?:[^\p{L}\p{N}_]|$)')) OR (suite <> '3' AND regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*3(?:[^\p{L}\p{N}_]|$)')) AS other FROM b, e)"""
+CHUNKS = r"""ps AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+      cw AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk, 0 AS held, CAST(NULL AS VARCHAR) AS part FROM ps UNION ALL
+        SELECT doc_id, ps, i + 1, chunk + CASE WHEN held + length(ps[i]) >= 2500 THEN 1 ELSE 0 END, CASE WHEN held + length(ps[i]) >= 2500 THEN 0 ELSE held + length(ps[i]) END, chunk || ':' || ps[i] FROM cw WHERE i <= len(ps)),
+      r AS (SELECT doc_id, i, CAST(string_split(part, ':')[1] AS INT) AS chunk_no, substr(part, strpos(part, ':') + 1) AS t FROM cw WHERE part IS NOT NULL),
+      chunks AS MATERIALIZED (SELECT doc_id, chunk_no, string_agg(t, chr(10) || chr(10) ORDER BY i) AS chunk FROM r GROUP BY 1, 2)"""
+
+
+def rated(chunks: str) -> str:
+    """Units (grp, doc_id, chunk_no, size, score) of chunks by what they name, with 3 more for the first of a file."""
+    return rf"""units AS MATERIALIZED (SELECT grp, doc_id, chunk_no, CAST(length(chunk) AS INT) AS size, (CASE WHEN trim(chunk) = '' THEN 0.0 ELSE named * 4.0 + CASE WHEN named > 0 THEN least(figures, 12) * 0.8 ELSE 0.0 END END + CASE WHEN chunk_no < 1 THEN 3.0 ELSE 0.0 END)::DOUBLE AS score FROM (
+      SELECT *, CAST(regexp_matches(chunk, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:thing|amount)') AS INT) + CAST(regexp_matches(chunk, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:nicht|total)') AS INT) AS named,
+        len(regexp_extract_all(chunk, '[$€£]\s?[\d,]{{3,}}')) + len(regexp_extract_all(chunk, '\d{{1,3}}(?:\.\d+)?\s?%')) + len(regexp_extract_all(chunk, '(?:[A-Z][a-z]{{2,9}}\s+\d{{1,2}},\s+\d{{4}})|(?:\d{{1,2}}/\d{{1,2}}/\d{{2,4}})'))
+        + least(len(regexp_extract_all(chunk, '\b\d[\d,]{{2,}}(?:\.\d+)?\b')), 10) AS figures FROM {chunks}))"""
+
+
+def greedy(p: str, source: str, floor: int, budget: int) -> str:
+    """{p}_taken: units of `source` in the order of trying that still fit what is left of the budget, one after the other."""
+    return f"""{p}_n AS (SELECT *, row_number() OVER (PARTITION BY grp, doc_id ORDER BY score DESC, chunk_no) AS nth FROM {source}), {p}_f AS (SELECT *, nth <= {floor} AND (score > 0 OR chunk_no = 0) AS first FROM {p}_n),
+      {p}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY NOT first, CASE WHEN first THEN doc_id END, CASE WHEN first THEN nth END, -score, doc_id, chunk_no) AS i FROM {p}_f WHERE first OR score > 0),
+      {p}_w AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, false AS took FROM {p}_o UNION ALL
+        SELECT w.grp, o.i, w.used + CASE WHEN w.used + o.size + 80 <= {budget} THEN o.size + 80 ELSE 0 END, w.used + o.size + 80 <= {budget} FROM {p}_w AS w JOIN {p}_o AS o ON o.grp = w.grp AND o.i = w.i + 1),
+      {p}_taken AS MATERIALIZED (SELECT o.* FROM {p}_o AS o JOIN {p}_w AS w ON o.grp = w.grp AND o.i = w.i WHERE took)"""
+
+
 ORACLES = {
     "score_chunks": r"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE named * 4.0 + least(loose, 8) * 0.5 - barred * 8.0 + CASE WHEN named > 0 THEN least(figures, 12) * 0.8 ELSE 0.0 END END AS score FROM (
       SELECT doc_id, text, CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:thing|amount)') AS INT) + CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:nicht|total)') AS INT) AS named,
@@ -229,11 +253,15 @@ ORACLES = {
     "page_range_filter": "SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, CAST(doc_id AS INT) AS page FROM documents WHERE doc_id BETWEEN 1 AND 30 OR doc_id = 77 OR doc_id >= 900",
     "collapse_page_ranges": """WITH p AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS doc_id, CAST(floor(doc_id / 12) AS INT) AS page FROM documents), i AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM p),
       r AS (SELECT doc_id, min(page) AS lo, max(page) AS hi FROM i GROUP BY doc_id, k) SELECT doc_id, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ',' ORDER BY lo) AS pages FROM r GROUP BY 1""",
-    "chunk_paragraphs": r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
-      w AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk, 0 AS held, CAST(NULL AS VARCHAR) AS part FROM p UNION ALL
-        SELECT doc_id, ps, i + 1, chunk + CASE WHEN held + length(ps[i]) >= 2500 THEN 1 ELSE 0 END, CASE WHEN held + length(ps[i]) >= 2500 THEN 0 ELSE held + length(ps[i]) END, chunk || ':' || ps[i] FROM w WHERE i <= len(ps)),
-      r AS (SELECT doc_id, i, CAST(string_split(part, ':')[1] AS INT) AS chunk_no, substr(part, strpos(part, ':') + 1) AS t FROM w WHERE part IS NOT NULL)
-      SELECT doc_id, chunk_no, string_agg(t, chr(10) || chr(10) ORDER BY i) AS chunk FROM r GROUP BY 1, 2""",
+    "chunk_paragraphs": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks",
+    "select_under_budget": f"WITH RECURSIVE {CHUNKS}, {rated('(SELECT source AS grp, doc_id, chunk_no, chunk FROM chunks JOIN documents USING (doc_id))')}, {greedy('a', 'units', 2, 40000)} SELECT grp, doc_id, chunk_no, size, score FROM a_taken",
+    "second_pass": f"WITH RECURSIVE {rated('(SELECT source AS grp, doc_id, CAST(0 AS INT) AS chunk_no, text AS chunk FROM documents)')}, {greedy('a', 'units', 1, 20000)}, "
+    f"rest AS MATERIALIZED (SELECT * FROM units WHERE (grp, doc_id) NOT IN (SELECT grp, doc_id FROM a_taken) AND grp IN (SELECT source FROM documents WHERE doc_id % 3 = 0)), {greedy('b', 'rest', 1, 30000)} SELECT grp, doc_id, chunk_no, size, score FROM b_taken",
+    "question_pages": RANK.replace("WITH p AS", "WITH RECURSIVE p AS") + """, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY NOT named, CASE WHEN named THEN 0 ELSE -score END, page) AS i FROM k WHERE size > 0),
+      w AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS took, CAST(0 AS INT) AS page FROM o UNION ALL
+        SELECT w.grp, o.i, w.used + CASE WHEN o.size + 40 <= 12000 - w.used THEN o.size + 40 WHEN o.named AND w.used < 12000 THEN least(o.size, greatest(0, 12000 - w.used - 80)) + 69 ELSE 0 END,
+          CASE WHEN o.size + 40 <= 12000 - w.used THEN o.size WHEN o.named AND w.used < 12000 THEN least(o.size, greatest(0, 12000 - w.used - 80)) + 29 END, o.page FROM w JOIN o ON o.grp = w.grp AND o.i = w.i + 1)
+      SELECT grp, CAST(page AS BIGINT) AS page, CAST(took AS INT) AS size FROM w WHERE took IS NOT NULL""",
     "score_pages": "SELECT doc_id, round(CAST(" + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN {w} ELSE 0 END" for p, w in retrieve.PAGE_WEIGHTS) + " + k * 2.0 + CASE WHEN k > 0 AND f > 0 THEN least(f, 8) * 1.2 WHEN k > 0 THEN -3.0 ELSE 0 END AS DOUBLE), 4) AS score FROM (SELECT doc_id, text, "
     + " + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INT)" for p in retrieve.FIELD_HINTS) + " AS k, " + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in retrieve.PAGE_FIGURES) + " AS f FROM documents)",
     "page_route": """SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS INT) AS alnum, CAST(len(regexp_extract_all(text, 'ou')) AS INT) AS cid, (doc_id % 10) / 10 AS image_cover,

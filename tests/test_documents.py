@@ -110,10 +110,12 @@ def test_transcripts_become_lines(spark):
 
 def test_manifest(spark, tmp_path):
     (tmp_path / "g1").mkdir()
-    for name in ("g1/a.pdf", "g1/b.PNG", "c.xyz", ".hidden", "g1/~$tmp.docx"):
+    (tmp_path / "__pycache__").mkdir()
+    for name in ("g1/a.pdf", "g1/b.PNG", "c.xyz", ".hidden", "g1/~$tmp.docx", "__pycache__/x.txt", "g1/t.csv"):
         (tmp_path / name).write_text("x")
     got = {(r.name, r.grp, r.route) for r in corpus.scan_manifest(spark, str(tmp_path), 1, allow_ocr=True).collect()}
-    assert got == {("a.pdf", "g1", "pdf"), ("b.PNG", "g1", "ocr"), ("c.xyz", "(root)", "unsupported")}
+    assert got == {("a.pdf", "g1", "pdf"), ("b.PNG", "g1", "ocr"), ("c.xyz", "(root)", "unsupported"), ("t.csv", "g1", "table")}
+    assert {r.grp for r in corpus.scan_manifest(spark, str(tmp_path), 0).collect()} == {tmp_path.name}
 
 
 def test_labels_match_by_tier(spark):

@@ -1,0 +1,272 @@
+"""Bands, grids, totals, labels and streams on hand-made rows, the odd cases above all."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.operators import checks, corpus, grid, labels, layout, mapping, records, retrieve, review, tables
+from tablewright.streaming import jobs
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(1, 1, float(y), 59.0, label, values) for y, (label, values) in enumerate(rows)], "doc_id long, page int, y double, x0 double, label string, values array<string>")
+
+
+def test_grand_total_straight_after_a_subtotal(spark):
+    rows = [("a", ["10"]), ("Subtotal", ["10"]), ("b", ["5"]), ("Grand total", ["15"]), ("Top 10 Tenants", ["15"]), ("All others", ["1"]), ("Rent totals", ["17"])]
+    got = checks.flat_totals(rows_of(spark, rows), 1).orderBy("y").collect()
+    assert [(r.label, float(r.got), r.ok) for r in got] == [("Subtotal", 10, True), ("Grand total", 15, True), ("Top 10 Tenants", 15, True), ("Rent totals", 16, False)]
+
+
+def test_a_column_of_rates_is_judged_by_the_method_its_totals_agree_on(spark):
+    items = [("a", ["100", "10", "10"]), ("b", ["300", "20", "15"]), ("c", ["50", "1", "50"])]
+    got = {r.scope: (r.note, r.ok) for r in checks.flat_totals(rows_of(spark, [*items, ("Total", ["450", "31", "14.52"])]), 3).collect()}
+    assert got["col0"] == ("3 row(s) above it, as sum", True) and got["col2"] == ("3 row(s) above it, as average weighted by column 2", True)
+    off = checks.flat_totals(rows_of(spark, [*items, ("Total", ["451", "31", "99"])]), 3).collect()
+    assert {r.scope for r in off if not r.ok} == {"col0", "col2"} and all(r.note.endswith("as sum") for r in off if not r.ok)
+
+
+def test_all_checks_follow_the_document(spark):
+    flat = rows_of(spark, [("a", ["1"]), ("Total", ["1"])])
+    indented = spark.createDataFrame([(2, 1, 0.0, 59.0, "a", ["1", None]), (2, 1, 1.0, 59.0, "b", ["2", "3"]), (2, 1, 2.0, 68.0, "Sum", ["3", "3"])], flat.schema)
+    got = {(r.doc_id, r.check, r.scope) for r in checks.run_checks(flat.unionByName(indented), 2).collect()}
+    assert got == {(1, "table_total", "col0"), (2, "section_total", "col0"), (2, "section_total", "col1"), (2, "ragged_row", "row")}
+
+
+@pytest.mark.parametrize(("edges", "want"), [([100.0, 110.0, 300.0, 310.0, 500.0], (3, 19)), ([1.0, 2.0, 3.0], None), ([10.0, 25.0, 40.0, 55.0, 400.0], (2, 16))])
+def test_columns_that_hold_over_most_tolerances(spark, edges, want):
+    own = spark.createDataFrame([(1, 1, x, 600.0) for x in edges], "doc_id long, page int, x1 double, width double")
+    got = [(r.columns, r.most) for r in layout.stable_column_count(own).collect()]
+    assert got == ([] if want is None else [want])
+
+
+def tokens(spark, rows):
+    made = [(1, 1, text, x - 10.0, float(x), float(20 * n), n) for n, row in enumerate(rows) for text, x in row]
+    return spark.createDataFrame(made, "doc_id long, page int, text string, x0 double, x1 double, top double, row_id long")
+
+
+def test_one_row_that_does_not_fit_stays_and_two_begin_a_band(spark):
+    a, b, stray = [("1", 100), ("2", 200)], [("3", 150), ("4", 350)], [("9", 500)]
+    got = {r.row_id: r.band for r in tables.table_regions(tokens(spark, [a, a, stray, a, b, b, b])).select("row_id", "band").distinct().collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1}
+
+
+def test_blank_rows_end_a_band_and_small_bands_are_none(spark):
+    a, word = [("1", 100)], [("text", 40)]
+    got = {r.row_id: r.band for r in tables.table_regions(tokens(spark, [a, a, word, a, word, word, word, a, a])).select("row_id", "band").distinct().collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_figures_left_of_the_columns_belong_to_the_label(spark):
+    rows = [[("2024", 40), ("Rent", 60), ("1.00", 200)], [("Tax", 60), ("2.00", 200)], [("Fee", 60), ("3.00", 200), ("7.00", 260)]]
+    got = {r.row_id: r for r in tables.read_tables(tokens(spark, rows)).collect()}
+    assert got[0].label == "2024 Rent" and list(got[0]["values"]) == ["1.00"] and list(got[2].unbinned) == ["7.00"]
+
+
+def grid_cells(spark, tables_):
+    made = [(file, page, no, route, r, c, text) for file, page, no, route, rows in tables_ for r, row in enumerate(rows) for c, text in enumerate(row)]
+    return spark.createDataFrame(made, "file string, page int, table_no int, route string, row_no int, col_no int, text string")
+
+
+HEAD = ["", "Class A", "Class B", "Class C", "Unratable"]
+
+
+def test_grid_takes_names_by_prefix_but_short_ones_whole(spark):
+    rows = [HEAD, *[[n, "1", "2", "3", "4"] for n in ("Density", "AGE", "Amenities (note 1)", "quality / layout", "Roads", "Utilities*", "Acreage", "Average Rent")]]
+    own = grid_cells(spark, [("f", 3, 0, "lines", rows), ("f", 3, 1, "chars", rows), ("f", 5, 0, "text", [["x", "y"]])])
+    found = grid.find_grid(own).collect()
+    assert [(r.page, r.route, r.core, r.star, r.headers, r.is_grid) for r in found] == [(3, "chars", 6, 0, 4, True)]
+    shaped = {r.printed: (r.category, r.canonical) for r in grid.shape_grid(grid.grid_continuation(own, grid.find_grid(own)), grid.find_grid(own)).collect()}
+    assert shaped["Amenities (note 1)"] == ("Amenities", True) and shaped["Acreage"] == ("Acreage", False) and shaped["AGE"] == ("Age", True)
+
+
+def test_a_comparison_of_amenities_is_not_the_guide(spark):
+    rows = [HEAD, *[[n, "1", "2", "3", "4"] for n in ("Age", "Parking", "Utilities")]]
+    assert [r.is_grid for r in grid.find_grid(grid_cells(spark, [("f", 1, 0, "lines", rows)])).collect()] == [False]
+
+
+def test_labels_in_the_second_column_and_no_heading(spark):
+    rows = [["", n, "1", "2", "3", "4"] for n in grid.CORE_ROWS]
+    own = grid_cells(spark, [("f", 1, 0, "lines", rows)])
+    found = grid.find_grid(own)
+    assert [(r.label_col, r.headers, r.header_row) for r in found.collect()] == [(1, 0, -1)]
+    assert {(r.classa, r.unratable) for r in grid.shape_grid(grid.grid_continuation(own, found), found).collect()} == {("1", "4")}
+
+
+def test_folded_names_meet_whatever_stands_between(spark):
+    rows = spark.createDataFrame([("Rent - income",), ("RENT  income",), ("Rént income",)], "label string")
+    names = spark.createDataFrame([("Rent income",)], "canonical string")
+    memory = spark.createDataFrame([], "norm_label string, canonical string, seq long")
+    got = {r.label: r.tier for r in mapping.match_labels(rows, names, memory).collect()}
+    assert got == {"Rent - income": "exact", "RENT  income": "exact", "Rént income": "fuzzy"}
+    cells = spark.createDataFrame([("Sq. Ft.", 1), ("Sq Ft", 2), ("SqFt", 3)], "column_name string, ord long")
+    assert {r.column_name: r.canonical for r in mapping.canonical_columns(cells).collect()} == {"Sq. Ft.": "Sq. Ft.", "Sq Ft": "Sq. Ft.", "SqFt": "SqFt"}
+
+
+#: Pairs of labels, and whether a person takes them for one name; the cut of the fuzzy tier keeps these decisions.
+DECISIONS = [
+    ("Receivable", "Receivables", True), ("Rental incomes", "Rental income", True), ("income rental", "Rental income", True), ("Utilites", "Utilities", True), ("Mangement fees", "Management fees", True),
+    ("Rental income", "Dental income", True), ("Net income", "Net outgo", False), ("Water", "Waste", False), ("Insurance", "Assurance", False), ("Late fees", "Legal fees", False), ("Property tax", "Sales tax", False),
+]
+
+
+@pytest.mark.parametrize(("a", "b", "same"), DECISIONS)
+def test_the_cut_keeps_decisions(spark, a, b, same):
+    rows, names = spark.createDataFrame([(a,)], "label string"), spark.createDataFrame([(b,)], "canonical string")
+    tier = mapping.match_labels(rows, names, spark.createDataFrame([], "norm_label string, canonical string, seq long")).first().tier
+    assert (tier in ("exact", "fuzzy")) == same
+
+
+def test_profile_takes_four_lines_and_then_drops_blank_ones(spark):
+    docs = spark.createDataFrame([(1, "Acme  PDF, 1.0", "a\n\nb\nc\nd\ne"), (2, None, "x\r\ny")], "doc_id long, producer string, text string")
+    assert {r.doc_id: r.profile for r in mapping.source_profile(docs).collect()} == {1: "acme pdf 1 0|a b c", 2: "|x y"}
+
+
+def test_tags_are_spaces_in_text(spark):
+    pages = spark.createDataFrame([(1, "<p>one <b>bold</b> <i>two</i></p><SCRIPT>x\n\ny</SCRIPT>\n \n<p>next")], "page_id long, html string")
+    assert [" ".join(r.text.split()) for r in corpus.html_to_text(pages).orderBy("par_no").collect()] == ["one bold two", "next"]
+
+
+def test_page_ranges_pass_over_what_names_no_page(spark):
+    pages = spark.range(1, 10).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("page"))
+    assert sorted(r.page for r in corpus.page_range_filter(pages, "1-3,x, 7-,2-2").collect()) == [1, 2, 3, 7, 8, 9]
+    assert corpus.page_range_filter(pages, "x").count() == 0 and corpus.page_range_filter(pages, " ").count() == 9
+
+
+def test_references_are_decoded_once(spark):
+    text = "&#36;5 &#xe9;&#128512; &amp;lt; &#0; &#55296; &nbsp;x &#99999999;"
+    assert spark.createDataFrame([(text,)], "t string").select(corpus.decode_entities(F.col("t")).alias("t")).first().t == "$5 é😀 &lt; &#0; &#55296;  x &#99999999;"
+
+
+def test_legibility_counts_words_by_kind(spark):
+    words = ["plain", "two1", "rhythm", "bcdfg", "a", "--", "x§y", "ab¤cd", "(word)", "$1,200.50", "été", "bcd-fgh"]
+    got = corpus.legibility_profile(spark.createDataFrame([(1, " \n".join(words)), (2, ""), (3, None), (4, "b" * 100000)], "doc_id long, text string"))
+    got = {r.doc_id: (r.votes, r.yes) for r in got.collect()}
+    assert got[1] == (9, 6) and got[2] == (0, 0) and got[4] == (1, 0)
+
+
+def search(spark, text, fields):
+    lines = spark.createDataFrame([(1, 1, n, t) for n, t in enumerate(text.split("\n"))], "doc_id long, page int, line_no int, text string")
+    return {r.field: r for r in labels.graded_fields(lines, fields).collect()}
+
+
+def test_value_under_the_column_that_names_it(spark):
+    text = "Description\tDebits\tCredits\tBalance\nEnding balance\t3,880.32\t120.00\t5,940.20"
+    got = search(spark, text, ["Ending balance"])["Ending balance"]
+    assert got.value == "5,940.20" and got.where_found == "under the Balance column"
+    ragged = search(spark, text.replace("\t120.00", "\t\t"), ["Ending balance"])["Ending balance"]
+    assert ragged.value == "5,940.20"
+
+
+def test_issuer_without_a_label_is_a_guess(spark):
+    got = search(spark, "JANE OKAFOR\nService Period\nMetro Light & Power  Due Date: 09/05/2026\nHarbor Water Company", ["Provider name", "Due date"])
+    assert (got["Provider name"].value, got["Provider name"].verdict) == ("Metro Light & Power", "guess") and got["Due date"].verdict == "yes"
+    labelled = search(spark, "Metro Light & Power\nProvider: Acme", ["Provider name"])["Provider name"]
+    assert (labelled.value, labelled.verdict) == ("Acme", "yes")
+
+
+def test_next_column_is_no_value(spark):
+    got = search(spark, "Account number: Amount due 5.00\nAC-1", ["Account number"])["Account number"]
+    assert got.value == "AC-1"
+
+
+def test_first_cells_keep_their_digits(spark):
+    got = search(spark, "Due Date\tMeter\n09/05/2026", ["Due date"])["Due date"]
+    assert (got.value, got.where_found) == ("09/05/2026", "line below")
+
+
+def test_greedy_choice_against_plain_loops(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(1)
+    units = [("g", int(d), int(c), "x" * int(rng.randint(1, 400)), float(rng.randint(-1, 6))) for d in range(30) for c in range(rng.randint(1, 6))]
+    got = retrieve.select_under_budget(spark.createDataFrame(units, "grp string, doc_id long, chunk_no int, chunk string, score double"), 3000).collect()
+    scored = [(d, c, len(t), s + (3 if c < 1 else 0)) for _, d, c, t, s in units]
+    ranked = sorted(scored, key=lambda u: (-u[3], u[0], u[1]))
+    first = [u for d in range(30) for u in [x for x in ranked if x[0] == d][:2] if u[3] > 0 or u[1] == 0]
+    used, want = 0, set()
+    for u in [*first, *[x for x in ranked if x[3] > 0]]:
+        if u[:2] not in want and used + u[2] + 80 <= 3000:
+            want.add(u[:2])
+            used += u[2] + 80
+    assert {(r.doc_id, r.chunk_no) for r in got} == want
+
+
+def test_request_as_table(spark):
+    own = retrieve.search_terms(retrieve.request(spark, ["netRentableArea", "the Name"], "Give rates", ["draft"]))
+    assert [list(r.words) for r in own.orderBy("ord").collect()] == [["net", "rentable", "area"], [], ["rates"], ["draft"]]
+    assert retrieve.figure_weight(own).first().figure_weight == 0.0
+    assert retrieve.figure_weight(retrieve.request(spark, ["cap rate", "tenant"])).first().figure_weight == 0.4
+
+
+def test_replies_of_every_kind(spark):
+    replies = [(1, '```json\n{"a": 1, "b": [1, 2]}\n```'), (2, 'x [ {"a": "é"} ] y'), (3, None), (4, "[]"), (5, '{"a": {"k": 1.50}}')]
+    got = {}
+    for r in review.parse_replies(spark.createDataFrame(replies, "doc_id long, reply string")).collect():
+        got.setdefault(r.doc_id, []).append((r.cells, r.error))
+    assert got[1] == [({"a": "1", "b": "[1,2]"}, "")] and got[2] == [({"a": "é"}, "")] and got[3] == [(None, "not readable")] and 4 not in got
+    assert got[5][0][0] == {"a": '{"k":1.5}'} or got[5][0][0] == {"a": '{"k":1.50}'}
+
+
+def test_provenance(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"abc")
+    got = review.provenance(spark, str(tmp_path)).collect()
+    assert [(r.size, r.sha256) for r in got] == [(3, hashlib.sha256(b"abc").hexdigest())]
+
+
+def test_recipe_signature_keeps_no_month_and_no_figure(spark):
+    rows = [(1, 3, 1, "Period = Oct 2024-Dec 2024"), (1, 3, 2, "Rent Roll"), (1, 4, 1, "other"), (2, 1, 1, "PERIOD = jan 2025-March 2025"), (2, 1, 2, "rent roll")]
+    sizes = spark.createDataFrame([(1, 3, 612.4, 791.9), (2, 1, 608.0, 788.0)], "doc_id long, page int, width double, height double")
+    got = {r.doc_id: (tuple(r.signature), r.width, r.height) for r in layout.page_signature(spark.createDataFrame(rows, "doc_id long, page int, row_id long, text string"), sizes).collect()}
+    assert got[1] == got[2] and len(got[1][0]) == 2 and got[1][1:] == (610, 790)
+
+
+def test_values_across_lines(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "Harbor Water"), (1, 1, 2, "Company  of X 5"), (1, 1, 3, "55")], "doc_id long, page int, line_no int, text string")
+    values = spark.createDataFrame([(1, 1, "a", "Water Company"), (1, 1, "b", "5"), (1, 1, "c", "Company of"), (1, 1, "d", "Wat")], "doc_id long, page int, field string, value string")
+    assert {(r.field, r.line_no, r.method) for r in checks.evidence_lines(values, lines).collect()} == {("a", 1, "across lines"), ("b", 2, "line"), ("c", 2, "across lines")}
+
+
+def test_grounding_is_signed_and_reads_text(spark):
+    sources = spark.createDataFrame([(1, "Total 1,234.50 and (7.00) by Harbor Water")], "doc_id long, text string")
+    cells = [(1, 1, "1234.5"), (1, 2, "(1,234.50)"), (1, 3, "-7"), (1, 4, "HARBOR-WATER"), (1, 5, "Nobody"), (1, 6, "x y"), (1, 7, " "), (2, 1, "9")]
+    got = {(r.doc_id, r.row_no): r.ok for r in checks.ground_values(spark.createDataFrame(cells, "doc_id long, row_no int, value string"), sources).collect()}
+    assert got == {(1, 1): True, (1, 2): False, (1, 3): True, (1, 4): True, (1, 5): False, (1, 6): True, (2, 1): False}
+
+
+def test_stream_drops_late_rows_and_goes_on_after_a_restart(spark, tmp_path):
+    def part(k, rows):
+        df = spark.createDataFrame(rows, "s long, event_type string, value double").select(F.timestamp_seconds("s").alias("ts"), "event_type", "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part={k}"))
+        return df.schema
+
+    schema = part(0, [(10, "a", 1.0), (4000, "a", 2.0)])
+    part(1, [(20000, "b", 1.0)])
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+        jobs.run_to_table(jobs.progress(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        return sorted((r.event_type, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [("a", 1), ("a", 1)]
+    part(2, [(20, "a", 5.0), (40000, "c", 1.0)])  # twenty seconds is far below the watermark
+    assert run() == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_retention_spares_the_busy(spark, tmp_path):
+    rows = [[(1, 1, True), (2, 2, False), (3, 3, False)], [(4, 4, False), (2, 5, False)], [(1, 6, False), (5, 7, False)]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "entity long, seq long, busy boolean").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = spark.readStream.schema("entity long, seq long, busy boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    jobs.retention(stream, 2, str(tmp_path / "kept"), str(tmp_path / "ck")).awaitTermination()
+    kept = lambda k=None: {r.entity for r in jobs.kept_version(spark, str(tmp_path / "kept"), k).collect()}
+    assert kept(1) == {1, 2, 3} and kept(2) == {1, 2, 4} and kept() == {1, 5} and jobs.kept_version(spark, str(tmp_path / "none")) is None
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, page int, y double, x0 double, label string, values array<string>")
+    assert checks.run_checks(none, 2).count() == 0 and records.row_kind(none).count() == 0
+    tok = spark.createDataFrame([], "doc_id long, page int, text string, x0 double, x1 double, top double, row_id long")
+    assert tables.read_tables(tok).count() == 0 and layout.visual_rows(tok.drop("row_id")).count() == 0
+    assert labels.graded_fields(spark.createDataFrame([], "doc_id long, page int, line_no int, text string"), ["Due date"]).count() == 0
