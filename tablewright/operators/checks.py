@@ -112,23 +112,29 @@ def reconciles(method: Column, value: Column, printed: Column, n: Column) -> Col
     return F.abs(value - printed).cast("double") <= slack
 
 
+def voted(segments: DataFrame) -> DataFrame:
+    """A document's column in one row: its segments, and the method with the most rows behind agreeing totals (v, rank, method)."""
+    own = segments.groupBy("doc_id", "col").agg(F.collect_list(F.struct("page", "y", "label", "expected", "n", "methods")).alias("segments"))
+    fit = lambda s: F.transform(F.filter(s["methods"], lambda m: reconciles(m["method"], m["value"], s["expected"], s["n"])), lambda m: F.struct(m["rank"].alias("rank"), m["method"].alias("method"), s["n"].alias("n")))
+    own = own.withColumn("fits", F.flatten(F.transform("segments", fit)))
+    rows = lambda x: F.aggregate(F.filter("fits", lambda f: f["method"] == x["method"]), F.lit(0).cast("long"), lambda t, f: t + f["n"])
+    named = F.array_distinct(F.transform("fits", lambda f: F.struct(f["rank"].alias("rank"), f["method"].alias("method"))))
+    votes = F.transform(named, lambda x: F.struct((-rows(x)).alias("v"), x["rank"].alias("rank"), x["method"].alias("method")))
+    return own.withColumn("best", F.array_min(votes)).drop("fits")
+
+
 def total_method_vote(segments: DataFrame) -> DataFrame:
     """V3: per document and column the method that its totals agree on: the most rows behind agreeing totals, simpler methods
     first, then by name; sum where nothing agrees."""
-    each = segments.select("doc_id", "col", "expected", "n", F.explode("methods").alias("m"))
-    fits = reconciles(F.col("m.method"), F.col("m.value"), F.col("expected"), F.col("n"))
-    votes = each.groupBy("doc_id", "col", "m.method", "m.rank").agg(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("votes"))
-    best = votes.groupBy("doc_id", "col").agg(F.min(F.when(F.col("votes") > 0, F.struct((-F.col("votes")).alias("v"), "rank", "method"))).alias("b"))
-    return best.select("doc_id", "col", F.coalesce("b.method", F.lit("sum")).alias("method"), F.coalesce(-F.col("b.v"), F.lit(0)).alias("votes"))
+    return voted(segments).select("doc_id", "col", F.coalesce("best.method", F.lit("sum")).alias("method"), F.coalesce(-F.col("best.v"), F.lit(0)).alias("votes"))
 
 
 def flat_totals(rows: DataFrame, n_columns: int) -> DataFrame:
     """V2: totals known by their label, each judged by the one method that its column's totals agree on."""
-    segments = total_segments(rows, n_columns)
-    own = segments.join(total_method_vote(segments), ["doc_id", "col"])
+    own = voted(total_segments(rows, n_columns))
+    own = own.select("doc_id", "col", F.coalesce("best.method", F.lit("sum")).alias("method"), F.explode("segments").alias("s")).select("doc_id", "col", "method", "s.*")
     chosen = lambda name: F.get(F.filter("methods", lambda m: m["method"] == name), F.lit(0))
-    used = F.coalesce(chosen(F.col("method")), chosen("sum"))
-    own = own.withColumn("used", used)
+    own = own.withColumn("used", F.coalesce(chosen(F.col("method")), chosen("sum")))
     ok = reconciles(F.col("used.method"), F.col("used.value"), F.col("expected"), F.col("n"))
     return own.select(
         "doc_id", "page", "y", F.lit("table_total").alias("check"), F.concat(F.lit("col"), F.col("col").cast("string")).alias("scope"), "label", "expected", F.col("used.value").alias("got"),

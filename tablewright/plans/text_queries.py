@@ -275,7 +275,7 @@ ORACLES = {
     "figure_weight": f"""SELECT round(avg(CAST(regexp_matches(CASE WHEN p_partkey % 3 = 0 THEN p_name || ' Rate' ELSE p_name END, '(?i){retrieve.NUMERIC_HINT}') AS INT)) * 0.8, 6) AS figure_weight FROM part""",
     "score_for_entity": ENTITY + " SELECT grp, entity, doc_id, base + least(met, 4) * 5.0 - CASE WHEN other THEN 12.0 ELSE 0.0 END AS score FROM m",
     "detect_doc_types": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Rent Roll.txt' ELSE 'file.txt' END || chr(10) || left(text, 20000) AS c FROM documents),
-      h AS (SELECT doc_id, regexp_matches(c, '(?i)\b(thing|amount)\b') AS a, regexp_matches(c, '(?i)\b(nicht|landlord)\b') AS b, doc_id % 5 = 0 OR regexp_matches(c, '(?i)\brent roll\b') AS r FROM d),
+      h AS (SELECT doc_id, regexp_matches(c, '(?i)(?:^|[^\p{L}\p{N}_])(thing|amount)(?:[^\p{L}\p{N}_]|$)') AS a, regexp_matches(c, '(?i)(?:^|[^\p{L}\p{N}_])(nicht|landlord)(?:[^\p{L}\p{N}_]|$)') AS b, doc_id % 5 = 0 OR regexp_matches(c, '(?i)(?:^|[^\p{L}\p{N}_])rent roll(?:[^\p{L}\p{N}_]|$)') AS r FROM d),
       f AS (SELECT *, NOT (a OR b OR r) AS fallback FROM h)
       SELECT doc_id, concat_ws(',', CASE WHEN a OR fallback THEN 'bill' END, CASE WHEN b OR fallback THEN 'lease' END, CASE WHEN r OR fallback THEN 'roll' END) AS types,
         concat_ws(',', CASE WHEN a OR fallback THEN 'Due date,Total' END, CASE WHEN b AND NOT a AND NOT fallback THEN 'Tenant,Due date' WHEN b OR fallback THEN 'Tenant' END, CASE WHEN r OR fallback THEN 'Suite' END) AS fields, fallback FROM f""",
