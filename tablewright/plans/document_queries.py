@@ -95,7 +95,7 @@ def notices(spark, sf):
     return derived(spark, sf, NOTICE_LINES)
 
 
-ASKED = ["Provider name", "Ending balance", "Starting balance", "Due date", "Meter reading", "Usage"]
+ASKED = ["Provider name", "Ending balance", "Due date"]
 
 
 def banded_tokens(spark, sf):
@@ -252,10 +252,7 @@ SELECT field, label_key, count(*) AS n FROM sl JOIN k ON regexp_matches(lower(te
       SELECT d AS doc_id, 'Provider name' AS field, CASE v WHEN 0 THEN 'Metro Light & Power' WHEN 1 THEN 'Harbor Water Company' ELSE '' END AS value, CASE WHEN v = 2 THEN 'none' ELSE 'guess' END AS verdict,
         CASE WHEN v = 2 THEN '' ELSE 'no label, reads as an organisation''s name' END AS where_found FROM o
       UNION ALL SELECT d, 'Ending balance', a || '.20', 'yes', 'under the Balance column' FROM o
-      UNION ALL SELECT d, 'Starting balance', a || '.10', 'yes', 'under the Balance column' FROM o
-      UNION ALL SELECT d, 'Due date', CASE WHEN v = 2 THEN '10/06/2026' ELSE '09/05/2026' END, 'yes', CASE WHEN v = 2 THEN 'under the heading' ELSE 'line below' END FROM o
-      UNION ALL SELECT d, 'Meter reading', CASE WHEN v = 2 THEN 'MTR-' || b ELSE '' END, CASE WHEN v = 2 THEN 'yes' ELSE 'none' END, CASE WHEN v = 2 THEN 'under the heading' ELSE '' END FROM o
-      UNION ALL SELECT d, 'Usage', a, 'yes', 'beside the label' FROM o""",
+      UNION ALL SELECT d, 'Due date', CASE WHEN v = 2 THEN '10/06/2026' ELSE '09/05/2026' END, 'yes', CASE WHEN v = 2 THEN 'under the heading' ELSE 'line below' END FROM o""",
     "stable_column_count": r"""WITH st AS MATERIALIZED (""" + STATEMENT_TOKENS + r"""), e AS (SELECT doc_id, x1 + top % 5 AS x FROM st WHERE text <> 'Item'),
       t AS (SELECT doc_id, x, tol FROM e, (SELECT unnest(range(4, 48, 2)) AS tol)), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, tol ORDER BY x) <= tol THEN 0 ELSE 1 END AS new FROM t),
       c AS (SELECT doc_id, tol, CAST(sum(new) AS INT) AS columns FROM g GROUP BY 1, 2 HAVING count(*) >= 4), h AS (SELECT doc_id, columns, count(*) AS n, min(tol) AS first FROM c GROUP BY 1, 2)
