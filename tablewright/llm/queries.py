@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, nearest, ngram_jaccard, packing, quality, sharding
+from tablewright.llm import (
+    exact_dedup,
+    filter_audit,
+    html_extract,
+    language_id,
+    line_dedup,
+    merkle,
+    mixing,
+    nearest,
+    ngram_jaccard,
+    packing,
+    quality,
+    sharding,
+    url_filters,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +82,20 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    changed = F.when(remainder(3) == 0, lowered).otherwise(F.col("text"))
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), changed).drop("lang")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -80,8 +108,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_url_filters": op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.oracle_sql(),
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_url_filters": url_filters.ORACLE_SQL,
+    }
