@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks, and what they fold to.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters with marks and other compatible forms, by Unicode decomposition without marks: to one character, to several."""
+    one, more = {}, {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if plain != chr(code) and plain.strip():
+            (one if len(plain) == 1 else more)[chr(code)] = plain
+    return one, more
+
+
+ONE, MORE = _decomposed()
+#: Marks that stand behind their letter.
+MARKS = "[\\u0300-\\u036F\\u1AB0-\\u1AFF\\u1DC0-\\u1DFF\\u20D0-\\u20FF]"
 
 # The shapes of printed values.
 DATE = (
@@ -30,8 +43,13 @@ CELL_BREAK = r"\t|\s{2,}|\s*\|\s*"
 
 
 def fold_key(text: Column) -> Column:
-    """Accents, case and punctuation stop mattering; spaces stay."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9 ]+", " "))
+    """Accents, case and punctuation stop mattering; spaces stay. Only text that isn't ASCII is decomposed."""
+    plain = F.translate(text, "".join(ONE), "".join(ONE.values()))
+    plain = F.regexp_replace(plain, MARKS, "")
+    for letter in "ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳﬀﬁﬂﬃﬄﬅﬆ":
+        plain = F.replace(plain, F.lit(letter), F.lit(MORE[letter]))
+    plain = F.when(text.rlike("[^\\x00-\\x7F]"), plain).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9 ]+", " "))
 
 
 def fold_words(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.vocabulary import value_kind
 from tablewright.operators import checks, labels, layout, mapping, records, tables
-from tablewright.sources.derived import LINES, NOTICE_LINES, REPORT_ROWS, STATEMENT_LINES, STATEMENT_TOKENS, derived, report_rows, statement_lines, statement_tokens
+from tablewright.sources.derived import LINES, NOTICE_LINES, REPORT_ROWS, SETTLEMENT_LINES, STATEMENT_LINES, STATEMENT_TOKENS, derived, report_rows, statement_lines, statement_tokens, table
 
 FIELDS = ["Account number", "Statement date", "Total charges"]
 SL, ST, RR = (f"WITH {n} AS ({sql})" for n, sql in (("sl", STATEMENT_LINES), ("st", STATEMENT_TOKENS), ("rr", REPORT_ROWS)))
@@ -98,6 +98,16 @@ def notices(spark, sf):
 ASKED = ["Provider name", "Ending balance", "Due date"]
 
 
+SETTLED = ["Closing date", "Loan amount", "parcel_id", "Deal reference", "Premium rate", "Insurance number"]
+
+
+def settled(spark, sf):
+    """Fields that no list knows, two labels of the caller's for one of them, and every part's name as a label of another."""
+    own = spark.createDataFrame([("Deal reference", "our ref"), ("Deal reference", "dossier no")], "field string, label string")
+    labels_of_caller = own.unionByName(table(spark, sf, "part").select(F.lit("Insurance number").alias("field"), F.col("p_name").alias("label")))
+    return labels.graded_fields(derived(spark, sf, SETTLEMENT_LINES), SETTLED, labels_of_caller)
+
+
 def banded_tokens(spark, sf):
     """Statement tokens, three lines of prose below, and a second table with columns of its own."""
     own = statement_tokens(spark, sf).filter("text = 'Item'").select("doc_id", "page", ((F.col("top") - 100) / 12).cast("int").alias("n"))
@@ -173,6 +183,7 @@ QUERIES = {
     "text_columns": lambda s, d: words_in_columns(s, d)[1].select("doc_id", "col", F.round("x0", 4).alias("x0"), "n", "lo", "hi"),
     "bin_text": lambda s, d: layout.bin_text(*words_in_columns(s, d)).select("doc_id", "row_id", "x0", "text", "col"),
     "notice_fields": lambda s, d: labels.graded_fields(notices(s, d), ASKED).select("doc_id", "field", "value", "verdict", "where_found"),
+    "graded_own_labels": settled,
     "bin_nearest": lambda s, d: layout.bin_nearest(tokens_in_rows(s, d), layout.value_columns(tokens_in_rows(s, d))),
     "unbinned_audit": lambda s, d: checks.unbinned_audit(parsed_rows(s, d).withColumn("y", F.col("row_id"))),
     "masked_layout": lambda s, d: layout.masked_layout(tokens_in_rows(s, d)),
@@ -253,6 +264,16 @@ SELECT field, label_key, count(*) AS n FROM sl JOIN k ON regexp_matches(lower(te
         CASE WHEN v = 2 THEN '' ELSE 'no label, reads as an organisation''s name' END AS where_found FROM o
       UNION ALL SELECT d, 'Ending balance', a || '.20', 'yes', 'under the Balance column' FROM o
       UNION ALL SELECT d, 'Due date', CASE WHEN v = 2 THEN '10/06/2026' ELSE '09/05/2026' END, 'yes', CASE WHEN v = 2 THEN 'under the heading' ELSE 'line below' END FROM o""",
+    "graded_own_labels": """WITH o AS (SELECT o_orderkey AS d, o_orderkey % 4 AS v, CAST(o_orderkey % 900 + 100 AS VARCHAR) AS a, CAST(o_custkey + 1000 AS VARCHAR) AS b, strftime(o_orderdate, '%m/%d/%Y') AS dt FROM orders),
+      f AS (
+        SELECT d, 'Closing date' AS field, CASE WHEN v = 3 THEN 'see below' ELSE dt END AS value, CASE WHEN v = 3 THEN 'check' ELSE 'yes' END AS verdict, 'closing date' AS l, 'beside the label' AS w, CASE WHEN v = 3 THEN 'Closing date: see below' ELSE 'Closing date ' || dt END AS e FROM o
+        UNION ALL SELECT d, 'Loan amount', CASE WHEN v = 1 THEN '$' || a || '.75' ELSE '$' || a || '.50' END, 'yes', 'loan amount', CASE WHEN v = 1 THEN 'below the label' ELSE 'beside the label' END, CASE WHEN v = 1 THEN 'Loan amount' ELSE 'Loan amount $' || a || '.50' END FROM o
+        UNION ALL SELECT d, 'parcel_id', '12-' || b, 'yes', 'parcel number', 'beside the label', 'Parcel Number: 12-' || b FROM o
+        UNION ALL SELECT d, 'Deal reference', CASE WHEN v = 2 THEN 'D ' || b ELSE 'X' || a END, 'yes', CASE WHEN v = 2 THEN 'dossier no' ELSE 'our ref' END, 'beside the label', CASE WHEN v = 2 THEN 'Dossier-No' || chr(9) || 'D ' || b ELSE 'OUR REF (internal): X' || a END FROM o
+        UNION ALL SELECT d, 'Premium rate', CASE WHEN v = 2 THEN '' ELSE '4.' || a || '%' END, CASE WHEN v = 2 THEN 'none' ELSE 'yes' END, CASE WHEN v = 2 THEN '' ELSE 'premium rate' END, CASE WHEN v = 2 THEN '' ELSE 'same row, 1 cell(s) right' END,
+          CASE WHEN v = 2 THEN '' ELSE 'Premium rate' || chr(9) || 'Premium rate' || chr(9) || '4.' || a || '%' END FROM o
+        UNION ALL SELECT d, 'Insurance number', '', 'none', '', '', '' FROM o)
+      SELECT d AS doc_id, CAST(1 AS INT) AS page, field, value, verdict, l AS matched_label, w AS where_found, e AS evidence FROM f""",
     "stable_column_count": r"""WITH st AS MATERIALIZED (""" + STATEMENT_TOKENS + r"""), e AS (SELECT doc_id, x1 + top % 5 AS x FROM st WHERE text <> 'Item'),
       t AS (SELECT doc_id, x, tol FROM e, (SELECT unnest(range(4, 48, 2)) AS tol)), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, tol ORDER BY x) <= tol THEN 0 ELSE 1 END AS new FROM t),
       c AS (SELECT doc_id, tol, CAST(sum(new) AS INT) AS columns FROM g GROUP BY 1, 2 HAVING count(*) >= 4), h AS (SELECT doc_id, columns, count(*) AS n, min(tol) AS first FROM c GROUP BY 1, 2)

@@ -82,6 +82,20 @@ union all select doc_id, 1, 8, 'Usage (kWh) ' || a from o
 union all select doc_id, 1, 9, 'Remit to  Harbor Water Company' from o where v = 1
 """
 
+# A settlement notice whose fields no list knows: the shape comes from a field's name, and one field has labels of the caller's.
+SETTLEMENT_LINES = """
+with o as (select o_orderkey as doc_id, o_orderkey % 4 as v, cast(o_orderkey % 900 + 100 as string) as a, cast(o_custkey + 1000 as string) as b,
+  lpad(cast(month(o_orderdate) as string),2,'0') || '/' || lpad(cast(day(o_orderdate) as string),2,'0') || '/' || cast(year(o_orderdate) as string) as dt from orders)
+select doc_id, 1 as page, 1 as line_no, 'SETTLEMENT NOTICE' as text from o
+union all select doc_id, 1, 2, 'Closing date ' || dt from o where v <> 3
+union all select doc_id, 1, 3, 'Closing date: see below' from o
+union all select doc_id, 1, 4, case when v = 1 then 'Loan amount' else 'Loan amount $' || a || '.50' end from o
+union all select doc_id, 1, 5, '$' || a || '.75' from o where v = 1
+union all select doc_id, 1, 6, 'Parcel Number: 12-' || b from o
+union all select doc_id, 1, 7, case when v = 2 then 'Dossier-No' || chr(9) || 'D ' || b else 'OUR REF (internal): X' || a end from o
+union all select doc_id, 1, 8, 'Premium rate' || chr(9) || 'Premium rate' || chr(9) || '4.' || a || '%' from o where v <> 2
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
