@@ -46,7 +46,7 @@ def fold_key(text: Column) -> Column:
     """Accents, case and punctuation stop mattering; spaces stay. Only text that isn't ASCII is decomposed."""
     plain = F.translate(text, "".join(ONE), "".join(ONE.values()))
     plain = F.regexp_replace(plain, MARKS, "")
-    for letter in "ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳﬀﬁﬂﬃﬄﬅﬆ":
+    for letter in "Ĳĳﬀﬁﬂﬃﬄ":
         plain = F.replace(plain, F.lit(letter), F.lit(MORE[letter]))
     plain = F.when(text.rlike("[^\\x00-\\x7F]"), plain).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9 ]+", " "))
@@ -86,17 +86,24 @@ def value_kind(text: Column) -> Column:
     )
 
 
-def fits_shape(value: Column, shape: str) -> Column:
+def shape_tests(value: Column) -> dict[str, Column]:
+    """Whether a trimmed value that isn't null looks like what a field of each shape holds."""
+    return {
+        "date": value.rlike(DATE),
+        "money": value.rlike(MONEY),
+        "number": strip(value, "$ ").rlike(NUMBER),
+        "rate": value.rlike(RATE),
+        "code": value.rlike(CODE) & value.rlike(r"\d"),
+    }
+
+
+def fits_shape(value: Column, shape: Column) -> Column:
     """Whether a value looks like what a field of this shape holds; an unknown shape takes any."""
     v = F.trim(F.coalesce(value, F.lit("")))
-    tests = {
-        "date": v.rlike(DATE),
-        "money": v.rlike(MONEY),
-        "number": strip(v, "$ ").rlike(NUMBER),
-        "rate": v.rlike(RATE),
-        "code": v.rlike(CODE) & v.rlike(r"\d"),
-    }
-    return (v != "") & tests.get(shape, F.lit(True))
+    fits = v != ""
+    for name, test in shape_tests(v).items():
+        fits = F.when(shape == name, test).otherwise(fits)
+    return fits
 
 
 def us_date(text: Column) -> Column:
@@ -111,6 +118,10 @@ def split_cells(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, CELL_BREAK), lambda c: F.trim(c)), lambda c: c != "")
 
 
+#: What may stand between the words of a label.
+LABEL_GAP = "[^A-Za-z0-9]{0,3}"
+
+
 def label_pattern(label_key: str) -> str:
     """A label's words with up to three other characters between, no letter or digit before."""
-    return r"(?<![A-Za-z0-9])" + "[^A-Za-z0-9]{0,3}".join(re.escape(w) for w in label_key.split())
+    return r"(?<![A-Za-z0-9])" + LABEL_GAP.join(re.escape(w) for w in label_key.split())
