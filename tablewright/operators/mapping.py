@@ -2,53 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.functions.likeness import NameIndex
+from tablewright.functions.shared import materialise
 from tablewright.functions.vocabulary import fold_words, squash, us_date
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100: edit distance over the longer length, of the strings or of their sorted words, whichever is better."""
-    words = lambda c: F.array_join(F.array_sort(F.split(c, " +")), " ")
-    ratio = lambda x, y: (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))) * 100
-    return F.greatest(ratio(a, b), ratio(words(a), words(b)))
+#: Names that one pass compares labels with; a longer list is compared in several passes, so that no task holds more of it.
+NAMES_A_PASS = 100_000
+
+
+def most_alike(labels: DataFrame, canonical: DataFrame, k: int) -> DataFrame:
+    """(label, canonical, score, rank) of the k names most alike to each distinct label, all names considered; ties to the first by name.
+
+    Labels are dealt over the tasks and never paired with names outside of one: a pass's names are indexed in each task.
+    """
+    names = canonical.filter("canonical IS NOT NULL AND trim(canonical) <> ''").select("canonical").distinct()
+    first = names.limit(NAMES_A_PASS + 1).collect()
+    parts = [first]
+    if len(first) > NAMES_A_PASS:
+        names = materialise(names, "names")
+        n = -(-names.count() // NAMES_A_PASS)
+        parts = (names.filter(F.pmod(F.xxhash64("canonical"), F.lit(n)) == p).collect() for p in range(n))
+    found = None
+    for rows in parts:
+
+        def search(batches: Iterator[pa.RecordBatch], listed=sorted(r.canonical for r in rows)) -> Iterator[pa.RecordBatch]:
+            index = NameIndex([" ".join(n.split()) for n in listed])
+            place = {n: i for i, n in reversed(list(enumerate(index.names)))}
+            for batch in batches:
+                hits = [(label, listed[place[name]], score) for label in batch.column(0).to_pylist() for name, score in index.best(" ".join(label.split()), k)]
+                columns = zip(*hits, strict=True) if hits else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], ["label", "canonical", "score"])
+
+        own = labels.select("label").mapInArrow(search, "label string, canonical string, score double")
+        found = own if found is None else found.unionByName(own)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "canonical"))
+    return found.withColumn("score", F.round("score", 4)).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def match_labels(rows: DataFrame, canonical: DataFrame, memory: DataFrame, cut: float = 88.0) -> DataFrame:
-    """Label to canonical name: learned, then exact when folded, then the most similar one.
+    """Label to canonical name: learned, then exact when folded, then the most alike one by `likeness`.
 
-    Returns label, canonical, tier (learned, exact, fuzzy, weak, none) and confidence. Every open label is compared with
-    all names, as a misspelt one need not share a word; the canonical list is short and is broadcast. Below the cut only
-    names with a word in common count (weak).
+    Returns label, canonical, tier (learned, exact, fuzzy from the cut on, weak below it, none if there are no names, empty
+    for a blank label) and confidence. Runs of white space count as one space in the comparison.
     """
-    labels = rows.select("label").distinct().withColumn("k", fold_words(F.col("label")))
+    labels = rows.filter("label IS NOT NULL").select("label").distinct().withColumn("k", fold_words(F.col("label")))
     names = canonical.select("canonical", fold_words(F.col("canonical")).alias("ck"))
     learned = memory.groupBy("norm_label").agg(F.max_by("canonical", "seq").alias("learned"))
     own = labels.join(learned, F.col("k") == F.col("norm_label"), "left").join(
         names.groupBy("ck").agg(F.min("canonical").alias("exact")), F.col("k") == F.col("ck"), "left"
     )
-    open_ = own.filter("learned IS NULL AND exact IS NULL AND k <> ''").select("label", "k")
-    pairs = open_.crossJoin(F.broadcast(names.filter("ck <> ''").distinct())).withColumn("score", F.round(similarity(F.col("k"), F.col("ck")), 4))
-    pairs = pairs.filter((F.col("score") >= cut) | F.arrays_overlap(F.split("k", " +"), F.split("ck", " +")))
-    best = pairs.groupBy("label").agg(
-        F.max("score").alias("score"), F.min_by("canonical", F.struct((-F.col("score")).alias("s"), "canonical")).alias("fuzzy")
-    )
+    blank = F.col("label").rlike(r"^\s*$")
+    own = materialise(own.select("label", F.when(~blank, F.col("learned")).alias("learned"), F.when(~blank, F.col("exact")).alias("exact"), blank.alias("blank")), "labels")
+    best = most_alike(own.filter("learned IS NULL AND exact IS NULL AND NOT blank"), canonical, 1).withColumnRenamed("canonical", "alike")
     out = own.join(best, "label", "left")
-    tier = F.when(F.col("learned").isNotNull(), "learned").when(F.col("exact").isNotNull(), "exact").when(F.col("score") >= cut, "fuzzy").when(F.col("score").isNotNull(), "weak").otherwise("none")
+    tier = F.when(F.col("blank"), "empty").when(F.col("learned").isNotNull(), "learned").when(F.col("exact").isNotNull(), "exact")
+    tier = tier.when(F.col("score") >= cut, "fuzzy").when(F.col("score").isNotNull(), "weak").otherwise("none")
     sure = F.when(tier.isin("learned", "exact"), 100.0).otherwise(F.coalesce("score", F.lit(0.0)))
-    return out.select("label", F.coalesce("learned", "exact", "fuzzy").alias("canonical"), tier.alias("tier"), sure.alias("confidence"))
+    return out.select("label", F.coalesce("learned", "exact", "alike").alias("canonical"), tier.alias("tier"), sure.alias("confidence"))
 
 
 def label_candidates(rows: DataFrame, canonical: DataFrame, k: int = 3) -> DataFrame:
-    """The k most similar canonical names of each label, all names compared; the canonical list is short and is broadcast."""
-    labels = rows.select("label").distinct().withColumn("key", fold_words(F.col("label"))).filter("key <> ''")
-    names = canonical.select("canonical", fold_words(F.col("canonical")).alias("ck")).filter("ck <> ''").distinct()
-    pairs = labels.crossJoin(F.broadcast(names))
-    scored = pairs.select("label", "canonical", F.round(similarity(F.col("key"), F.col("ck")), 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "canonical"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """The k canonical names most alike to each label that isn't blank, best first."""
+    labels = rows.filter("trim(label) <> ''").select("label").distinct()
+    return most_alike(labels, canonical, k)
 
 
 def apply_corrections(corrections: DataFrame) -> DataFrame:

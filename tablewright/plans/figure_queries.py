@@ -97,18 +97,23 @@ def parts(spark, sf):
 
 
 def matched(spark, sf):
-    """Labels as printed: upper case, a hyphen for a space, a letter too many, or a name of their own."""
-    names = parts(spark, sf)
-    key = F.col("p_partkey")
-    label = F.when(key % 4 == 0, F.concat(F.upper("p_name"), F.lit(" x"))).when(key % 4 == 1, F.regexp_replace(F.upper("p_name"), " ", " - ")).when(key % 4 == 2, F.regexp_replace("p_name", "(.)$", "$1s")).otherwise(F.concat(F.lit("zzz"), key.cast("string")))
-    rows = names.select(label.alias("label"))
-    canonical = names.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("canonical")).distinct()
+    """Labels as printed: a word too many, in capitals with a hyphen, a letter short, of one word in common, learned, or inside a longer text."""
+    names, key = parts(spark, sf), F.col("p_partkey")
+    label = (
+        F.when(key % 5 == 0, F.concat("p_name", F.lit(" x")))
+        .when(key % 5 == 1, F.regexp_replace(F.upper("p_name"), " ", " - "))
+        .when(key % 5 == 2, F.expr("left(p_name, length(p_name) - 1)"))
+        .when(key % 40 == 3, F.concat(F.lit("zzz"), key.cast("string")))
+        .when(key % 5 == 3, F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(" qqqqq")))
+        .otherwise(F.concat(F.lit("Total "), "p_name", F.lit(" expense for year")))
+    )
+    canonical = names.select(F.col("p_name").alias("canonical")).distinct()
     memory = names.filter("p_partkey % 40 = 3").select(F.concat(F.lit("zzz"), key.cast("string")).alias("norm_label"), F.lit("learned").alias("canonical"), key.alias("seq"))
-    return mapping.match_labels(rows, canonical, memory)
+    return mapping.match_labels(names.select(label.alias("label")), canonical, memory)
 
 
 def candidates(spark, sf):
-    rows = parts(spark, sf).filter("p_partkey % 50 = 0").select(F.concat(F.col("p_name"), F.lit(" s")).alias("label"))
+    rows = parts(spark, sf).select(F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(" qqqqq")).alias("label"))
     return mapping.label_candidates(rows, parts(spark, sf).select(F.col("p_name").alias("canonical")).distinct())
 
 
@@ -211,21 +216,17 @@ m AS MATERIALIZED (SELECT doc_id, col, CASE WHEN votes > 0 THEN method ELSE 'sum
 j AS (SELECT o.doc_id, y, o.col, label, printed, value AS got, fit AS ok, n, o.method AS used FROM o JOIN m ON o.doc_id = m.doc_id AND o.col = m.col AND o.method = m.method)"""
 
 
-def sim(a: str, b: str) -> str:
-    """Edit distance over the longer length, of the strings or of their sorted words, whichever is better; 0 to 100."""
-    words = lambda x: f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
-    ratio = lambda x, y: f"(1 - levenshtein({x}, {y}) / greatest(length({x}), length({y}), 1)) * 100"
-    return f"round(greatest({ratio(a, b)}, {ratio(words(a), words(b))}), 4)"
-
-
-FOLD = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
-MATCH = f"""WITH p AS (SELECT p_partkey AS key, p_name AS name FROM part),
-l AS (SELECT DISTINCT label, {FOLD.format("label")} AS k FROM (SELECT CASE key % 4 WHEN 0 THEN upper(name) || ' x' WHEN 1 THEN regexp_replace(upper(name), ' ', ' - ') WHEN 2 THEN name || 's' ELSE 'zzz' || key END AS label FROM p)),
-c AS (SELECT DISTINCT name AS canonical, {FOLD.format("name")} AS ck FROM p WHERE key % 2 = 0),
-e AS (SELECT label, k, CASE WHEN k IN (SELECT 'zzz' || key FROM p WHERE key % 40 = 3) THEN 'learned' END AS learned, (SELECT min(canonical) FROM c WHERE ck = k) AS exact FROM l),
-s AS (SELECT label, canonical, {sim("k", "ck")} AS score FROM e, c WHERE learned IS NULL AND exact IS NULL AND ({sim("k", "ck")} >= 88 OR len(list_intersect(string_split(k, ' '), string_split(ck, ' '))) > 0)),
-b AS (SELECT label, max(score) AS score, arg_min(canonical, (-score, canonical)) AS best FROM s GROUP BY 1),
-t AS (SELECT e.*, score, best, CASE WHEN learned IS NOT NULL THEN 'learned' WHEN exact IS NOT NULL THEN 'exact' WHEN score >= 88 THEN 'fuzzy' WHEN score IS NOT NULL THEN 'weak' ELSE 'none' END AS tier FROM e LEFT JOIN b USING (label))"""
+# Scores from the measure's definition: (w + ' qqqqq') and (w + ' ' + noun) share the word w, and no letter besides; see the closed forms.
+ALIKE = """c AS (SELECT DISTINCT p_name AS canonical FROM part), w AS (SELECT canonical, split_part(canonical, ' ', 1) AS adj, length(split_part(canonical, ' ', 1)) AS s, length(split_part(canonical, ' ', 2)) AS n FROM c),
+a AS (SELECT adj || ' qqqqq' AS label, canonical, round(greatest(200.0 * (s + 1) / (2 * s + 7 + n), 95.0 - 95.0 * (5 + n) / (2 * s + 7 + n), 95.0 - 95.0 * 6 / (2 * s + 6), 95.0 - 95.0 * (1 + n) / (2 * s + 1 + n))::DOUBLE, 4) AS score FROM w)"""
+MATCH = f"""WITH p AS (SELECT p_partkey AS key, p_name AS name FROM part), {ALIKE},
+b AS (SELECT label, arg_min(canonical, (-score, canonical)) AS canonical, max(score) AS score FROM a GROUP BY 1)
+SELECT DISTINCT name || ' x' AS label, name AS canonical, 'fuzzy' AS tier, 95.0::DOUBLE AS confidence FROM p WHERE key % 5 = 0
+UNION SELECT regexp_replace(upper(name), ' ', ' - '), name, 'exact', 100 FROM p WHERE key % 5 = 1
+UNION SELECT left(name, length(name) - 1), name, CASE WHEN 200.0 * (length(name) - 1) / (2 * length(name) - 1) >= 88 THEN 'fuzzy' ELSE 'weak' END, round((200.0 * (length(name) - 1) / (2 * length(name) - 1))::DOUBLE, 4) FROM p WHERE key % 5 = 2
+UNION SELECT 'zzz' || key, 'learned', 'learned', 100 FROM p WHERE key % 40 = 3 AND key % 5 > 2
+UNION SELECT b.label, b.canonical, 'weak', b.score FROM p JOIN b ON b.label = split_part(name, ' ', 1) || ' qqqqq' WHERE key % 5 = 3 AND key % 40 <> 3
+UNION SELECT 'Total ' || name || ' expense for year', name, 'fuzzy', 90 FROM p WHERE key % 5 = 4 AND key % 40 <> 3"""
 ORACLES = {
     "dominant_indent": f"""{RR}, c AS (SELECT doc_id, x0, count(*) AS n, min(y) AS first FROM rr WHERE v0 IS NOT NULL GROUP BY 1, 2),
       i AS (SELECT doc_id, x0 AS item_x0, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c)
@@ -272,7 +273,6 @@ ORACLES = {
       r AS (SELECT *, CAST(sum(head) OVER (PARTITION BY doc_id ORDER BY y ROWS UNBOUNDED PRECEDING) AS BIGINT) AS record_id FROM k) SELECT doc_id, record_id, count(*) AS n, min(y) AS y FROM r GROUP BY 1, 2""",
     "series_wide": f"""{IT}, s AS (SELECT doc_id, l_returnflag AS c, amt, row_number() OVER (PARTITION BY doc_id, l_returnflag ORDER BY n) AS k FROM l)
       SELECT doc_id, max(amt) FILTER (c = 'A' AND k = 1) AS a_1, max(amt) FILTER (c = 'A' AND k = 2) AS a_2, max(amt) FILTER (c = 'N' AND k = 1) AS n_1, max(amt) FILTER (c = 'R' AND k = 1) AS r_1 FROM s GROUP BY 1""",
-    "match_labels": f"""{MATCH} SELECT label, coalesce(learned, exact, best) AS canonical, tier, CASE WHEN tier IN ('learned', 'exact') THEN 100.0 ELSE coalesce(score, 0.0) END AS confidence FROM t""",
-    "label_candidates": f"""WITH l AS (SELECT DISTINCT p_name || ' s' AS label FROM part WHERE p_partkey % 50 = 0), c AS (SELECT DISTINCT p_name AS canonical FROM part),
-      p AS (SELECT label, canonical, {sim("label", "canonical")} AS score FROM l, c), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, canonical) AS INT) AS rank FROM p) SELECT * FROM r WHERE rank <= 3""",
+    "match_labels": MATCH,
+    "label_candidates": f"""WITH {ALIKE}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, canonical) AS INT) AS rank FROM a) SELECT * FROM r WHERE rank <= 3""",
 }

@@ -106,7 +106,7 @@ def test_folded_names_meet_whatever_stands_between(spark):
 
 #: Pairs of labels, and whether a person takes them for one name; the cut of the fuzzy tier keeps these decisions.
 DECISIONS = [
-    ("Receivable", "Receivables", True), ("Rental incomes", "Rental income", True), ("income rental", "Rental income", True), ("Utilites", "Utilities", True), ("Mangement fees", "Management fees", True),
+    ("Receivable", "Receivables", True), ("Rental incomes", "Rental income", True), ("income Rental", "Rental income", True), ("income rental", "Rental income", False), ("Total Utilities Expense", "Utilities", True), ("Utilitys", "Utilities", False), ("Utilites", "Utilities", True), ("Mangement fees", "Management fees", True),
     ("Rental income", "Dental income", True), ("Net income", "Net outgo", False), ("Water", "Waste", False), ("Insurance", "Assurance", False), ("Late fees", "Legal fees", False), ("Property tax", "Sales tax", False),
 ]
 
