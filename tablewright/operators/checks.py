@@ -20,7 +20,7 @@ def has_figures() -> Column:
 def with_indents(rows: DataFrame, deeper: float = 2.0) -> DataFrame:
     """rows with item_x0 and total_x0 of their document (F1), null where no row has figures. A document's rows come together
     once, and all that follows by document stays where it is."""
-    edge = F.when(has_figures(), F.round("x0", 0))
+    edge = F.when(has_figures(), F.bround("x0", 0))
     same, doc = Window.partitionBy("doc_id", "edge"), Window.partitionBy("doc_id")
     own = rows.repartition("doc_id").withColumn("edge", edge)
     first = F.min(F.struct("page", "y")).over(same)
@@ -33,7 +33,7 @@ def with_indents(rows: DataFrame, deeper: float = 2.0) -> DataFrame:
 
 def dominant_indent(rows: DataFrame, deeper: float = 2.0) -> DataFrame:
     """per document the most common indent of rows with figures (ties to the first seen), and the least deeper one."""
-    own = rows.filter(has_figures() & F.col("x0").isNotNull()).groupBy("doc_id", F.round("x0", 0).alias("x0")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "y")).alias("first"))
+    own = rows.filter(has_figures() & F.col("x0").isNotNull()).groupBy("doc_id", F.bround("x0", 0).alias("x0")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "y")).alias("first"))
     rank = F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.y")).alias("y"), "x0")
     both = own.groupBy("doc_id").agg(F.max(rank)["x0"].alias("item_x0"), F.collect_list("x0").alias("edges"))
     return both.select("doc_id", "item_x0", F.array_min(F.filter("edges", lambda x: x > F.col("item_x0") + deeper)).alias("total_x0"))

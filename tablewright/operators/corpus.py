@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 from collections.abc import Mapping
 
@@ -80,12 +82,18 @@ def html_to_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(paragraphs).alias("par_no", "text"))
 
 
+#: Named references by HTML5, with their semicolon or, for the old ones, without.
+NAMED = json.dumps(html.entities.html5)
+#: Names that count without a semicolon, longest first, so that the longest beginning is taken.
+UNCLOSED = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: Numbers of the C1 range stand for what Windows-1252 has there.
+RENUMBERED = json.dumps({str(n): bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"})
+
+
 def decode_entities(text: Column) -> Column:
-    # The named references that are decoded.
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-    code = lambda r: F.when(F.lower(r).startswith("x"), F.conv(F.substr(r, F.lit(2)), 16, 10).cast("int")).otherwise(r.try_cast("int"))
+    """Character references decoded once, as a browser reads them. The text is cut at each ampersand, so that no decoded
+    character is read again."""
+    known, renumbered = F.from_json(F.lit(NAMED), "map<string,string>"), F.from_json(F.lit(RENUMBERED), "map<string,string>")
 
     def char(n: Column) -> Column:
         """The character of a code point, by its UTF-8 bytes."""
@@ -101,9 +109,28 @@ def decode_entities(text: Column) -> Column:
             "UTF-8",
         )
 
-    known = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-    swap = lambda s, r: F.when(known(code(r)), F.replace(s, F.concat(F.lit("&#"), r, F.lit(";")), char(code(r)))).otherwise(s)
-    return F.replace(F.when(F.size(found) > 0, F.aggregate(found, text, swap)).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    def numbered(digits: Column) -> Column:
+        base = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits)
+        n = F.when(F.length(F.regexp_replace(base, "^0+", "")) > 7, F.lit(0x110000)).otherwise(base.try_cast("int"))
+        no_character = n.between(1, 8) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n == 11) | (n % 65536 >= 65534)
+        found = F.try_element_at(renumbered, n.cast("string"))
+        return F.when(found.isNotNull(), found).when((n >= 0x110000) | n.between(0xD800, 0xDFFF), "\ufffd").when(no_character, "").otherwise(char(n))
+
+    def read(piece: Column) -> Column:
+        number = F.regexp_extract(piece, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+        name = F.regexp_extract(piece, "^[^\\t\\n\\f <&#;]{1,32};?", 0)
+        begun = F.regexp_extract(name, f"^({UNCLOSED})", 1)
+        rest = lambda taken: F.substr(piece, F.length(taken) + 1)
+        return (
+            F.when(number != "", F.concat(numbered(number), F.regexp_replace(piece, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
+            .when(F.try_element_at(known, name).isNotNull(), F.concat(F.try_element_at(known, name), rest(name)))
+            .when(begun != "", F.concat(F.try_element_at(known, begun), rest(begun)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(text, "&", -1)
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), read), ""))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def normalise_transcripts(pages: DataFrame) -> DataFrame:

@@ -96,8 +96,14 @@ def map_columns(source: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def field_coverage(type_fields: DataFrame, known: DataFrame) -> DataFrame:
-    """Fields of each document type that the target doesn't know."""
-    return type_fields.join(known.select("field"), "field", "left_anti")
+    """What of the document types (doc_type, field) the target (doc_type, field) doesn't know: a type, or a field of a type.
+
+    A type that the target has without any field (field null) takes all."""
+    listed = known.groupBy("doc_type").agg(F.count("field").alias("fields"))
+    own = type_fields.join(listed, "doc_type", "left")
+    types = own.filter("fields IS NULL").select("doc_type").distinct().select("doc_type", F.lit(None).cast("string").alias("field"), F.lit("unknown type").alias("problem"))
+    fields = own.filter("fields > 0").join(known.select("doc_type", "field"), ["doc_type", "field"], "left_anti")
+    return types.unionByName(fields.select("doc_type", "field", F.lit("unknown field").alias("problem")))
 
 
 def latest_runs(history: DataFrame, keep: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,23 +56,55 @@ def expand_values(values: DataFrame, figures: bool = False) -> DataFrame:
     return values.select("doc_id", "field", "value", F.posexplode(forms).alias("form_no", "form"))
 
 
+class Figure(str):
+    """A number, as printed."""
+
+
+def printed(value: object) -> str | None:
+    """A value of a reply as text: text and figures as they stand, null as none, what is nested as JSON without spaces."""
+    if value is None or isinstance(value, str):
+        return None if value is None else str(value)
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    inner = lambda v: v if isinstance(v, Figure) else json.dumps(v, ensure_ascii=False) if isinstance(v, str) else "null" if v is None else printed(v)
+    if isinstance(value, list):
+        return "[" + ",".join(inner(v) for v in value) + "]"
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{inner(v)}" for k, v in value.items()) + "}"
+
+
+def reply_rows(reply: str | None) -> list[dict] | None:
+    """The objects of a reply, None if it can't be read: the whole without its fences, else what its outermost brackets hold. Of a
+    repeated name the last counts."""
+    text = re.sub(r"^```(?:json)?\s*|\s*```$", "", (reply or "").strip(), flags=re.IGNORECASE | re.MULTILINE).strip()
+    for part in (text, text[text.find("[") : text.rfind("]") + 1] if "[" in text else ""):
+        try:
+            found = json.loads(part, parse_float=Figure, parse_int=Figure, parse_constant=Figure)
+        except ValueError:
+            continue
+        found = [found] if isinstance(found, dict) else found
+        return [x for x in found if isinstance(x, dict)] if isinstance(found, list) else None
+    return None
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Rows of a model's replies (doc_id, reply): fences go; a list of objects, or one object alone, else the outermost bracketed
     part; what isn't an object is dropped. A reply that can't be read is kept as one row with an error. Values stay as printed."""
-    bare = F.trim(F.regexp_replace(F.coalesce("reply", F.lit("")), r"(?im)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    inner = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
-    read = lambda t: F.try_parse_json(t)
-    whole, part = read(bare), read(F.when(inner != "", inner))
-    value = F.coalesce(F.when(whole.isNotNull(), whole), part)
-    own = replies.select("doc_id", value.alias("v"))
-    kind = F.schema_of_variant("v")
-    rows = F.when(kind.startswith("OBJECT"), F.array(F.col("v"))).when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
-    own = own.select("doc_id", "v", rows.alias("rows")).select("doc_id", F.posexplode_outer("rows").alias("n", "x"), F.col("rows").isNull().alias("bad"))
-    is_object = F.schema_of_variant("x").startswith("OBJECT")
-    own = own.filter(F.col("bad") | is_object)
-    cells = F.try_variant_get("x", "$", "map<string,string>")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1
-    return own.select("doc_id", F.when(~F.col("bad"), nth).alias("row_no"), F.when(~F.col("bad"), cells).alias("cells"), F.when(F.col("bad"), "not readable").otherwise("").alias("error"))
+    own = replies.select("doc_id", "reply")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number, cells, errors = [], [], [], []
+            for i, reply in enumerate(batch.column("reply").to_pylist()):
+                rows = reply_rows(reply)
+                for n, row in enumerate(rows if rows is not None else [None]):
+                    at.append(i)
+                    number.append(None if row is None else n)
+                    cells.append(None if row is None else [(k, printed(v)) for k, v in row.items()])
+                    errors.append("not readable" if row is None else "")
+            kind = pa.map_(pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), pa.array(cells, kind), pa.array(errors, pa.string())], ["doc_id", "row_no", "cells", "error"])
+
+    return own.mapInArrow(read, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, row_no int, cells map<string,string>, error string")
 
 
 def answer_rows(groups: DataFrame, replies: DataFrame, excerpts: DataFrame, unread: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -134,7 +134,8 @@ def columns(spark, sf):
 
 def coverage(spark, sf):
     types = table(spark, sf, "nation").select(F.col("n_regionkey").alias("doc_type"), F.col("n_name").alias("field"))
-    return mapping.field_coverage(types, table(spark, sf, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("field")))
+    target = table(spark, sf, "nation").filter("n_regionkey <> 1").select(F.col("n_regionkey").alias("doc_type"), F.when((F.col("n_nationkey") % 2 == 0) & (F.col("n_regionkey") != 2), F.col("n_name")).alias("field"))
+    return mapping.field_coverage(types, target)
 
 
 def runs(spark, sf):
@@ -256,7 +257,7 @@ ORACLES = {
     "apply_corrections": "SELECT o_orderpriority AS profile, CAST(o_custkey % 50 AS VARCHAR) AS norm_label, arg_max(CAST(o_orderkey AS VARCHAR), o_orderkey) AS canonical, count(*) AS learned FROM orders GROUP BY 1, 2",
     "map_columns": """SELECT c_custkey AS doc_id, 'Data' AS source_sheet, 'Roll' AS template_sheet, h AS header, CASE h WHEN 'Sq Ft' THEN 'Sq. Ft.' WHEN 'Tenant Name' THEN 'TENANT name' WHEN 'Rent' THEN CASE WHEN c_custkey % 3 = 0 THEN 'Rent' END END AS source_header
       FROM customer, (VALUES ('Sq Ft'), ('Tenant Name'), ('Rent'), ('Notes')) AS v(h)""",
-    "field_coverage": "SELECT n_regionkey AS doc_type, n_name AS field FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0)",
+    "field_coverage": "SELECT n_regionkey AS doc_type, n_name AS field, 'unknown field' AS problem FROM nation WHERE n_regionkey NOT IN (1, 2) AND n_nationkey % 2 = 1 UNION ALL SELECT DISTINCT n_regionkey, NULL, 'unknown type' FROM nation WHERE n_regionkey = 1",
     "latest_runs": "SELECT o_custkey AS owner, o_orderkey AS seq, CAST(row_number() OVER w AS INT) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey DESC) QUALIFY row_number() OVER w <= 3",
     "canonical_columns": """WITH o AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN regexp_replace(o_orderpriority, '[ -]+', ' .  ', 'g') ELSE lower(o_orderpriority) END AS column_name, o_orderkey AS ord, o_orderpriority AS p FROM orders),
       c AS (SELECT p, arg_min(column_name, ord) AS canonical FROM o GROUP BY 1) SELECT column_name, canonical, count(*) AS n FROM o JOIN c USING (p) GROUP BY 1, 2""",

@@ -27,11 +27,11 @@ def figures(spark, sf):
 def replies(spark, sf):
     a, fence = F.col("a"), "```"
     reply = (
-        F.when(F.col("v") == 0, F.concat(F.lit(f'{fence}json\n[{{"Item": "x", "Amount": '), a, F.lit(f'}}, 5, {{"Item": null}}]\n{fence}')))
-        .when(F.col("v") == 1, F.concat(F.lit('{"Item": "'), a, F.lit('"}')))
+        F.when(F.col("v") == 0, F.concat(F.lit(f'{fence}json\n[{{"Item": "x", "Amount": '), a, F.lit(f'.50}}, 5, {{"Item": null}}]\n{fence}')))
+        .when(F.col("v") == 1, F.concat(F.lit('{"Item": "old", "Item": "'), a, F.lit('"}')))
         .when(F.col("v") == 2, F.concat(F.lit('Here are the rows: [{"Item": "'), a, F.lit('"}] as asked.')))
         .when(F.col("v") == 3, F.concat(F.lit("The total is **"), a, F.lit("**.")))
-        .when(F.col("v") == 4, "[1, 2]")
+        .when(F.col("v") == 4, '{"Item": "x"} trailing [1, 2]')
     )
     out = review.parse_replies(orders(spark, sf).select("doc_id", reply.alias("reply")))
     cells = F.array_join(F.transform(F.array_sort(F.map_entries("cells")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
@@ -116,7 +116,7 @@ ORACLES = {
       SELECT d AS doc_id, CAST(i - 1 AS INT) AS form_no, fs[i] AS form FROM f, unnest(range(1, len(fs) + 1)) AS u(i)""",
     "expand_figures": f"""{O}, f AS (SELECT d, CASE v WHEN 0 THEN ['$' || a || '.50', a || '.50', left(a, 1) || ',' || substr(a, 2) || '.50'] WHEN 1 THEN ['12 %', '12%'] WHEN 2 THEN ['7.5%', '7.5 %'] WHEN 3 THEN ['the net operating income', 'the net operating'] ELSE ['1,234', '1234'] END AS fs FROM o)
       SELECT d AS doc_id, CAST(i - 1 AS INT) AS form_no, fs[i] AS form FROM f, unnest(range(1, len(fs) + 1)) AS u(i)""",
-    "parse_replies": f"""{O} SELECT d AS doc_id, CAST(0 AS INT) AS row_no, 'Amount=' || a || ';Item=x' AS cells, '' AS error FROM o WHERE v = 0 UNION ALL SELECT d, 1, 'Item', '' FROM o WHERE v = 0
+    "parse_replies": f"""{O} SELECT d AS doc_id, CAST(0 AS INT) AS row_no, 'Amount=' || a || '.50;Item=x' AS cells, '' AS error FROM o WHERE v = 0 UNION ALL SELECT d, 1, 'Item', '' FROM o WHERE v = 0
       UNION ALL SELECT d, 0, 'Item=' || a, '' FROM o WHERE v IN (1, 2) UNION ALL SELECT d, NULL, '', 'not readable' FROM o WHERE v IN (3, 5)""",
     "answer_rows": f"""{IT}, g AS (SELECT doc_id AS grp, count(*) AS files, count(*) FILTER (n % 3 = 0 OR doc_id % 7 = 0) AS lost, string_agg('f' || lpad(n::VARCHAR, 2, '0') || ' (needs OCR)', '; ' ORDER BY n) FILTER (n % 3 = 0 OR doc_id % 7 = 0) AS unread,
         list('f' || lpad(n::VARCHAR, 2, '0') || '|part 1-2' ORDER BY n) FILTER (n % 3 <> 0 AND doc_id % 7 <> 0) AS ex FROM l GROUP BY 1),

@@ -18,6 +18,9 @@ t AS (SELECT file, v, c, 1 AS page, 0 AS table_no FROM f WHERE v < 5 UNION ALL S
 r AS (SELECT t.*, i + 1 AS row_no, CASE WHEN i % 3 = 1 THEN upper(name) || ' *' ELSE name END AS label FROM t CROSS JOIN n WHERE (v = 0) OR (v = 1 AND i < 6) OR (v = 2 AND i < 3) OR (v = 3 AND (page = 2 OR i < 11)) OR (v = 4 AND table_no = 0 AND i < 10) OR (v = 4 AND table_no = 1 AND i >= 10)
   UNION ALL SELECT t.*, 13, 'Location' FROM t WHERE v = 0),
 h(k, class) AS (VALUES (1, 'Class A'), (2, 'CLASS  B'), (3, 'class c'), (4, 'Unratable')),
+q AS (SELECT t.file, t.v, t.page, t.table_no, count(r.row_no) FILTER (r.row_no <= 10 AND NOT blank) AS core, count(r.row_no) FILTER (r.row_no IN (11, 12) AND NOT blank) AS star, CASE WHEN blank OR t.table_no = 1 THEN 0 WHEN t.v = 1 THEN 2 ELSE 4 END AS headers
+  FROM (SELECT *, v = 2 AND file % 4 = 0 AS blank FROM t) t LEFT JOIN r ON r.file = t.file AND r.page = t.page AND r.table_no = t.table_no GROUP BY t.file, t.v, t.page, t.table_no, blank),
+z0 AS (SELECT *, round((0.55 * core / 10 + 0.15 * star / 2 + 0.3 * headers / 4)::DOUBLE, 6) AS score FROM q),
 cells AS (SELECT file, page, table_no, 'lines' AS route, row_no, 0 AS col_no, label AS text FROM r
   UNION ALL SELECT file, page, table_no, 'lines', row_no, k, c || '-' || CAST(k AS VARCHAR) FROM r CROSS JOIN h WHERE NOT (v = 1 AND k > 2)
   UNION ALL SELECT file, page, table_no, 'lines', 0, k, class FROM t CROSS JOIN h WHERE NOT (v = 1 AND k > 2) AND NOT (v = 4 AND table_no = 1)
@@ -40,23 +43,25 @@ def cells(spark, sf):
     kinds = spark.createDataFrame(layout_cells(), "v long, page int, table_no int, row_no int, col_no int, text string")
     own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), (F.col("o_orderkey") % 6).alias("v"), F.col("o_custkey").cast("string").alias("c"))
     text = F.coalesce("text", F.concat_ws("-", "c", F.col("col_no").cast("string")))
+    text = F.when((F.col("v") == 2) & (F.col("file") % 4 == 0), F.concat(F.lit("zz "), text)).otherwise(text)  # tables that hold nothing of the guide
     return own.join(F.broadcast(kinds), "v").select("file", "page", "table_no", F.lit("lines").alias("route"), "row_no", "col_no", text.alias("text"))
 
 
 def shaped(spark, sf):
     own = cells(spark, sf)
     found = grid.find_grid(own)
-    return grid.shape_grid(grid.grid_continuation(own, found), found)
+    return grid.shape_grid(grid.grid_continuation(own, found), grid.merged_scores(own, found))
 
 
 def outcome(spark, sf):
     own = cells(spark, sf)
     found = grid.find_grid(own)
+    merged = grid.merged_scores(own, found)
     files = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("file"), F.lit(2).alias("n_pages"), F.when(F.col("o_orderkey") % 12 == 5, 0).otherwise(2).alias("text_pages"),
         F.when(F.col("o_orderkey") % 6 == 5, 0).otherwise(1).alias("guide_pages"), F.when(F.col("o_orderkey") % 90 == 11, "ValueError: broken file").alias("error"),
     )
-    return files, grid.grid_outcome(files, found, grid.shape_grid(grid.grid_continuation(own, found), found))
+    return files, grid.grid_outcome(files, merged, grid.shape_grid(grid.grid_continuation(own, found), merged))
 
 
 def compared(spark, sf):
@@ -219,12 +224,13 @@ z AS (SELECT file, page, CAST(row_no + CASE WHEN v = 4 AND row_no > 10 THEN 11 E
   UNION ALL SELECT file, 1, 14, 'Comparison to Star Rating', true, false, 'Comparison to Star Rating', '', '', '', '' FROM f WHERE v = 0)"""
 MISSING = "CASE v WHEN 1 THEN 'Parking, Homes (Quality), Homes (Age), Homes (Mix), Star Rating (Non-Woodall), Star Rating (Woodall)' WHEN 3 THEN 'Star Rating (Woodall)' ELSE '' END"
 FOUND = f"""WITH {GRID}, o AS (SELECT file, v, CASE WHEN file % 90 = 11 THEN 'error' WHEN v = 5 AND file % 12 = 5 THEN 'scanned' WHEN v IN (0, 1, 3, 4) THEN 'found' ELSE 'not_found' END AS status,
-  CAST(CASE WHEN v < 5 THEN 1 END AS INT) AS page, CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.48 WHEN 2 THEN 0.465 WHEN 3 THEN 0.925 WHEN 4 THEN 0.85 END::DOUBLE AS score,
-  CASE WHEN file % 90 = 11 THEN 'ValueError: broken file' WHEN v = 5 AND file % 12 = 5 THEN 'a scan without a text layer' WHEN v = 5 THEN 'no page names the classes' WHEN v = 2 THEN 'closest table has 3 of 10 rows'
+  CAST(CASE WHEN v < 5 THEN 1 END AS INT) AS page, (SELECT round((0.55 * sum(core) / 10 + 0.15 * sum(star) / 2 + 0.3 * max(headers) / 4)::DOUBLE, 3) FROM z0 WHERE z0.file = f.file AND z0.page = 1) AS score,
+  CASE WHEN file % 90 = 11 THEN 'ValueError: broken file' WHEN v = 5 AND file % 12 = 5 THEN 'a scan without a text layer' WHEN v = 5 THEN 'no page names the classes' WHEN v = 2 THEN 'closest table has ' || CASE WHEN file % 4 = 0 THEN 0 ELSE 3 END || ' of 10 rows'
     WHEN v IN (1, 3) THEN 'rows not found: ' || {MISSING} ELSE '' END AS note FROM f)"""
 ORACLES = {
-    "find_grid": f"""WITH {GRID} SELECT file, CAST(1 AS INT) AS page, CAST(0 AS INT) AS table_no, 'lines' AS route, CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.48 WHEN 2 THEN 0.465 WHEN 3 THEN 0.925 ELSE 0.85 END::DOUBLE AS score,
-      CAST(CASE v WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 10 END AS INT) AS core, CAST(CASE v WHEN 0 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS INT) AS star, CAST(CASE v WHEN 1 THEN 2 ELSE 4 END AS INT) AS headers, CAST(0 AS INT) AS header_row, CAST(0 AS INT) AS label_col, v <> 2 AS is_grid FROM f WHERE v < 5""",
+    "find_grid": f"""WITH {GRID}, m AS (SELECT * FROM z0 QUALIFY row_number() OVER (PARTITION BY file ORDER BY score >= 0.92 DESC, CASE WHEN score >= 0.92 THEN page END, score DESC, page, table_no) = 1)
+      SELECT file, CAST(page AS INT) AS page, CAST(table_no AS INT) AS table_no, 'lines' AS route, score, CAST(core AS INT) AS core, CAST(star AS INT) AS star, CAST(headers AS INT) AS headers, CAST(CASE WHEN headers > 0 THEN 0 ELSE -1 END AS INT) AS header_row,
+        CAST(0 AS INT) AS label_col, score >= 0.45 AND core >= 5 AS is_grid FROM m""",
     "grid_continuation": f"""WITH {GRID} SELECT file, CAST(1 AS INT) AS page, count(*) AS cells, CAST(CASE file % 6 WHEN 0 THEN 14 WHEN 1 THEN 6 WHEN 3 THEN 11 ELSE 23 END AS INT) AS last_row
       FROM cells WHERE file % 6 IN (0, 1, 4) OR (file % 6 = 3 AND page = 1) GROUP BY 1""",
     "shape_grid": f"{SHAPED} SELECT * FROM z",

@@ -57,13 +57,21 @@ def types(spark, sf):
     return out.select("doc_id", F.array_join("types", ",").alias("types"), F.array_join("fields", ",").alias("fields"), "fallback")
 
 
-QUESTION = "What is the thing nicht entre pathetic on page 7 or pages 40-42?"
+QUESTIONS = [(1, "What is the thing nicht entre pathetic on page 7 or pages 40-42?"), (2, "Which AMOUNT is total? Total.")]
+ALLOWANCE = 12000
 
 
 def ranked(spark, sf):
+    """Two questions to every source."""
     pages = as_pages(spark, sf).withColumnRenamed("doc_id", "grp")
     hits = pages.filter("page % 11 = 0").select("grp", "page", F.lit(2).alias("n"))
-    return retrieve.keyword_rank(pages, QUESTION, hits)
+    questions = pages.select("grp").distinct().join(F.broadcast(spark.createDataFrame(QUESTIONS, "question_id int, question string")))
+    return retrieve.keyword_rank(pages, questions, ALLOWANCE, hits)
+
+
+def bundled(spark, sf):
+    files = grouped(spark, sf).select("grp", "doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 9 != 0, F.col("text")).alias("text"))
+    return retrieve.capped_bundle(files)
 
 
 def listing(spark, sf):
@@ -83,7 +91,7 @@ def report_labels(spark, sf):
 
 def marked(spark, sf):
     """Transcripts in markup, with what has to go."""
-    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("<table><tr><td>Total</td> <th class='x'>&#36;"), F.col("o_custkey").cast("string"), F.lit("</th></tr></table>\n<!-- a\nb -->**"), F.col("o_orderpriority"), F.lit("** ![i](u)end<br/>\\nlast &#x41;&amp;lt;  \n \n")).alias("text"))
+    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("<table><tr><td>Total</td> <th class='x'>&#36;"), F.col("o_custkey").cast("string"), F.lit("</th></tr></table>\n<!-- a\nb -->**"), F.col("o_orderpriority"), F.lit("** ![i](u)end<br/>\\nlast &#x41;&amp;lt;&eacute;&copy &notit;&#150;&nosuch;  \n \n")).alias("text"))
     return corpus.normalise_transcripts(own)
 
 
@@ -130,7 +138,7 @@ def tables(spark, sf):
     row = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td class='x'>"), x, F.lit("</td>")) for x in c], F.lit("</tr>"))
     own = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"),
-        F.concat(F.lit("a <table>"), row(F.lit("Priority"), F.lit("Priority"), F.lit("&amp;")), row(F.col("o_orderpriority"), F.col("o_orderstatus"), F.lit(" ")), F.lit("</table>")).alias("text"),
+        F.concat(F.lit("a <table>"), row(F.lit("Priority"), F.lit("Priority"), F.lit("caf&eacute; &amp;&mdash;")), row(F.col("o_orderpriority"), F.col("o_orderstatus"), F.lit(" ")), F.lit("</table>")).alias("text"),
     )
     return corpus.lift_tables(own)
 
@@ -150,9 +158,10 @@ QUERIES = {
     "prefix_budget": lambda s, d: retrieve.prefix_budget(as_pages(s, d), 40000).select("doc_id", "page", "used"),
     "recent_turns": lambda s, d: retrieve.recent_turns(table(s, d, "conversations"), 1500),
     "followup_query": lambda s, d: retrieve.followup_query(table(s, d, "conversations")),
-    "capped_bundle": lambda s, d: retrieve.capped_bundle(grouped(s, d)),
+    "capped_bundle": lambda s, d: bundled(s, d).select("grp", "doc_id", F.length("piece").alias("size"), "reason"),
+    "bundle_text": lambda s, d: retrieve.bundle_text(bundled(s, d)).select("grp", F.md5("bundle").alias("bundle")),
     "keyword_rank": ranked,
-    "question_pages": lambda s, d: retrieve.question_pages(ranked(s, d), 12000),
+    "question_pages": lambda s, d: retrieve.question_pages(ranked(s, d), ALLOWANCE),
     "search_terms": lambda s, d: retrieve.search_terms(docs(s, d).select(F.col("doc_id").alias("ord"), F.lit("field").alias("kind"), F.left("text", F.lit(300)).alias("phrase"))).select("ord", F.array_join("words", " ").alias("words")),
     "figure_weight": lambda s, d: retrieve.figure_weight(table(s, d, "part").select(F.lit("field").alias("kind"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" Rate"))).otherwise(F.col("p_name")).alias("phrase"))),
     "score_for_entity": lambda s, d: retrieve.score_for_entity(retrieve.score_chunks(chunked(s, d), ASKED), entities(s, d)).select("grp", "entity", "doc_id", "score"),
@@ -181,14 +190,15 @@ QUERIES = {
 }
 
 # rank of pages: words and what they weigh, found values, the first pages; then what a fold over the order takes
-TF = lambda w: f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}"
-ASKED_FOR = [w for w in retrieve.question_terms(QUESTION)]
-RANK = (
-    "WITH p AS (SELECT CAST(substr(source, 4) AS BIGINT) AS grp, CAST(doc_id AS INT) AS page, CAST(length(text) AS INT) AS size, " + ", ".join(f"CAST({TF(w)} AS INT) AS t{i}" for i, w in enumerate(ASKED_FOR)) + " FROM documents), "
-    "d AS (SELECT grp, count(*) AS n, " + ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(ASKED_FOR))) + " FROM p GROUP BY 1), "
-    "k AS (SELECT grp, page, size, page IN (7, 40, 41, 42) AS named, round(" + " + ".join(f"CASE WHEN t{i} > 0 THEN ln(1 + n / d{i}) * least(t{i}, 3) ELSE 0.0::DOUBLE END" for i in range(len(ASKED_FOR)))
-    + " + CASE WHEN page <= 3 THEN 1.5::DOUBLE - 0.4::DOUBLE * (page - 1) ELSE 0.0::DOUBLE END + 0.4::DOUBLE * CASE WHEN page % 11 = 0 THEN 2 ELSE 0 END, 6) AS score FROM p JOIN d USING (grp))"
-)
+RANK = f"""p AS (SELECT CAST(substr(source, 4) AS BIGINT) AS grp, CAST(doc_id AS INT) AS page, CAST(k AS INT) AS part, substr(text, k * 3000 + 1, 3000) AS text FROM documents, LATERAL (SELECT unnest(range(0, greatest(1, CAST(ceil(length(text) / 3000.0) AS BIGINT)))) AS k)),
+t(question_id, term) AS (VALUES (1, 'thing'), (1, 'nicht'), (1, 'entre'), (1, 'pathetic'), (1, '40-42'), (2, 'amount'), (2, 'total')),
+n AS (SELECT grp, count(DISTINCT page) AS pages FROM p GROUP BY 1),
+m AS MATERIALIZED (SELECT question_id, grp, page, part, term, (length(lower(text)) - length(replace(lower(text), term, ''))) / length(term) AS tf FROM p, t),
+d AS (SELECT question_id, grp, term, count(*) AS df FROM m WHERE tf > 0 GROUP BY 1, 2, 3),
+s AS (SELECT question_id, grp, page, part, sum(ln(1 + pages / df::DOUBLE) * least(tf, 3)) AS score FROM m JOIN d USING (question_id, grp, term) JOIN n USING (grp) WHERE tf > 0 GROUP BY 1, 2, 3, 4),
+k AS MATERIALIZED (SELECT q.question_id, grp, page, part, CAST(length(text) AS INT) AS size, q.question_id = 1 AND page IN (7, 40, 41, 42) AS named,
+  round((coalesce(score, 0) + CASE WHEN page <= 3 THEN 1.5::DOUBLE - 0.4::DOUBLE * (page - 1) ELSE 0.0::DOUBLE END + 0.4::DOUBLE * CASE WHEN page % 11 = 0 THEN 2 ELSE 0 END)::DOUBLE, 6) AS score
+  FROM p CROSS JOIN (SELECT CAST(unnest([1, 2]) AS INT) AS question_id) q LEFT JOIN s USING (question_id, grp, page, part))"""
 ENTITY = r"""WITH c AS (SELECT source AS grp, doc_id, text, CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:thing|amount)') AS INT) + CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:nicht|total)') AS INT) AS named,
    len(regexp_extract_all(text, '[$€£]\s?[\d,]{3,}')) + len(regexp_extract_all(text, '\d{1,3}(?:\.\d+)?\s?%')) + len(regexp_extract_all(text, '(?:[A-Z][a-z]{2,9}\s+\d{1,2},\s+\d{4})|(?:\d{1,2}/\d{1,2}/\d{2,4})'))
      + least(len(regexp_extract_all(text, '\b\d[\d,]{2,}(?:\.\d+)?\b')), 10) AS figures FROM documents),
@@ -197,11 +207,13 @@ ENTITY = r"""WITH c AS (SELECT source AS grp, doc_id, text, CAST(regexp_matches(
   m AS (SELECT grp, CAST(entity AS INT) AS entity, doc_id, base, CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || w1) AS INT) + CASE WHEN w2 <> w1 THEN CAST(regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])' || w2) AS INT) ELSE 0 END
       + CAST(regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*' || suite || '(?:[^\p{L}\p{N}_]|$)') AS INT) AS met,
     (suite <> '1' AND regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*1(?:[^\p{L}\p{N}_]|$)')) OR (suite <> '2' AND regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*2(?:[^\p{L}\p{N}_]|$)')) OR (suite <> '3' AND regexp_matches(text, '(?:^|[^\p{L}\p{N}_])0*3(?:[^\p{L}\p{N}_]|$)')) AS other FROM b, e)"""
+BUNDLE = """WITH p AS (SELECT source AS grp, doc_id, CASE WHEN doc_id % 9 <> 0 AND text <> '' THEN chr(10) || '===== FILE: f' || doc_id || ' =====' || chr(10) || left(text, 9000) END AS t FROM documents),
+  b AS (SELECT *, CAST(coalesce(sum(coalesce(length(t), 0)) OVER (PARTITION BY grp ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bef FROM p)"""
 CHUNKS = r"""ps AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
       cw AS (SELECT doc_id, ps, 1 AS i, 0 AS chunk, 0 AS held, CAST(NULL AS VARCHAR) AS part FROM ps UNION ALL
         SELECT doc_id, ps, i + 1, chunk + CASE WHEN held + length(ps[i]) >= 2500 THEN 1 ELSE 0 END, CASE WHEN held + length(ps[i]) >= 2500 THEN 0 ELSE held + length(ps[i]) END, chunk || ':' || ps[i] FROM cw WHERE i <= len(ps)),
       r AS (SELECT doc_id, i, CAST(string_split(part, ':')[1] AS INT) AS chunk_no, substr(part, strpos(part, ':') + 1) AS t FROM cw WHERE part IS NOT NULL),
-      chunks AS MATERIALIZED (SELECT doc_id, chunk_no, string_agg(t, chr(10) || chr(10) ORDER BY i) AS chunk FROM r GROUP BY 1, 2)"""
+      chunks AS MATERIALIZED (SELECT doc_id, chunk_no, string_agg(t, chr(10) ORDER BY i) AS chunk, 'part ' || (min(i) - 1) || '-' || (max(i) - 1) AS label FROM r GROUP BY 1, 2)"""
 
 
 def rated(chunks: str) -> str:
@@ -236,8 +248,8 @@ ORACLES = {
       u AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS upto FROM o)
       SELECT conv_id, turn, role, CASE WHEN upto <= 1500 THEN text ELSE right(text, CAST(1500 - upto + length(text) AS BIGINT)) END AS text FROM u WHERE upto <= 1500 OR 1500 - upto + length(text) >= 400""",
     "followup_query": """SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' ') AS query FROM conversations WHERE role = 'user'""",
-    "capped_bundle": """WITH p AS (SELECT source AS grp, doc_id, least(length(text), 9000) AS n FROM documents), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM p)
-      SELECT grp, doc_id, CAST(CASE WHEN bef >= 26000 THEN 0 ELSE least(n, 26000 - bef) END AS BIGINT) AS size, CASE WHEN bef >= 26000 THEN 'over the total' ELSE '' END AS reason FROM b""",
+    "capped_bundle": f"{BUNDLE} SELECT grp, doc_id, CAST(CASE WHEN t IS NULL OR bef >= 26000 THEN 0 ELSE length(left(t, 26000 - bef)) END AS INT) AS size, CASE WHEN bef >= 26000 THEN 'over the total' WHEN t IS NULL THEN 'no text' ELSE '' END AS reason FROM b",
+    "bundle_text": f"{BUNDLE} SELECT grp, md5(left(string_agg(t, '' ORDER BY doc_id), 26000)) AS bundle FROM b WHERE bef < 26000 AND t IS NOT NULL GROUP BY 1",
     "manifest_summary": f"""WITH {MANIFEST} SELECT grp, route, count(*) AS files, CAST(sum(coalesce(pages, 1)) AS BIGINT) AS pages, CAST(sum(size) AS BIGINT) AS bytes,
       round(sum(CAST(CASE WHEN route = 'ocr' THEN coalesce(pages, 1) * 2.8 WHEN route = 'pdf' THEN 8.9 ELSE 0.0 END AS DOUBLE)), 1) AS seconds FROM m GROUP BY 1, 2""",
     "oversize_split": f"""WITH {MANIFEST} SELECT name, route = 'ocr' AND coalesce(pages, 1) > 10 AS declined, CASE WHEN route = 'ocr' AND coalesce(pages, 1) > 10 THEN pages || ' pages, over 10' ELSE '' END AS reason FROM m""",
@@ -245,9 +257,9 @@ ORACLES = {
     "split_pages": r"""WITH c AS (SELECT doc_id, regexp_replace(text, '[<>\n]', ' ', 'g') AS t FROM documents), h AS (SELECT *, CAST(floor(length(t) / 2) AS BIGINT) AS half FROM c)
       SELECT doc_id, CAST(1 AS INT) AS page, trim(CASE WHEN doc_id % 4 = 0 THEN t ELSE left(t, half) END) AS text FROM h UNION ALL SELECT doc_id, CAST(2 AS INT), trim(substr(t, half + 1)) FROM h WHERE doc_id % 4 <> 0""",
     "lift_tables": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(0 AS INT) AS table_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, t AS text, t = '' AS is_empty FROM orders,
-      LATERAL (VALUES (0, 0, 'Priority'), (0, 1, 'Priority'), (0, 2, '&'), (1, 0, o_orderpriority), (1, 1, o_orderstatus), (1, 2, '')) AS v(r, c, t)""",
+      LATERAL (VALUES (0, 0, 'Priority'), (0, 1, 'Priority'), (0, 2, 'café &—'), (1, 0, o_orderpriority), (1, 1, o_orderstatus), (1, 2, '')) AS v(r, c, t)""",
     "collapse_runs": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(0 AS INT) AS table_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, t AS text, false AS is_empty FROM orders,
-      LATERAL (VALUES (0, 0, 'Priority'), (0, 2, '&'), (1, 0, o_orderpriority), (1, 1, o_orderstatus)) AS v(r, c, t)""",
+      LATERAL (VALUES (0, 0, 'Priority'), (0, 2, 'café &—'), (1, 0, o_orderpriority), (1, 1, o_orderstatus)) AS v(r, c, t)""",
     "merged_table_filter": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(0 AS INT) AS table_no,
       CAST(1 + CASE WHEN o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS DOUBLE) / 6 AS empty, o_orderkey % 3 = 0 AS crowded, o_orderkey % 3 = 0 OR o_orderkey % 4 = 0 AS merged FROM orders""",
     "page_range_filter": "SELECT CAST(substr(source, 4) AS BIGINT) AS doc_id, CAST(doc_id AS INT) AS page FROM documents WHERE doc_id BETWEEN 1 AND 30 OR doc_id = 77 OR doc_id >= 900",
@@ -257,11 +269,11 @@ ORACLES = {
     "select_under_budget": f"WITH RECURSIVE {CHUNKS}, {rated('(SELECT source AS grp, doc_id, chunk_no, chunk FROM chunks JOIN documents USING (doc_id))')}, {greedy('a', 'units', 2, 40000)} SELECT grp, doc_id, chunk_no, size, score FROM a_taken",
     "second_pass": f"WITH RECURSIVE {rated('(SELECT source AS grp, doc_id, CAST(0 AS INT) AS chunk_no, text AS chunk FROM documents)')}, {greedy('a', 'units', 1, 20000)}, "
     f"rest AS MATERIALIZED (SELECT * FROM units WHERE (grp, doc_id) NOT IN (SELECT grp, doc_id FROM a_taken) AND grp IN (SELECT source FROM documents WHERE doc_id % 3 = 0)), {greedy('b', 'rest', 1, 30000)} SELECT grp, doc_id, chunk_no, size, score FROM b_taken",
-    "question_pages": RANK.replace("WITH p AS", "WITH RECURSIVE p AS") + """, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY NOT named, CASE WHEN named THEN 0 ELSE -score END, page) AS i FROM k WHERE size > 0),
-      w AS (SELECT DISTINCT grp, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS took, CAST(0 AS INT) AS page FROM o UNION ALL
-        SELECT w.grp, o.i, w.used + CASE WHEN o.size + 40 <= 12000 - w.used THEN o.size + 40 WHEN o.named AND w.used < 12000 THEN least(o.size, greatest(0, 12000 - w.used - 80)) + 69 ELSE 0 END,
-          CASE WHEN o.size + 40 <= 12000 - w.used THEN o.size WHEN o.named AND w.used < 12000 THEN least(o.size, greatest(0, 12000 - w.used - 80)) + 29 END, o.page FROM w JOIN o ON o.grp = w.grp AND o.i = w.i + 1)
-      SELECT grp, CAST(page AS BIGINT) AS page, CAST(took AS INT) AS size FROM w WHERE took IS NOT NULL""",
+    "question_pages": f"""WITH RECURSIVE {RANK}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id, grp ORDER BY NOT named, CASE WHEN named THEN 0 ELSE -score END, page, part) AS i FROM k WHERE size > 0),
+      w AS (SELECT DISTINCT question_id, grp, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS took, CAST(0 AS INT) AS page, CAST(0 AS INT) AS part FROM o UNION ALL
+        SELECT w.question_id, w.grp, o.i, w.used + CASE WHEN o.size + 40 <= 12000 - w.used THEN o.size + 40 WHEN o.named AND w.used < 12000 THEN least(o.size, greatest(0, 12000 - w.used - 80)) + 67 ELSE 0 END,
+          CASE WHEN o.size + 40 <= 12000 - w.used THEN o.size WHEN o.named AND w.used < 12000 THEN least(o.size, greatest(0, 12000 - w.used - 80)) + 27 END, o.page, o.part FROM w JOIN o ON o.question_id = w.question_id AND o.grp = w.grp AND o.i = w.i + 1)
+      SELECT question_id, grp, CAST(page AS BIGINT) AS page, part, CAST(took AS INT) AS size FROM w WHERE took IS NOT NULL""",
     "score_pages": "SELECT doc_id, round(CAST(" + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN {w} ELSE 0 END" for p, w in retrieve.PAGE_WEIGHTS) + " + k * 2.0 + CASE WHEN k > 0 AND f > 0 THEN least(f, 8) * 1.2 WHEN k > 0 THEN -3.0 ELSE 0 END AS DOUBLE), 4) AS score FROM (SELECT doc_id, text, "
     + " + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INT)" for p in retrieve.FIELD_HINTS) + " AS k, " + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in retrieve.PAGE_FIGURES) + " AS f FROM documents)",
     "page_route": """SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS INT) AS alnum, CAST(len(regexp_extract_all(text, 'ou')) AS INT) AS cid, (doc_id % 10) / 10 AS image_cover,
@@ -269,7 +281,7 @@ ORACLES = {
     "html_to_text": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
       p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM b)
       SELECT page_id, CAST(i - 1 AS INT) AS par_no, ps[i] AS text FROM p, unnest(range(1, len(ps) + 1)) AS u(i)""",
-    "keyword_rank": RANK + " SELECT grp, page, size, named, score FROM k",
+    "keyword_rank": f"WITH {RANK} SELECT question_id, grp, page, part, size, named, score FROM k",
     "search_terms": r"""WITH w AS (SELECT doc_id AS ord, list_filter(regexp_split_to_array(lower(regexp_replace(left(text, 300), '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains(""" + str(sorted(retrieve.STOP)) + r""", x)) AS ws FROM documents)
       SELECT ord, coalesce(array_to_string(list_transform(list_filter(list_transform(range(1, len(ws) + 1), lambda i: {'i': i, 'w': ws[i]}), lambda e: list_position(ws, e.w) = e.i), lambda e: e.w), ' '), '') AS words FROM w""",
     "figure_weight": f"""SELECT round(avg(CAST(regexp_matches(CASE WHEN p_partkey % 3 = 0 THEN p_name || ' Rate' ELSE p_name END, '(?i){retrieve.NUMERIC_HINT}') AS INT)) * 0.8, 6) AS figure_weight FROM part""",
@@ -285,7 +297,7 @@ ORACLES = {
         ['pdf', 'table', '', '', 'doc', 'table', 'needs_ocr', 'text', 'needs_ocr', 'unsupported', 'unsupported'][k % 11 + 1] AS route, CASE WHEN k % 11 IN (6, 8) THEN 'an image, and OCR is off' ELSE '' END AS note
       FROM o WHERE k % 6 < 2 AND k % 11 NOT IN (2, 3)""",
     "line_item_filter": """SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 WHEN 0 THEN 'Rent' WHEN 6 THEN '* note' ELSE 'Monthly rent' END AS label FROM orders WHERE o_orderkey % 8 IN (0, 5, 6) AND o_orderkey % 3 > 0""",
-    "normalise_transcripts": r"""SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(n AS INT) AS line_no, CASE n WHEN 1 THEN 'Total' || chr(9) || '$' || o_custkey WHEN 2 THEN o_orderpriority || '  end' ELSE ' last A&lt;' END AS text FROM orders, (VALUES (1), (2), (3)) AS v(n)""",
+    "normalise_transcripts": r"""SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(n AS INT) AS line_no, CASE n WHEN 1 THEN 'Total' || chr(9) || '$' || o_custkey WHEN 2 THEN o_orderpriority || '  end' ELSE ' last A&lt;é© ¬it;–&nosuch;' END AS text FROM orders, (VALUES (1), (2), (3)) AS v(n)""",
     "nested_tables": """SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(t AS INT) AS table_no, CAST(r AS INT) AS row_no, CAST(c AS INT) AS col_no, x AS text, x = '' AS is_empty FROM orders,
       LATERAL (VALUES (0, 0, 0, 'a'), (0, 0, 1, 'b c'), (0, 1, 0, 'd e'), (1, 0, 0, CAST(o_orderkey AS VARCHAR)), (1, 0, 1, ''), (1, 1, 0, 'x é y'), (2, 0, 0, 'z')) AS v(t, r, c, x)""",
     "redaction_report": r"""WITH a AS (SELECT len(regexp_extract_all(text, '(?i)All rights reserved')) AS h1, regexp_replace(text, '(?i)All rights reserved', '[z]', 'g') AS t FROM documents),

@@ -61,7 +61,7 @@ def test_odd_shape_is_marked(spark):
 
 def test_chunks_close_when_full(spark):
     docs = spark.createDataFrame([(1, "aaaa\n\nbbbb\n\ncc"), (2, "")], "doc_id long, text string")
-    assert [r.chunk for r in retrieve.chunk_paragraphs(docs, 6).orderBy("chunk_no").collect()] == ["aaaa\n\nbbbb", "cc"]
+    assert [r.chunk for r in retrieve.chunk_paragraphs(docs, 6).orderBy("chunk_no").collect()] == ["aaaa\nbbbb", "cc"] and [r.label for r in retrieve.chunk_paragraphs(docs, 6).orderBy("chunk_no").collect()] == ["part 1-2", "part 3-3"]
 
 
 def test_budget_passes_over_what_does_not_fit(spark):

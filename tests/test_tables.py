@@ -1,6 +1,7 @@
 """Bands, grids, totals, labels and streams on hand-made rows, the odd cases above all."""
 
 import hashlib
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,9 +135,16 @@ def test_page_ranges_pass_over_what_names_no_page(spark):
     assert corpus.page_range_filter(pages, "x").count() == 0 and corpus.page_range_filter(pages, " ").count() == 9
 
 
-def test_references_are_decoded_once(spark):
-    text = "&#36;5 &#xe9;&#128512; &amp;lt; &#0; &#55296; &nbsp;x &#99999999;"
-    assert spark.createDataFrame([(text,)], "t string").select(corpus.decode_entities(F.col("t")).alias("t")).first().t == "$5 é😀 &lt; &#0; &#55296;  x &#99999999;"
+REFERENCES = [
+    "&#36;5 &#xe9;&#128512; &amp;lt; &#0; &#55296; &nbsp;x &#99999999;", "caf&eacute; &copy; &mdash; &copy2 &notit; &notin; &nosuch; & && &; &#; &#x; &#xZ", "&#150;&#x80;&#129;&#1;&#11;&#65535;", "&lt&gt&LT;&ampx;&AMP",
+    "&#0000000000065; &CounterClockwiseContourIntegral; &thetasym;&Auml", "&quot;a&quot; &apos;b&apos;", "no reference", "", "&frac12;&frac12x &a b;&eacute", "&NotEqualTilde;",
+]
+
+
+def test_references_are_decoded_as_browsers_read_them(spark):
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(REFERENCES)], "n int, t string")
+    got = {r.n: r.t for r in rows.select("n", corpus.decode_entities(F.col("t")).alias("t")).collect()}
+    assert got == {n: html.unescape(t) for n, t in enumerate(REFERENCES)}
 
 
 def test_legibility_counts_words_by_kind(spark):
@@ -201,12 +209,15 @@ def test_request_as_table(spark):
 
 
 def test_replies_of_every_kind(spark):
-    replies = [(1, '```json\n{"a": 1, "b": [1, 2]}\n```'), (2, 'x [ {"a": "é"} ] y'), (3, None), (4, "[]"), (5, '{"a": {"k": 1.50}}')]
+    odd = [(6, '{"a": "x"} trailing [1]'), (7, '[{"a": 1, "a": 2}]'), (8, '[{"n": 1.50, "t": true, "z": null, "l": [1.0, "x"]}, 3, "s"]'), (9, 'say "[no]" then [{"a": "]"}] and [x]'), (10, '"text"'), (11, "[{]")]
+    replies = [*odd, (1, '```json\n{"a": 1, "b": [1, 2]}\n```'), (2, 'x [ {"a": "é"} ] y'), (3, None), (4, "[]"), (5, '{"a": {"k": 1.50}}')]
     got = {}
     for r in review.parse_replies(spark.createDataFrame(replies, "doc_id long, reply string")).collect():
         got.setdefault(r.doc_id, []).append((r.cells, r.error))
     assert got[1] == [({"a": "1", "b": "[1,2]"}, "")] and got[2] == [({"a": "é"}, "")] and got[3] == [(None, "not readable")] and 4 not in got
-    assert got[5][0][0] == {"a": '{"k":1.5}'} or got[5][0][0] == {"a": '{"k":1.50}'}
+    assert got[5] == [({"a": '{"k":1.50}'}, "")] and 6 not in got and got[7] == [({"a": "2"}, "")]
+    assert got[8] == [({"n": "1.50", "t": "true", "z": None, "l": '[1.0,"x"]'}, "")]
+    assert {k: got[k] for k in (9, 10, 11)} == dict.fromkeys((9, 10, 11), [(None, "not readable")])
 
 
 def test_provenance(spark, tmp_path):
@@ -270,3 +281,31 @@ def test_empty_tables(spark):
     tok = spark.createDataFrame([], "doc_id long, page int, text string, x0 double, x1 double, top double, row_id long")
     assert tables.read_tables(tok).count() == 0 and layout.visual_rows(tok.drop("row_id")).count() == 0
     assert labels.graded_fields(spark.createDataFrame([], "doc_id long, page int, line_no int, text string"), ["Due date"]).count() == 0
+
+
+def test_indent_rounds_halves_to_even(spark):
+    x0 = [58.5, 58.5, 58.0, 58.0, 58.0, 59.0, 59.0]
+    rows = spark.createDataFrame([(1, 1, float(k), x, "a", ["1"]) for k, x in enumerate(x0)], "doc_id long, page int, y double, x0 double, label string, values array<string>")
+    assert checks.dominant_indent(rows).first().item_x0 == 58.0 and checks.with_indents(rows).first().item_x0 == 58.0
+
+
+def test_grid_is_scored_again_with_its_star_rows(spark):
+    rows = [HEAD, *[[n, "1", "2", "3", "4"] for n in grid.CORE_ROWS]]
+    star = [[n, "1", "2", "3", "4"] for n in grid.STAR_ROWS]
+    own = grid_cells(spark, [("f", 1, 0, "lines", rows), ("f", 1, 1, "lines", star), ("g", 3, 0, "lines", [["a", "b"], ["c", "d"]])])
+    found = grid.find_grid(own)
+    assert {r.file: (r.score, r.page, r.core) for r in found.collect()} == {"f": (0.85, 1, 10), "g": (0.0, 3, 0)}
+    again = grid.merged_scores(own, found)
+    assert {r.file: (r.score, r.star) for r in again.collect()} == {"f": (1.0, 2), "g": (0.0, 0)}
+    files = spark.createDataFrame([("f", 1, 1, 1, None), ("g", 3, 3, 1, None), ("h", 1, 1, 1, None)], "file string, n_pages int, text_pages int, guide_pages int, error string")
+    out = grid.grid_outcome(files, again, grid.shape_grid(grid.grid_continuation(own, found), again))
+    assert {r.file: (r.status, r.page, r.score, r.note) for r in out.collect()} == {
+        "f": ("found", 1, 1.0, ""), "g": ("not_found", 3, 0.0, "closest table has 0 of 10 rows"), "h": ("not_found", None, None, "no table on these pages"),
+    }
+
+
+def test_coverage_is_by_type(spark):
+    own = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "x"), ("c", "z")], "doc_type string, field string")
+    known = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "doc_type string, field string")
+    got = mapping.field_coverage(own.unionByName(own.filter("doc_type = 'a'").withColumn("doc_type", F.lit("new"))), known).collect()
+    assert {(r.doc_type, r.field, r.problem) for r in got} == {("a", "y", "unknown field"), ("c", "x", "unknown field"), ("c", "z", "unknown field"), ("new", None, "unknown type")}
