@@ -2,33 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from tablewright.functions.shared import new_path
 from tablewright.plans.document_queries import FIELDS, GRADED
 from tablewright.sources.derived import statement_lines, table
 from tablewright.streaming import jobs
+from tablewright.streaming.landing import LandingTable
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors share one; only a local session without it takes its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def arriving(parts: list[DataFrame], at: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Parts arrive one after the other, each in as many files as tasks write; the stream stops after each and goes on from its checkpoint."""
+    spark = parts[0].sparkSession
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{at}/in/part={k}")
+        start(spark.readStream.schema(parts[0].schema).parquet(f"{at}/in/part=*")).awaitTermination()
 
 
-def arriving(parts: list[DataFrame], at: str) -> DataFrame:
-    """A stream over parts that were written one after the other, one batch for each at least."""
-    for k, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in/part={k}")
-    spark = parts[0].sparkSession
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/part=*")
+def landed(parts: list[DataFrame], at: str, job: Callable[[DataFrame], DataFrame], mode: str = "append") -> LandingTable:
+    arriving(parts, at, lambda stream: jobs.run_to_table(job(stream), f"{at}/out", f"{at}/ck", mode))
+    return LandingTable(parts[0].sparkSession, f"{at}/out")
 
 
 def events(spark, sf):
@@ -42,9 +39,7 @@ def events(spark, sf):
 
 
 def progress(spark, sf):
-    at = folder(spark, "progress")
-    jobs.run_to_table(jobs.progress(arriving(events(spark, sf), at)), f"{at}/out", f"{at}/ck").awaitTermination()
-    return plain_times(spark.read.parquet(f"{at}/out").drop("batch"))
+    return plain_times(landed(events(spark, sf), new_path(spark, "progress"), jobs.progress).read().drop("batch"))
 
 
 def plain_times(df):
@@ -52,48 +47,36 @@ def plain_times(df):
 
 
 def sessions(spark, sf):
-    at = folder(spark, "sessions")
-    jobs.run_to_table(jobs.idle_sessions(arriving(events(spark, sf), at)), f"{at}/out", f"{at}/ck").awaitTermination()
-    return plain_times(spark.read.parquet(f"{at}/out").drop("batch"))
+    return plain_times(landed(events(spark, sf), new_path(spark, "sessions"), jobs.idle_sessions, "update").read().drop("batch"))
 
 
 def scoreboard(spark, sf):
-    """Updates of each batch; the last of each user holds."""
-    at = folder(spark, "scoreboard")
-    jobs.run_to_table(jobs.scoreboard(arriving(events(spark, sf), at)), f"{at}/out", f"{at}/ck", "complete").awaitTermination()
-    return spark.read.parquet(f"{at}/out").drop("batch")
+    """Updates of each batch; the last of each user holds, before and after they are brought together."""
+    out = landed(events(spark, sf), new_path(spark, "scoreboard"), jobs.scoreboard, "update")
+    out.compact("user_id")
+    return out.latest("user_id")
 
 
 def incremental(spark, sf):
-    """Rows persisted as they land, over two runs: the second starts anew from the checkpoint when more has come."""
-    at = folder(spark, "rows")
-    first, *rest = events(spark, sf)
-    stream = arriving([first], at)
-    out = lambda s: s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
-    jobs.run_to_table(out(stream), f"{at}/out", f"{at}/ck", "complete").awaitTermination()
-    for k, part in enumerate(rest, 1):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in/part={k}")
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/part=*")
-    jobs.run_to_table(out(stream), f"{at}/out", f"{at}/ck", "complete").awaitTermination()
-    return spark.read.parquet(f"{at}/out").drop("batch")
+    """Totals kept whole: each batch replaces the table of the one before."""
+    totals = lambda s: s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+    return landed(events(spark, sf), new_path(spark, "rows"), totals, "complete").read().drop("batch")
 
 
 def search(spark, sf):
     """Statements arriving as pages, a third of them twice."""
-    at = folder(spark, "search")
+    at = new_path(spark, "search")
     rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     pages = statement_lines(spark, sf).groupBy("doc_id", "page").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
     pages = pages.withColumn("ts", F.timestamp_seconds(F.col("doc_id") % 3600 + 1))
     parts = [pages.filter("doc_id % 3 < 2"), pages.filter("doc_id % 3 > 0")]
-    jobs.field_search(arriving(parts, at), FIELDS, f"{at}/out", f"{at}/ck").awaitTermination()
-    return spark.read.parquet(f"{at}/out").drop("batch")
+    arriving(parts, at, lambda stream: jobs.field_search(stream, FIELDS, f"{at}/out", f"{at}/ck"))
+    return LandingTable(spark, f"{at}/out").read().drop("batch")
 
 
 def retention(spark, sf):
-    at = folder(spark, "retention")
     parts = [p.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("busy")) for p in events(spark, sf)]
-    jobs.retention(arriving(parts, at), 10, f"{at}/kept", f"{at}/ck").awaitTermination()
-    return jobs.kept_version(spark, f"{at}/kept")
+    return jobs.kept(landed(parts, new_path(spark, "retention"), lambda s: jobs.retention(s, 10), "update"), 10)
 
 
 QUERIES = {

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import vocabulary as v
 from tablewright.operators import checks, corpus, labels, layout, mapping, records, retrieve
-from tablewright.streaming import jobs
 
 
 def one(spark, column, text):
@@ -129,13 +128,3 @@ def test_labels_match_by_tier(spark):
 def test_records_open_at_heads(spark):
     rows = rows_of(spark, [(1, 1, float(k), x, lab, val) for k, (x, lab, val) in enumerate([(59.0, "A", ["1"]), (70.0, "", ["2"]), (59.0, "B", ["3"]), (59.0, "note", [""])])])
     assert [r.record_id for r in records.assemble_records(records.row_kind(rows)).orderBy("y").collect()] == [1, 1, 2, 2]
-
-
-def test_streams_write_what_a_batch_would(spark, tmp_path):
-    rows = [(i, i % 3, "a" if i % 2 else "b", float(i), 60 * i) for i in range(40)]
-    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    events.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    jobs.run_to_table(jobs.scoreboard(stream), str(tmp_path / "out"), str(tmp_path / "ck"), "complete").awaitTermination()
-    got = {(r.user_id, r.applied) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(r.user_id, r.applied) for r in jobs.scoreboard(events).collect()} == {(0, 14), (1, 13), (2, 13)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import checks, corpus, grid, labels, layout, mapping, records, retrieve, review, tables
 from tablewright.streaming import jobs
+from tablewright.streaming.landing import LandingTable
 
 
 def rows_of(spark, rows):
@@ -258,23 +259,13 @@ def test_stream_drops_late_rows_and_goes_on_after_a_restart(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
         jobs.run_to_table(jobs.progress(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-        return sorted((r.event_type, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        return sorted((r.event_type, r.n) for r in LandingTable(spark, str(tmp_path / "out")).read().collect())
 
     assert run() == [("a", 1), ("a", 1)]
     part(2, [(20, "a", 5.0), (40000, "c", 1.0)])  # twenty seconds is far below the watermark
     assert run() == [("a", 1), ("a", 1), ("b", 1)]
 
 
-def test_retention_spares_the_busy(spark, tmp_path):
-    rows = [[(1, 1, True), (2, 2, False), (3, 3, False)], [(4, 4, False), (2, 5, False)], [(1, 6, False), (5, 7, False)]]
-    for k, part in enumerate(rows):
-        spark.createDataFrame(part, "entity long, seq long, busy boolean").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
-    stream = spark.readStream.schema("entity long, seq long, busy boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
-    jobs.retention(stream, 2, str(tmp_path / "kept"), str(tmp_path / "ck")).awaitTermination()
-    kept = lambda k=None: {r.entity for r in jobs.kept_version(spark, str(tmp_path / "kept"), k).collect()}
-    assert kept(1) == {1, 2, 3} and kept(2) == {1, 2, 4} and kept() == {1, 5} and jobs.kept_version(spark, str(tmp_path / "none")) is None
-
-
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, page int, y double, x0 double, label string, values array<string>")
     assert checks.run_checks(none, 2).count() == 0 and records.row_kind(none).count() == 0
