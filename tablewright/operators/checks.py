@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tablewright.functions.vocabulary import parse_figure, value_kind
@@ -74,71 +78,109 @@ def section_totals(rows: DataFrame, col: int | None = None, near: float = 2.0) -
 TOTAL_LABEL = r"(?i)^\s*(grand\s+)?(sub)?\s*totals?\b|^\s*top\s+\d+\b|\btotals?\s*$"
 
 
-def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
-    """A row for each total of each column: what it prints, the n rows it covers (those since the last total, which stands in
-    for what it covers itself), and every method's value over these: sum, average, weighted average, ratio of two columns."""
-    nums = F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda i: parse_figure(F.get("values", i)))
-    own = rows.select("doc_id", "page", "y", "label", nums.alias("nums"), F.coalesce(F.col("label").rlike(TOTAL_LABEL), F.lit(False)).alias("is_total"))
-    own = own.withColumn("c", F.explode(F.filter(F.transform("nums", lambda v, i: F.struct(i.alias("col"), v.alias("v"))), lambda c: c["v"].isNotNull()))).select("*", "c.*").drop("c")
-    w = Window.partitionBy("doc_id", "col").orderBy("page", "y").rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("bucket", F.coalesce(F.sum(F.col("is_total").cast("long")).over(w), F.lit(0)))
-    # a total ends its own segment and is a member of the next one
-    roles = F.when(F.col("is_total"), F.array(F.struct(F.lit(0).alias("later"), F.lit(False).alias("member")), F.struct(F.lit(1).alias("later"), F.lit(True).alias("member"))))
-    roles = roles.otherwise(F.array(F.struct(F.lit(0).alias("later"), F.lit(True).alias("member"))))
-    own = own.withColumn("r", F.explode(roles)).withColumn("bucket", F.col("bucket") + F.col("r.later")).withColumn("member", F.col("r.member"))
-    mine = lambda c: F.when(F.col("member"), c)
-    num = lambda x: F.get("nums", F.lit(x))
-    sums = [F.sum(mine(num(x))).alias(f"s{x}") for x in range(n_columns)] + [F.count(mine(num(x))).alias(f"k{x}") for x in range(n_columns)]
-    sums += [F.sum(mine(num(x) * F.col("v"))).alias(f"p{x}") for x in range(n_columns)]
-    last = F.max(F.when(~F.col("member"), F.struct("page", "y", "label", "v"))).alias("t")
-    seg = own.groupBy("doc_id", "col", "bucket").agg(F.sum(mine(F.col("v"))).alias("s"), F.count(mine(F.col("v"))).alias("n"), last, *sums)
-    seg = seg.filter("t IS NOT NULL AND n > 0")
-    d = lambda c: F.col(c).cast("double")
-    value = lambda name, rank, v, ok: F.when(ok & v.isNotNull(), F.struct(F.lit(name).alias("method"), F.lit(rank).alias("rank"), v.cast("decimal(18,4)").alias("value")))
-    over = lambda a, b: F.round(F.try_divide(a, b), 4)
-    found = [value("sum", 0, F.round("s", 2), F.lit(True)), value("average", 1, over(d("s"), d("n")), F.lit(True))]
-    for x in range(n_columns):
-        found.append(value(f"average weighted by column {x + 1}", 2, over(d(f"p{x}"), d(f"s{x}")), (F.col("col") != x) & (F.col(f"k{x}") == F.col("n")) & (F.col(f"s{x}") != 0)))
-        for y in range(n_columns):
-            full = (F.col(f"k{x}") == F.col("n")) & (F.col(f"k{y}") == F.col("n")) & (F.col(f"s{y}") != 0)
-            if x != y:
-                found.append(value(f"column {x + 1} total over column {y + 1} total", 3, over(d(f"s{x}"), d(f"s{y}")), ~F.col("col").isin(x, y) & full))
-    return seg.select("doc_id", "col", "t.page", "t.y", "t.label", F.col("t.v").alias("expected"), "n", F.filter(F.array(*found), lambda h: h.isNotNull()).alias("methods"))
-
-
-def reconciles(method: Column, value: Column, printed: Column, n: Column) -> Column:
+#: Figures are whole numbers of ten-thousandths here, so that sums and products are exact.
+UNIT = 10_000
+
+
+def rounded(ratio: float) -> int:
+    """A ratio to four places, halves away from zero by its shortest decimal form, in units."""
+    near = abs(ratio) * UNIT
+    if abs(near % 1 - 0.5) > 1e-3 and near < 1e12:  # far from a half, where the binary form can't tip it
+        return round(near) if ratio >= 0 else -round(near)
+    return int(Decimal(repr(ratio)).quantize(Decimal("0.0001"), ROUND_HALF_UP) * UNIT)
+
+
+def methods_of(members: list[list[int | None]], col: int) -> dict[tuple[int, str], int]:
+    """(rank, method) to value of the rows that a total of a column covers, read from their moments: sums and counts of each
+    column, and sums of its products with the total's own. A column with a gap weighs and divides nothing."""
+    width, n = len(members[0]), len(members)
+    whole = [x for x in range(width) if x != col and all(m[x] is not None for m in members)]
+    sums = {x: sum(m[x] for m in members) for x in [*whole, col]}
+    cents, half = divmod(abs(sums[col]), 100)
+    found = {(0, "sum"): (cents + (half >= 50)) * 100 * (1 if sums[col] >= 0 else -1), (1, "average"): rounded(sums[col] / UNIT / n)}
+    for x in whole:
+        if sums[x]:
+            found[2, f"average weighted by column {x + 1}"] = rounded((sum(m[x] * m[col] for m in members) / UNIT**2) / (sums[x] / UNIT))
+    for x in whole:
+        for y in whole:
+            if x != y and sums[y]:
+                found[3, f"column {x + 1} total over column {y + 1} total"] = rounded((sums[x] / UNIT) / (sums[y] / UNIT))
+    return found
+
+
+def reconciles(method: str, value: int, expected: int, n: int) -> bool:
     """A sum is exact but for a cent a row; an average is made of rounded figures."""
-    slack = F.when(method == "sum", F.greatest(F.lit(TOL), F.lit(TOL) * n)).otherwise(F.greatest(F.lit(0.05), F.abs(printed).cast("double") * 0.002))
-    return F.abs(value - printed).cast("double") <= slack
+    slack = max(TOL, TOL * n) if method == "sum" else max(0.05, abs(expected) / UNIT * 0.002)
+    return abs(value - expected) / UNIT <= slack
+
+
+def judged_totals(rows: list[tuple], col: int) -> Iterator[tuple]:
+    """(page, y, label, expected, n, method, votes, used, value, ok) of each total of a column, rows (page, y, label, is_total, nums) in order.
+
+    A total covers the rows since the last one, which stands in for what it covers itself. The column's method is the one
+    with the most rows behind totals that agree with it, simpler ones first, then by name; the sum where none agrees."""
+    segments, members = [], []
+    for page, y, label, is_total, nums in rows:
+        if nums[col] is None:
+            continue
+        if is_total and members:
+            segments.append((page, y, label, nums[col], len(members), methods_of(members, col)))
+        if is_total:
+            members = []
+        members.append(nums)
+    votes: dict[tuple[int, str], int] = {}
+    for *_, expected, n, methods in segments:
+        for key, value in methods.items():
+            if reconciles(key[1], value, expected, n):
+                votes[key] = votes.get(key, 0) + n
+    rank, method = min(votes, key=lambda k: (-votes[k], k)) if votes else (0, "sum")
+    for page, y, label, expected, n, methods in segments:
+        used = method if (rank, method) in methods else "sum"
+        value = methods.get((rank, method), methods[0, "sum"])
+        yield page, y, label, expected, n, method, votes.get((rank, method), 0), used, value, reconciles(used, value, expected, n)
 
 
-def voted(segments: DataFrame) -> DataFrame:
-    """A document's column in one row: its segments, and the method with the most rows behind agreeing totals (v, rank, method)."""
-    own = segments.groupBy("doc_id", "col").agg(F.collect_list(F.struct("page", "y", "label", "expected", "n", "methods")).alias("segments"))
-    fit = lambda s: F.transform(F.filter(s["methods"], lambda m: reconciles(m["method"], m["value"], s["expected"], s["n"])), lambda m: F.struct(m["rank"].alias("rank"), m["method"].alias("method"), s["n"].alias("n")))
-    own = own.withColumn("fits", F.flatten(F.transform("segments", fit)))
-    rows = lambda x: F.aggregate(F.filter("fits", lambda f: f["method"] == x["method"]), F.lit(0).cast("long"), lambda t, f: t + f["n"])
-    named = F.array_distinct(F.transform("fits", lambda f: F.struct(f["rank"].alias("rank"), f["method"].alias("method"))))
-    votes = F.transform(named, lambda x: F.struct((-rows(x)).alias("v"), x["rank"].alias("rank"), x["method"].alias("method")))
-    return own.withColumn("best", F.array_min(votes)).drop("fits")
+def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
+    """V2, V3: a row for each total of each column (see `judged_totals`): what it prints, the n rows it covers, the column's method with its
+    votes, and the value, by the method that could be used, against which it's judged. A document's rows come together once."""
+    nums = F.array(*[(parse_figure(F.get("values", F.lit(i))) * UNIT).cast("long") for i in range(n_columns)])
+    own = rows.select("doc_id", "page", "y", "label", F.coalesce(F.col("label").rlike(TOTAL_LABEL), F.lit(False)).alias("is_total"), nums.alias("nums"))
+    # dealt by document before the rows are brought together, so that figures are read in generated code and not within the aggregate
+    docs = own.repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("page", "y", "label", "is_total", "nums")).alias("rows"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = f"doc_id {kind['doc_id']}, col int, page {kind['page']}, y {kind['y']}, label string, expected long, n long, method string, votes long, used string, value long, ok boolean"
+    fields = T._parse_datatype_string(out)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("rows")
+            parts = [own.flatten().field(k).to_pylist() for k in range(5)] if len(own) else [[]] * 5
+            flat, ends, at, found = list(zip(*parts, strict=True)), own.offsets.to_pylist(), [], []
+            for i in range(batch.num_rows):
+                rows_of = sorted(flat[ends[i] - ends[0] : ends[i + 1] - ends[0]], key=lambda r: r[:2])
+                for col in range(n_columns):
+                    judged = [(col, *r) for r in judged_totals(rows_of, col)]
+                    found += judged
+                    at += [i] * len(judged)
+            columns = zip(*found, strict=True) if found else ([] for _ in fields.names[1:])
+            arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields.fields[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *arrays], fields.names)
+
+    found = docs.mapInArrow(judge, fields)
+    exact = lambda c: F.expr(f"cast(cast({c} as decimal(20,0)) * 0.0001 as decimal(18,4))")
+    return found.withColumns({"expected": exact("expected"), "value": exact("value")})
 
 
 def total_method_vote(segments: DataFrame) -> DataFrame:
-    """V3: per document and column the method that its totals agree on: the most rows behind agreeing totals, simpler methods
-    first, then by name; sum where nothing agrees."""
-    return voted(segments).select("doc_id", "col", F.coalesce("best.method", F.lit("sum")).alias("method"), F.coalesce(-F.col("best.v"), F.lit(0)).alias("votes"))
+    """V3: per document and column the method that its totals agree on, and how many rows stand behind those that do."""
+    return segments.groupBy("doc_id", "col").agg(F.first("method").alias("method"), F.first("votes").alias("votes"))
 
 
 def flat_totals(rows: DataFrame, n_columns: int) -> DataFrame:
     """V2: totals known by their label, each judged by the one method that its column's totals agree on."""
-    own = voted(total_segments(rows, n_columns))
-    own = own.select("doc_id", "col", F.coalesce("best.method", F.lit("sum")).alias("method"), F.explode("segments").alias("s")).select("doc_id", "col", "method", "s.*")
-    chosen = lambda name: F.get(F.filter("methods", lambda m: m["method"] == name), F.lit(0))
-    own = own.withColumn("used", F.coalesce(chosen(F.col("method")), chosen("sum")))
-    ok = reconciles(F.col("used.method"), F.col("used.value"), F.col("expected"), F.col("n"))
-    return own.select(
-        "doc_id", "page", "y", F.lit("table_total").alias("check"), F.concat(F.lit("col"), F.col("col").cast("string")).alias("scope"), "label", "expected", F.col("used.value").alias("got"),
-        F.round(F.col("used.value") - F.col("expected"), 2).cast("decimal(18,2)").alias("diff"), ok.alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" row(s) above it, as "), F.col("used.method")).alias("note"),
+    return total_segments(rows, n_columns).select(
+        "doc_id", "page", "y", F.lit("table_total").alias("check"), F.concat(F.lit("col"), F.col("col").cast("string")).alias("scope"), "label", "expected", F.col("value").alias("got"),
+        F.round(F.col("value") - F.col("expected"), 2).cast("decimal(18,2)").alias("diff"), "ok", F.concat(F.col("n").cast("string"), F.lit(" row(s) above it, as "), F.col("used")).alias("note"),
     )
 
 

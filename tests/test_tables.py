@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,3 +301,48 @@ def test_coverage_is_by_type(spark):
     known = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "doc_type string, field string")
     got = mapping.field_coverage(own.unionByName(own.filter("doc_type = 'a'").withColumn("doc_type", F.lit("new"))), known).collect()
     assert {(r.doc_type, r.field, r.problem) for r in got} == {("a", "y", "unknown field"), ("c", "x", "unknown field"), ("c", "z", "unknown field"), ("new", None, "unknown type")}
+
+
+def test_a_page_in_one_pass_reads_what_the_steps_read(spark):
+    rng = random.Random(5)
+    tokens = []
+    for doc in range(12):
+        top = 0.0
+        for row in range(rng.randrange(3, 25)):
+            top += rng.choice([10.0, 12.0])
+            edges = rng.choice([[300, 420], [300, 420], [300, 420, 500], [250, 600], [470], []])
+            tokens.append((doc, 1, f"Row {row}", 60.0, 90.0, top))
+            tokens += [(doc, 1, f"{row}.{k}0", e - 20.0, e + rng.choice([0.0, 0.0, 2.5, 7.0]), top) for k, e in enumerate(edges)]
+    rows = layout.visual_rows_chain(spark.createDataFrame(tokens, "doc_id long, page int, text string, x0 double, x1 double, top double"))
+    banded = tables.table_regions(rows)
+    binned = layout.bin_values(banded, layout.value_columns(banded), zoned=True)
+    want = {(r.doc_id, r.band, r.row_id, r.col, r.text) for r in binned.collect() if r.col is not None}
+    read = tables.read_tables(rows).collect()
+    assert {(r.doc_id, r.band, r.row_id, c, v) for r in read for c, v in enumerate(r["values"]) if v is not None} == want and len(want) > 100
+    stray = sorted((r.doc_id, r.row_id, r.text) for r in binned.collect() if r.col is None and (r.doc_id, r.band) in {(x.doc_id, x.band) for x in read})
+    assert sorted((r.doc_id, r.row_id, t) for r in read for t in r.unbinned) == stray
+    assert {(r.doc_id, r.band, r.row_id) for r in read} <= {(r.doc_id, r.band, r.row_id) for r in banded.collect()}
+
+
+def test_methods_of_a_total_against_plain_loops():
+    rng = random.Random(8)
+    for _ in range(200):
+        width, n = rng.randrange(1, 5), rng.randrange(1, 6)
+        members = [[rng.choice([None, 0, rng.randrange(-(10**7), 10**7)]) for _ in range(width)] for _ in range(n)]
+        col = rng.randrange(width)
+        for m in members:
+            m[col] = m[col] or 12345
+        got = checks.methods_of(members, col)
+        at = lambda x: [m[x] / 10000 for m in members]
+        whole = [x for x in range(width) if x != col and None not in [m[x] for m in members]]
+        want = {"sum": round(sum(at(col)) + 0.0, 2), "average": sum(at(col)) / n}
+        want |= {f"average weighted by column {x + 1}": sum(a * b for a, b in zip(at(x), at(col), strict=True)) / sum(at(x)) for x in whole if sum(m[x] for m in members)}
+        want |= {f"column {x + 1} total over column {y + 1} total": sum(at(x)) / sum(at(y)) for x in whole for y in whole if x != y and sum(m[y] for m in members)}
+        assert {name for _, name in got} == set(want)
+        assert all(abs(v / 10000 - want[name]) <= (0.0051 if name == "sum" else 6e-5 + 1e-9 * abs(want[name])) for (_, name), v in got.items())
+
+
+def test_many_columns_plan_at_once(spark):
+    rows = rows_of(spark, [("a", [str(k + 1) for k in range(20)]), ("b", [str(2 * k + 1) for k in range(20)]), ("Total", [str(3 * k + 2) for k in range(20)])])
+    got = checks.flat_totals(rows, 20).collect()
+    assert len(got) == 20 and all(r.ok and r.note == "2 row(s) above it, as sum" for r in got)
