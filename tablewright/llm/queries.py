@@ -54,7 +54,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet*")
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parque[t]")  # a stream reads a folder or a pattern; this one fits one name only
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

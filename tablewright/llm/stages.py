@@ -17,13 +17,22 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; lang is the predicted language. It learns from docs' own labels."""
+    """Documents that the classifier doesn't reject; lang is the predicted language. It learns from docs' own labels.
+
+    A null text, or one without letters, is rejected; a null lang teaches nothing. Repeated rows stay each. Without any
+    label all documents are rejected, and an empty table stays empty. Columns besides those of documents are dropped, here
+    and in every stage, whatever their names.
+    """
     out = languages.identify(docs, docs).filter("NOT language.rejected")
     return out.withColumn("lang", F.col("language.lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines, equal texts counted as one page; n_chars follows the text."""
+    """All documents, without their source's boilerplate lines, equal texts counted as one page; n_chars follows the text.
+
+    A null source is a host of its own. A null text stays null with a null n_chars; a text of boilerplate only becomes
+    empty and stays. Repeated rows lose the same lines; an empty table stays empty.
+    """
     out = lines.drop_boilerplate_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -40,7 +49,11 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the copy that a source takes in part ends with its last taken word."""
+    """Each document as often as the mix takes it; the copy that a source takes in part ends with its last taken word.
+
+    A document without words has nothing to weigh and stays once. A null source is a source of its own, the last. Repeated
+    rows are drawn each by itself; an empty table stays empty.
+    """
     out = mix.mix_sources(docs, keep=["text", "lang", "n_chars"])
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
@@ -51,5 +64,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences that hold all documents."""
+    """The pieces of the sequences that hold all documents.
+
+    A null text is empty: one piece with the id that ends a document. Repeated rows and rows without doc_id are packed each;
+    an empty table gives no pieces.
+    """
     return packs.pack_documents(docs, public_tokenizers.path(TOKENIZER))
