@@ -408,20 +408,28 @@ def aging_buckets(rows: DataFrame, printed: DataFrame) -> DataFrame:
 
 
 def ground_by_parts(values: DataFrame, sources: DataFrame) -> DataFrame:
-    """A value of three digits or more is grounded if its digits occur among the source's, else if half its name parts do."""
+    """A value of three digits or more is grounded if its digits occur among the source's, else if half its name parts do. A
+    document's values come to its text in one row, so that a text is shuffled once whatever the number of values."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-z]", "")
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     v = F.trim(F.coalesce("value", F.lit("")))
+    parts = F.transform(F.filter(F.split(v, r"[\s,&]+"), lambda p: F.length(p) > 2), plain)
+    own = values.select("doc_id", F.struct("field", "value", plain(v).alias("plain"), digits(v).alias("digits"), parts.alias("parts"), (v == "").alias("blank")).alias("v"))
+    own = own.groupBy("doc_id").agg(F.collect_list("v").alias("vs"))
     src = sources.select("doc_id", plain(F.col("text")).alias("src"), digits(F.col("text")).alias("src_digits"))
-    own = values.join(src, "doc_id", "left").withColumn("parts", F.filter(F.split(v, r"[\s,&]+"), lambda p: F.length(p) > 2))
-    hits = F.size(F.filter("parts", lambda p: F.col("src").contains(plain(p))))
-    ok = (
-        F.when(v == "", True)
-        .when(F.length(digits(v)) >= 3, F.col("src_digits").contains(digits(v)))
-        .when(F.size("parts") > 0, hits >= F.greatest(F.lit(1), F.floor(F.size("parts") / 2)))
-        .otherwise(F.col("src").contains(plain(v)))
-    )
-    return own.select("doc_id", "field", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
+    text = F.col("src")
+
+    def grounded(x: Column) -> Column:
+        hits = F.size(F.filter(x["parts"], lambda p: text.contains(p)))
+        return (
+            F.when(x["blank"], True)
+            .when(F.length(x["digits"]) >= 3, F.col("src_digits").contains(x["digits"]))
+            .when(F.size(x["parts"]) > 0, hits >= F.greatest(F.lit(1), F.floor(F.size(x["parts"]) / 2)))
+            .otherwise(text.contains(x["plain"]))
+        )
+
+    judged = F.transform("vs", lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.coalesce(grounded(x), F.lit(False)).alias("ok")))
+    return own.join(src, "doc_id", "left").select("doc_id", F.explode(judged).alias("j")).select("doc_id", "j.*")
 
 
 def required_fields(cells: DataFrame, required: list[str], free_layout: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 from decimal import Decimal
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import vocabulary as v
-from tablewright.operators import checks, mapping, records
+from tablewright.operators import checks, mapping, records, retrieve
 from tablewright.plans import record_queries, review_queries, stream_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,19 @@ def test_misspelt_label_without_a_word_in_common(spark):
     assert got["Nett Incomes"] == ("fuzzy", "Net Income") and got["Net Incone"] == ("fuzzy", "Net Income") and got["--"][0] == "weak"
     best = {r.label: r.canonical for r in mapping.label_candidates(rows, names, 1).collect()}
     assert best.pop("--") and best == {"Receivable": "Receivables", "Recievables": "Receivables", "Nett Incomes": "Net Income", "Net Incone": "Net Income"}
+
+
+def test_entities_are_scored_by_what_a_chunk_mentions(spark):
+    texts = ["ACME suite 0012", "acmeish, 12a", "the Élan-Bar 7", "Bar 007 and 12", "sub_acme 1207", None, "o'neil 10-B", "O'Neil LLC 010-B."]
+    scored = spark.createDataFrame([("g", n, 0, 1.0, t) for n, t in enumerate(texts)], "grp string, doc_id long, chunk_no int, score double, chunk string")
+    own = [("g", 0, "12", "Acme LLC"), ("g", 1, "007", "lan Bar"), ("g", 2, "10-B", "O'Neil"), ("h", 3, "5", "Acme")]
+    got = {(r.entity, r.doc_id): r.score for r in retrieve.score_for_entity(scored, spark.createDataFrame(own, "grp string, entity int, suite string, names string")).collect()}
+
+    def plain(names, suite, others, text):
+        text = text or ""
+        words = [w for w in re.split(r"[^A-Za-z0-9']+", names) if len(w) > 2 and w.lower() not in ("llc", "the", "dba")]
+        met = sum(bool(re.search(r"\b" + re.escape(w), text, re.I)) for w in words)
+        number = lambda s: bool(re.search(r"\b0*" + re.escape(s.lstrip("0")) + r"\b", text))
+        return 1.0 + 5.0 * min(4, met + number(suite)) - 12.0 * any(number(s) for s in others)
+
+    assert got == {(e, n): plain(names, suite, [s for g, x, s, _ in own if g == "g" and x != e], t) for g, e, suite, names in own if g == "g" for n, t in enumerate(texts)}
