@@ -5,8 +5,9 @@ from __future__ import annotations
 import html.entities
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -149,31 +150,50 @@ def normalise_transcripts(pages: DataFrame) -> DataFrame:
 TABLE_TAG = r"(?is)^<(/?)(table|tr|td|th)\b"
 
 
+def cells_of(text: str) -> dict[tuple[int, int, int], list[str]]:
+    """(table, row, column) to the pieces of text of each cell of a page, in one walk over its tags. How many tables are open at a
+    place says how deep it lies; at each depth the last table, row and cell begun are the ones it belongs to."""
+    cells: dict[tuple[int, int, int], list[str]] = {}
+    opened = closed = 0
+    at_depth: dict[int, list] = {}  # depth to (table, row, column, whether the cell is open) in hand
+    for piece in re.findall(r"(?s)<!--.*?-->|<[^>]*>|[^<]+", text):
+        found = re.match(TABLE_TAG, piece)
+        tag, end = (found[2].lower(), found[1] == "/") if found else ("", False)
+        if tag == "table":
+            opened, closed = opened + (not end), closed + end
+            if not end:
+                at_depth[opened - closed] = [opened - 1, -1, -1, False]
+        here = at_depth.get(opened - closed)
+        if opened <= closed or here is None:
+            continue
+        if tag == "tr" and not end:
+            here[1:] = [here[1] + 1, -1, False]
+        elif tag in ("td", "th") and here[1] >= 0:
+            here[2:] = [here[2] + (not end), not end]
+        if here[1] >= 0 and here[2] >= 0:
+            cells.setdefault((here[0], here[1], here[2]), []).append(piece if here[3] and not piece.startswith("<") else " ")
+    return cells
+
+
 def lift_tables(pages: DataFrame) -> DataFrame:
     """Every cell of every table of a page with its place; empty cells stay, flagged. A table within a cell is a table of
-    its own, numbered where it begins; what the outer cell says before and after it stays in the outer cell.
-
-    The markup is cut into tags and text. How many tables are open at a place says how deep it lies, and at each depth
-    the last table, row and cell begun are the ones it belongs to.
-    """
-    pieces = F.regexp_extract_all("text", F.lit(r"(?s)<!--.*?-->|<[^>]*>|[^<]+"), F.lit(0))
-    own = pages.filter(F.lower("text").contains("<table")).select("doc_id", "page", F.posexplode(pieces).alias("at", "piece"))
-    tag = F.lower(F.regexp_extract("piece", TABLE_TAG, 2))
-    own = own.withColumn("tag", tag).withColumn("end", F.regexp_extract("piece", TABLE_TAG, 1) == "/")
-    page = Window.partitionBy("doc_id", "page").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    opens, closes = (F.col("tag") == "table") & ~F.col("end"), (F.col("tag") == "table") & F.col("end")
-    own = own.withColumn("opened", F.sum(opens.cast("int")).over(page)).withColumn("depth", F.col("opened") - F.sum(closes.cast("int")).over(page))
-    level = Window.partitionBy("doc_id", "page", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("table_no", F.last(F.when(opens, F.col("opened") - 1), ignorenulls=True).over(level)).filter("depth > 0 AND table_no IS NOT NULL")
-    table = Window.partitionBy("doc_id", "page", "table_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("row_no", F.sum(((F.col("tag") == "tr") & ~F.col("end")).cast("int")).over(table) - 1).filter("row_no >= 0")
-    row = Window.partitionBy("doc_id", "page", "table_no", "row_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    cell = F.col("tag").isin("td", "th")
-    own = own.withColumn("col_no", F.sum((cell & ~F.col("end")).cast("int")).over(row) - 1)
-    own = own.withColumn("open", F.last(F.when(cell, ~F.col("end")), ignorenulls=True).over(row)).filter("col_no >= 0")
-    said = F.when(F.col("open") & ~F.col("piece").startswith("<"), F.col("piece")).otherwise(" ")
-    parts = F.array_sort(F.collect_list(F.struct("at", said.alias("t"))))
-    out = own.groupBy("doc_id", "page", "table_no", "row_no", "col_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("raw"))
+    its own, numbered where it begins; what the outer cell says before and after it stays in the outer cell."""
+    own = pages.filter(F.lower("text").contains("<table")).select("doc_id", "page", "text")
+
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, raw = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = cells_of(text)
+                at += [i] * len(found)
+                places += found
+                raw += ["".join(pieces) for pieces in found.values()]
+            numbers = [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else ([], [], []))]
+            keys = [batch.column(k).take(pa.array(at, pa.int32())) for k in ("doc_id", "page")]
+            yield pa.RecordBatch.from_arrays([*keys, *numbers, pa.array(raw, pa.string())], ["doc_id", "page", "table_no", "row_no", "col_no", "raw"])
+
+    keys = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in ("doc_id", "page"))
+    out = own.mapInArrow(lift, f"{keys}, table_no int, row_no int, col_no int, raw string")
     text = F.btrim(F.regexp_replace(decode_entities(F.col("raw")), r"[\s\u00a0]+", " "))
     return out.withColumn("text", text).withColumn("is_empty", F.col("text") == "").drop("raw")
 
