@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import json
+import math
 import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions.vocabulary import fold_words
@@ -186,13 +189,43 @@ def utility_page_totals(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return own.select("doc_id", "page", listed.alias("fields"), (amount & dated).alias("usable"), note.alias("note"), (amount & ~dated).alias("undated"))
 
 
-def centre(box: Column, a: str, b: str) -> Column:
-    return (box[a] + box[b]) / 2
-
+def nearest(hits: list[tuple], anchors: list[tuple], aside: float) -> list[float | None]:
+    """For each hit (x0, y0, x1, y1) how far the nearest anchor is, None without anchors; a hit above or left of an anchor counts
+    `aside` times as far. Anchors lie in order of height, and the search from a hit's height outwards ends where height alone
+    is as far as the best found."""
+    middle = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    ordered = sorted((*middle(a)[::-1], a[0], a[1]) for a in anchors)
+    heights = [a[0] for a in ordered]
+    out: list[float | None] = []
+    for hit in hits:
+        x, y = middle(hit)
+        best, up, down = math.inf, bisect.bisect_left(heights, y) - 1, bisect.bisect_left(heights, y)
+        while up >= 0 or down < len(ordered):
+            above = y - heights[up] if up >= 0 else math.inf
+            below = heights[down] - y if down < len(ordered) else math.inf
+            if min(above, below) >= best:
+                break
+            ay, ax, left, top = ordered[up] if above <= below else ordered[down]
+            up, down = (up - 1, down) if above <= below else (up, down + 1)
+            far = math.sqrt((x - ax) ** 2 + (y - ay) ** 2)
+            best = min(best, far * aside if y < top - 0.005 or x < left - 0.005 else far)
+        out.append(best if ordered else None)
+    return out
+
+
+def with_nearest(rows: DataFrame, aside: float = 1.0) -> DataFrame:
+    """rows (…, hits, anchors: arrays of boxes) with `far`, how far each hit's nearest anchor is."""
+    kind = T.StructType([*[f for f in rows.schema.fields if f.name != "anchors"], T.StructField("far", T.ArrayType(T.DoubleType()))])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = lambda b: (b["x0"], b["y0"], b["x1"], b["y1"])
+        for batch in batches:
+            both = zip(batch.column("hits").to_pylist(), batch.column("anchors").to_pylist(), strict=True)
+            far = [nearest([box(h) for h in hits], [box(a) for a in anchors or ()], aside) for hits, anchors in both]
+            kept = [batch.column(f.name) for f in kind.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(far, pa.list_(pa.float64()))], kind.names)
 
-def apart(b: Column, a: Column) -> Column:
-    dx, dy = centre(b, "x0", "x1") - centre(a, "x0", "x1"), centre(b, "y0", "y1") - centre(a, "y0", "y1")
-    return F.sqrt(dx * dx + dy * dy)
+    return rows.mapInArrow(search, kind)
 
 
 def locate_values(values: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -206,10 +239,9 @@ def locate_values(values: DataFrame, blocks: DataFrame) -> DataFrame:
     own = own.withColumn("hits", F.get(F.filter(holding, lambda h: F.size(h) > 0), F.lit(0))).filter("hits IS NOT NULL")
     label = fold_words(F.coalesce("label", F.lit("")))
     own = own.withColumn("anchors", F.when(F.length(label) >= 3, F.filter("blocks", lambda b: b["t"].contains(label))))
-    side = lambda b, a: F.when((centre(b, "y0", "y1") < a["y0"] - 0.005) | (centre(b, "x0", "x1") < a["x0"] - 0.005), 3.0).otherwise(1.0)
-    far = lambda b: F.coalesce(F.array_min(F.transform("anchors", lambda a: apart(b, a) * side(b, a))), F.lit(0.0))
-    best = F.array_min(F.transform("hits", lambda b: F.struct(F.round(far(b), 9).alias("d"), b["block"].alias("block"), b.alias("b"))))["b"]
-    return own.withColumn("b", best).select("doc_id", "page", "field", "value", "b.block", "b.x0", "b.y0", "b.x1", "b.y1")
+    own = with_nearest(own.select("doc_id", "page", "field", "value", "hits", "anchors"), aside=3.0)
+    ranked = F.zip_with("hits", "far", lambda b, d: F.struct(F.round(F.coalesce(d, F.lit(0.0)), 9).alias("d"), b["block"].alias("block"), b.alias("b")))
+    return own.withColumn("b", F.array_min(ranked)["b"]).select("doc_id", "page", "field", "value", "b.block", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
 # Words around a figure that don't tell its copies apart.
@@ -228,12 +260,11 @@ def locate_figure(asked: DataFrame, blocks: DataFrame, most: int = 20) -> DataFr
     own = asked.select("doc_id", "figure", F.slice(words, 1, 8).alias("words"), F.transform(figure_forms(F.col("figure")), plain).alias("forms")).join(pages, "doc_id")
     holding = F.transform("forms", lambda f: F.filter("blocks", lambda b: b["t"].contains(f)))
     own = own.withColumn("hits", F.get(F.filter(holding, lambda h: F.size(h) > 0), F.lit(0))).filter("hits IS NOT NULL")
-    anchors = F.transform("words", lambda w: F.filter("blocks", lambda b: b["t"].contains(w)))
-    own = own.withColumn("anchors", anchors)
-    met, flat = F.size(F.filter("anchors", lambda a: F.size(a) > 0)), F.flatten("anchors")
-    own = own.withColumn("met", met).withColumn("flat", flat).select("doc_id", "page", "figure", "met", "flat", F.explode("hits").alias("b"))
-    score = F.round(F.col("met") - F.coalesce(F.array_min(F.transform("flat", lambda a: apart(F.col("b"), a))), F.lit(1.5)), 3)
-    own = own.select("doc_id", "figure", "page", "b.block", score.alias("score"))
+    own = own.withColumn("found", F.transform("words", lambda w: F.filter("blocks", lambda b: b["t"].contains(w))))
+    own = own.select("doc_id", "page", "figure", F.size(F.filter("found", lambda a: F.size(a) > 0)).alias("met"), "hits", F.flatten("found").alias("anchors"))
+    own = with_nearest(own).select("doc_id", "page", "figure", "met", F.explode(F.arrays_zip("hits", "far")).alias("z"))
+    score = F.round(F.col("met") - F.coalesce("z.far", F.lit(1.5)), 3)
+    own = own.select("doc_id", "figure", "page", "z.hits.block", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("doc_id", "figure").orderBy(F.desc("score"), "page", "block"))
     return own.withColumn("rank", rank).filter(F.col("rank") <= most)
 
