@@ -34,7 +34,8 @@ def scoreboard(events: DataFrame) -> DataFrame:
 
 
 class SessionCloser(StatefulProcessor):
-    """Keeps a user's open sessions and closes each by a timer, once no event can come any more that would prolong it."""
+    """Keeps a user's open sessions and closes each once no event can come any more that would prolong it. A user has one timer, for the
+    session that ends first; when it expires, all that the watermark has passed are closed and it is set for the next."""
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
@@ -56,19 +57,20 @@ class SessionCloser(StatefulProcessor):
             else:
                 merged.append((start, last, n))
         self.open.put(merged)
-        timers, wanted = set(self.handle.listTimers()), {self.ends(last) for _, last, _ in merged}
-        for at in timers - wanted:
+        first, timers = min(self.ends(last) for _, last, _ in merged), set(self.handle.listTimers())
+        for at in timers - {first}:
             self.handle.deleteTimer(at)
-        for at in wanted - timers:
-            self.handle.registerTimer(at)
+        if first not in timers:
+            self.handle.registerTimer(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         spans = [tuple(s) for s in self.open.get()]
         done, left = [s for s in spans if self.ends(s[1]) <= now], [s for s in spans if self.ends(s[1]) > now]
         if left:
             self.open.put(left)
+            self.handle.registerTimer(min(self.ends(last) for _, last, _ in left))
         else:
             self.open.clear()
         if done:
