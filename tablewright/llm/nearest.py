@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 from tablewright.llm.common import discard, materialise, small_batches
 
 #: Projected dimensions (even, for the closed form of the test), and the chance of any of the k neighbours being seen, at least, at which a query stops.
-PROJECTED, SURE = 16, 0.92
-#: Rows of a leaf of the upper tree, leaves at most, rows that the tree is fitted to, rows of a leaf inside a block, queries in a block.
-LEAF_ROWS, LEAVES, FIT_ROWS, SMALL_LEAF, QUERY_ROWS = 4096, 4096, 20_000, 128, 4096
+PROJECTED, SURE = 16, 0.95
+#: Rows of a leaf of the upper tree, leaves at most, rows that the tree is fitted to, rows of a leaf inside a block.
+LEAF_ROWS, LEAVES, FIT_ROWS, SMALL_LEAF = 4096, 4096, 20_000, 64
+#: Queries that one task takes to a block at most; a block's rows are sent once for each, a sixteenth of what the queries are.
+QUERY_ROWS = 16 * LEAF_ROWS
 
 
 def chi_square_cdf(x: np.ndarray) -> np.ndarray:
@@ -29,6 +31,18 @@ def chi_square_cdf(x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(half), 1 - np.exp(-np.minimum(half, 700)) * total, 1.0)
 
 
+def stop_at(sure: float) -> float:
+    """The squared projected distance, in squared true distances, that a row keeps to with this chance."""
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square_cdf(mid) < sure else (low, mid)
+    return high
+
+
+STOP = stop_at(SURE)
+
+
 def matrix(vectors, dims: int) -> np.ndarray:
     """Rows in double precision, shorter vectors filled with zeros."""
     out = np.zeros((len(vectors), dims))
@@ -104,39 +118,68 @@ class Space:
         return np.maximum(1e-12, 2 * self.norm**2 - 2 * (self.norm / length) * product)
 
 
-def search(space: Space, k: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[list, list, list]:
-    """Best k of the rows x for each query: leaves in order of their distance in projected space, their rows verified,
-    until the chance that a nearer row has stayed unseen is small. bound: a distance that k rows elsewhere keep to."""
-    tree, leaf = build_tree(space.project(x), max(0, math.ceil(math.log2(max(1, len(x) / SMALL_LEAF)))), tight=True)
-    order = np.argsort(leaf, kind="stable")
-    ends = np.searchsorted(leaf[order], np.arange(len(tree.lo) + 1))
-    pq, lengths = space.project_queries(q), np.sqrt((q * q).sum(1))
-    got_q, got_i, got_s = [], [], []
-    for n in range(len(q)):
-        gap = tree.gaps(pq[n])
+@dataclass
+class Block:
+    """Rows that are searched together: their vectors, their projections, and a kd-tree over the projections."""
+
+    space: Space
+    ids: np.ndarray
+    x: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.p = self.space.project(self.x)
+        depth = max(0, math.ceil(math.log2(max(1, len(self.x) / SMALL_LEAF))))
+        self.tree, leaf = build_tree(self.p, depth, tight=True)
+        self.order = np.argsort(leaf, kind="stable")
+        self.ends = np.searchsorted(leaf[self.order], np.arange(len(self.tree.lo) + 1))
+
+    def by_distance(self, pq: np.ndarray):
+        """Rows in ascending order of their projected distance from pq, with it, some at a time. A row waits until no leaf
+        that is still closed can hold a nearer one; leaves are opened only as the caller asks for more."""
+        gap = self.tree.gaps(pq)
         by = np.argsort(gap, kind="stable")
-        best, seen, step, at = np.zeros(0), [], 2, 0
-        limit = bound[n]
-        while at < len(by) and chi_square_cdf(gap[by[at]] / limit) < SURE:
-            rows = np.concatenate([order[ends[b] : ends[b + 1]] for b in by[at : at + step]])
-            product = x[rows] @ q[n]
-            seen.append((rows, product))
-            best = np.sort(np.concatenate((best, product[ids[rows] != qids[n]])))[-k:]
-            if len(best) == k:
-                limit = min(limit, float(space.distance(best[0], lengths[n])))
+        rows, far, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
+        while at < len(by):
+            new = np.concatenate([self.order[self.ends[b] : self.ends[b + 1]] for b in by[at : at + step]])
+            d = self.p[new] - pq
+            rows, far = np.concatenate((rows, new)), np.concatenate((far, (d * d).sum(1)))
             at, step = at + step, step * 2
+            ready = far <= (gap[by[at]] if at < len(by) else np.inf)
+            nearest_first = np.argsort(far[ready], kind="stable")
+            yield rows[ready][nearest_first], far[ready][nearest_first]
+            rows, far = rows[~ready], far[~ready]
+
+    def search(self, k: int, qid: int, q: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """The best k rows for one query but its own, their scores, and how many rows were verified.
+
+        Projected neighbours are verified one after the other, nearest first, until the next one's projected distance is
+        so large that a row within the k-th best true distance would be projected nearer with a chance of SURE.
+        bound: a true distance within which k rows elsewhere are."""
+        length = float(np.sqrt((q * q).sum()))
+        seen, products, best, limit, step = [], [], np.zeros(0), bound, 2 * k
+        for rows, far in self.by_distance(self.space.project_queries(q[None])[0]):
+            at = 0
+            while at < len(rows) and far[at] < STOP * limit:
+                upto = min(at + step, int(np.searchsorted(far, STOP * limit)))
+                own = rows[at:upto]
+                product = self.x[own] @ q
+                seen.append(own)
+                products.append(product)
+                best = np.sort(np.concatenate((best, product[self.ids[own] != qid])))[-k:]
+                if len(best) == k:
+                    limit = min(limit, float(self.space.distance(best[0], length)))
+                at, step = upto, step * 2
+            if at < len(rows):
+                break
         if not seen:
-            continue
-        rows, product = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])
-        own = ids[rows] != qids[n]
-        rows, product = rows[own], product[own]
+            return np.zeros(0, np.int64), np.zeros(0), 0
+        rows, product = np.concatenate(seen), np.concatenate(products)
+        verified, other = len(rows), self.ids[rows] != qid
+        rows, product = rows[other], product[other]
         near = rows[product >= best[0] - 1e-9] if len(best) else rows
-        exact = (x[near] * q[n]).sum(1)  # summed row by row: equal rows give equal scores
-        first = np.lexsort((ids[near], -exact))[:k]
-        got_q += [qids[n]] * len(first)
-        got_i += ids[near[first]].tolist()
-        got_s += exact[first].tolist()
-    return got_q, got_i, got_s
+        exact = (self.x[near] * q).sum(1)  # summed row by row: equal rows give equal scores
+        first = np.lexsort((self.ids[near], -exact))[:k]
+        return self.ids[near[first]], exact[first], verified
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17) -> DataFrame:
@@ -145,8 +188,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     The upper kd-tree is fitted to at most FIT_ROWS rows and deals every row to a leaf; a leaf with many rows, as one of
     equal vectors, is dealt on to several blocks. A query takes the leaves in order of their distance from it in projected
     space: first the nearest alone, then in each round twice as many as in the one before, as long as the chi-square test,
-    at the distance of the k-th best found so far, doesn't exclude the next one. In a leaf the blocks' own trees stop by
-    the same test. Leaves that queries have tried are not tried again; rounds are the logarithm of the number of leaves
+    at the distance of the k-th best found so far, doesn't exclude the next one. In a block its own tree hands out rows in
+    ascending projected distance, each verified, until the same test excludes the next row. Leaves that queries have tried are not tried again; rounds are the logarithm of the number of leaves
     at most. Scores are the inner products of the original vectors in double precision; ties go to the smaller id.
 
     Vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do null ids. Vectors
@@ -183,20 +226,40 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     asked = points.filter(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"))
 
     def dealt(queries: DataFrame) -> DataFrame:
-        """Queries (qid, qv, bound, leaf, salt) against the rows of their blocks, so many queries to a task at most."""
+        """Queries (qid, qv, bound, leaf, salt) against the rows of their blocks: in a task a block's rows come first, then its queries."""
+        key = ["leaf", "salt", "share"]
         shares = queries.groupBy("leaf", "salt").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERY_ROWS))).alias("shares"))
         shares = materialise(shares, "ann-shares")
-        left = points.join(shares, ["leaf", "salt"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        right = queries.join(shares, ["leaf", "salt"]).withColumn("share", F.pmod(F.xxhash64("qid", F.lit("share")), F.col("shares")))
-        left, right = left.select("leaf", "salt", "share", "id", "v"), right.select("leaf", "salt", "share", "qid", "qv", "bound")
-        right = right.toDF("qleaf", "qsalt", "qshare", "qid", "qv", "bound")
-        return left.groupBy("leaf", "salt", "share").cogroup(right.groupBy("qleaf", "qsalt", "qshare"))
-
-    def look(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        got = search(space, k, p.id.to_numpy(), matrix(p.v.tolist(), dims), q.qid.to_numpy(), matrix(q.qv.tolist(), dims), q.bound.to_numpy())
-        return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
+        rows = points.join(shares, ["leaf", "salt"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        asking = queries.join(shares, ["leaf", "salt"]).withColumn("share", F.pmod(F.xxhash64("qid", F.lit("share")), F.col("shares")))
+        rows = rows.select(*key, F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("bound"))
+        asking = asking.select(*key, F.lit(True).alias("asks"), F.col("qid").alias("id"), F.col("qv").alias("v"), "bound")
+        return rows.unionByName(asking).repartition(*key).sortWithinPartitions(*key, "asks").mapInPandas(look, result)
+
+    def look(batches):
+        own, held, block = None, [], None
+        for pdf in batches:
+            vectors = matrix(pdf.v.tolist(), dims)
+            ids, asks, bound = pdf.id.to_numpy(), pdf.asks.to_numpy(bool), pdf.bound.to_numpy()
+            got = []
+            keys = list(zip(pdf.leaf, pdf.salt, pdf.share, strict=True))
+            starts = [n for n in range(len(keys)) if not n or keys[n] != keys[n - 1]]
+            for a, z in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[a] != own:
+                    own, held, block = keys[a], [], None
+                first_asking = a + int((~asks[a:z]).sum())
+                if first_asking > a:
+                    held.append((ids[a:first_asking], vectors[a:first_asking]))
+                for n in range(first_asking, z):
+                    if block is None and not held:
+                        break  # a part of the leaf that no row was dealt to
+                    if block is None:
+                        block = Block(space, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                        held = []
+                    near, score, _ = block.search(k, ids[n], vectors[n], bound[n])
+                    got.append(pd.DataFrame({"query_id": ids[n], "vec_id": near, "score": score}))
+            if got:
+                yield pd.concat(got)
 
     def top(found: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -214,7 +277,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
                 for p, b in zip(pq, bound, strict=True):
                     gap = tree.gaps(p)
                     near = np.argsort(gap, kind="stable")[first : first + step]
-                    to.append(near[chi_square_cdf(gap[near] / b) < SURE])
+                    to.append(near[gap[near] < STOP * b])
                 yield pd.DataFrame({"qid": pdf.qid, "qv": pdf.qv, "bound": bound, "leaves": to})
 
         if best is None:
@@ -228,7 +291,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         routed = materialise(routed.drop("salts"), "ann-routed")
         if routed.isEmpty():
             break
-        found = dealt(routed).applyInPandas(look, result)
+        found = dealt(routed)
         found = materialise(top(found if best is None else found.unionByName(best.drop("rank"))), "ann-best")
         discard(routed, *[best] if best is not None else [])
         best, first, step = found, first + step, 2 * step

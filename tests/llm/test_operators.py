@@ -331,3 +331,44 @@ def test_nearest_neighbours_of_clusters_over_many_leaves(spark, monkeypatch):
     x[300:700] = x[300]  # a hot vector
     out = nearest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
     assert len(out) == 60 * 20 and nearest_recall(out, x, list(range(1200)), 20) >= 0.9
+
+
+def test_rows_come_by_projected_distance_and_some_are_never_verified(spark):
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()])
+    ids = np.arange(len(x))
+    space = nearest.Space(x.shape[1], float(np.sqrt((x * x).sum(1).max())), np.random.RandomState(17).randn(x.shape[1] + 1, nearest.PROJECTED))
+    block = nearest.Block(space, ids, x)
+    hits = verified = asked = 0
+    for n in ids[::20]:
+        p = space.project_queries(x[n][None])[0]
+        parts = list(block.by_distance(p))
+        rows, far = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+        assert sorted(rows) == ids.tolist() and (np.diff(far) >= 0).all()
+        assert np.allclose(far, ((block.p[rows] - p) ** 2).sum(1))
+        near, score, some = block.search(20, n, x[n], np.inf)
+        product = x @ x[n]
+        product[n] = -np.inf
+        assert np.allclose(score, product[near]) and n not in near
+        hits, verified, asked = hits + (product[near] >= np.sort(product)[-20] - 1e-9).sum(), verified + some, asked + 1
+    assert hits / asked / 20 >= 0.9
+    assert verified / asked / len(x) < 0.8
+
+
+def test_the_stop_is_the_quantile_of_the_test():
+    assert abs(float(nearest.chi_square_cdf(nearest.STOP)) - nearest.SURE) < 1e-9
+    draws = (np.random.RandomState(1).randn(20_000, nearest.PROJECTED) ** 2).sum(1)
+    assert abs((draws < nearest.STOP).mean() - nearest.SURE) < 0.01
+
+
+def test_nearest_neighbours_of_repeated_ids_unequal_lengths_and_many_shares(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 2)
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 16)
+    rows = [(0, [1.0, 0.0]), (0, [0.9]), (20, [1.0, 0.0, 0.0]), (3, [0.0, 0.0, 5.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (None, [1.0])]
+    rows += [(100 + n, [1.0, 0.0]) for n in range(60)]
+    out = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).toPandas()
+    got = out[out.query_id == 20].sort_values("rank")
+    assert got.vec_id.tolist() == [0, 100, 101, 102] and got.score.tolist() == [1.0] * 4
+    assert not (out.query_id == out.vec_id).any()
+    # both rows of id 0 ask, as one query; what the better one finds comes first
+    assert out[out.query_id == 0].sort_values("rank").vec_id.tolist()[0] == 20
+    assert set(out.query_id) == {0, 20} | {100 + n for n in range(60) if not (100 + n) % 20}
