@@ -16,9 +16,11 @@ from tablewright.llm.common import discard, materialise, small_batches
 #: Projected dimensions (even, for the closed form of the test), and the chance of any of the k neighbours being seen, at least, at which a query stops.
 PROJECTED, SURE = 16, 0.95
 #: Rows of a leaf of the upper tree, leaves at most, rows that the tree is fitted to, rows of a leaf inside a block.
-LEAF_ROWS, LEAVES, FIT_ROWS, SMALL_LEAF = 4096, 4096, 20_000, 64
+LEAF_ROWS, LEAVES, FIT_ROWS, SMALL_LEAF = 4096, 4096, 20_000, 128
 #: Queries that one task takes to a block at most; a block's rows are sent once for each, a sixteenth of what the queries are.
 QUERY_ROWS = 16 * LEAF_ROWS
+#: Rows that are verified at a time, at most, and how far a product of unit vectors in single precision may be off.
+VERIFIED, SINGLE = 1024, 1e-5
 
 
 def chi_square_cdf(x: np.ndarray) -> np.ndarray:
@@ -115,68 +117,78 @@ class Space:
         return (q * (self.norm / np.sqrt((q * q).sum(1)))[:, None]) @ self.directions[:-1]
 
     def distance(self, product: np.ndarray, length: float) -> np.ndarray:
-        return np.maximum(1e-12, 2 * self.norm**2 - 2 * (self.norm / length) * product)
+        return np.maximum(1e-12 * self.norm**2, 2 * self.norm**2 - 2 * (self.norm / length) * product)
 
 
 @dataclass
 class Block:
-    """Rows that are searched together: their vectors, their projections, and a kd-tree over the projections."""
+    """Rows that are searched together, in the order of the leaves of a kd-tree over their projections."""
 
     space: Space
     ids: np.ndarray
     x: np.ndarray
 
     def __post_init__(self) -> None:
-        self.p = self.space.project(self.x)
-        depth = max(0, math.ceil(math.log2(max(1, len(self.x) / SMALL_LEAF))))
-        self.tree, leaf = build_tree(self.p, depth, tight=True)
-        self.order = np.argsort(leaf, kind="stable")
-        self.ends = np.searchsorted(leaf[self.order], np.arange(len(self.tree.lo) + 1))
-
-    def by_distance(self, pq: np.ndarray):
-        """Rows in ascending order of their projected distance from pq, with it, some at a time. A row waits until no leaf
-        that is still closed can hold a nearer one; leaves are opened only as the caller asks for more."""
+        p = self.space.project(self.x)
+        self.tree, leaf = build_tree(p, max(0, math.ceil(math.log2(max(1, len(p) / SMALL_LEAF)))), tight=True)
+        order = np.argsort(leaf, kind="stable")
+        self.ids, self.x, self.p = self.ids[order], self.x[order], p[order]
+        self.ends = np.searchsorted(leaf[order], np.arange(len(self.tree.lo) + 1))
+        self.rows, self.square, self.known = np.arange(len(p)), (self.p * self.p).sum(1), set(self.ids.tolist())
+        self.unit, self.held = (self.x / self.space.norm).astype(np.float32), np.empty((VERIFIED, self.x.shape[1]), np.float32)
+
+    def by_distance(self, pq: np.ndarray, within=lambda: np.inf):
+        """Rows in ascending order of their projected distance from pq, with it, some at a time, as far as `within()` goes.
+        A row waits until no leaf that is still closed can hold a nearer one; leaves open only as the caller asks for more."""
         gap = self.tree.gaps(pq)
-        by = np.argsort(gap, kind="stable")
-        rows, far, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 1
-        while at < len(by):
-            new = np.concatenate([self.order[self.ends[b] : self.ends[b + 1]] for b in by[at : at + step]])
-            d = self.p[new] - pq
-            rows, far = np.concatenate((rows, new)), np.concatenate((far, (d * d).sum(1)))
-            at, step = at + step, step * 2
+        by, own, twice = np.argsort(gap, kind="stable"), float(pq @ pq), 2 * pq
+        by = by[gap[by] < within()]
+        rows, far, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2 if within() == np.inf else max(2, len(by))
+        while at < len(by) and gap[by[at]] < within():
+            spans = [slice(self.ends[b], self.ends[b + 1]) for b in by[at : at + step]]
+            new = np.concatenate([self.rows[o] for o in spans])
+            d = np.concatenate([self.square[o] - self.p[o] @ twice for o in spans])
+            d = np.maximum(d + own, 0)
+            wanted = d < within()
+            rows, far = np.concatenate((rows, new[wanted])), np.concatenate((far, d[wanted]))
+            at, step = at + step, step * 4
             ready = far <= (gap[by[at]] if at < len(by) else np.inf)
-            nearest_first = np.argsort(far[ready], kind="stable")
-            yield rows[ready][nearest_first], far[ready][nearest_first]
+            now, far_now = rows[ready], far[ready]
+            nearest_first = np.argsort(far_now)
+            yield now[nearest_first], far_now[nearest_first]
             rows, far = rows[~ready], far[~ready]
+        nearest_first = np.argsort(far)  # what waited for leaves that stay closed
+        yield rows[nearest_first], far[nearest_first]
 
     def search(self, k: int, qid: int, q: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """The best k rows for one query but its own, their scores, and how many rows were verified.
+        """Those of the best k rows for one query but its own that lie within `bound`, a true distance within which k rows
+        elsewhere are; their scores; and how many rows were verified.
 
         Projected neighbours are verified one after the other, nearest first, until the next one's projected distance is
-        so large that a row within the k-th best true distance would be projected nearer with a chance of SURE.
-        bound: a true distance within which k rows elsewhere are."""
-        length = float(np.sqrt((q * q).sum()))
-        seen, products, best, limit, step = [], [], np.zeros(0), bound, 2 * k
-        for rows, far in self.by_distance(self.space.project_queries(q[None])[0]):
+        so large that a row within the k-th best true distance would be projected nearer with a chance of SURE. Rows are
+        first compared in single precision; those that may be among the best get their exact score."""
+        norm, length = self.space.norm, float(np.sqrt(q @ q))
+        scale = norm * length
+        least = 1 - bound / (2 * norm**2)  # the product at that distance, in units of scale
+        unit = (q / length).astype(np.float32)
+        limit, best, found, verified, step = [bound], np.zeros(0), [], 0, 2 * k
+        for rows, far in self.by_distance(self.space.project_queries(q[None])[0], lambda: STOP * limit[0]):
             at = 0
-            while at < len(rows) and far[at] < STOP * limit:
-                upto = min(at + step, int(np.searchsorted(far, STOP * limit)))
+            while at < len(rows) and far[at] < STOP * limit[0]:
+                upto = min(at + step, int(np.searchsorted(far, STOP * limit[0])))
                 own = rows[at:upto]
-                product = self.x[own] @ q
-                seen.append(own)
-                products.append(product)
-                best = np.sort(np.concatenate((best, product[self.ids[own] != qid])))[-k:]
-                if len(best) == k:
-                    limit = min(limit, float(self.space.distance(best[0], length)))
-                at, step = upto, step * 2
-            if at < len(rows):
-                break
-        if not seen:
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        rows, product = np.concatenate(seen), np.concatenate(products)
-        verified, other = len(rows), self.ids[rows] != qid
-        rows, product = rows[other], product[other]
-        near = rows[product >= best[0] - 1e-9] if len(best) else rows
+                product = np.take(self.unit, own, axis=0, out=self.held[: len(own)], mode="clip") @ unit
+                if qid in self.known:
+                    product[self.ids[own] == qid] = -np.inf
+                near = (product >= least - SINGLE) & (product > -np.inf)
+                if near.any():
+                    found.append(own[near])
+                    best = np.sort(np.concatenate((best, product[near])))[-k:]
+                    if len(best) == k:
+                        least = max(least, float(best[0]) - SINGLE)
+                        limit[0] = min(limit[0], float(self.space.distance(least * scale, length)))
+                verified, at, step = verified + len(own), upto, min(2 * step, VERIFIED)
+        near = np.concatenate(found) if found else np.zeros(0, np.int64)
         exact = (self.x[near] * q).sum(1)  # summed row by row: equal rows give equal scores
         first = np.lexsort((self.ids[near], -exact))[:k]
         return self.ids[near[first]], exact[first], verified
@@ -257,9 +269,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
                         block = Block(space, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                         held = []
                     near, score, _ = block.search(k, ids[n], vectors[n], bound[n])
-                    got.append(pd.DataFrame({"query_id": ids[n], "vec_id": near, "score": score}))
+                    got.append((np.repeat(ids[n], len(near)), near, score))
             if got:
-                yield pd.concat(got)
+                yield pd.DataFrame({c: np.concatenate(g) for c, g in zip(("query_id", "vec_id", "score"), zip(*got, strict=True), strict=True)})
 
     def top(found: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -343,7 +343,7 @@ def test_rows_come_by_projected_distance_and_some_are_never_verified(spark):
         p = space.project_queries(x[n][None])[0]
         parts = list(block.by_distance(p))
         rows, far = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-        assert sorted(rows) == ids.tolist() and (np.diff(far) >= 0).all()
+        assert sorted(rows) == ids.tolist() == sorted(block.ids) and (np.diff(far) >= 0).all()
         assert np.allclose(far, ((block.p[rows] - p) ** 2).sum(1))
         near, score, some = block.search(20, n, x[n], np.inf)
         product = x @ x[n]
