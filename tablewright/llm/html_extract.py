@@ -36,9 +36,9 @@ AGAINST = frozenset(
 )
 FOR = frozenset("article main content post entry story text body".split())
 
-PATH_DIMS, WORD_DIMS, STATS, HIDDEN_UNITS = 192, 32, 6, 16
+PATH_DIMS, WORD_DIMS, STATS, HIDDEN_UNITS = 192, 32, 11, 16
 #: Pages that the labeller is trained on, at most, blocks of each, and passes over them.
-SAMPLE, TRAIN_BLOCKS, EPOCHS = 400, 512, 8
+SAMPLE, TRAIN_BLOCKS, EPOCHS = 400, 512, 12
 #: Steps that training takes at least, of 16 pages each; few pages are passed over more often.
 LEAST_STEPS = 200
 #: Blocks, those filled in to a like length included, that are labelled in one go.
@@ -47,24 +47,26 @@ PARTS = re.compile(r"[a-z0-9]+")
 
 
 class Leaves(HTMLParser):
-    """Collects (path, text, characters in links) of each run of text between block boundaries, in page order."""
+    """Collects (path, text, characters in links, numbers of the path's elements) of each run of text between block
+    boundaries, in page order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
+        self.stack: list[tuple[str, str, int]] = []
+        self.elements = 0
         self.hidden = self.links = 0
         self.text: list[str] = []
         self.linked = 0
-        self.found: list[tuple[tuple[str, ...], str, int]] = []
+        self.found: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
 
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.found.append((tuple(d for _, d in self.stack), text, self.linked))
+            self.found.append((tuple(d for _, d, _ in self.stack), text, self.linked, tuple(n for _, _, n in self.stack)))
         self.text, self.linked = [], 0
 
     def pop(self, upto: int) -> None:
-        for tag, _ in self.stack[upto:]:
+        for tag, _, _ in self.stack[upto:]:
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
         del self.stack[upto:]
@@ -75,7 +77,7 @@ class Leaves(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "body":  # even out of an element that was left open in the head, but for a template
-            open_ = [own for own, _ in self.stack]
+            open_ = [own for own, _, _ in self.stack]
             if "head" in open_ and "template" not in open_:
                 self.pop(open_.index("head"))
         if tag not in IN_HEAD:
@@ -94,7 +96,8 @@ class Leaves(HTMLParser):
         if tag in VOID:
             return
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        self.stack.append((tag, f"{tag} {names.lower()}" if names else tag))
+        self.elements += 1
+        self.stack.append((tag, f"{tag} {names.lower()}" if names else tag, self.elements))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
@@ -130,7 +133,7 @@ class Leaves(HTMLParser):
             self.linked += len(data) * bool(self.links)
 
 
-def leaves(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+def placed_leaves(html: str | None) -> list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
     parser = Leaves()
     if isinstance(html, str):
         parser.feed(html)
@@ -139,6 +142,47 @@ def leaves(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return parser.found
 
 
+def leaves(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+    return [b[:3] for b in placed_leaves(html)]
+
+
+def elements(block: tuple) -> tuple:
+    """Numbers of the elements around a block; where only its path is known, equal paths are one element."""
+    return block[3] if len(block) > 3 else tuple(block[0][: k + 1] for k in range(len(block[0])))
+
+
+def layout(blocks: list[tuple]) -> np.ndarray:
+    """What the page's structure says of each block, whatever its elements are called: where it stands to the element that
+    holds most of the page's own text. That is found from the top down, as long as one child with several blocks holds
+    three fifths of its parent's text outside links."""
+    around = [elements(b) for b in blocks]
+    weight = [max(0, len(b[1]) - b[2]) for b in blocks]
+    total, inside, chain = max(1, sum(weight)), range(len(blocks)), []
+    while True:
+        held: dict = {}
+        for k in inside:
+            if len(around[k]) > len(chain):
+                w, n = held.get(around[k][len(chain)], (0, 0))
+                held[around[k][len(chain)]] = (w + weight[k], n + 1)
+        several = [(w, e) for e, (w, n) in held.items() if n > 1]
+        best = max(several, key=lambda x: x[0], default=(0, None))
+        if best[0] == 0 or best[0] < 0.6 * sum(weight[k] for k in inside):
+            break
+        inside = [k for k in inside if len(around[k]) > len(chain) and around[k][len(chain)] == best[1]]
+        chain.append(best[1])
+    out, branch, common = np.zeros((len(blocks), 5), np.float32), {}, []
+    for own, w in zip(around, weight, strict=True):
+        n = next((i for i, (x, y) in enumerate(zip(own, chain, strict=False)) if x != y), min(len(own), len(chain)))
+        common.append(n)
+        branch[own[: n + 1]] = branch.get(own[: n + 1], 0) + w
+    before: tuple = ()
+    for k, (own, n) in enumerate(zip(around, common, strict=True)):
+        shared = next((i for i, (x, y) in enumerate(zip(own, before, strict=False)) if x != y), min(len(own), len(before)))
+        out[k] = (n == len(chain), min(len(chain) - n, 4) / 4, branch[own[: n + 1]] / total, shared / max(1, len(own)), min(len(own) - n, 6) / 6)
+        before = own
+    return out
+
+
 _hash: dict[str, int] = {}
 
 
@@ -150,12 +194,13 @@ def place(word: str) -> int:
     return _hash[word]
 
 
-def block_vectors(blocks: list[tuple[tuple[str, ...], str, int]], first: int = 0, total: int = 0) -> np.ndarray:
-    """A row for each block: hashed parts of its path, hashed words, and a few shapes. The blocks are those from `first`
-    of a page that has `total`, or the whole page."""
+def block_vectors(blocks: list[tuple], first: int = 0, total: int = 0, places: np.ndarray | None = None) -> np.ndarray:
+    """A row for each block: hashed parts of its path, hashed words, a few shapes and its place in the page's layout. The
+    blocks are those from `first` of a page that has `total` and this layout, or the whole page."""
     m = np.zeros((len(blocks), PATH_DIMS + WORD_DIMS + STATS), np.float32)
     total = total or len(blocks)
-    for k, (path, text, linked) in enumerate(blocks):
+    places = layout(blocks) if places is None else places[first : first + len(blocks)]
+    for k, (path, text, linked, *_) in enumerate(blocks):
         for part in path:
             for name in PARTS.findall(part):
                 h = place(name)
@@ -163,45 +208,81 @@ def block_vectors(blocks: list[tuple[tuple[str, ...], str, int]], first: int = 0
         words = text.split()
         w = np.bincount([place(x) % WORD_DIMS for x in words], minlength=WORD_DIMS)
         m[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.sqrt(w) / max(1.0, np.sqrt(len(words)))
-        m[k, -STATS:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / len(text), (first + k + 1) / total, len(path) / 8, text[-1] in ".!?")
+        m[k, -STATS:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / len(text), (first + k + 1) / total, len(path) / 8, text[-1] in ".!?", *places[k])
     return m
 
 
-def weak_labels(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[int]:
+def weak_labels(blocks: list[tuple]) -> list[int]:
     """What the names along the paths say, read together with the page: foreign names are foreign and article names main.
 
-    What bears neither is main if it isn't mostly links, unless the page names its article elsewhere; then it takes a
-    sentence of some length.
+    A header inside an article is a part of it. What bears neither name is foreign where an article that the page names
+    holds a good part of its text (a fifth for the elements article and main, half for other names); else it is main if it
+    isn't mostly links, and, where an article is named at all, is a sentence of some length. On a page that names none it
+    must stand in the element that the layout finds, or be the title over it.
     """
-    names = [{n for part in path for n in PARTS.findall(part)} for path, _, _ in blocks]
-    named = any((n - {"body"}) & FOR and not n & AGAINST for n in names)
+    places = layout(blocks)
+    said, tagged, named, whole = [], 0, 0, 0
+    for path, text, linked, *_ in blocks:
+        article = foreign = tag = False
+        for part in path:
+            names = set(PARTS.findall(part))
+            foreign |= bool(names & (AGAINST - {"header"} if article else AGAINST))
+            tag |= part.split(" ", 1)[0] in ("article", "main")
+            article |= tag or part.split(" ", 1)[0] != "body" and bool(names & FOR)
+        own = max(0, len(text) - linked)
+        said.append(0 if foreign else 1 if article else None)
+        if not foreign:
+            tagged, named, whole = tagged + own * (tag and article), named + own * article, whole + own
+    closed = tagged * 5 > whole or named * 2 > whole
+    some = any(x == 1 for x in said)
     out = []
-    for n, (_, text, linked) in zip(names, blocks, strict=True):
-        if n & AGAINST:
-            out.append(0)
-        elif (n - {"body"}) & FOR:
-            out.append(1)
+    for x, (path, text, linked, *_), (inside, above, *_) in zip(said, blocks, places, strict=True):
+        open_text = linked < len(text) / 2
+        if some:
+            open_text &= len(text) >= 60 and text[-1] in ".!?"
         else:
-            out.append(int(linked < len(text) / 2 and (not named or len(text) >= 60 and text[-1] in ".!?")))
+            open_text &= bool(inside or above <= 0.25 and path and path[-1].split(" ", 1)[0] == "h1")
+        out.append(x if x is not None else int(open_text and not closed))
     return out
 
 
-def varied(blocks: list, rng: np.random.RandomState) -> list:
-    """The page as other sites might have written it: containers renamed, foreign blocks inserted."""
+def varied(blocks: list, rng: np.random.RandomState, others: list[str]) -> list:
+    """The page as other sites might have written it: containers renamed, foreign blocks inserted, remarks of readers in a
+    container without a name (their texts from other pages), the title in a header of the article."""
     swaps = {
         "article": rng.choice(["article", "main", "div content", "section", "div post", "div entry", "main article"]),
         "nav": rng.choice(["nav", "div menu", "ul navigation", "div navbar", "header"]),
         "footer": rng.choice(["footer", "div footer", "div copyright", "div legal"]),
         "div ad": rng.choice(["div ad", "div banner", "aside", "div sponsor", "div promo", "div cookie notice", "aside sidebar"]),
     }
-    out = [(tuple(swaps.get(p, p) for p in path), text, linked) for path, text, linked in blocks]
+    out = [(tuple(swaps.get(p, p) for p in b[0]), b[1], b[2], elements(b)) for b in blocks]
     texts = [b[1] for b in blocks]
-    for _ in range(rng.randint(0, 4)):
+    for n in range(rng.randint(0, 4)):
         kind = rng.choice(["div comments", "aside", "form", "div related", "div sidebar", "section comments", "header", "div share", "div notice", "div newsletter"])
         at = rng.randint(0, len(out) + 1)
-        around = out[at][0] if at < len(out) else ("html", "body")
-        out.insert(at, ((*around[:3], kind, "p"), texts[rng.randint(len(texts))], 0))
-    return out
+        around = out[at] if at < len(out) else (("html", "body"), "", 0, (0, 1))
+        depth = min(len(around[0]), 2 + rng.randint(2))
+        out.insert(at, ((*around[0][:depth], kind, "p"), texts[rng.randint(len(texts))], 0, (*around[3][:depth], f"new {n}", f"p {n}")))
+    labels = weak_labels(out)
+    main = [k for k, y in enumerate(labels) if y]
+    if main and rng.rand() < 0.3:
+        path, text, linked, own = out[main[0]]
+        if len(path) > 2:
+            out[main[0]] = ((*path[:-1], "header entry-header", path[-1]), text, linked, (*own[:-1], "header", own[-1]))
+    remarks = []
+    if main and rng.rand() < 0.5:
+        path, _, _, own = out[main[-1]]
+        depth = max(0, min(len(path) - 2, 2))
+        for n in range(rng.randint(1, 5)):
+            remarks.append(((*path[:depth], "div", "p"), others[rng.randint(len(others))], 0, (*own[:depth], "remarks", f"remark {n}")))
+    after = main[-1] + 1 if main else 0
+    return list(zip(out[:after] + remarks + out[after:], labels[:after] + [0] * len(remarks) + labels[after:], strict=True))
+
+
+def nameless(block: tuple) -> tuple:
+    """The block with nothing in its path that tells what a container is for."""
+    tags = [part.split(" ", 1)[0] for part in block[0]]
+    return (tuple("div" if t in AGAINST | FOR and t != "body" else t for t in tags), *block[1:])
 
 
 @dataclass
@@ -242,12 +323,12 @@ class Labeller:
     def run_page(self, blocks: list) -> np.ndarray:
         """Probabilities of one page of any length: both directions go over it in parts, and only their states stay."""
         n = len(blocks)
-        both = np.zeros((n, 2 * HIDDEN_UNITS), np.float32)
+        both, places = np.zeros((n, 2 * HIDDEN_UNITS), np.float32), layout(blocks)
         for k, d in enumerate(("f", "b")):
             h = c = np.zeros((1, HIDDEN_UNITS), np.float32)
             starts = list(range(0, n, GO))
             for a in starts if d == "f" else reversed(starts):
-                x = block_vectors(blocks[a : a + GO], a, n)[None]
+                x = block_vectors(blocks[a : a + GO], a, n, places)[None]
                 out, h, c = self.scan(d, x, np.ones(x.shape[:2], np.float32), h, c)
                 both[a : a + GO, k * HIDDEN_UNITS : (k + 1) * HIDDEN_UNITS] = out[0]
         return self.chance(both)
@@ -286,7 +367,8 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: list[list], seed: int = 3) -> Labeller:
-    """Fit to weak labels of the pages' blocks, each page in other dress in every pass; Adam."""
+    """Fit to weak labels of the pages' blocks, each page in other dress in every pass, half of them with all names hidden
+    after they were labelled, so that the layout has to tell; Adam."""
     rng, dims = np.random.RandomState(seed), PATH_DIMS + WORD_DIMS + STATS
     w = {}
     for d in ("f", "b"):
@@ -298,26 +380,30 @@ def train(pages: list[list], seed: int = 3) -> Labeller:
     net = Labeller(w)
     m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
     pages = [p for p in pages if p]
-    for epoch in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(pages) // 16))) if pages else 0):
-        seen = [varied(p, rng) if epoch % 3 else p for p in pages]
+    texts = [b[1] for p in pages for b in p]
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(pages) // 16))) if pages else 0
+    for epoch in range(epochs):
+        rate = 0.01 * min(1.0, 2.0 * (epochs - epoch) / (epochs + 1))
+        seen = [varied(p, rng, texts) if epoch % 3 else list(zip(p, weak_labels(p), strict=True)) for p in pages]
+        seen = [[(nameless(b), y) for b, y in p] if rng.rand() < 0.5 else p for p in seen]
         seen.sort(key=len)
         batches = [seen[a : a + 16] for a in range(0, len(seen), 16)]
         for k in rng.permutation(len(batches)):
-            x, mask = padded([block_vectors(p) for p in batches[k]])
+            x, mask = padded([block_vectors([b for b, _ in p]) for p in batches[k]])
             y = np.zeros_like(mask)
             for r, p in enumerate(batches[k]):
-                y[r, : len(p)] = weak_labels(p)
+                y[r, : len(p)] = [label for _, label in p]
             step += 1
             for name, g in net.gradients(x, mask, y).items():
                 m[name] = 0.9 * m[name] + 0.1 * g
                 v[name] = 0.999 * v[name] + 0.001 * g * g
-                w[name] -= (0.01 * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                w[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
 def main_texts(net: Labeller, htmls: list[str | None]) -> list[str]:
     """The blocks that the labeller takes for main text, joined; pages of like length run together, GO blocks at most."""
-    found = [leaves(h) for h in htmls]
+    found = [placed_leaves(h) for h in htmls]
     out = [""] * len(htmls)
     order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
     while order:
@@ -342,18 +428,18 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Label
 
     def reduce(batches):
         for pdf in batches:
-            found = [leaves(h) for h in pdf.html]
+            found = [placed_leaves(h) for h in pdf.html]
             at = [int(k) % max(1, len(f) - TRAIN_BLOCKS + 1) for k, f in zip(pdf.k, found, strict=True)]
             found = [f[a : a + TRAIN_BLOCKS] for a, f in zip(at, found, strict=True)]
-            yield pd.DataFrame({"k": pdf.k, "path": [[list(b[0]) for b in f] for f in found], "text": [[b[1] for b in f] for f in found], "linked": [[b[2] for b in f] for f in found]})
+            yield pd.DataFrame({"k": pdf.k, "path": [[list(b[0]) for b in f] for f in found], "text": [[b[1] for b in f] for f in found], "linked": [[b[2] for b in f] for f in found], "own": [[list(b[3]) for b in f] for f in found]})
 
     own = pages.select(F.xxhash64(html_col, F.lit("html")).alias("k"), F.col(html_col).alias("html")).filter("html <> ''")
     chosen = own.select("k").distinct().orderBy("k").limit(sample)  # bounded, so it may be broadcast
     own = own.join(F.broadcast(chosen), "k").withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))).filter("nth = 1")
     small_batches(pages)
-    got = own.select("k", "html").mapInPandas(reduce, "k long, path array<array<string>>, text array<string>, linked array<int>").collect()
+    got = own.select("k", "html").mapInPandas(reduce, "k long, path array<array<string>>, text array<string>, linked array<int>, own array<array<long>>").collect()
     got = sorted(got, key=lambda r: (r.k, r.text))
-    return train([[(tuple(p), t, n) for p, t, n in zip(r.path, r.text, r.linked, strict=True)] for r in got])
+    return train([[(tuple(p), t, n, tuple(o)) for p, t, n, o in zip(r.path, r.text, r.linked, r.own, strict=True)] for r in got])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -189,6 +190,57 @@ def test_op7_whole_table(spark):
     assert not wrong and out.n_chars.tolist() == [len(t) for t in out.text]
 
 
+REMARKS = (
+    "<div><p>Great piece, thanks a lot for writing this up in such detail for us.</p>"
+    "<p>I do not agree with the second point at all, my own experience is quite different.</p></div>"
+)
+
+
+def without_names(page):
+    return re.sub(r'<div class="ad">|<(?:article|nav|footer)>', "<div>", re.sub(r"</(?:article|nav|footer)>", "</div>", page))
+
+
+def with_remarks(page):
+    return re.sub(r"</article>", "</article>" + REMARKS, page)
+
+
+def with_header(page):
+    return re.sub(r"(<h1>.*?</h1>)", r'<header class="entry-header">\1</header>', page, count=1)
+
+
+def remarks_without_names(page):
+    return without_names(with_remarks(page))
+
+
+@pytest.mark.parametrize("dress", [without_names, with_remarks, with_header, remarks_without_names])
+def test_html_in_another_dress(spark, dress):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    dressed = [dress(p) for p in pages]
+    net = html_extract.train([html_extract.placed_leaves(p)[: html_extract.TRAIN_BLOCKS] for p in dressed])
+    wrong = blocks = 0
+    for page, text in zip(pages, html_extract.main_texts(net, dressed), strict=True):
+        got, want = text.split("\n\n") if text else [], [b[1] for b in html_extract.leaves(page) if "article" in b[0]]
+        blocks += len(want)
+        wrong += sum((Counter(got) - Counter(want)).values()) + sum((Counter(want) - Counter(got)).values())
+    assert wrong < 0.02 * blocks
+
+
+def test_weak_labels_of_headers_remarks_and_unnamed_pages():
+    def labels(page):
+        return html_extract.weak_labels(html_extract.placed_leaves(page))
+
+    story = "<h1>Title</h1><p>A first paragraph of the story, of some length.</p><p>And a second one, which goes on for longer still.</p>"
+    assert labels(f"<header>Site</header><article><header>{story[:14]}</header>{story[14:]}</article><div><p>{'A remark on it. ' * 3}</p></div>") == [0, 1, 1, 1, 0]
+    assert labels(f"<div><ul><li><a>Home</a></li></ul></div><div>An advert.</div><div>{story}</div><div>All rights</div>") == [0, 0, 1, 1, 1, 0]
+    assert labels(f"<div>An advert.</div><div><h1>Title</h1><div>{story[14:]}</div></div>") == [0, 1, 1, 1]
+    assert labels("") == [] and labels("<p>only") == [1]
+
+
+def test_layout_doesnt_depend_on_names():
+    page = '<body><div class="ad">x y</div><article><h1>T</h1><p>some longer text here</p><p>and here</p></article></body>'
+    assert (html_extract.layout(html_extract.placed_leaves(page)) == html_extract.layout(html_extract.placed_leaves(without_names(page)))).all()
+
+
 def test_html_of_odd_tables(spark):
     kind = "page_id long, url string, html string, n_chars string, k long"
     assert html_extract.extract(spark.createDataFrame([], kind)).count() == 0
