@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -151,6 +152,14 @@ def elements(block: tuple) -> tuple:
     return block[3] if len(block) > 3 else tuple(block[0][: k + 1] for k in range(len(block[0])))
 
 
+def alike(a: Sequence, b: Sequence) -> int:
+    """How many elements both begin with."""
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[n] == b[n]:
+        n += 1
+    return n
+
+
 def layout(blocks: list[tuple]) -> np.ndarray:
     """What the page's structure says of each block, whatever its elements are called: where it stands to the element that
     holds most of the page's own text. That is found from the top down, as long as one child with several blocks holds
@@ -170,17 +179,18 @@ def layout(blocks: list[tuple]) -> np.ndarray:
             break
         inside = [k for k in inside if len(around[k]) > len(chain) and around[k][len(chain)] == best[1]]
         chain.append(best[1])
-    out, branch, common = np.zeros((len(blocks), 5), np.float32), {}, []
+    branch: dict = {}
+    common, parts = [], []
     for own, w in zip(around, weight, strict=True):
-        n = next((i for i, (x, y) in enumerate(zip(own, chain, strict=False)) if x != y), min(len(own), len(chain)))
+        n = alike(own, chain)
         common.append(n)
-        branch[own[: n + 1]] = branch.get(own[: n + 1], 0) + w
-    before: tuple = ()
-    for k, (own, n) in enumerate(zip(around, common, strict=True)):
-        shared = next((i for i, (x, y) in enumerate(zip(own, before, strict=False)) if x != y), min(len(own), len(before)))
-        out[k] = (n == len(chain), min(len(chain) - n, 4) / 4, branch[own[: n + 1]] / total, shared / max(1, len(own)), min(len(own) - n, 6) / 6)
+        parts.append(own[n] if n < len(own) else ("end", n))
+        branch[parts[-1]] = branch.get(parts[-1], 0) + w
+    out, before = [], ()
+    for own, n, part in zip(around, common, parts, strict=True):
+        out.append((n == len(chain), min(len(chain) - n, 4) / 4, branch[part] / total, alike(own, before) / max(1, len(own)), min(len(own) - n, 6) / 6))
         before = own
-    return out
+    return np.array(out, np.float32).reshape(len(blocks), 5)
 
 
 _hash: dict[str, int] = {}
@@ -208,7 +218,8 @@ def block_vectors(blocks: list[tuple], first: int = 0, total: int = 0, places: n
         words = text.split()
         w = np.bincount([place(x) % WORD_DIMS for x in words], minlength=WORD_DIMS)
         m[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.sqrt(w) / max(1.0, np.sqrt(len(words)))
-        m[k, -STATS:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / len(text), (first + k + 1) / total, len(path) / 8, text[-1] in ".!?", *places[k])
+        m[k, -STATS:] = (np.log1p(len(text)) / 6, np.log1p(len(words)) / 4, linked / len(text), (first + k + 1) / total, len(path) / 8, text[-1] in ".!?", 0, 0, 0, 0, 0)
+    m[:, -5:] = places
     return m
 
 
