@@ -83,16 +83,25 @@ def apply_corrections(corrections: DataFrame) -> DataFrame:
 def map_columns(source: DataFrame, template: DataFrame) -> DataFrame:
     """E5: of the pairs of a source and a template sheet (doc_id, sheet_no, sheet, header) the one with the most headers that are
     equal in letters and digits and unique in the source, the first pair on a tie; the template's headers with their source
-    header, null if none. Documents without any pair have no rows."""
-    folded = lambda df, side: df.filter(squash(F.col("header")) != "").select("doc_id", squash(F.col("header")).alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("sheet_no", "sheet", "header")])
-    own = folded(source, "source").groupBy("doc_id", "source_sheet_no", "k").agg(F.count(F.lit(1)).alias("n"), F.min("source_sheet").alias("source_sheet"), F.min("source_header").alias("source_header"))
-    met = folded(template, "template").join(own.filter("n = 1").drop("n"), ["doc_id", "k"])
-    pairs = met.groupBy("doc_id", "source_sheet_no", "source_sheet", "template_sheet_no", "template_sheet").agg(F.countDistinct("template_header").alias("n"))
-    rank = F.struct("n", (-F.col("source_sheet_no")).alias("s"), (-F.col("template_sheet_no")).alias("t"))
-    best = pairs.groupBy("doc_id").agg(F.max_by(F.struct("source_sheet_no", "source_sheet", "template_sheet_no", "template_sheet"), rank).alias("b")).select("doc_id", "b.*")
-    chosen = met.join(best.select("doc_id", "source_sheet_no", "template_sheet_no"), ["doc_id", "source_sheet_no", "template_sheet_no"]).select("doc_id", F.col("template_header").alias("header"), "source_header").distinct()
-    headers = template.select("doc_id", F.col("sheet_no").alias("template_sheet_no"), "header").join(best, ["doc_id", "template_sheet_no"])
-    return headers.join(chosen, ["doc_id", "header"], "left").select("doc_id", "source_sheet", "template_sheet", "header", "source_header")
+    header, null if none. Documents without any pair have no rows.
+
+    A document's headers are dealt out once and stay where they are: by spelling, then by pair of sheets, then by document. What is
+    joined at the end is of the size of the input and never sent whole to every task, however small the input's files make it look.
+    """
+    own = lambda df, side: df.filter("doc_id IS NOT NULL").select("doc_id", F.lit(side).alias("side"), F.struct("sheet_no", "sheet", "header").alias("cell"), squash(F.col("header")).alias("k"))
+    rows = own(source, "s").unionByName(own(template, "t")).filter("k <> ''").repartition("doc_id")
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("cell")))
+    spelt = rows.groupBy("doc_id", "k").agg(of("s").alias("s"), of("t").alias("t")).filter("size(s) > 0 AND size(t) > 0")
+    alone = F.filter("s", lambda x: F.size(F.filter("s", lambda y: y["sheet_no"].eqNullSafe(x["sheet_no"]))) == 1)
+    met = spelt.select("doc_id", F.explode(alone).alias("s"), "t").select("doc_id", "s", F.explode("t").alias("t"))
+    sheets = [F.col(f"{side[0]}.{c}").alias(f"{side}_{c}") for side in ("source", "template") for c in ("sheet_no", "sheet")]
+    equal = F.collect_set(F.struct(F.col("t.header").alias("key"), F.col("s.header").alias("value"))).alias("equal")
+    pairs = met.groupBy("doc_id", *sheets).agg(equal)
+    rank = F.struct(F.size("equal").alias("n"), (-F.col("source_sheet_no")).alias("s"), (-F.col("template_sheet_no")).alias("t"))
+    best = pairs.groupBy("doc_id").agg(F.max_by(F.struct("source_sheet", "template_sheet_no", "template_sheet", "equal"), rank).alias("b"))
+    best = best.select("doc_id", "b.source_sheet", "b.template_sheet", F.col("b.template_sheet_no").alias("best_no"), F.map_from_entries("b.equal").alias("equal"))
+    headers = template.select("doc_id", "sheet_no", "header").join(best.hint("merge"), "doc_id").filter("sheet_no = best_no")
+    return headers.select("doc_id", "source_sheet", "template_sheet", "header", F.try_element_at("equal", F.col("header")).alias("source_header"))
 
 
 def field_coverage(type_fields: DataFrame, known: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import vocabulary as v
 from tablewright.operators import checks, mapping, records, retrieve
-from tablewright.plans import record_queries, review_queries, stream_queries, table_queries
+from tablewright.plans import figure_queries, record_queries, review_queries, stream_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +112,13 @@ def test_entities_are_scored_by_what_a_chunk_mentions(spark):
         return 1.0 + 5.0 * min(4, met + number(suite)) - 12.0 * any(number(s) for s in others)
 
     assert got == {(e, n): plain(names, suite, [s for g, x, s, _ in own if g == "g" and x != e], t) for g, e, suite, names in own if g == "g" for n, t in enumerate(texts)}
+
+
+def test_columns_are_mapped_without_sending_a_side_to_every_task(spark):
+    """However small the files make the input look, no side of a join is broadcast; repeated spellings and pairs as before."""
+    source = spark.createDataFrame([(1, 0, "A", "Sq. Ft."), (1, 0, "A", "Notes"), (1, 0, "A", "notes."), (1, 1, "B", "Notes"), (1, 1, "B", "sqft"), (2, 0, "A", "x"), (None, 0, "A", "y")], "doc_id long, sheet_no int, sheet string, header string")
+    template = spark.createDataFrame([(1, 0, "T", "SQ FT"), (1, 0, "T", "Notes"), (1, 0, "T", ""), (1, 0, "T", None), (1, 1, "U", "Notes"), (2, 0, "T", "z"), (None, 0, "T", "y")], "doc_id long, sheet_no int, sheet string, header string")
+    found = mapping.map_columns(source, template)
+    assert {tuple(r) for r in found.collect()} == {(1, "B", "T", "SQ FT", "sqft"), (1, "B", "T", "Notes", "Notes"), (1, "B", "T", "", None), (1, "B", "T", None, None)}
+    small_files = figure_queries.columns(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in small_files._jdf.queryExecution().sparkPlan().toString()
