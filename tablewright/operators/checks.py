@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,6 +142,80 @@ def judged_totals(rows: list[tuple], col: int) -> Iterator[tuple]:
         yield page, y, label, expected, n, method, votes.get((rank, method), 0), used, value, reconciles(used, value, expected, n)
 
 
+#: Sums of products stay exact in 64 bits below this; documents beyond it are judged by `judged_totals`.
+EXACT = 2**61
+#: Segments times methods that are judged at once, at most about that.
+CELLS_AT_ONCE = 2_000_000
+
+
+def slacks(method: str, expected: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.maximum(TOL, TOL * n) if method == "sum" else np.maximum(0.05, np.abs(expected) / UNIT * 0.002)
+
+
+def rounded_all(ratio: np.ndarray, exact) -> np.ndarray:
+    """`rounded` of every ratio; exact(i) computes the i-th anew where its last bit may matter."""
+    near = np.abs(ratio) * UNIT
+    near[~np.isfinite(near)] = 0
+    whole = np.rint(np.minimum(near, 1e15)).astype(np.int64)
+    out = np.where(ratio >= 0, whole, -whole)
+    for i in np.flatnonzero((np.abs(near % 1 - 0.5) <= 2e-3) | (near >= 9e11)):
+        out[i] = exact(int(i))
+    return out
+
+
+def judged_at_once(doc: np.ndarray, is_total: np.ndarray, nums: np.ndarray, known: np.ndarray, col: int) -> tuple:
+    """`judged_totals` of a column for many documents together: rows in order of document and place, doc their document, nums
+    their figures by column (0 where not known). Moments of the rows that a total covers are differences of running sums.
+
+    Returns (row of the total, expected, n, method, votes, used, value, ok), an array each, methods by their names."""
+    at = np.flatnonzero(known[col])
+    d, total, width = doc[at], is_total[at], len(nums)
+    place = np.arange(len(at))
+    opens = np.r_[True, d[1:] != d[:-1]] if len(at) else np.zeros(0, bool)
+    begins = np.maximum.accumulate(np.where(opens, place, 0)) if len(at) else place
+    last = np.maximum.accumulate(np.where(total, place, -1)) if len(at) else place
+    last = np.r_[-1, last[:-1]] if len(at) else last
+    start = np.maximum(begins, last)
+    ends = np.flatnonzero(total & (start < place))
+    start, n = start[ends], (ends - start[ends])
+    expected = nums[col][at[ends]]
+    moment = lambda v: (lambda c: c[ends] - c[start])(np.r_[0, np.cumsum(v)])
+    own = nums[col][at]
+    sums = {x: moment(nums[x][at]) for x in range(width)}
+    full = {x: moment((~known[x][at]).astype(np.int64)) == 0 for x in range(width) if x != col}
+    always = np.ones(len(ends), bool)
+    cents, half = np.divmod(np.abs(sums[col]), 100)
+    made = {(0, "sum"): ((cents + (half >= 50)) * 100 * np.where(sums[col] >= 0, 1, -1), always)}
+    made[1, "average"] = rounded_all(sums[col] / UNIT / np.maximum(n, 1), lambda i: rounded(int(sums[col][i]) / UNIT / int(n[i]))), always
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x in full:
+            if not (full[x] & (sums[x] != 0)).any():
+                continue
+            products, by = moment(nums[x][at] * own), sums[x]
+            one = lambda i, p=products, b=by: rounded((int(p[i]) / UNIT**2) / (int(b[i]) / UNIT)) if b[i] else 0
+            made[2, f"average weighted by column {x + 1}"] = rounded_all((products / UNIT**2) / (by / UNIT), one), full[x] & (by != 0)
+        for x in full:
+            for y in full:
+                if x != y:
+                    one = lambda i, p=sums[x], b=sums[y]: rounded((int(p[i]) / UNIT) / (int(b[i]) / UNIT)) if b[i] else 0
+                    made[3, f"column {x + 1} total over column {y + 1} total"] = rounded_all((sums[x] / UNIT) / (sums[y] / UNIT), one), full[x] & full[y] & (sums[y] != 0)
+    keys = sorted(made)
+    names = np.array([name for _, name in keys], dtype=object)
+    values, there = np.array([made[k][0] for k in keys]), np.array([made[k][1] for k in keys])
+    fits = np.array([there[k] & (np.abs(values[k] - expected) / UNIT <= slacks(keys[k][1], expected, n)) for k in range(len(keys))])
+    e = d[ends]
+    firsts = np.flatnonzero(np.r_[True, e[1:] != e[:-1]]) if len(e) else np.zeros(0, np.int64)
+    if not len(e):
+        return at[ends], expected, n, names[:0], n, names[:0], expected, always
+    votes = np.add.reduceat(fits * n, firsts, axis=1)
+    which = np.cumsum(np.r_[False, e[1:] != e[:-1]])
+    best = votes.argmax(axis=0)
+    support, best = votes[best, np.arange(len(firsts))][which], best[which]
+    each = np.arange(len(e))
+    used = np.where(there[best, each], best, 0)
+    return at[ends], expected, n, names[best], support, names[used], values[used, each], fits[used, each]
+
+
 def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
     """V2, V3: a row for each total of each column (see `judged_totals`): what it prints, the n rows it covers, the column's method with its
     votes, and the value, by the method that could be used, against which it's judged. A document's rows come together once."""
@@ -151,20 +227,50 @@ def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
     out = f"doc_id {kind['doc_id']}, col int, page {kind['page']}, y {kind['y']}, label string, expected long, n long, method string, votes long, used string, value long, ok boolean"
     fields = T._parse_datatype_string(out)
 
+    kinds = [to_arrow_type(f.dataType) for f in fields.fields[1:]]
+
+    def one_by_one(rows: pa.StructArray, doc: np.ndarray, order: np.ndarray) -> list[pa.Array]:
+        """The output's columns for documents whose figures are too large for sums of 64 bits; the first is the document's number."""
+        parts = [rows.field(k).take(pa.array(order)).to_pylist() for k in range(5)]
+        by_doc: dict[int, list[tuple]] = {}
+        for i, row in zip(doc[order].tolist(), zip(*parts, strict=True), strict=True):
+            by_doc.setdefault(i, []).append(row)
+        found = [(i, col, *r) for i, own in by_doc.items() for col in range(n_columns) for r in judged_totals(own, col)]
+        columns = zip(*found, strict=True) if found else ([] for _ in range(len(kinds) + 1))
+        return [pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), *kinds], strict=True)]
+
+    def judged_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, rows = batch.column("rows"), batch.column("rows").flatten()
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
+        rank = lambda k: np.unique(rows.field(k).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((rank(1), rank(0), doc))
+        figures = [pc.list_element(rows.field(4), col) for col in range(n_columns)]
+        known = np.array([f.is_valid().to_numpy(zero_copy_only=False)[order] for f in figures])
+        nums = np.array([f.fill_null(0).to_numpy(zero_copy_only=False)[order] for f in figures], np.int64)
+        d, is_total = doc[order], rows.field(3).to_numpy(zero_copy_only=False).astype(bool)[order]
+        length, most = np.bincount(d, minlength=batch.num_rows) + 1.0, np.zeros((n_columns, batch.num_rows))
+        for col in range(n_columns):
+            np.maximum.at(most[col], d, np.abs(nums[col].astype(np.float64)))
+        most = np.sort(most, axis=0)
+        # products are of two columns; a ratio of sums must fit 64 bits too
+        plain = (most[-1] * (most[-2] if n_columns > 1 else 0.0) * length < EXACT) & (most[-1] * length < 2**49)
+        keep = plain[d]
+        d1, order1, parts = d[keep], order[keep], []
+        for col in range(n_columns):
+            at, expected, n, method, votes, used, value, ok = judged_at_once(d1, is_total[keep], nums[:, keep], known[:, keep], col)
+            taken = pa.array(order1[at])
+            made = [d1[at], np.full(len(at), col), rows.field(0).take(taken), rows.field(1).take(taken), rows.field(2).take(taken), expected, n, method, votes, used, value, ok]
+            parts.append([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, [pa.int64(), *kinds], strict=True)])
+        if not keep.all():
+            parts.append(one_by_one(rows, doc, order[~keep]))
+        columns = [pa.concat_arrays(cs) for cs in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], fields.names)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(CELLS_AT_ONCE // (8 * n_columns**2), 1)
         for batch in batches:
-            own = batch.column("rows")
-            parts = [own.flatten().field(k).to_pylist() for k in range(5)] if len(own) else [[]] * 5
-            flat, ends, at, found = list(zip(*parts, strict=True)), own.offsets.to_pylist(), [], []
-            for i in range(batch.num_rows):
-                rows_of = sorted(flat[ends[i] - ends[0] : ends[i + 1] - ends[0]], key=lambda r: r[:2])
-                for col in range(n_columns):
-                    judged = [(col, *r) for r in judged_totals(rows_of, col)]
-                    found += judged
-                    at += [i] * len(judged)
-            columns = zip(*found, strict=True) if found else ([] for _ in fields.names[1:])
-            arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields.fields[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int32())), *arrays], fields.names)
+            for k in range(0, batch.num_rows, step):
+                yield judged_batch(batch.slice(k, step))
 
     found = docs.mapInArrow(judge, fields)
     exact = lambda c: F.expr(f"cast(cast({c} as decimal(20,0)) * 0.0001 as decimal(18,4))")
