@@ -133,14 +133,17 @@ def bin_nearest(tokens: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def indent_levels(rows: DataFrame, tol: float = 3.0) -> DataFrame:
-    """Ascending label edges of a page; a new level when farther than tol from the level's start; each row's nearest."""
-
-    own = rows.select("doc_id", "page", "y", "x0", "label")
-    edges = anchored(own.select("doc_id", "page", "x0").distinct(), "x0", [], tol, "n")
-    starts = edges.groupBy("doc_id", "page", "n").agg(F.min("x0").alias("start"))
-    near = edges.select("doc_id", "page", "x0").join(starts, ["doc_id", "page"])
-    level = near.groupBy("doc_id", "page", "x0").agg(F.min_by("n", F.struct(F.abs(F.col("x0") - F.col("start")), "n")).alias("n"))
-    return own.join(level, ["doc_id", "page", "x0"]).select("doc_id", "page", "y", "x0", "label", (F.col("n") - 1).cast("int").alias("level"))
+    """Ascending label edges of a page; a new level when farther than tol from the level's start; each row's nearest.
+
+    A page's rows come together once and get their levels there; the rows are neither made nor joined a second time."""
+    own = rows.select("doc_id", "page", "y", "x0", "label").dropna(subset=["doc_id", "page", "x0"])
+    pages = own.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y", "x0", "label")).alias("rows"))
+    none = F.array().cast("array<double>")
+    fold = lambda s, v: F.when((F.size(s) == 0) | (v - F.element_at(s, -1) > tol), F.concat(s, F.array(v.cast("double")))).otherwise(s)
+    pages = pages.withColumn("starts", F.aggregate(F.sort_array(F.array_distinct(F.col("rows")["x0"])), none, fold))
+    out = pages.select("doc_id", "page", "starts", F.explode("rows").alias("r")).select("doc_id", "page", "r.*", "starts")
+    near = F.array_min(F.transform("starts", lambda s, i: F.struct(F.abs(F.col("x0") - s).alias("far"), i.alias("n"))))["n"]
+    return out.select("doc_id", "page", "y", "x0", "label", near.cast("int").alias("level"))
 
 
 def masked_layout(tokens: DataFrame) -> DataFrame:
