@@ -136,8 +136,8 @@ def indent_levels(rows: DataFrame, tol: float = 3.0) -> DataFrame:
     """Ascending label edges of a page; a new level when farther than tol from the level's start; each row's nearest.
 
     A page's rows come together once and get their levels there; the rows are neither made nor joined a second time."""
-    own = rows.select("doc_id", "page", "y", "x0", "label").dropna(subset=["doc_id", "page", "x0"])
-    pages = own.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y", "x0", "label")).alias("rows"))
+    own = rows.dropna(subset=["doc_id", "page", "x0"]).select("doc_id", "page", F.struct("y", "x0", "label").alias("row"))
+    pages = own.groupBy("doc_id", "page").agg(F.collect_list("row").alias("rows"))
     none = F.array().cast("array<double>")
     fold = lambda s, v: F.when((F.size(s) == 0) | (v - F.element_at(s, -1) > tol), F.concat(s, F.array(v.cast("double")))).otherwise(s)
     pages = pages.withColumn("starts", F.aggregate(F.sort_array(F.array_distinct(F.col("rows")["x0"])), none, fold))

@@ -233,7 +233,8 @@ def locate_values(values: DataFrame, blocks: DataFrame) -> DataFrame:
     page): of the first form that a block's text holds, the block nearest to one that holds the label; above or left of the
     label counts three times as far. Without the label the first block. Values not found have no row."""
     box = F.struct("block", "x0", "y0", "x1", "y1", fold_words(F.col("text")).alias("t"))
-    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(box)).alias("blocks"))
+    # folded before it is collected, in generated code
+    pages = blocks.select("doc_id", "page", box.alias("box")).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("box")).alias("blocks"))
     own = values.join(pages, ["doc_id", "page"]).withColumn("forms", F.filter(F.transform(value_forms(F.col("value")), fold_words), lambda f: f != ""))
     holding = F.transform("forms", lambda f: F.filter("blocks", lambda b: b["t"].contains(f)))
     own = own.withColumn("hits", F.get(F.filter(holding, lambda h: F.size(h) > 0), F.lit(0))).filter("hits IS NOT NULL")
