@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.vocabulary import value_kind
 from tablewright.operators import checks, labels, layout, mapping, records, tables
-from tablewright.sources.derived import LINES, NOTICE_LINES, REPORT_ROWS, SETTLEMENT_LINES, STATEMENT_LINES, STATEMENT_TOKENS, derived, report_rows, statement_lines, statement_tokens, table
+from tablewright.sources.derived import LINES, NOTICE_LINES, REPORT_ROWS, SETTLEMENT_LINES, STATEMENT_LINES, STATEMENT_TOKENS, derived, report_rows, statement_lines, statement_tokens, table, token
 
 FIELDS = ["Account number", "Statement date", "Total charges"]
 SL, ST, RR = (f"WITH {n} AS ({sql})" for n, sql in (("sl", STATEMENT_LINES), ("st", STATEMENT_TOKENS), ("rr", REPORT_ROWS)))
@@ -110,12 +110,12 @@ def settled(spark, sf):
 
 def banded_tokens(spark, sf):
     """Statement tokens, three lines of prose below, and a second table with columns of its own."""
-    own = statement_tokens(spark, sf).filter("text = 'Item'").select("doc_id", "page", ((F.col("top") - 100) / 12).cast("int").alias("n"))
-    notes = own.filter("n <= 3 AND n >= 1").select("doc_id", "page", F.lit("Note").alias("text"), F.lit(59.0).alias("x0"), F.lit(79.0).alias("x1"), (700.0 + 20 * F.col("n")).alias("top"))
-    token = lambda t, x0, x1: F.struct(t.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"))
-    n = F.col("n").cast("string")
-    second = own.select("doc_id", "page", (1000.0 + 12 * F.col("n")).alias("top"), F.explode(F.array(token(F.lit("Sum"), 59.0, 74.0), token(n, 245.0, 250.0), token(F.concat(n, F.lit(".50")), 580.0, 600.0))).alias("t"))
-    return statement_tokens(spark, sf).unionByName(notes).unionByName(second.select("doc_id", "page", "t.*", "top"))
+    n = F.col("n")
+    place = lambda t, x0, x1, top: token(t, F.lit(x0), F.lit(x1), top)
+    note, second = place(F.lit("Note"), 59.0, 79.0, 700 + 20 * n), 1000 + 12 * n
+    notes = F.when(n <= 3, F.array(note)).otherwise(F.filter(F.array(note), lambda _: F.lit(False)))
+    sums = F.array(place(F.lit("Sum"), 59.0, 74.0, second), place(n.cast("string"), 245.0, 250.0, second), place(F.concat(n.cast("string"), F.lit(".50")), 580.0, 600.0, second))
+    return statement_tokens(spark, sf, notes, sums)
 
 
 def read(spark, sf):
@@ -179,7 +179,7 @@ QUERIES = {
     "table_rows": lambda s, d: parsed_rows(s, d).select("doc_id", "page", "row_id", F.array_join("values", "|", "-").alias("cells"), F.array_join("unbinned", "|").alias("unbinned")),
     "read_tables": read,
     "read_tables_pinned": pinned,
-    "table_regions": lambda s, d: tables.table_regions(layout.visual_rows_chain(banded_tokens(s, d))).groupBy("doc_id", "band").agg(F.countDistinct("row_id").alias("rows"), F.min("row_id").alias("first")),
+    "table_regions": lambda s, d: tables.table_regions(layout.visual_rows_chain(banded_tokens(s, d)).select("doc_id", "page", "row_id", "text", "x1")).groupBy("doc_id", "band").agg(F.countDistinct("row_id").alias("rows"), F.min("row_id").alias("first")),
     "text_columns": lambda s, d: words_in_columns(s, d)[1].select("doc_id", "col", F.round("x0", 4).alias("x0"), "n", "lo", "hi"),
     "bin_text": lambda s, d: layout.bin_text(*words_in_columns(s, d)).select("doc_id", "row_id", "x0", "text", "col"),
     "notice_fields": lambda s, d: labels.graded_fields(notices(s, d), ASKED).select("doc_id", "field", "value", "verdict", "where_found"),
