@@ -172,12 +172,26 @@ def page_signature(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     return own.drop("page")
 
 
+#: Documents with one signature from which it counts as frequent; few signatures can be.
+FREQUENT = 10_000
+
+
 def match_recipe(signatures: DataFrame, recipes: DataFrame, least: float = 0.6) -> DataFrame:
-    """Per document the recipe with the highest Jaccard of hash sets, the first on a tie; none below `least`."""
-    a = signatures.select("doc_id", F.size("signature").alias("na"), F.explode("signature").alias("h"))
+    """Per document the recipe with the highest Jaccard of hash sets, the first on a tie; none below `least`.
+
+    Documents printed alike share a signature: each distinct one is compared once, whatever the number of its documents. Those
+    of frequent signatures get their recipe from a small table that goes to every task, so that they gather in none."""
+    own = signatures.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    a = own.select("signature", F.size("signature").alias("na"), F.explode("signature").alias("h"))
     b = recipes.select("slug", "ord", F.size("signature").alias("nb"), F.explode("signature").alias("h"))
-    common = a.join(b, "h").groupBy("doc_id", "slug", "ord", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    common = a.join(b, "h").groupBy("signature", "slug", "ord", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     score = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    best = common.withColumn("score", score).groupBy("doc_id").agg(F.max_by(F.struct("slug", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("m"))
-    out = signatures.select("doc_id").join(best, "doc_id", "left")
+    best = common.withColumn("score", score).groupBy("signature").agg(F.max_by(F.struct("slug", "score"), F.struct("score", (-F.col("ord")).alias("o"))).alias("m"))
+    told = own.join(best, "signature")
+    often = told.filter(F.col("n") >= FREQUENT).select("signature", F.col("m").alias("often"))
+    out = signatures.select("doc_id", "signature").join(F.broadcast(often), "signature", "left")
+    # who has its recipe, or has no signature, looks for none below, and lies where its own number puts it
+    apart = F.array(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    out = out.withColumn("signature", F.when(F.col("often").isNull() & F.col("signature").isNotNull(), F.col("signature")).otherwise(apart))
+    out = out.join(told.filter(F.col("n") < FREQUENT).select("signature", "m"), "signature", "left").withColumn("m", F.coalesce("often", "m"))
     return out.select("doc_id", F.when(F.col("m.score") >= least, F.col("m.slug")).alias("slug"), F.round(F.coalesce("m.score", F.lit(0.0)), 6).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.shared import materialise
 from tablewright.functions.vocabulary import value_kind
 from tablewright.operators import checks, labels, layout, mapping, records, tables
 from tablewright.sources.derived import LINES, NOTICE_LINES, REPORT_ROWS, SETTLEMENT_LINES, STATEMENT_LINES, STATEMENT_TOKENS, derived, report_rows, statement_lines, statement_tokens, table, token
@@ -64,9 +65,10 @@ def signatures(spark, sf):
 
 def matched(spark, sf):
     """Recipes: the signatures that several documents share."""
-    recipes = signatures(spark, sf).groupBy("signature").agg(F.min("doc_id").alias("ord"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = materialise(signatures(spark, sf), "signatures")  # both sides and their counts read it
+    recipes = own.groupBy("signature").agg(F.min("doc_id").alias("ord"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     recipes = recipes.select(F.concat(F.lit("recipe-"), F.col("ord").cast("string")).alias("slug"), "ord", "signature")
-    return layout.match_recipe(signatures(spark, sf), recipes)
+    return layout.match_recipe(own, recipes)
 
 
 def wrapped(spark, sf):
