@@ -87,10 +87,12 @@ def evidence(spark, sf):
 def grounded(spark, sf):
     """Cells of statements, every sixth line's figure made up, a name that is printed and one that isn't."""
     lines = statement_lines(spark, sf)
-    cells = lines.filter("text LIKE 'Item %' AND line_no > 5").select("doc_id", F.col("line_no").alias("row_no"), F.element_at(F.split("text", "\t"), -1).alias("value"))
-    off = cells.withColumn("value", F.when(F.col("row_no") == 6, F.concat(F.lit("9"), F.col("value"))).when(F.col("row_no") == 7, F.concat(F.lit("("), F.col("value"), F.lit(")"))).otherwise(F.col("value")))
-    names = lines.filter("line_no = 1").select("doc_id", F.col("line_no").alias("row_no"), F.when(F.col("doc_id") % 2 == 0, "Account  statement").otherwise("Harbor Water").alias("value"))
-    return checks.ground_values(off.unionByName(names), lines)
+    printed, n = F.element_at(F.split("text", "\t"), -1), F.col("line_no")
+    name = F.when(F.col("doc_id") % 2 == 0, "Account  statement").otherwise("Harbor Water")
+    off = F.when(n == 1, name).when(n == 6, F.concat(F.lit("9"), printed)).when(n == 7, F.concat(F.lit("("), printed, F.lit(")"))).otherwise(printed)
+    # figures and names in one reading of the lines
+    cells = lines.filter("(text LIKE 'Item %' AND line_no > 5) OR line_no = 1").select("doc_id", n.alias("row_no"), off.alias("value"))
+    return checks.ground_values(cells, lines)
 
 
 def notices(spark, sf):
