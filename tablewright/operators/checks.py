@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.window import Window
 
 from tablewright.functions.vocabulary import parse_figure, value_kind
@@ -82,6 +82,8 @@ TOTAL_LABEL = r"(?i)^\s*(grand\s+)?(sub)?\s*totals?\b|^\s*top\s+\d+\b|\btotals?\
 
 #: Figures are whole numbers of ten-thousandths here, so that sums and products are exact.
 UNIT = 10_000
+#: A hundredth in units.
+HUNDREDTH = 100
 
 
 def rounded(ratio: float) -> int:
@@ -163,9 +165,9 @@ def rounded_all(ratio: np.ndarray, exact) -> np.ndarray:
     return out
 
 
-def judged_at_once(doc: np.ndarray, is_total: np.ndarray, nums: np.ndarray, known: np.ndarray, col: int) -> tuple:
+def judged_at_once(doc: np.ndarray, is_total: np.ndarray, nums: np.ndarray, known: np.ndarray, col: int, step: int = 1) -> tuple:
     """`judged_totals` of a column for many documents together: rows in order of document and place, doc their document, nums
-    their figures by column (0 where not known). Moments of the rows that a total covers are differences of running sums.
+    their figures by column (0 where not known), multiples of step. Moments of the rows that a total covers are differences of running sums.
 
     Returns (row of the total, expected, n, method, votes, used, value, ok), an array each, methods by their names."""
     at = np.flatnonzero(known[col])
@@ -191,9 +193,9 @@ def judged_at_once(doc: np.ndarray, is_total: np.ndarray, nums: np.ndarray, know
         for x in full:
             if not (full[x] & (sums[x] != 0)).any():
                 continue
-            products, by = moment(nums[x][at] * own), sums[x]
-            one = lambda i, p=products, b=by: rounded((int(p[i]) / UNIT**2) / (int(b[i]) / UNIT)) if b[i] else 0
-            made[2, f"average weighted by column {x + 1}"] = rounded_all((products / UNIT**2) / (by / UNIT), one), full[x] & (by != 0)
+            products, by, square = moment(nums[x][at] // step * (own // step)), sums[x], (UNIT // step) ** 2
+            one = lambda i, p=products, b=by, q=square: rounded((int(p[i]) / q) / (int(b[i]) / UNIT)) if b[i] else 0
+            made[2, f"average weighted by column {x + 1}"] = rounded_all((products / square) / (by / UNIT), one), full[x] & (by != 0)
         for x in full:
             for y in full:
                 if x != y:
@@ -216,6 +218,35 @@ def judged_at_once(doc: np.ndarray, is_total: np.ndarray, nums: np.ndarray, know
     return at[ends], expected, n, names[best], support, names[used], values[used, each], fits[used, each]
 
 
+def judged_columns(doc: np.ndarray, is_total: np.ndarray, nums: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
+    """`judged_at_once` of every column, (col, row of the total, expected, n, method, votes, used, value, ok) an array each; documents,
+    numbered from 0, whose figures are too large for sums of 64 bits are judged one by one. Where all figures of a document
+    are whole hundredths, as most are, its products are made of hundredths and fit much longer."""
+    n_docs = int(doc[-1]) + 1 if len(doc) else 0
+    length, most, hundredths = np.bincount(doc, minlength=n_docs) + 1.0, np.zeros((len(nums), n_docs)), np.ones(n_docs, bool)
+    for col in range(len(nums)):
+        np.maximum.at(most[col], doc, np.abs(nums[col].astype(np.float64)))
+        hundredths[doc[nums[col] % HUNDREDTH != 0]] = False
+    most = np.sort(most, axis=0)
+    # products are of two columns; a ratio of sums must fit 64 bits too
+    product, sums = most[-1] * (most[-2] if len(nums) > 1 else 0.0) * length, most[-1] * length < 2**49
+    coarse = hundredths & sums & (product < EXACT * HUNDREDTH**2)
+    fine = ~coarse & sums & (product < EXACT)
+    for docs, step in ((coarse, HUNDREDTH), (fine, 1)):
+        kept = np.flatnonzero(docs[doc])
+        for col in range(len(nums)) if len(kept) else ():
+            at, *judged = judged_at_once(doc[kept], is_total[kept], nums[:, kept], known[:, kept], col, step)
+            yield col, kept[at], *judged
+    large = np.flatnonzero(~(coarse | fine)[doc])
+    figures = [[v if k else None for v, k in zip(vs, ks, strict=True)] for vs, ks in zip(nums[:, large].T.tolist(), known[:, large].T.tolist(), strict=True)]
+    rows = list(zip(large.tolist(), large.tolist(), large.tolist(), is_total[large].tolist(), figures, strict=True))
+    cuts = [0, *(np.flatnonzero(np.diff(doc[large])) + 1).tolist(), len(large)]
+    for col in range(len(nums)) if len(large) else ():
+        found = [(r[0], *r[3:]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for r in judged_totals(rows[i:j], col)]
+        if found:
+            yield col, *[np.array(c) for c in zip(*found, strict=True)]
+
+
 def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
     """V2, V3: a row for each total of each column (see `judged_totals`): what it prints, the n rows it covers, the column's method with its
     votes, and the value, by the method that could be used, against which it's judged. A document's rows come together once."""
@@ -229,16 +260,6 @@ def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
 
     kinds = [to_arrow_type(f.dataType) for f in fields.fields[1:]]
 
-    def one_by_one(rows: pa.StructArray, doc: np.ndarray, order: np.ndarray) -> list[pa.Array]:
-        """The output's columns for documents whose figures are too large for sums of 64 bits; the first is the document's number."""
-        parts = [rows.field(k).take(pa.array(order)).to_pylist() for k in range(5)]
-        by_doc: dict[int, list[tuple]] = {}
-        for i, row in zip(doc[order].tolist(), zip(*parts, strict=True), strict=True):
-            by_doc.setdefault(i, []).append(row)
-        found = [(i, col, *r) for i, own in by_doc.items() for col in range(n_columns) for r in judged_totals(own, col)]
-        columns = zip(*found, strict=True) if found else ([] for _ in range(len(kinds) + 1))
-        return [pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), *kinds], strict=True)]
-
     def judged_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, rows = batch.column("rows"), batch.column("rows").flatten()
         doc = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
@@ -248,21 +269,13 @@ def total_segments(rows: DataFrame, n_columns: int) -> DataFrame:
         known = np.array([f.is_valid().to_numpy(zero_copy_only=False)[order] for f in figures])
         nums = np.array([f.fill_null(0).to_numpy(zero_copy_only=False)[order] for f in figures], np.int64)
         d, is_total = doc[order], rows.field(3).to_numpy(zero_copy_only=False).astype(bool)[order]
-        length, most = np.bincount(d, minlength=batch.num_rows) + 1.0, np.zeros((n_columns, batch.num_rows))
-        for col in range(n_columns):
-            np.maximum.at(most[col], d, np.abs(nums[col].astype(np.float64)))
-        most = np.sort(most, axis=0)
-        # products are of two columns; a ratio of sums must fit 64 bits too
-        plain = (most[-1] * (most[-2] if n_columns > 1 else 0.0) * length < EXACT) & (most[-1] * length < 2**49)
-        keep = plain[d]
-        d1, order1, parts = d[keep], order[keep], []
-        for col in range(n_columns):
-            at, expected, n, method, votes, used, value, ok = judged_at_once(d1, is_total[keep], nums[:, keep], known[:, keep], col)
-            taken = pa.array(order1[at])
-            made = [d1[at], np.full(len(at), col), rows.field(0).take(taken), rows.field(1).take(taken), rows.field(2).take(taken), expected, n, method, votes, used, value, ok]
+        parts = []
+        for col, at, *judged in judged_columns(d, is_total, nums, known):
+            taken = pa.array(order[at])
+            made = [d[at], np.full(len(at), col), *[rows.field(k).take(taken) for k in range(3)], *judged]
             parts.append([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, [pa.int64(), *kinds], strict=True)])
-        if not keep.all():
-            parts.append(one_by_one(rows, doc, order[~keep]))
+        if not parts:
+            return pa.RecordBatch.from_pylist([], to_arrow_schema(fields))
         columns = [pa.concat_arrays(cs) for cs in zip(*parts, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], fields.names)
 
@@ -290,19 +303,198 @@ def flat_totals(rows: DataFrame, n_columns: int) -> DataFrame:
     )
 
 
-def run_checks(rows: DataFrame, n_columns: int) -> DataFrame:
-    """V6: section totals where a document has an indent for totals, else totals by label; stray figures always, ragged rows
-    where it is indented."""
-    own = with_indents(rows)
-    indented, flat = own.filter("total_x0 IS NOT NULL"), own.filter("total_x0 IS NULL").drop("item_x0", "total_x0")
-    out = section_totals(indented).unionByName(flat_totals(flat, n_columns))
-    stray = unbinned_audit(own.withColumn("unbinned", F.col("unbinned") if "unbinned" in own.columns else F.array().cast("array<string>")))
-    ragged = ragged_rows(indented).withColumn("note", F.concat(F.lit("empty column(s): "), F.col("empty"))).drop("empty").withColumns({"check": F.lit("ragged_row"), "ok": F.lit(False)})
-    for other in (stray, ragged):
-        out = out.unionByName(other.withColumn("scope", F.lit("row")), allowMissingColumns=True)
+#: Rows whose checks are made at once, about that; a document's rows stay together.
+ROWS_AT_ONCE = 65_536
+#: Of each of a row's first cells it is told in two bits whether it is there and whether it is filled; then what the row is.
+CELLS_TOLD, IS_TOTAL, UNREAD = 30, 1 << 60, 1 << 61
+MADE = ["section_total", "table_total", "unbinned", "ragged_row"]
+
+
+def units(figures: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The figures of a decimal(18,4) column in units, 0 where not known, and which are known."""
+    known = figures.is_valid().to_numpy(zero_copy_only=False)
+    halves = np.frombuffer(figures.buffers()[1], np.int64)[2 * figures.offset : 2 * (figures.offset + len(figures)) : 2]
+    return np.where(known, halves, 0), known
+
+
+def places(values: pa.Array) -> np.ndarray:
+    """Numbers that sort as the values do, nulls first."""
+    if not values.null_count and pa.types.is_primitive(values.type):
+        return values.to_numpy(zero_copy_only=False)
+    valid, out = values.is_valid().to_numpy(zero_copy_only=False), np.full(len(values), -1)
+    out[valid] = np.unique(values.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)[1]
     return out
 
 
+def indents_of(doc: np.ndarray, edge: np.ndarray, place: np.ndarray, deeper: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`with_indents` of many documents: item_x0 and total_x0 of each, and which have both; from rows with figures (doc, edge, place)."""
+    n_docs = int(doc[-1]) + 1 if len(doc) else 0
+    item, total, both = np.full(n_docs, np.nan), np.full(n_docs, np.nan), np.zeros(n_docs, bool)
+    if not len(doc):
+        return item, total, both
+    order = np.lexsort((place, edge, doc))
+    d, e, p = doc[order], edge[order], place[order]
+    same = (e[1:] == e[:-1]) | (np.isnan(e[1:]) & np.isnan(e[:-1]))
+    starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | ~same])
+    n, d, e, p = np.diff(np.r_[starts, len(order)]), d[starts], e[starts], p[starts]
+    ranked = np.lexsort((e, -p, n, d))
+    last = ranked[np.flatnonzero(np.r_[d[ranked][1:] != d[ranked][:-1], True])]
+    item[d[last]] = e[last]
+    far = after(e, item[d] + deeper)
+    np.fmin.at(total, d[far], e[far])
+    both[d[far]] = True
+    return item, total, both
+
+
+def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b, where NaN is greater than any number."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def sections_at_once(x: np.ndarray, item: np.ndarray, total: np.ndarray, doc: np.ndarray, filled: np.ndarray, near: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`section_totals`' rows of many documents, in order: which are items, where each stretch up to a heading or total begins, and
+    whether it ends with a total."""
+    ends = after(item - near, x)
+    items = ~ends & filled & (np.abs(x - item) <= near)
+    totals = ~ends & filled & ~items & ~after(total - near, x)
+    ends |= totals
+    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | ends[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    return items, starts, totals[np.r_[starts[1:], len(doc)] - 1] if len(doc) else totals
+
+
+def summed_at_once(nums: np.ndarray, known: np.ndarray, items: np.ndarray, starts: np.ndarray, closed: np.ndarray) -> tuple:
+    """The totals of a column over rows in stretches (see `sections_at_once`): (row of the total, expected, n, value, ok), an array each."""
+    if not len(starts):
+        return starts, starts, starts, starts, closed
+    last = np.r_[starts[1:], len(items)] - 1
+    own = items & known
+    n = np.add.reduceat(own.astype(np.int64), starts)
+    wanted = closed & known[last] & (n > 0)
+    values = np.where(own, nums, 0)
+    sums = np.add.reduceat(values, starts)
+    for i in np.flatnonzero(np.add.reduceat(np.abs(values.astype(np.float64)), starts) > 2**62):
+        sums[i] = sum(values[starts[i] : last[i] + 1].tolist())  # exact; an error where 64 bits don't hold it
+    last, n, sums = last[wanted], n[wanted], sums[wanted]
+    cents = lambda v: np.sign(v) * ((np.abs(v) + 50) // 100)
+    got, expected = cents(sums) * 100, nums[last]
+    return last, expected, n, got, np.abs(cents(got - expected)) / 100 <= np.maximum(TOL, TOL * n)
+
+
+def whole_documents(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that come document by document, in batches of about that many that cut no document, with the document's number in its batch."""
+    numbers = lambda b: b.column("doc_id").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    held, n, least = [], 0, at_once
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        whole = pa.concat_batches(held)
+        doc = numbers(whole)
+        cut = int(np.argmax(doc == doc[-1]))
+        if cut:
+            yield whole.slice(0, cut), doc[:cut]
+        held, n = [whole.slice(cut)], n - cut
+        least = max(at_once, 2 * n)  # a document larger than that is put together a few times only
+    if n:
+        whole = pa.concat_batches(held)
+        yield whole, numbers(whole)
+
+
+def run_checks(rows: DataFrame, n_columns: int) -> DataFrame:
+    """V6: section totals where a document has an indent for totals, else totals by label; stray figures always, ragged rows where it
+    is indented. A document's rows come together once; all checks of many documents are made over their rows together."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    own = rows if "unbinned" in rows.columns else rows.withColumn("unbinned", F.lit(None).cast("array<string>"))
+    first = min(n_columns, CELLS_TOLD)
+    cell = lambda i: F.get("values", F.lit(i))
+    # the first cells are read in generated code, those beyond only where there are any: null if empty, a blank if no figure
+    size = F.size("values")
+    named = F.lower("label").contains("to") & F.col("label").rlike(TOTAL_LABEL)  # the pattern, total or top, is tried where it can fit
+    told = F.when(F.col("values").isNull(), UNREAD).otherwise(0) + F.when(named, IS_TOTAL).otherwise(0)
+    for i in range(first):
+        told = told + F.when(size > i, F.when(F.coalesce(cell(i), F.lit("")) != "", 3 << 2 * i).otherwise(1 << 2 * i)).otherwise(0)
+    rest = F.transform(F.slice("values", first + 1, F.greatest(size - first, F.lit(1))), lambda v: F.when(v != "", F.coalesce(parse_figure(v).cast("string"), F.lit(" "))))
+    own = own.repartition("doc_id").sortWithinPartitions("doc_id").select(
+        "doc_id", "page", "y", "label", F.col("x0").cast("double").alias("x0"), told.cast("long").alias("told"), *[parse_figure(cell(i)).alias(f"f{i}") for i in range(first)],
+        # empty rather than null: Arrow's writer goes over all null arrays at the end of a batch again for each further row
+        F.when(size > first, rest).otherwise(F.array().cast("array<string>")).alias("rest"), F.when(F.size("unbinned") > 0, F.array_join("unbinned", " ")).alias("stray"),
+    )
+    out = f"doc_id {kind['doc_id']}, page {kind['page']}, y {kind['y']}, label string, made int, col int, expected long, value long, n long, used string, ok boolean, note string"
+    fields = T._parse_datatype_string(out)
+    names, kinds = fields.names, [to_arrow_type(f.dataType) for f in fields.fields]
+
+    def checked(batch: pa.RecordBatch, doc: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((places(batch.column("y")), places(batch.column("page")), doc))
+        batch = batch.take(pa.array(order))
+        page, y = places(batch.column("page")), places(batch.column("y"))
+        place = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (page[1:] != page[:-1]) | (y[1:] != y[:-1])])
+        x, at_x = batch.column("x0").fill_null(0).to_numpy(), batch.column("x0").is_valid().to_numpy(zero_copy_only=False)
+        told, rest = batch.column("told").to_numpy(), batch.column("rest")
+        bounds, beyond = rest.offsets.to_numpy(), rest.values
+        is_figure = pc.fill_null(pc.not_equal(beyond, " "), False)
+        more = pc.replace_substring(pc.if_else(is_figure, beyond, "0"), ".", "").cast(pa.int64()).to_numpy()
+        is_figure = is_figure.to_numpy(zero_copy_only=False)
+        wide, written = np.diff(bounds), np.r_[0, np.cumsum(beyond.is_valid().to_numpy(zero_copy_only=False))]
+        size = sum((told >> 2 * i & 1 for i in range(first)), wide)
+        full = sum((told >> 2 * i + 1 & 1 for i in range(first)), np.diff(written[bounds]))
+        at_edge = np.flatnonzero((full > 0) & at_x)
+        item, total, both = (np.r_[a, np.full(int(doc[-1]) + 1 - len(a), f)] for a, f in zip(indents_of(doc[at_edge], np.rint(x[at_edge]), place[at_edge]), (np.nan, np.nan, False), strict=True))
+        indented = both[doc]
+
+        def figures(col: int) -> tuple[np.ndarray, np.ndarray]:
+            if col < first:
+                return units(batch.column(f"f{col}"))
+            v, k, there = np.zeros(len(doc), np.int64), np.zeros(len(doc), bool), np.flatnonzero(wide > col - first)
+            v[there], k[there] = more[bounds[there] + col - first], is_figure[bounds[there] + col - first]
+            return v, k
+
+        parts: list[tuple] = []
+
+        def add(made: int, at: np.ndarray, col, expected, value, n, used, ok, note=None) -> None:
+            each = lambda v, k: v if isinstance(v, pa.Array) else pa.array(v, k) if isinstance(v, (np.ndarray, list)) else pa.repeat(pa.scalar(v, k), len(at))
+            parts.append((at, [each(v, k) for v, k in zip((made, col, expected, value, n, used, ok, note), kinds[4:], strict=True)]))
+
+        own = np.flatnonzero(indented & at_x)
+        filled = (full > 0) | (told & UNREAD > 0)
+        items, starts, closed = sections_at_once(x[own], item[doc[own]], total[doc[own]], doc[own], filled[own])
+        read = [figures(col) for col in range(max(n_columns, first + int(wide[own].max()) if len(own) else 0))]
+        for col, (v, k) in enumerate(read):
+            at, expected, n, value, ok = summed_at_once(v[own], k[own], items, starts, closed)
+            add(0, own[at], col, expected, value, n, None, ok)
+        flat = np.flatnonzero(~indented)
+        ranks = np.cumsum(np.r_[0, np.diff(doc[flat]) > 0]) if len(flat) else flat
+        nums, known = (np.array([f[k][flat] for f in read[:n_columns]]).reshape(n_columns, len(flat)) for k in (0, 1))
+        for col, at, expected, n, _, _, used, value, ok in judged_columns(ranks, told[flat] & IS_TOTAL > 0, nums, known):
+            add(1, flat[at], col, expected, value, n, used, ok)
+        at = np.flatnonzero(batch.column("stray").is_valid().to_numpy(zero_copy_only=False))
+        add(2, at, None, None, None, None, None, False, batch.column("stray").take(pa.array(at)))
+        at = own[(np.abs(x[own] - item[doc[own]]) <= 2.0) & (full[own] > 0) & (full[own] < size[own])]
+        cells = lambda i: [*[told[i] >> 2 * k & 3 for k in range(first) if told[i] >> 2 * k & 1], *[1 if v is None else 3 for v in rest[int(i)].as_py()]]
+        empty = [",".join(str(k) for k, c in enumerate(cells(i)) if c == 1) for i in at]
+        add(3, at, None, None, None, None, None, False, empty)
+        taken = pa.array(np.concatenate([p[0] for p in parts]))
+        made = [pa.concat_arrays(cs) for cs in zip(*[p[1] for p in parts], strict=True)]
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in names[:4]], *made], names)
+
+    at_once = min(ROWS_AT_ONCE, max(2 * CELLS_AT_ONCE // max(n_columns, 1) ** 2, 1))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, doc in whole_documents(batches, at_once):
+            yield checked(batch, doc)
+
+    found = own.mapInArrow(check, fields)
+    exact = lambda c: F.expr(f"cast(cast({c} as decimal(20,0)) * 0.0001 as decimal(18,4))")
+    made, n = F.col("made"), F.col("n").cast("string")
+    scope = F.coalesce(F.get(F.array(*[F.lit(f"col{i}") for i in range(first)]), F.col("col")), F.concat(F.lit("col"), F.col("col").cast("string")), F.lit("row"))
+    return found.withColumns({"expected": exact("expected"), "value": exact("value")}).select(
+        "doc_id", "page", "y", F.get(F.array(*[F.lit(m) for m in MADE]), made).alias("check"), scope.alias("scope"), "label", "expected",
+        F.col("value").alias("got"), F.round(F.col("value") - F.col("expected"), 2).cast("decimal(18,2)").alias("diff"), "ok",
+        F.when(made == 0, F.concat(n, F.lit(" item(s)"))).when(made == 1, F.concat(n, F.lit(" row(s) above it, as "), F.col("used"))).when(made == 2, F.col("note"))
+        .otherwise(F.concat(F.lit("empty column(s): "), F.col("note"))).alias("note"),
+    )
+
+
 def unbinned_audit(rows: DataFrame) -> DataFrame:
     """V4: every row with a figure that fell in no column fails, with the figures."""
     return rows.filter(F.size("unbinned") > 0).select("doc_id", "page", "y", *(["label"] if "label" in rows.columns else []), F.lit("unbinned").alias("check"), F.lit(False).alias("ok"), F.array_join("unbinned", " ").alias("note"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.vocabulary import parse_figure
 from tablewright.operators import checks, mapping, records
-from tablewright.sources.derived import LINES, REPORT_ROWS, ROLL_ROWS, derived, report_rows, roll_rows, table
+from tablewright.sources.derived import LINES, REPORT_ROWS, ROLL_ROWS, both_rows, derived, report_rows, roll_rows, table
 
 RR = f"WITH rr AS ({REPORT_ROWS})"
 TOTALS = f"""WITH {LINES}, s AS (SELECT doc_id, l_returnflag, row_number() OVER (PARTITION BY doc_id ORDER BY l_returnflag) AS sec, sum(amt) AS amt, sum(q) AS q, count(*) AS n FROM l GROUP BY 1, 2),
@@ -27,8 +27,7 @@ def indented(spark, sf):
 def mixed_rows(spark, sf):
     """Indented reports, and flat ones under other numbers; a stray figure in some."""
     stray = F.when(F.col("label") == "Item 2", F.array(F.lit("7.5"))).otherwise(F.array().cast("array<string>"))
-    flat = roll_rows(spark, sf).withColumn("doc_id", -F.col("doc_id") - 1)
-    return report_rows(spark, sf).unionByName(flat).withColumn("unbinned", stray)
+    return both_rows(spark, sf).withColumn("unbinned", stray)
 
 
 def all_checks(spark, sf):
